@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op5_ngram_jaccard
+from .mixing import OP1_SQL, op1_mix_sources
 from .quality import op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1_SQL}
