@@ -10,9 +10,11 @@ from .jaccard import op5_ngram_jaccard
 from .mixing import OP1_SQL, op1_mix_sources
 from .quality import op10_quality_rules
 
+from .secrets import op4_secret_scan
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op5_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
