@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op5_ngram_jaccard
+from .licenses import OP8_SQL, op8_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .quality import op10_quality_rules
-
 from .secrets import op4_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op5_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op5_ngram_jaccard, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_license_scan": OP8_SQL}
