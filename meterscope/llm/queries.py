@@ -10,12 +10,13 @@ from .jaccard import op5_ngram_jaccard
 from .licenses import OP8_SQL, op8_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op6_best_fit_packing
+from .pii import op2_personal_data
 from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
