@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op5_ngram_jaccard
+from .language import op3_language_id
 from .licenses import OP8_SQL, op8_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op6_best_fit_packing
 from .pii import op2_personal_data
 from .quality import op10_quality_rules
 from .secrets import op4_secret_scan
+from .vectors import op9_nearest_neighbours
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_language_id, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op8_license_scan, op9_nearest_neighbours, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
