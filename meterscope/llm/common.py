@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(docs: DataFrame, read: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f(docs) while all columns but `read` have neutral names, so that none can clash with f's own."""
+    named = docs.columns
+    hidden = [c if c in read else f"__column{i}" for i, c in enumerate(named)]
+    return f(docs.toDF(*hidden)).select(*hidden).toDF(*named)
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join big with small on one column. small (at most one row per key, no text) is broadcast if it
     has no more than `limit` rows; otherwise the join is shuffled and both sides are salted, so that

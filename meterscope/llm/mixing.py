@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_checked, materialize, table
+from .common import BROADCAST_ROWS, join_checked, materialize, own_names, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 GROUP = 64
@@ -84,9 +84,12 @@ def repetitions(docs: DataFrame, weights: DataFrame | None = None, keep: tuple[s
 
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The mixture: rows of docs with all their columns, each as often as its copies say."""
-    named = docs.columns
-    rows = repetitions(docs, weights, tuple(named))
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*named)
+
+    def run(d: DataFrame) -> DataFrame:
+        rows = repetitions(d, weights, tuple(d.columns))
+        return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+
+    return own_names(docs, ("doc_id", "text", "source"), run)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, table
+from .common import join_checked, materialize, own_names, table
 from .textops import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -207,9 +207,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(i) for i in range(4)], F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in `text` replaced by its kind in angle brackets (overlapping spans by the
-    first), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
+def _redact(docs: DataFrame) -> DataFrame:
     named = docs.columns
     found = personal_data(docs, tuple(named))
     pieces = F.array_sort("spans")
@@ -225,3 +223,9 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in named:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*named)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span in `text` replaced by its kind in angle brackets (overlapping spans by the
+    first), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
+    return own_names(docs, ("doc_id", "text", "n_chars"), _redact)

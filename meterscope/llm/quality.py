@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, own_names, table
 from .textops import slices, windows, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -67,20 +67,20 @@ def text_stats(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def with_stats(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols and STATS of each row's whole text (null: empty), and n_abuse."""
-    light = docs.select(*id_cols, F.coalesce(text_col, F.lit("")).alias("__text"))
-    light = light.withColumn("__abuse", F.size(F.regexp_extract_all(F.lower("__text"), F.lit(rf"\b({'|'.join(ABUSE)})\b"), F.lit(1))).cast("long"))
-    kept = [c for c in light.columns if c != "__text"]
-    run = partial(_stats_of, kept)
-    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema if f.name != "__text")
-    return light.mapInArrow(run, f"{ids}, {STATS}").withColumnRenamed("__abuse", "n_abuse")
+    """id_cols and STATS of each row's whole text (null: empty), and n_abuse. The text comes along only
+    if it is one of id_cols; names of id_cols are not to be among the statistics (see own_names)."""
+    abuse = F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(rf"\b({'|'.join(ABUSE)})\b"), F.lit(1))).cast("long")
+    rows = docs.select(*id_cols, *([] if text_col in id_cols else [text_col]), abuse.alias("n_abuse"))
+    kept = [*id_cols, "n_abuse"]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(partial(_stats_of, kept, text_col), ", ".join([f"`{c}` {fields[c]}" for c in kept] + [STATS]))
 
 
-def _stats_of(kept: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stats_of(kept: list[str], text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in STATS.split(", ")]
     for batch in batches:
-        for part in slices(pa.Table.from_batches([batch]), "__text"):
-            text = part.column("__text").cast(pa.binary()).to_pylist()
+        for part in slices(pa.Table.from_batches([batch]), text_col):
+            text = [t or b"" for t in part.column(text_col).cast(pa.binary()).to_pylist()]
             cols = [part.column(c) for c in kept] + [pa.array(x) for x in text_stats(text)]
             yield from pa.table(cols, names=[*kept, *names]).combine_chunks().to_batches()
 
@@ -169,3 +169,8 @@ def quality(docs: DataFrame, id_cols: list[str], text_col: str = "text", thresho
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text, ...) that quality() keeps, with all their columns."""
+    return own_names(docs, ("doc_id", "text"), lambda d: quality(d, d.columns).where("kept").select(*d.columns))
