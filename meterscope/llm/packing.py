@@ -162,7 +162,7 @@ def _step(a: int, members: list[set[int]], of: np.ndarray, fill: np.ndarray, siz
     """(items from a, items to a, bin) with the largest gain for another bin that is not full."""
     free = capacity - fill
     free[a] = 0
-    free[fill == 0] = 0
+    free[fill < max(1, fill[a])] = 0  # into fuller bins only, or the sum of squares would not rise
     own = sorted(members[a], key=lambda i: -sizes[i])
     for i in own:  # move
         fit = np.flatnonzero(free >= sizes[i])
