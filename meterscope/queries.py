@@ -25,7 +25,7 @@ TZ = "America/New_York"
 AS_OF = F.lit("2024-01-30 20:00:00").cast("timestamp")
 AS_OF_SQL = "TIMESTAMP '2024-01-30 20:00:00'"
 Run = Callable[["Data"], DataFrame]
-_QUERIES: dict[str, tuple[Run, str | None, tuple[str, ...]]] = {}
+_QUERIES: dict[str, tuple[Run, str | None, dict[str, int]]] = {}
 
 
 class Data:
@@ -53,8 +53,9 @@ class Data:
 
 
 def add(name: str, run: Run, sql: str | None = None, doubles: str = "") -> None:
-    """doubles: columns that both sides round, sums of doubles being exact to some digits only."""
-    _QUERIES[name] = (run, sql, tuple(doubles.split()))
+    """doubles: columns that both sides round, to 6 decimals or as many as stand behind a colon, sums of
+    doubles being exact to some digits only."""
+    _QUERIES[name] = (run, sql, {c.partition(":")[0]: int(c.partition(":")[2] or 6) for c in doubles.split()})
 
 
 def _base(*parts: str) -> str:
@@ -148,8 +149,8 @@ add("g6_entity_energy", lambda d: G.entity_energy(d.entities), _base(FL) + "SELE
 add("g7_monitored_cv", lambda d: G.monitored_cv(d.entities), _base(FL) + "SELECT floor(stddev_samp(w) / avg(w) * 1000 + 0.5::DOUBLE) / 1000 AS cv FROM tot WHERE w > 0", "cv")
 add("g8_monitored_floor", lambda d: G.monitored_floor(d.entities), _base(FL) + "SELECT floor(quantile_cont(w, 0.05) * 10 + 0.5::DOUBLE) / 10 AS floor_w FROM tot WHERE w > 0", "floor_w")
 add("g9_aggregate_series", lambda d: G.aggregate_series(d.entities, 60), _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS bucket, avg(w) AS power_w FROM tot WHERE live > 0 GROUP BY 1", "power_w")
-add("g10_monitored_daily_kwh", lambda d: G.monitored_daily_kwh(d.entities, TZ), _base(FL) + f"SELECT ((mt AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')::DATE AS day, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh")
-add("g11_monitored_hourly_kwh", lambda d: G.monitored_hourly_kwh(d.entities), _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS hour, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh")
+add("g10_monitored_daily_kwh", lambda d: G.monitored_daily_kwh(d.entities, TZ), _base(FL) + f"SELECT ((mt AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')::DATE AS day, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh:9")
+add("g11_monitored_hourly_kwh", lambda d: G.monitored_hourly_kwh(d.entities), _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS hour, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh:9")
 _COVER = ", cm AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS m, max(ts) AS src FROM samples GROUP BY 1), cf AS (SELECT DISTINCT unnest(generate_series(m, date_trunc('minute', src + INTERVAL '15 minutes')::TIMESTAMP, INTERVAL '1 minute')) AS mt FROM cm)\n"
 add("g12_reference_coverage", lambda d: G.reference_coverage(d.samples), _base(fx.SAMPLES) + _COVER + "SELECT mt::DATE AS day, count(*)::DOUBLE / 1440.0::DOUBLE AS coverage FROM cf GROUP BY 1", "coverage")
 _GAPS = """, gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples WHERE ts >= TIMESTAMP '2024-01-10'),
@@ -180,7 +181,7 @@ add("u4_consumption_page", lambda d: U.consumption_page(d.hourly, d.meters, _pag
 add("u5_period_slots", lambda d: _page(d, "month").select("slot", "start", "end"), f"""SELECT i AS slot, ((TIMESTAMP '2024-01-01' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS start, ((TIMESTAMP '2024-01-02' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS "end" FROM (SELECT unnest(range(31))::INT AS i)""")
 add("u6_overlay", lambda d: U.overlay(_page(d, "month"), G.monitored_hourly_kwh(d.entities), "kwh"),
     _base(FL) + f""", slots AS (SELECT i AS slot, ((TIMESTAMP '2024-01-01' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS start, ((TIMESTAMP '2024-01-02' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS "end" FROM (SELECT unnest(range(31))::INT AS i))
-    SELECT slot, start, sum(w) / 60000 AS kwh FROM slots LEFT JOIN ent ON mt >= start AND mt < "end" GROUP BY 1, 2""", "kwh")
+    SELECT slot, start, sum(w) / 60000 AS kwh FROM slots LEFT JOIN ent ON mt >= start AND mt < "end" GROUP BY 1, 2""", "kwh:9")
 add("u7_hour_profile", lambda d: U.profile(d.hourly, ("hour",), TZ), _base(IX) + f"SELECT endpoint_id, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
 add("u8_dow_profile", lambda d: U.profile(d.hourly, ("dow",), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
 add("u9_heatmap", lambda d: U.profile(d.hourly, ("dow", "hour"), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2, 3", "avg_delta")
@@ -234,7 +235,7 @@ add("b8_daily_estimate_range", lambda d: B.daily_estimate_range(B.daily_estimate
     dd AS (SELECT unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS k FROM mk), sl AS (SELECT unnest(generate_series(TIMESTAMP '1998-07-01', TIMESTAMP '1999-02-28', INTERVAL '1 day'))::DATE AS day)
     SELECT sl.day, COALESCE(k, mr.rate, (SELECT rate FROM mr WHERE month = 0)) AS kwh, k IS NULL AS projected FROM sl LEFT JOIN dd ON dd.day = sl.day LEFT JOIN mr ON mr.month = month(sl.day) WHERE k IS NOT NULL OR sl.day > (SELECT max(day) FROM dd)""", "kwh")
 add("b9_bill_monthly_rates", _rates, _base(fx.BILLS) + _RATES + "SELECT * FROM mr", "rate least most")
-add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh")
+add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh:9")
 add("b11_bill_series", lambda d: B.bill_series(d.bills, _rec(d), 0.2), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage FROM bills b LEFT JOIN rc ON rc.bstart = b.ts", "kwh cost total_kwh metered_kwh coverage")
 add("b12_bill_energy", lambda d: B.bill_energy(d.bills, lo=_mid), _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1", "kwh")
 add("b13_tracking_pct", lambda d: B.tracking_pct(B.bill_series(d.bills, _rec(d))), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM bills b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1", "pct")
@@ -244,7 +245,7 @@ _days = lambda d: P.screen_days(G.monitored_daily_kwh(d.entities), G.reference_c
 _DAYS = _COVER + ", dk AS (SELECT mt::DATE AS day, sum(w) / 60000 AS kwh FROM ent GROUP BY 1), dc AS (SELECT mt::DATE AS day, count(*)::DOUBLE / 1440.0::DOUBLE AS coverage FROM cf GROUP BY 1), sd AS (SELECT COALESCE(dk.day, dc.day) AS day, COALESCE(kwh, 0.0::DOUBLE) AS kwh, COALESCE(coverage, 0.0::DOUBLE) >= 0.9::DOUBLE AS covered, COALESCE(coverage, 0.0::DOUBLE) >= 0.9::DOUBLE AND COALESCE(kwh, 0.0::DOUBLE) > 0 AS used FROM dk FULL JOIN dc ON dk.day = dc.day WHERE COALESCE(dk.day, dc.day) > DATE '2024-01-01' AND COALESCE(dk.day, dc.day) < DATE '2024-01-30')\n"
 _units = lambda d: P.meter_daily_units(d.hourly)
 add("p1_meter_daily_units", _units, _base(IX) + "SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2")
-add("p2_screen_days", _days, _base(FL) + _DAYS + "SELECT * FROM sd", "kwh")
+add("p2_screen_days", _days, _base(FL) + _DAYS + "SELECT * FROM sd", "kwh:9")
 add("p3_magnitude_band", lambda d: P.magnitude_band(_days(d)), _base(FL) + _DAYS + "SELECT avg(kwh) AS mon, count(*)::BIGINT AS days, 0.9::DOUBLE * avg(kwh) AS low, 3.0::DOUBLE * avg(kwh) AS high FROM sd WHERE used", "mon low high")
 _bandless = lambda d: _units(d).groupBy("endpoint_id").agg(F.avg("units").alias("mean_units")).withColumns({"mon": F.lit(300.0), "low": F.lit(270.0), "high": F.lit(900.0)})
 add("p4_infer_unit", lambda d: P.infer_unit(_bandless(d)),
@@ -314,14 +315,14 @@ add("t7_source_packets", lambda d: T.source_packets(d.readings, "60 minutes", "2
     _base(RD) + """, s AS (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets FROM s GROUP BY 1, 2""")
 
 
-def _finish(df: DataFrame, doubles: tuple[str, ...]) -> DataFrame:
-    """Timestamps without zone, as the tables have them, and sums of doubles to 6 decimals."""
+def _finish(df: DataFrame, doubles: dict[str, int]) -> DataFrame:
+    """Timestamps without zone, as the tables have them, and sums of doubles rounded."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.dataType.simpleString() == "timestamp":
             c = c.cast("timestamp_ntz")
-        out.append((F.round(c, 6) if f.name in doubles else c).alias(f.name))
+        out.append((F.round(c, doubles[f.name]) if f.name in doubles else c).alias(f.name))
     return df.select(*out)
 
 
@@ -344,6 +345,6 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (_, sql, doubles) in _QUERIES.items():
         if sql is not None:
-            rounded = ", ".join(f'round("{c}", 6) AS "{c}"' for c in doubles)
+            rounded = ", ".join(f'round("{c}", {n}) AS "{c}"' for c, n in doubles.items())
             out[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if doubles else sql
     return out
