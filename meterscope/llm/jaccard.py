@@ -253,7 +253,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             r = join_checked(r, hot.withColumnRenamed("k", "p"), "p", "left_semi").select("k", "uid")
         sizes = r.groupBy("k").agg(F.count("*").alias("n"), F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most")
         sizes = materialize(sizes, f"sizes{level}")
-        members.append(join_checked(r, sizes.where(F.col("n") <= SMALL).select("k"), "k"))
+        members.append(r.join(sizes.where(F.col("n") <= SMALL).select("k"), "k"))  # keys are as many as rows: never a broadcast by intent
         hot = sizes.where(F.col("n") > SMALL).select("k")
         if level == DEPTH - 1:
             links.append(join_checked(r, sizes.where(F.col("n") > SMALL).select("k", "least"), "k").select(F.col("uid").alias("u"), F.col("least").alias("v")))
@@ -282,7 +282,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
     known = materialize(known.join(least, "component").select("fp", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes-of-sets")
     out = signed.select("doc_id", "size", "fp").where("fp is not null")
-    out = join_checked(out, known, "fp").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("size").alias("n_shingles"))
+    out = out.join(known, "fp").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("size").alias("n_shingles"))
     alone = signed.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "size")
     return out.union(alone)
 
