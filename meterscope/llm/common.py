@@ -59,9 +59,10 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u long, v long); component is the least node.
 
-    Contraction: every node hooks to its least neighbour, parents jump twice, and edges are mapped to
-    the parents; edges inside a component vanish, so a round works on what is left. Every round is
-    written to shared storage; only the number of edges that are left comes to the driver.
+    Contraction: every node hooks to its least neighbour, pointers are doubled until they are at roots,
+    and edges are mapped to the roots; edges inside a component vanish, so a round works on what is left,
+    at most half the nodes. Every round is written to shared storage; the driver only sees whether
+    there is an edge or a moved pointer left.
     """
     edges = edges.where("u != v").select("u", "v").distinct()
     both = materialize(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
@@ -71,10 +72,14 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             break
         parent = both.groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
         parent = materialize(parent, f"{name}-p{step}")
-        for jump in range(2):
-            up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
-        parent = materialize(parent, f"{name}-q{step}")
+        for jump in range(64):  # pointers double until all are at roots, so a long path takes few rounds
+            up = parent.select(F.col("u").alias("p"), F.col("p").alias("p1"))
+            upper = parent.select(F.col("u").alias("p1"), F.col("p").alias("p2"))
+            jumped = parent.join(up, "p", "left").withColumn("p1", F.coalesce("p1", "p")).join(upper, "p1", "left").withColumn("p2", F.coalesce("p2", "p1"))
+            jumped = materialize(jumped.select("u", F.col("p2").alias("p"), (F.col("p2") != F.col("p1")).alias("moved")), f"{name}-q{step}-{jump}")
+            parent = jumped.select("u", "p")
+            if jumped.where("moved").isEmpty():
+                break
         if labels is None:
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
