@@ -123,7 +123,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     values = np.array([-1, 0, 1])
     is_ = patterns[:, :, None] == values
     for _ in range(rounds):
-        table_ = np.stack([((counts * p)[:, None, None] * is_).sum(0) + 1 for p in (1 - good, good)])
+        table_ = np.stack([((counts * p)[:, None, None] * is_).sum(0) + 0.1 for p in (1 - good, good)])
         table_ /= table_.sum(2, keepdims=True)
         swap = table_[1, :, 0] > table_[0, :, 0]
         table_[:, swap, 0] = table_[:, swap, 0].mean(0)
