@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import modulus, step, time_bucket
+from ..functions.joins import range_join
 from ..params import DEFAULTS, Params
 
 
@@ -66,10 +67,9 @@ def hourly_deltas(rollup_1h: DataFrame, index: DataFrame, params: Params = DEFAU
 
 def movement_between(rollup_1h: DataFrame, index: DataFrame, spans: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """(endpoint_id, span, movement) for every meter and span(span, start, end), each on the hours from
-    look-back to end; spans without data have no row. Spans are few: they are counted before a broadcast."""
-    spans = F.broadcast(spans) if spans.limit(10_001).count() <= 10_000 else spans
-    near = (F.col("bucket") >= F.col("start") - F.expr(f"INTERVAL {params.lookback_h} HOURS")) & (F.col("bucket") < F.col("end"))
-    rows = rollup_1h.join(spans, near).join(index.select("endpoint_id", "msg_type"), "endpoint_id")
+    look-back to end; spans without data have no row."""
+    spans = spans.withColumn("__from", F.col("start") - F.expr(f"INTERVAL {params.lookback_h} HOURS"))
+    rows = range_join(rollup_1h, spans, "bucket", "__from", "end").join(index.select("endpoint_id", "msg_type"), "endpoint_id")
     keys = Window.partitionBy("endpoint_id", "span")
     raw = F.col("max_c") - F.lag("max_c").over(keys.orderBy("bucket"))
     rows = rows.withColumn("__raw", raw).withColumn("delta", step(F.col("__raw"), modulus(F.col("msg_type"))))

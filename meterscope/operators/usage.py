@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import commodity, local, local_day, time_bucket
+from ..functions.joins import broadcast_checked, range_join
 from .deltas import bucket_deltas
 
 
@@ -73,10 +74,10 @@ def period_slots(anchors: DataFrame, view: str, tz: str = "UTC") -> DataFrame:
 def consumption_page(deltas: DataFrame, meters: DataFrame, slots: DataFrame) -> DataFrame:
     """U4: (endpoint_id, slot, start, value, packets) of every meter in `meters` and every slot; value is
     movement x pub_multiplier, null where there is no data. Cut the deltas to the page and its look-back."""
-    slots = F.broadcast(slots) if slots.limit(10_001).count() <= 10_000 else slots
-    got = deltas.join(slots, (F.col("hb") >= F.col("start")) & (F.col("hb") < F.col("end"))).groupBy("endpoint_id", "slot").agg(F.sum("delta").alias("d"), F.sum("n").alias("packets"))
+    got = range_join(deltas, slots, "hb").groupBy("endpoint_id", "slot").agg(F.sum("delta").alias("d"), F.sum("n").alias("packets"))
     own = meters.select("endpoint_id", F.coalesce("pub_multiplier", F.lit(1.0)).alias("mult"))
-    every = own.withColumn("__all", F.lit(0)).join(slots.withColumn("__all", F.lit(0)), "__all").drop("__all")
+    page = slots.agg(F.collect_list(F.struct("slot", "start")).alias("slots"))  # one row: the slots of one page
+    every = own.join(F.broadcast(page)).select("endpoint_id", "mult", F.inline("slots"))
     return every.join(got, ["endpoint_id", "slot"], "left").select("endpoint_id", "slot", "start", (F.col("d") * F.col("mult")).alias("value"), F.coalesce("packets", F.lit(0)).cast("long").alias("packets"))
 
 
@@ -88,8 +89,8 @@ def page_totals(page: DataFrame, previous: DataFrame) -> DataFrame:
 
 def overlay(slots: DataFrame, hourly: DataFrame, name: str) -> DataFrame:
     """Slots with kWh of an hourly series(hour, kwh) added up in each."""
-    rows = slots.join(hourly, (F.col("hour") >= F.col("start")) & (F.col("hour") < F.col("end")), "left")
-    return rows.groupBy("slot", "start").agg(F.sum("kwh").alias(name))
+    got = range_join(hourly, slots, "hour").groupBy("slot", "start").agg(F.sum("kwh").alias(name))
+    return slots.select("slot", "start").join(got, ["slot", "start"], "left")
 
 
 def profile(deltas: DataFrame, by: tuple[str, ...], tz: str = "UTC") -> DataFrame:
@@ -152,7 +153,7 @@ def signal_per_hour(readings: DataFrame, as_of: Column) -> DataFrame:
 def published_feed(readings: DataFrame, meters: DataFrame, as_of: Column) -> DataFrame:
     """What is published of each published meter: energy, power, signal."""
     own = meters.where(F.coalesce("publish", F.lit(False)))
-    mine = readings.join(F.broadcast(own.select("endpoint_id")) if own.limit(10_001).count() <= 10_000 else own.select("endpoint_id"), "endpoint_id", "left_semi")
+    mine = readings.join(broadcast_checked(own.select("endpoint_id")), "endpoint_id", "left_semi")
     rows = own.select("endpoint_id", "pub_name", "pub_unit", F.coalesce("pub_multiplier", F.lit(1.0)).alias("mult")).join(latest_reading(mine), "endpoint_id").join(derived_power(mine, meters), "endpoint_id", "left").join(signal_per_hour(mine, as_of), "endpoint_id", "left")
     return rows.select("endpoint_id", "pub_name", "pub_unit", "ts", (F.col("consumption") * F.col("mult")).alias("energy"), "power", F.coalesce("signal", F.lit(0)).cast("long").alias("signal"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp01, correlation, local_day, round_half_away
+from ..functions.columns import clamp01, commodity, correlation, local_day, round_half_away
+from ..functions.joins import range_join
 from ..params import DEFAULTS, Params
 from .deltas import counter_steps
 
@@ -22,19 +23,9 @@ def _hours(rollup_1h: DataFrame, index: DataFrame) -> DataFrame:
     return rows.select("endpoint_id", F.col("bucket").alias("hb"), "delta").where("delta is not null")
 
 
-def in_buckets(hours: DataFrame, buckets: DataFrame, most: int = 100_000) -> DataFrame:
-    """Hours with their bill: a range join. A few bills are broadcast (their number is checked); more are
-    met by an equi-join on the day first."""
-    inside = (F.col("hb") >= F.col("bstart")) & (F.col("hb") < F.col("bend"))
-    if buckets.limit(most + 1).count() <= most:
-        return hours.join(F.broadcast(buckets), inside)
-    by_day = buckets.withColumn("__day", F.explode(F.sequence(F.to_date("bstart"), F.to_date("bend"))))
-    return hours.withColumn("__day", F.to_date("hb")).join(by_day, "__day").where(inside).drop("__day")
-
-
 def bill_evidence(rollup_1h: DataFrame, index: DataFrame, buckets: DataFrame) -> DataFrame:
     """B2: movement, hours covered and hours of each meter and bill; only where there is movement."""
-    rows = in_buckets(_hours(rollup_1h, index), buckets)
+    rows = range_join(_hours(rollup_1h, index), buckets, "hb", "bstart", "bend")
     span = (F.col("bend").cast("double") - F.col("bstart").cast("double")) / 3600.0
     rows = rows.groupBy("endpoint_id", "statistic_id", "bstart", "bend", "kwh").agg(F.sum("delta").alias("delta"), F.count("*").alias("covered_h"))
     return rows.where("delta > 0").withColumn("bucket_h", span)
@@ -56,11 +47,9 @@ def utility_compare(evidence: DataFrame, summary: DataFrame) -> DataFrame:
 
 def reconcile(rollup_1h: DataFrame, index: DataFrame, meters: DataFrame, buckets: DataFrame) -> DataFrame:
     """kWh of all published or own electric meters in each bill, and the share of hours covered."""
-    from ..functions.columns import commodity
-
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     own = meters.where(flag("publish") | flag("is_mine")).join(index.where(commodity(F.col("endpoint_type")) == "electric").select("endpoint_id"), "endpoint_id").select("endpoint_id", F.coalesce("pub_multiplier", F.lit(1.0)).alias("mult"))
-    rows = in_buckets(_hours(rollup_1h, index).join(own, "endpoint_id"), buckets)
+    rows = range_join(_hours(rollup_1h, index).join(own, "endpoint_id"), buckets, "hb", "bstart", "bend")
     span = (F.col("bend").cast("double") - F.col("bstart").cast("double")) / 3600.0
     out = rows.groupBy("statistic_id", "bstart", "bend").agg(F.sum(F.col("delta") * F.col("mult")).alias("metered_kwh"), F.countDistinct("hb").alias("covered_h"))
     return out.select("statistic_id", "bstart", "metered_kwh", clamp01(F.col("covered_h") / span).alias("coverage"))

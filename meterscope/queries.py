@@ -315,6 +315,97 @@ add("t7_source_packets", lambda d: T.source_packets(d.readings, "60 minutes", "2
     _base(RD) + """, s AS (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets FROM s GROUP BY 1, 2""")
 
 
+# what remains of sources and ranking
+def _append(d: Data) -> DataFrame:
+    path = T.shared_folder(d.spark, "readings")
+    S.append_readings(d.readings, path)
+    return d.spark.read.parquet(path).groupBy("dt").agg(F.count("*").alias("n"), F.sum("consumption").alias("c"))
+
+
+add("s3_append_readings", _append, _base(RD) + "SELECT ts::DATE AS dt, count(*)::BIGINT AS n, sum(consumption) AS c FROM readings GROUP BY 1", "c:2")
+_hback = lambda d: d.hvac.withColumn("src", F.when(F.minute("ts") < 30, "history_backfill").otherwise("live"))
+add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid, AS_OF, d.hvac.where("action = 'idle'"), "history_backfill").groupBy("action", "src").agg(F.count("*").alias("n")),
+    _base(fx.SAMPLES) + f"""SELECT action, src, count(*)::BIGINT AS n FROM (SELECT action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
+    UNION ALL SELECT action, 'history_backfill' FROM hvac WHERE action = 'idle') GROUP BY 1, 2""")
+
+
+def _ranked(d: Data) -> DataFrame:
+    rows = I.rate_ratio(d.r1m, d.index, d.windows.where("id = 3")).join(I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)), "endpoint_id")
+    rows = rows.withColumns({"meter_kwh": round_half_away(C("window_delta") * C("multiplier"), 3), "monitored_kwh": F.lit(500.0)})
+    return I.add_confidence(rows, 24, F.lit(0.2), C("window_packets").cast("double"))
+
+
+_CONF = _CAL + _RATIO + f""", wr AS (SELECT endpoint_id, d, wn, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs WHERE window_id = 3),
+cc AS (SELECT cs.endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets::DOUBLE AS n, {_R('(1 / (1000 * sl))', 8)} AS mult, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS fok, a, b, d, wn FROM cs JOIN wr ON wr.endpoint_id = cs.endpoint_id),
+ce AS (SELECT *, ({_R('(d * mult)', 3)}) / 500.0::DOUBLE AS q, least({I.snoop_threshold(24)!r}::DOUBLE / sqrt(n), 0.95::DOUBLE) AS c FROM cc),
+cf2 AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE * c))) AS t,
+  CASE WHEN mult IS NULL OR q <= 0 THEN 0.5::DOUBLE WHEN q < 0.5 THEN greatest(0, least(1, q / 0.5::DOUBLE * 0.4::DOUBLE)) WHEN q <= 1 THEN 0.7::DOUBLE + 0.3::DOUBLE * (q - 0.5::DOUBLE) / 0.5::DOUBLE WHEN q <= 20 THEN 1.0::DOUBLE WHEN q <= 100 THEN 1 - 0.5::DOUBLE * (q - 20) / 80 ELSE 0.3::DOUBLE END AS rec,
+  CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS chg FROM ce),
+cg AS (SELECT endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1, r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
+  + 0.10::DOUBLE * CASE WHEN wn > 0 THEN least(1, n / 30, wn / 60.0::DOUBLE) ELSE least(1, n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) * CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END)) END AS confidence FROM cf2)\n"""
+add("i10_add_confidence", lambda d: _ranked(d).select("endpoint_id", "confidence"), _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT * FROM cg", "confidence")
+_verdicts = lambda d: d.index.select("endpoint_id", F.when(C("endpoint_id") % 3 == 0, True).when(C("endpoint_id") % 3 == 1, False).alias("pass"), F.lit(0.8).alias("screen_score"))
+add("i11_physics_fold", lambda d: I.physics_fold(_ranked(d).select("endpoint_id", "confidence"), _verdicts(d)).select("endpoint_id", "confidence"),
+    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT endpoint_id, CASE WHEN confidence IS NULL THEN CASE WHEN endpoint_id % 3 = 0 THEN 0.4::DOUBLE END WHEN endpoint_id % 3 = 0 THEN 0.5::DOUBLE * confidence + 0.4::DOUBLE WHEN endpoint_id % 3 = 1 THEN confidence * 0.2::DOUBLE ELSE confidence END AS confidence FROM cg", "confidence")
+_across = lambda d: d.readings.groupBy("endpoint_id").agg((F.count("*") % 10 / 10.0).alias("mean_conf"), F.lit(3).cast("long").alias("total"), (C("endpoint_id") % 3 + 1).alias("present"), (C("endpoint_id") % 2).alias("wins"), F.lit(2).cast("long").alias("n_mult"), F.lit(0.01).alias("multiplier"), (C("endpoint_id") % 5 / 500.0).alias("sd_mult"), F.lit(0.02).alias("anchor"), F.lit(0.005).alias("bill_multiplier"))
+add("i16_aggregate_confidence", lambda d: I.aggregate_confidence(_across(d)).select("endpoint_id", "confidence"),
+    _base(RD) + """, x AS (SELECT endpoint_id, count(*) % 10 / 10.0::DOUBLE AS m, endpoint_id % 3 + 1 AS present, endpoint_id % 2 AS wins, endpoint_id % 5 / 500.0::DOUBLE AS sd FROM readings GROUP BY 1),
+    y AS (SELECT endpoint_id, m * (0.6::DOUBLE + 0.25::DOUBLE * present / 3.0::DOUBLE + 0.15::DOUBLE * wins / 3.0::DOUBLE) * greatest(0, least(1, 1.1::DOUBLE - sd / 0.01::DOUBLE)) * 0.9::DOUBLE * 0.85::DOUBLE AS c FROM x)
+    SELECT endpoint_id, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""", "confidence")
+add("i18_identify_auto", lambda d: I.combined_ranking(I.known_load_anchor(_scored(d).join(F.broadcast(I.closed_windows(d.windows, "auto").select(C("id").alias("window_id"))), "window_id"), d.windows)).select("endpoint_id", "avg_score", "wins", "present"),
+    _base(IX, fx.WINDOWS) + _RATIO + ", sc AS (SELECT endpoint_id, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS s FROM rs WHERE window_id = 2) SELECT endpoint_id, s AS avg_score, CASE WHEN row_number() OVER (ORDER BY s / (1 + s) DESC, s DESC, endpoint_id) = 1 THEN 1 ELSE 0 END::BIGINT AS wins, 1::BIGINT AS present FROM sc", "avg_score")
+
+
+def _frozen(d: Data) -> DataFrame:
+    pool = d.index.where(C("endpoint_type").isin(4, 7)).count()
+    return I.freeze_snoop_k(I.freeze_snoop_k(d.windows, 2, pool), 2, 1).select("id", "snoop_k")
+
+
+add("i20_freeze_snoop_k", _frozen, _base(IX, fx.WINDOWS) + "SELECT id, CASE WHEN id = 2 THEN (SELECT count(*) FROM mi WHERE endpoint_type IN (4, 7)) END::INT AS snoop_k FROM wins")
+
+
+# streams: the events file as a stream, run until its end
+def _event_stream(d: Data) -> DataFrame:
+    schema = fx.table(d.spark, d.dir, "events").schema
+    return d.spark.readStream.schema(schema).parquet(f"{d.dir}/events.parq*").withColumn("ts", C("ts").cast("timestamp"))
+
+
+_plain = lambda rows: rows.select("ts", F.lit("IDM").alias("msg_type"), (1000 + C("user_id") % 24).alias("endpoint_id"), F.lit(4).alias("endpoint_type"), C("event_id").cast("double").alias("consumption"), C("event_type").alias("source"))
+_PLAIN = "WITH pr AS (SELECT ts, 1000 + user_id % 24 AS endpoint_id, event_id::DOUBLE AS consumption, event_type AS source FROM events)\n"
+
+
+def _ingest_stream(d: Data) -> DataFrame:
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("Time"), F.lit("IDM").alias("Type"), F.struct((1000 + C("user_id") % 24).alias("ERTSerialNumber"), C("event_id").alias("LastConsumptionCount")).alias("Message")))
+    rows = S.ingest_packets(_event_stream(d).select(line.alias("value"), "event_type"), C("event_type"), F.lit(None).cast("timestamp"))
+    readings, index = T.shared_folder(d.spark, "readings"), T.shared_folder(d.spark, "index")
+    T.drain(rows, sink=T.ingest_batch(readings, index))
+    return T.merge_batches(d.spark.read.parquet(index)).select("endpoint_id", "msg_type", "packets", "min_consumption", "max_consumption")
+
+
+def _latest(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of an updated table's batches the last row of each key."""
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max(F.struct("batch", *others)).alias("x")).select(*keys, *[f"x.{c}" for c in others])
+
+
+def _publish_stream(d: Data) -> DataFrame:
+    out = T.shared_folder(d.spark, "published")
+    T.drain(_plain(_event_stream(d)), sink=T.publish_batch(d.meters, lambda: _plain(d.events), lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")))
+    return _latest(d.spark.read.parquet(out).select("endpoint_id", "pub_name", "energy", "batch"), "endpoint_id")
+
+
+add("t1_ingest_stream", _ingest_stream, _PLAIN + "SELECT endpoint_id, 'IDM' AS msg_type, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM pr WHERE consumption > 0 GROUP BY 1")
+add("t2_stream_rollup", lambda d: _latest(T.drain(T.stream_rollup(_plain(_event_stream(d)), 60, "48 hours"), "update"), "endpoint_id", "bucket"), _PLAIN + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM pr GROUP BY 1, 2")
+_home = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", C("event_type").alias("entity_id"), C("value").alias("w"))
+add("t3_live_power", lambda d: T.drain(T.live_power(_home(_event_stream(d)))).groupBy("home").agg(F.count("*").alias("n"), F.sum("power_w").alias("power_w")),
+    """WITH k AS (SELECT DISTINCT event_type AS e FROM events), h AS (SELECT 'home' || user_id % 50 AS home, ts, event_type, value, event_id FROM events),
+    g AS (SELECT h.home, h.event_id, last_value(CASE WHEN event_type = e THEN value END IGNORE NULLS) OVER (PARTITION BY home, e ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS v FROM h CROSS JOIN k)
+    SELECT home, count(DISTINCT event_id)::BIGINT AS n, sum(v) AS power_w FROM g GROUP BY 1""", "power_w:3")
+add("t4_stream_auto_windows", lambda d: T.drain(T.stream_auto_windows(_event_stream(d).select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w")))).drop("batch"))
+add("t5_publish_stream", _publish_stream, _PLAIN + ", m(endpoint_id, pub_name) AS (VALUES (1000, 'home'), (1001, 'neighbour')) SELECT pr.endpoint_id, pub_name, arg_max(consumption, (ts, consumption)) * 0.01::DOUBLE AS energy FROM pr JOIN m ON m.endpoint_id = pr.endpoint_id GROUP BY 1, 2", "energy")
+
+
+
 def _finish(df: DataFrame, doubles: dict[str, int]) -> DataFrame:
     """Timestamps without zone, as the tables have them, and sums of doubles rounded."""
     out = []

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,27 @@ from ..sources.ingest import append_readings
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-meterscope-")
+    return f"{base.rstrip('/')}/meterscope-{uuid.uuid4().hex}/{name}"
+
+
+def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Run a stream over what is there now. Without a sink its batches are written to shared storage, and
+    their rows come back with the number of their `batch`."""
+    spark = stream.sparkSession
+    out = shared_folder(spark, "out")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.conf.set(*next(iter(STATE_STORE.items())))
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink or keep).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return None if sink else spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+
+
 def ingest_batch(readings_path: str, index_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function of S1's stream: writes a batch's readings by day, and its registry rows, to
     folders of the batch; a batch that is run again replaces them. merge_batches adds registries up."""

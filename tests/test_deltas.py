@@ -67,3 +67,12 @@ def test_merged_indexes_equal_one(spark):
     a, b = df.where(F.minute("ts") < 30), df.where(F.minute("ts") >= 30)
     one, two = R.meter_index(df), R.merge_index(R.meter_index(a), R.meter_index(b))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(one.columns).collect()))
+
+
+def test_range_join_both_ways(spark):
+    from meterscope.functions.joins import range_join
+
+    points = spark.createDataFrame([(BASE + timedelta(hours=h),) for h in range(0, 200, 5)], "at timestamp")
+    spans = spark.createDataFrame([(k, BASE + timedelta(hours=7 * k), BASE + timedelta(hours=7 * k + 40)) for k in range(20)], "span int, start timestamp, end timestamp")
+    few, many = (sorted(map(tuple, range_join(points, spans, "at", most=n).select("at", "span").collect())) for n in (100, 1))
+    assert few == many and few

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,52 @@ def test_ingest_batches_are_idempotent(spark, tmp_path):
     run(df, 0)
     parts = spark.read.parquet(str(tmp_path / "index"))
     assert T.merge_batches(parts).first()["packets"] == 10
+
+
+class Clock:
+    def __init__(self):
+        self.now = 0
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+class Handle:
+    """Stands for the state of one key: a value and timers."""
+
+    def __init__(self):
+        self.timers, self.value = [], None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        handle = self
+
+        class State:
+            def update(self, v):
+                handle.value = v
+
+            def get(self):
+                return handle.value
+
+        return State()
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+
+def test_keep_alive_repeats_the_last_value():
+    handle, clock, job = Handle(), Clock(), T.KeepAlive()
+    job.init(handle)
+    rows = pd.DataFrame({"endpoint_id": [1, 1], "ts": [pd.Timestamp(at(1)), pd.Timestamp(at(0))], "energy": [5.0, 4.0]})
+    assert list(job.handleInputRows((1,), iter([rows]), clock))[0]["energy"].tolist() == [4.0, 5.0]
+    clock.now = 100_000
+    list(job.handleInputRows((1,), iter([rows.head(1)]), clock))
+    assert handle.timers == [400_000]  # a new reading moves the timer
+    clock.now = 400_000
+    again = list(job.handleExpiredTimer((1,), clock, None))[0]
+    assert again["energy"].tolist() == [5.0] and again["repeated"].tolist() == [True] and handle.timers[-1] == 700_000
