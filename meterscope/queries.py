@@ -22,7 +22,7 @@ from .streaming import jobs as T
 
 C = F.col
 TZ = "America/New_York"
-AS_OF = F.lit("2024-01-30 20:00:00").cast("timestamp")
+AS_OF = lambda: F.lit("2024-01-30 20:00:00").cast("timestamp")
 AS_OF_SQL = "TIMESTAMP '2024-01-30 20:00:00'"
 Run = Callable[["Data"], DataFrame]
 _QUERIES: dict[str, tuple[Run, str | None, dict[str, int]]] = {}
@@ -71,7 +71,7 @@ add("r2_meter_source", lambda d: d.coverage, _base(RD) + "SELECT endpoint_id, so
 add("r3_source_heartbeat", lambda d: R.source_heartbeat(d.readings), _base(RD) + "SELECT source, max(ts) AS last_ts, count(*)::BIGINT AS total_count FROM readings GROUP BY 1")
 _zeroed = lambda d: d.readings.withColumn("consumption", F.when(C("event_id") % 50 == 0, 0.0).otherwise(C("consumption")))
 add("r4_scrub_zeros", lambda d: R.meter_index(R.scrub_zeros(_zeroed(d))).select("endpoint_id", "packets", "min_consumption", "max_consumption"), _base(RD) + "SELECT endpoint_id, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM readings WHERE event_id % 50 <> 0 GROUP BY 1")
-add("r5_retention", lambda d: R.keep_newer(d.readings, AS_OF, 10).groupBy("endpoint_id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest")), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS n, min(ts) AS oldest FROM readings WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days' GROUP BY 1")
+add("r5_retention", lambda d: R.keep_newer(d.readings, AS_OF(), 10).groupBy("endpoint_id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest")), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS n, min(ts) AS oldest FROM readings WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days' GROUP BY 1")
 add("r6_drop_source", lambda d: R.drop_source(d.readings, "click").groupBy("source").agg(F.count("*").alias("n")), _base(RD) + "SELECT source, count(*)::BIGINT AS n FROM readings WHERE source <> 'click' GROUP BY 1")
 add("r7_purge_meters", lambda d: R.purge_meters(d.readings, d.meters.where("ignored")).groupBy("endpoint_id").agg(F.count("*").alias("n")), _base(RD) + "SELECT endpoint_id, count(*)::BIGINT AS n FROM readings WHERE endpoint_id <> 1005 GROUP BY 1")
 _patch = lambda d: d.readings.where("endpoint_type = 2").groupBy("endpoint_id").agg(F.lit("gas").alias("label"), F.lit(True).alias("is_candidate")).unionByName(d.spark.createDataFrame([(1002, "mine", None)], "endpoint_id long, label string, is_candidate boolean"))
@@ -80,10 +80,10 @@ add("r8_update_annotations", lambda d: R.update_annotations(d.meters, _patch(d))
 add("r9_stored_period", lambda d: R.stored_period(d.bills.unionByName(d.monthly)), _base(fx.BILLS) + "SELECT statistic_id, arg_max(period, ts) AS period FROM (SELECT * FROM bills UNION ALL SELECT * FROM mbills) GROUP BY 1")
 add("r10_rollup_1m", lambda d: d.r1m, _base(IX) + "SELECT * FROM r1m")
 add("r11_rollup_1h", lambda d: d.r1h, _base(IX) + "SELECT * FROM r1h")
-_mid = F.lit("2024-01-15 00:00:00").cast("timestamp")
-add("r12_refresh_rollup", lambda d: D.refresh_rollup(D.rollup(d.readings.where("event_id % 2 = 0"), 60), d.readings, 60, _mid, _mid + F.expr("INTERVAL 7 DAYS")),
+_mid = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp")
+add("r12_refresh_rollup", lambda d: D.refresh_rollup(D.rollup(d.readings.where("event_id % 2 = 0"), 60), d.readings, 60, _mid(), _mid() + F.expr("INTERVAL 7 DAYS")),
     _base(IX) + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE event_id % 2 = 0 OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') GROUP BY 1, 2")
-add("r13_realtime_rollup", lambda d: D.realtime_rollup(D.rollup(d.readings.where(C("ts") < _mid), 60), d.readings, 60, _mid), _base(IX) + "SELECT * FROM r1h")
+add("r13_realtime_rollup", lambda d: D.realtime_rollup(D.rollup(d.readings.where(C("ts") < _mid()), 60), d.readings, 60, _mid()), _base(IX) + "SELECT * FROM r1h")
 add("r14_table_stats", lambda d: R.table_stats({"readings": d.readings}, d.readings)[1], _base(RD) + "SELECT source, count(*)::BIGINT AS rows, min(ts) AS oldest, max(ts) AS newest FROM readings GROUP BY 1")
 add("r15_data_span", lambda d: R.data_span(d.index), _base(RD) + "SELECT min(ts) AS first_seen, max(ts) AS last_seen FROM readings")
 
@@ -105,10 +105,10 @@ add("d8_span_movement", lambda d: D.span_movement(d.readings), _base(RD) + "SELE
 add("d9_movement_leaderboard", lambda d: D.movement_leaderboard(d.readings), _base(RD) + "SELECT endpoint_id, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets, count(DISTINCT ts::DATE)::BIGINT AS days FROM readings GROUP BY 1")
 
 # sources
-_line = F.concat(F.lit('{"Time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('","Type":"'), "msg_type", F.lit('","Message":{"'), F.when(C("msg_type") == "SCM", "ID").when(C("msg_type") == "SCM+", "EndpointID").otherwise("ERTSerialNumber"), F.lit('":'), C("endpoint_id").cast("string"), F.lit(',"'), F.when(C("msg_type") == "IDM", "LastConsumptionCount").otherwise("Consumption"), F.lit('":'), C("consumption").cast("long").cast("string"), F.lit(',"A":[1,2]}}'))
-add("s1_ingest_packets", lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line).alias("value"), "source"), C("source"), AS_OF).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "consumption", "source"),
+_line = lambda: F.concat(F.lit('{"Time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('","Type":"'), "msg_type", F.lit('","Message":{"'), F.when(C("msg_type") == "SCM", "ID").when(C("msg_type") == "SCM+", "EndpointID").otherwise("ERTSerialNumber"), F.lit('":'), C("endpoint_id").cast("string"), F.lit(',"'), F.when(C("msg_type") == "IDM", "LastConsumptionCount").otherwise("Consumption"), F.lit('":'), C("consumption").cast("long").cast("string"), F.lit(',"A":[1,2]}}'))
+add("s1_ingest_packets", lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line()).alias("value"), "source"), C("source"), AS_OF()).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "consumption", "source"),
     _base(RD) + "SELECT date_trunc('second', ts)::TIMESTAMP AS ts, msg_type, endpoint_id, consumption, source FROM readings WHERE event_id % 100 <> 7 AND consumption > 0")
-add("s4_meter_readings", lambda d: S.meter_readings(d.readings, 1003, since=_mid), _base(RD) + "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings WHERE endpoint_id = 1003 AND ts >= TIMESTAMP '2024-01-15'")
+add("s4_meter_readings", lambda d: S.meter_readings(d.readings, 1003, since=_mid()), _base(RD) + "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings WHERE endpoint_id = 1003 AND ts >= TIMESTAMP '2024-01-15'")
 _info = lambda d: d.events.select(F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_type") == "click", "energy").otherwise("power").alias("device_class"), F.when(C("event_type") == "click", "Wh").otherwise("kW").alias("unit")).distinct()
 _states = lambda d: d.events.select("ts", F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_id") % 40 == 3, "unavailable").otherwise(F.round(C("value") * 100).cast("long").cast("string")).alias("state"))
 add("s5_normalize_reference", lambda d: S.normalize_reference(_states(d), S.classify_sensors(_info(d))),
@@ -128,14 +128,14 @@ add("s11_resolve_period", lambda d: S.resolve_period(d.bills.unionByName(d.month
 add("s12_upsert_utility", lambda d: S.upsert_utility(d.bills, d.bills.where(F.dayofmonth("ts") <= 10).withColumn("kwh", F.lit(1.5))), _base(fx.BILLS) + "SELECT statistic_id, period, ts, CASE WHEN day(ts) <= 10 THEN 1.5::DOUBLE ELSE kwh END AS kwh FROM bills")
 add("s13_keep_only_utility", lambda d: S.keep_only_utility(d.bills.unionByName(d.monthly), "bill.day", "day"), _base(fx.BILLS) + "SELECT * FROM bills")
 _back = lambda d: d.samples.withColumn("src", F.when(F.minute("ts") < 30, "lts_backfill").otherwise("live"))
-add("s14_replace_backfill", lambda d: S.replace_backfill(_back(d), "sensor.click", _mid, AS_OF, d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click"))).groupBy("entity_id", "src").agg(F.count("*").alias("n")),
+add("s14_replace_backfill", lambda d: S.replace_backfill(_back(d), "sensor.click", _mid(), AS_OF(), d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click"))).groupBy("entity_id", "src").agg(F.count("*").alias("n")),
     _base(fx.SAMPLES) + f"""SELECT entity_id, src, count(*)::BIGINT AS n FROM (SELECT entity_id, CASE WHEN minute(ts) < 30 THEN 'lts_backfill' ELSE 'live' END AS src FROM samples
     WHERE NOT (minute(ts) < 30 AND entity_id = 'sensor.click' AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL}) UNION ALL SELECT 'sensor.click', 'lts_backfill' FROM samples WHERE entity_id = 'sensor.view') GROUP BY 1, 2""")
 _means = lambda d: d.samples.groupBy("entity_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("power_w").alias("mean")).withColumns({"kind": F.lit("power"), "change": F.lit(None).cast("double")})
-add("s16_expand_hourly_means", lambda d: S.expand_hourly_means(_means(d), d.samples.select("entity_id", _mid.alias("lo"), (_mid + F.expr("INTERVAL 90 MINUTES")).alias("hi")).distinct()),
+add("s16_expand_hourly_means", lambda d: S.expand_hourly_means(_means(d), d.samples.select("entity_id", _mid().alias("lo"), (_mid() + F.expr("INTERVAL 90 MINUTES")).alias("hi")).distinct()),
     _base(fx.SAMPLES) + "SELECT entity_id, ts, power_w FROM (SELECT entity_id, unnest(generate_series(h, h + INTERVAL '55 minutes', INTERVAL '5 minutes')) AS ts, greatest(0, p) AS power_w FROM (SELECT entity_id, date_trunc('hour', ts)::TIMESTAMP AS h, avg(power_w) AS p FROM samples GROUP BY 1, 2)) WHERE ts >= TIMESTAMP '2024-01-15' AND ts <= TIMESTAMP '2024-01-15 01:30:00'", "power_w")
 _acts = lambda d: d.hvac.groupBy("entity_id", F.date_trunc("day", "ts").alias("ts")).agg(F.when(F.count("*") % 3 == 0, "").otherwise(F.max("action")).alias("action"))
-add("s17_expand_hvac_history", lambda d: S.expand_hvac_history(_acts(d), _mid, _mid + F.expr("INTERVAL 5 DAYS"), 60),
+add("s17_expand_hvac_history", lambda d: S.expand_hvac_history(_acts(d), _mid(), _mid() + F.expr("INTERVAL 5 DAYS"), 60),
     _base(fx.SAMPLES) + """, a AS (SELECT entity_id, date_trunc('day', ts)::TIMESTAMP AS ts, CASE WHEN count(*) % 3 = 0 THEN '' ELSE max(action) END AS action FROM hvac GROUP BY 1, 2),
     b AS (SELECT entity_id, action, greatest(ts, TIMESTAMP '2024-01-15') AS lo, least(COALESCE(lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) - INTERVAL '1 microsecond', TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-20') AS hi FROM a)
     SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL '60 minutes')) AS ts, action FROM b WHERE lo <= hi AND action <> ''""")
@@ -155,15 +155,16 @@ _COVER = ", cm AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS m, max(ts) AS s
 add("g12_reference_coverage", lambda d: G.reference_coverage(d.samples), _base(fx.SAMPLES) + _COVER + "SELECT mt::DATE AS day, count(*)::DOUBLE / 1440.0::DOUBLE AS coverage FROM cf GROUP BY 1", "coverage")
 _GAPS = """, gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples WHERE ts >= TIMESTAMP '2024-01-10'),
 gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS "end" FROM gm UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM gm GROUP BY 1)\n"""
-_cap, _from = F.lit("2024-01-31 12:00:00").cast("timestamp"), F.lit("2024-01-10 00:00:00").cast("timestamp")
-add("g13_sample_gaps", lambda d: G.sample_gaps(d.samples, _from, 45, _cap), _base(fx.SAMPLES) + _GAPS + 'SELECT entity_id, start, "end" FROM gp WHERE epoch("end") - epoch(start) > 45 * 60')
-_early = F.lit("2023-12-25 00:00:00").cast("timestamp")
-add("g14_plan_backfill", lambda d: G.plan_backfill(d.samples, _early, 120, AS_OF),
+_cap = lambda: F.lit("2024-01-31 12:00:00").cast("timestamp")
+_from = lambda: F.lit("2024-01-10 00:00:00").cast("timestamp")
+add("g13_sample_gaps", lambda d: G.sample_gaps(d.samples, _from(), 45, _cap()), _base(fx.SAMPLES) + _GAPS + 'SELECT entity_id, start, "end" FROM gp WHERE epoch("end") - epoch(start) > 45 * 60')
+_early = lambda: F.lit("2023-12-25 00:00:00").cast("timestamp")
+add("g14_plan_backfill", lambda d: G.plan_backfill(d.samples, _early(), 120, AS_OF()),
     _base(fx.SAMPLES) + f""", gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples),
     gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS e FROM gm UNION ALL SELECT entity_id, max(m), {AS_OF_SQL} FROM gm GROUP BY 1 UNION ALL SELECT entity_id, TIMESTAMP '2023-12-25', min(ts) FROM samples GROUP BY 1)
     SELECT entity_id, start, least(e, {AS_OF_SQL}) AS "end" FROM gp WHERE epoch(e) - epoch(start) > 120 * 60 AND start < least(e, {AS_OF_SQL})""")
-add("g15_reference_health", lambda d: G.reference_health(d.samples, _cap).select("entity_id", "last_ts", "stale"), _base(fx.SAMPLES) + "SELECT entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM samples GROUP BY 1")
-add("g16_hvac_status", lambda d: G.hvac_status(d.hvac, _cap), _base(fx.SAMPLES) + "SELECT entity_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(action, (ts, action)) AS action, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM hvac GROUP BY 1")
+add("g15_reference_health", lambda d: G.reference_health(d.samples, _cap()).select("entity_id", "last_ts", "stale"), _base(fx.SAMPLES) + "SELECT entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM samples GROUP BY 1")
+add("g16_hvac_status", lambda d: G.hvac_status(d.hvac, _cap()), _base(fx.SAMPLES) + "SELECT entity_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(action, (ts, action)) AS action, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM hvac GROUP BY 1")
 
 # usage
 _LOCAL = f"((hb AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')"
@@ -195,15 +196,15 @@ add("u13_my_meter", lambda d: U.my_meter(d.meters.join(d.index.select("endpoint_
 add("u14_latest_reading", lambda d: U.latest_reading(d.readings), _base(RD) + "SELECT endpoint_id, max(ts) AS ts, arg_max(consumption, (ts, consumption)) AS consumption, arg_max(msg_type, ts) AS msg_type FROM readings GROUP BY 1")
 _TWO = ", tw AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY ts DESC, consumption DESC) AS i FROM readings), pw AS (SELECT endpoint_id, (max(consumption) FILTER (WHERE i = 1) - max(consumption) FILTER (WHERE i = 2)) / ((epoch(max(ts) FILTER (WHERE i = 1)) - epoch(max(ts) FILTER (WHERE i = 2))) / 3600.0::DOUBLE) AS p FROM tw WHERE i <= 2 GROUP BY 1)\n"
 add("u15_derived_power", lambda d: U.derived_power(d.readings, d.meters), _base(RD, fx.METERS) + _TWO + "SELECT pw.endpoint_id, p * COALESCE(pub_multiplier, 1.0::DOUBLE) AS power FROM pw LEFT JOIN meters ON meters.endpoint_id = pw.endpoint_id", "power")
-add("u16_signal_per_hour", lambda d: U.signal_per_hour(d.readings, AS_OF), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS signal FROM readings WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL} GROUP BY 1")
-add("u17_published_feed", lambda d: U.published_feed(d.readings, d.meters, AS_OF),
+add("u16_signal_per_hour", lambda d: U.signal_per_hour(d.readings, AS_OF()), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS signal FROM readings WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL} GROUP BY 1")
+add("u17_published_feed", lambda d: U.published_feed(d.readings, d.meters, AS_OF()),
     _base(IX, fx.METERS) + _TWO + f"""SELECT m.endpoint_id, pub_name, pub_unit, mi.last_seen AS ts, last_consumption * pub_multiplier AS energy, p * pub_multiplier AS power, (SELECT count(*) FROM readings r WHERE r.endpoint_id = m.endpoint_id AND ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL})::BIGINT AS signal
     FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id LEFT JOIN pw ON pw.endpoint_id = m.endpoint_id WHERE publish""", "energy power")
 
 
 def _overview_spans(d: Data) -> DataFrame:
     rows = [("today", "2024-01-30 00:00:00"), ("week", "2024-01-28 00:00:00"), ("month", "2024-01-01 00:00:00")]
-    return d.spark.createDataFrame(rows, "span string, start string").select("span", C("start").cast("timestamp").alias("start"), AS_OF.alias("end"))
+    return d.spark.createDataFrame(rows, "span string, start string").select("span", C("start").cast("timestamp").alias("start"), AS_OF().alias("end"))
 
 
 add("u18_overview", lambda d: U.overview(D.movement_between(d.r1h, d.index, _overview_spans(d)), d.meters, U.derived_power(d.readings, d.meters), 0.2))
@@ -237,7 +238,7 @@ add("b8_daily_estimate_range", lambda d: B.daily_estimate_range(B.daily_estimate
 add("b9_bill_monthly_rates", _rates, _base(fx.BILLS) + _RATES + "SELECT * FROM mr", "rate least most")
 add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh:9")
 add("b11_bill_series", lambda d: B.bill_series(d.bills, _rec(d), 0.2), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage FROM bills b LEFT JOIN rc ON rc.bstart = b.ts", "kwh cost total_kwh metered_kwh coverage")
-add("b12_bill_energy", lambda d: B.bill_energy(d.bills, lo=_mid), _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1", "kwh")
+add("b12_bill_energy", lambda d: B.bill_energy(d.bills, lo=_mid()), _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1", "kwh")
 add("b13_tracking_pct", lambda d: B.tracking_pct(B.bill_series(d.bills, _rec(d))), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM bills b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1", "pct")
 
 # screen
@@ -254,13 +255,14 @@ add("p7_daily_screen", lambda d: P.daily_screen(_units(d), _days(d), d.index))
 add("p8_meter_screen_meta", lambda d: P.meter_screen_meta(d.index, d.coverage, d.meters), _base(IX, fx.METERS) + "SELECT mi.endpoint_id, msg_type, commodity, packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = mi.endpoint_id)::BIGINT AS sources, label, COALESCE(ignored, FALSE) AS ignored FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id")
 
 # ranking
-_lo, _hi = F.lit("2024-01-05 00:00:00").cast("timestamp"), F.lit("2024-01-25 00:00:00").cast("timestamp")
+_lo = lambda: F.lit("2024-01-05 00:00:00").cast("timestamp")
+_hi = lambda: F.lit("2024-01-25 00:00:00").cast("timestamp")
 _RATIO = """, ins AS (SELECT w.id AS window_id, r.endpoint_id, max(max_c) - min(min_c) AS wd, sum(n)::BIGINT AS wn FROM r1m r JOIN wins w ON bucket >= start_ts AND bucket <= end_ts GROUP BY 1, 2),
 rr AS (SELECT w.id AS window_id, mi.endpoint_id, commodity, COALESCE(wd, 0.0::DOUBLE) AS d, COALESCE(wn, 0)::BIGINT AS wn, (epoch(end_ts) - epoch(start_ts)) / 3600.0::DOUBLE AS wh, (SELECT epoch(max(last_seen)) - epoch(min(first_seen)) FROM mi) / 3600.0::DOUBLE AS span, max_consumption - min_consumption AS total
 FROM mi CROSS JOIN wins w JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN ins ON ins.window_id = w.id AND ins.endpoint_id = mi.endpoint_id),
 rs AS (SELECT *, d / wh AS a, greatest(total - d, 0.0::DOUBLE) / greatest(span - wh, 0.000000001::DOUBLE) AS b FROM rr)\n"""
 add("i1_rate_ratio", lambda d: I.rate_ratio(d.r1m, d.index, d.windows), _base(IX, fx.WINDOWS) + _RATIO + "SELECT window_id, endpoint_id, commodity, d AS window_delta, wn AS window_packets, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS window_rate, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS baseline_rate, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS score FROM rs", "window_rate baseline_rate score")
-_energy = lambda d: I.reference_energy_buckets(d.entities, 360, _lo, _hi)
+_energy = lambda d: I.reference_energy_buckets(d.entities, 360, _lo(), _hi())
 _WH = ", wh AS (SELECT g.bucket, COALESCE(sum(w) / 60, 0.0::DOUBLE) AS wh FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL '6 hours')) AS bucket) g LEFT JOIN ent ON time_bucket(INTERVAL '6 hours', mt) = g.bucket GROUP BY 1)\n"
 add("i2_reference_energy_buckets", _energy, _base(FL) + _WH + "SELECT * FROM wh", "wh")
 _ALN = _WH + ", al AS (SELECT c.endpoint_id, c.bucket, c.delta AS y, wh.wh AS x FROM clean6 c JOIN wh ON wh.bucket = c.bucket)\n"
@@ -301,13 +303,13 @@ add("i19_with_commodity", lambda d: I.with_commodity(d.index).groupBy("commodity
 # health
 add("h1_coverage_matrix", lambda d: H.coverage_matrix(d.coverage, d.meters, d.devices), _base(RD, fx.METERS) + "SELECT r.source, r.endpoint_id, label, count(*)::BIGINT AS packets, max(ts) AS last_seen, (sum(count(*)) OVER (PARTITION BY r.source))::BIGINT AS source_total, TRUE AS present FROM readings r LEFT JOIN meters m ON m.endpoint_id = r.endpoint_id GROUP BY 1, 2, 3")
 add("h2_source_timeline", lambda d: H.source_timeline(d.readings, 60), _base(RD) + "SELECT source, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2")
-add("h3_capture_health", lambda d: H.capture_health(d.readings, _cap).select("source", F.round("age_s", 3).alias("age_s"), "last_minute", "meters", "alive", "any_alive"), _base(RD) + "SELECT source, round(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)), 3) AS age_s, count(*) FILTER (WHERE epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(ts) < 60)::BIGINT AS last_minute, count(DISTINCT endpoint_id)::BIGINT AS meters, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60 AS alive, bool_or(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60) OVER () AS any_alive FROM readings GROUP BY 1")
-add("h4_receiver_inventory", lambda d: H.receiver_inventory(d.devices, d.coverage, d.readings, AS_OF), _base(RD, fx.DEVICES) + f"SELECT serial, name, count(DISTINCT endpoint_id)::BIGINT AS meters, count(*)::BIGINT AS total, max(ts) AS last_ts, count(*) FILTER (WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL}) / 60.0::DOUBLE AS ppm FROM devices JOIN readings ON serial = source GROUP BY 1, 2", "ppm")
-add("h5_dropouts", lambda d: H.dropouts(d.index, d.meters, _cap), _base(IX, fx.METERS) + "SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id WHERE NOT ignored AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900")
+add("h3_capture_health", lambda d: H.capture_health(d.readings, _cap()).select("source", F.round("age_s", 3).alias("age_s"), "last_minute", "meters", "alive", "any_alive"), _base(RD) + "SELECT source, round(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)), 3) AS age_s, count(*) FILTER (WHERE epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(ts) < 60)::BIGINT AS last_minute, count(DISTINCT endpoint_id)::BIGINT AS meters, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60 AS alive, bool_or(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60) OVER () AS any_alive FROM readings GROUP BY 1")
+add("h4_receiver_inventory", lambda d: H.receiver_inventory(d.devices, d.coverage, d.readings, AS_OF()), _base(RD, fx.DEVICES) + f"SELECT serial, name, count(DISTINCT endpoint_id)::BIGINT AS meters, count(*)::BIGINT AS total, max(ts) AS last_ts, count(*) FILTER (WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL}) / 60.0::DOUBLE AS ppm FROM devices JOIN readings ON serial = source GROUP BY 1, 2", "ppm")
+add("h5_dropouts", lambda d: H.dropouts(d.index, d.meters, _cap()), _base(IX, fx.METERS) + "SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id WHERE NOT ignored AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900")
 add("h6_stuck", lambda d: H.stuck(d.hourly.withColumn("delta", F.when(C("hb") >= F.date_trunc("hour", F.lit("2024-01-29 12:00:00").cast("timestamp")), 0.0).otherwise(C("delta"))), d.meters, F.lit("2024-01-30 00:00:00").cast("timestamp")),
     _base(IX, fx.METERS) + ", hz AS (SELECT endpoint_id, hb, CASE WHEN hb >= TIMESTAMP '2024-01-29 12:00:00' THEN 0 ELSE delta END AS delta FROM hd WHERE hb >= TIMESTAMP '2024-01-29' AND hb <= TIMESTAMP '2024-01-30') SELECT 'stuck' AS kind, hz.endpoint_id::VARCHAR AS subject, max(hb) AS since FROM hz JOIN meters m ON m.endpoint_id = hz.endpoint_id WHERE NOT ignored GROUP BY 1, 2 HAVING sum(delta) FILTER (WHERE hb >= TIMESTAMP '2024-01-30') = 0 AND sum(delta) FILTER (WHERE hb < TIMESTAMP '2024-01-30') > 0")
-add("h7_sources_down", lambda d: H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap), _base(RD, fx.DEVICES) + "SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600")
-add("h8_anomalies", lambda d: H.anomalies(G.reference_health(d.samples, _cap), H.dropouts(d.index, d.meters, _cap), H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap)))
+add("h7_sources_down", lambda d: H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap()), _base(RD, fx.DEVICES) + "SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600")
+add("h8_anomalies", lambda d: H.anomalies(G.reference_health(d.samples, _cap()), H.dropouts(d.index, d.meters, _cap()), H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap())))
 
 # streaming, in the form that runs on tables
 add("t4_auto_windows", lambda d: T.auto_windows(d.events.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w"))))
@@ -324,7 +326,7 @@ def _append(d: Data) -> DataFrame:
 
 add("s3_append_readings", _append, _base(RD) + "SELECT ts::DATE AS dt, count(*)::BIGINT AS n, sum(consumption) AS c FROM readings GROUP BY 1", "c:2")
 _hback = lambda d: d.hvac.withColumn("src", F.when(F.minute("ts") < 30, "history_backfill").otherwise("live"))
-add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid, AS_OF, d.hvac.where("action = 'idle'"), "history_backfill").groupBy("action", "src").agg(F.count("*").alias("n")),
+add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid(), AS_OF(), d.hvac.where("action = 'idle'"), "history_backfill").groupBy("action", "src").agg(F.count("*").alias("n")),
     _base(fx.SAMPLES) + f"""SELECT action, src, count(*)::BIGINT AS n FROM (SELECT action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
     UNION ALL SELECT action, 'history_backfill' FROM hvac WHERE action = 'idle') GROUP BY 1, 2""")
 
