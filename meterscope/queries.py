@@ -207,7 +207,16 @@ def _overview_spans(d: Data) -> DataFrame:
     return d.spark.createDataFrame(rows, "span string, start string").select("span", C("start").cast("timestamp").alias("start"), AS_OF().alias("end"))
 
 
-add("u18_overview", lambda d: U.overview(D.movement_between(d.r1h, d.index, _overview_spans(d)), d.meters, U.derived_power(d.readings, d.meters), 0.2))
+add("u18_overview", lambda d: U.overview(D.movement_between(d.r1h, d.index, _overview_spans(d)), d.meters, U.derived_power(d.readings, d.meters), 0.2),
+    _base(IX, fx.METERS) + _TWO + f""", sp(span, s0) AS (VALUES ('today', TIMESTAMP '2024-01-30'), ('week', TIMESTAMP '2024-01-28'), ('month', TIMESTAMP '2024-01-01')),
+    x AS (SELECT span, r.endpoint_id, r.bucket, s0, max_c - lag(max_c) OVER (PARTITION BY span, r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+    FROM r1h r JOIN sp ON r.bucket >= s0 - INTERVAL '48 hours' AND r.bucket < {AS_OF_SQL} JOIN mi ON mi.endpoint_id = r.endpoint_id),
+    y AS (SELECT *, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM x),
+    z AS (SELECT span, endpoint_id, quantile_cont(delta, 0.5) AS md, count(*) AS pn FROM y WHERE delta > 0 GROUP BY 1, 2),
+    mv AS (SELECT y.endpoint_id, y.span, sum(delta) AS m FROM y LEFT JOIN z ON y.span = z.span AND y.endpoint_id = z.endpoint_id WHERE y.bucket >= s0 AND delta <= CASE WHEN COALESCE(pn, 0) >= 3 THEN greatest(md * 50, 1000) ELSE 1000 END GROUP BY 1, 2),
+    pv AS (SELECT endpoint_id, max(m) FILTER (WHERE span = 'today') AS t, max(m) FILTER (WHERE span = 'week') AS w, max(m) FILTER (WHERE span = 'month') AS mo FROM mv GROUP BY 1)
+    SELECT m.endpoint_id, label, t * pub_multiplier AS today, w * pub_multiplier AS week, mo * pub_multiplier AS month, p * pub_multiplier AS power, t * pub_multiplier * 0.2::DOUBLE AS cost_today
+    FROM meters m LEFT JOIN pv ON pv.endpoint_id = m.endpoint_id LEFT JOIN pw ON pw.endpoint_id = m.endpoint_id WHERE NOT ignored AND (is_mine OR publish)""", "today week month power cost_today")
 
 # bills
 _BK = """, bk AS (SELECT * FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM bills) WHERE bend IS NOT NULL),
@@ -229,6 +238,11 @@ add("b6_daily_estimate", lambda d: B.daily_estimate(B.bill_buckets(d.monthly), G
     _base(IX, FL, fx.BILLS) + """, mk AS (SELECT * FROM (SELECT ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM mbills) WHERE bend IS NOT NULL), dd AS (SELECT bstart, bend, kwh, unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day FROM mk),
     rf AS (SELECT mt::DATE AS day, sum(w) / 60000 AS k FROM ent GROUP BY 1), mt2 AS (SELECT hb::DATE AS day, sum(delta) * 0.01::DOUBLE AS k FROM hd WHERE endpoint_id = 1000 GROUP BY 1)
     SELECT 'bill.month' AS statistic_id, dd.day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS flat_kwh, kwh * rf.k / sum(rf.k) OVER (PARTITION BY bstart) AS shaped_kwh, mt2.k AS metered_kwh FROM dd LEFT JOIN rf ON rf.day = dd.day LEFT JOIN mt2 ON mt2.day = dd.day""", "flat_kwh shaped_kwh metered_kwh")
+_homes = lambda d: U.daily_rollup(d.hourly).join(d.meters.where("publish"), "endpoint_id").groupBy("day").agg(F.sum(C("movement") * C("pub_multiplier")).alias("kwh"))
+add("b7_daily_estimate_series", lambda d: B.daily_estimate(_buckets(d), G.monitored_daily_kwh(d.entities), _homes(d)),
+    _base(IX, FL, fx.BILLS, fx.METERS) + """, bk AS (SELECT * FROM (SELECT ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM bills) WHERE bend IS NOT NULL), dd AS (SELECT bstart, bend, kwh, unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day FROM bk),
+    rf AS (SELECT mt::DATE AS day, sum(w) / 60000 AS k FROM ent GROUP BY 1), mt2 AS (SELECT hb::DATE AS day, sum(delta * pub_multiplier) AS k FROM hd JOIN meters ON meters.endpoint_id = hd.endpoint_id WHERE publish GROUP BY 1)
+    SELECT 'bill.day' AS statistic_id, dd.day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS flat_kwh, CASE WHEN rf.k IS NULL THEN NULL ELSE kwh * rf.k / sum(rf.k) OVER (PARTITION BY bstart) END AS shaped_kwh, mt2.k AS metered_kwh FROM dd LEFT JOIN rf ON rf.day = dd.day LEFT JOIN mt2 ON mt2.day = dd.day""", "flat_kwh shaped_kwh metered_kwh")
 _rates = lambda d: B.bill_monthly_rates(d.monthly)
 _RATES = ", rt AS (SELECT month(ts)::INT AS month, kwh / day(last_day(ts::DATE)) AS rate FROM mbills WHERE kwh > 0), ra AS (SELECT * FROM rt UNION ALL SELECT 0, rate FROM rt), mr AS (SELECT month, avg(rate) AS rate, min(rate) AS least, max(rate) AS most FROM ra GROUP BY 1)\n"
 add("b8_daily_estimate_range", lambda d: B.daily_estimate_range(B.daily_estimate(B.bill_buckets(d.monthly), G.monitored_daily_kwh(d.entities), _metered(d)), _rates(d), F.lit("1998-07-01").cast("date"), F.lit("1999-02-28").cast("date")),
@@ -251,7 +265,17 @@ add("p3_magnitude_band", lambda d: P.magnitude_band(_days(d)), _base(FL) + _DAYS
 _bandless = lambda d: _units(d).groupBy("endpoint_id").agg(F.avg("units").alias("mean_units")).withColumns({"mon": F.lit(300.0), "low": F.lit(270.0), "high": F.lit(900.0)})
 add("p4_infer_unit", lambda d: P.infer_unit(_bandless(d)),
     _base(IX) + ", mu AS (SELECT endpoint_id, avg(u) AS mean_units FROM (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS u FROM hd GROUP BY 1, 2) GROUP BY 1) SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / 375.0::DOUBLE))) FILTER (WHERE mean_units * unit >= 270 AND mean_units * unit <= 900) AS unit FROM mu CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1")
-add("p7_daily_screen", lambda d: P.daily_screen(_units(d), _days(d), d.index))
+add("p7_daily_screen", lambda d: P.daily_screen(_units(d), _days(d), d.index),
+    _base(IX, FL) + _DAYS + """, mu AS (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2),
+    ux AS (SELECT mu.endpoint_id, mu.day, units, kwh AS md FROM mu JOIN sd ON sd.day = mu.day JOIN com ON com.endpoint_id = mu.endpoint_id WHERE used AND commodity = 'electric'),
+    bd AS (SELECT avg(kwh) AS mon, count(*)::BIGINT AS days FROM sd WHERE used), me AS (SELECT endpoint_id, avg(units) AS mean_units, count(*)::BIGINT AS n FROM ux GROUP BY 1),
+    un AS (SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / (1.25::DOUBLE * mon)))) FILTER (WHERE mean_units * unit >= 0.9::DOUBLE * mon AND mean_units * unit <= 3.0::DOUBLE * mon) AS unit FROM me CROSS JOIN bd CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1),
+    ag AS (SELECT ux.endpoint_id, max(unit) AS unit, max(days) AS days, max(n) AS n, max(mon) AS mon, avg(units * unit) AS k, avg(units * unit - md) AS rm, COALESCE(stddev_samp(units * unit - md), 0.0::DOUBLE) AS rsd, min(CASE WHEN units * unit - md < -greatest(1.5::DOUBLE, 0.05::DOUBLE * md) THEN ux.day END) AS broken
+    FROM ux JOIN un ON un.endpoint_id = ux.endpoint_id JOIN me ON me.endpoint_id = ux.endpoint_id CROSS JOIN bd WHERE days >= 3 GROUP BY 1),
+    rz AS (SELECT *, CASE WHEN n < days THEN 'missing days' WHEN unit IS NULL THEN 'magnitude' WHEN broken IS NOT NULL THEN 'below monitored on ' || broken ELSE '' END AS reason FROM ag)
+    SELECT endpoint_id, unit, """ + ", ".join(f"sign({x}) * floor(abs({x}) * 1000 + 0.5::DOUBLE) / 1000 AS {y}" for x, y in (("k", "kwh_day"), ("rm", "resid_mean"), ("rsd", "resid_sd")))
+    + """, CASE WHEN n < days THEN NULL ELSE reason = '' END AS pass, reason, CASE WHEN n >= days AND reason = '' THEN floor(greatest(0, least(1, 0.3::DOUBLE + 0.4::DOUBLE * greatest(0, least(1, 1 - rsd / (0.15::DOUBLE * mon + 2))) + 0.3::DOUBLE * greatest(0, least(1, 1 - rm / greatest(mon, 1))))) * 1000 + 0.5::DOUBLE) / 1000 END AS screen_score FROM rz""",
+    "kwh_day resid_mean resid_sd screen_score")
 add("p8_meter_screen_meta", lambda d: P.meter_screen_meta(d.index, d.coverage, d.meters), _base(IX, fx.METERS) + "SELECT mi.endpoint_id, msg_type, commodity, packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = mi.endpoint_id)::BIGINT AS sources, label, COALESCE(ignored, FALSE) AS ignored FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id")
 
 # ranking
