@@ -20,25 +20,31 @@ SCHEMAS = {
 }
 
 
-def argument_errors(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column:
-    """Sorted array of what is wrong with `arguments` (JSON text) of the tool `name`; empty: valid."""
-    parsed = F.try_parse_json(arguments)
-    kind = F.schema_of_variant(parsed)
-    found = [F.when(parsed.isNull(), F.lit("arguments: not JSON")), F.when(parsed.isNotNull() & ~kind.startswith("OBJECT"), F.lit("arguments: not an object"))]
-    keys = F.json_object_keys(arguments)
+def with_argument_errors(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """rows(name, arguments, ...) with `errors`, a sorted array of what is wrong with the arguments (JSON
+    text) of the tool `name`; empty: valid. `__parsed` stays, the arguments as a variant: each is parsed
+    once and each field looked up once, in steps of their own."""
+    fields = sorted({f for tool in schemas.values() for f in tool})
+    rows = rows.withColumn("__parsed", F.try_parse_json("arguments"))
+    got = [F.try_variant_get("__parsed", f"$.{f}", "variant").alias(f"__f{i}") for i, f in enumerate(fields)]
+    rows = rows.select("*", F.schema_of_variant("__parsed").alias("__kind"), F.json_object_keys("arguments").alias("__keys"), *got)
+    rows = rows.select("*", *[F.coalesce(F.schema_of_variant(f"__f{i}"), F.lit("VOID")).alias(f"__t{i}") for i in range(len(fields))])
+    parsed = F.col("__parsed").isNotNull()
+    found = [F.when(~parsed, F.lit("arguments: not JSON")), F.when(parsed & ~F.col("__kind").startswith("OBJECT"), F.lit("arguments: not an object"))]
     known = F.lit(False)
-    for tool, fields in schemas.items():
-        own = name == tool
+    for tool, own_fields in schemas.items():
+        own = F.col("name") == tool
         known = known | own
-        for field, (type_, required) in fields.items():
-            value = F.try_variant_get(parsed, f"$.{field}", "variant")
+        for field, (type_, required) in own_fields.items():
+            kind = F.col(f"__t{fields.index(field)}")
             if required:
-                found.append(F.when(own & parsed.isNotNull() & (value.isNull() | F.is_variant_null(value)), F.lit(f"{field}: missing")))
-            found.append(F.when(own & value.isNotNull() & ~F.is_variant_null(value) & (F.schema_of_variant(value) != type_), F.lit(f"{field}: not {type_}")))
-        more = F.array_except(keys, F.array(*[F.lit(f) for f in fields]))
+                found.append(F.when(own & parsed & (kind == "VOID"), F.lit(f"{field}: missing")))
+            found.append(F.when(own & (kind != "VOID") & (kind != type_), F.lit(f"{field}: not {type_}")))
+        more = F.array_except("__keys", F.array(*[F.lit(f) for f in own_fields]))
         found.append(F.when(own & (F.size(more) > 0), F.concat(F.lit("unknown: "), F.array_join(F.array_sort(more), ","))))
     found.append(F.when(~F.coalesce(known, F.lit(False)), F.lit("name: no such tool")))
-    return F.array_sort(F.array_compact(F.array(*found)))
+    rows = rows.withColumn("errors", F.array_sort(F.array_compact(F.array(*found))))
+    return rows.drop("__kind", "__keys", *[f"__{x}{i}" for i in range(len(fields)) for x in "ft"])
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,13 +80,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
     calls = materialize(calls.where("call_id is not null").groupBy("call_id").agg(first).select("call_id", "c.*"), "calls")
     results = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(F.col("turn").alias("turn"), "content")).alias("r"), F.count("*").alias("n_results"))
     level = topological_levels(calls.select("call_id"), calls.select("call_id", F.explode("after").alias("dep")))
-    rows = calls.join(level, "call_id").join(results.hint("shuffle_hash"), "call_id", "left")
+    rows = with_argument_errors(calls, schemas).join(level, "call_id").join(results.hint("shuffle_hash"), "call_id", "left")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id"))
-    canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("text"))))
+    canonical = F.coalesce(F.to_json("__parsed"), F.to_json(F.struct(F.col("arguments").alias("text"))))
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1), F.lit("null"))
     text = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c))
     record = F.concat(F.lit('{"arguments":'), canonical, F.lit(',"id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("r.content")), F.lit("}"))
-    errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("after: cycle"))).otherwise(F.array().cast("array<string>")))
+    errors = F.concat("errors", F.when(F.col("level").isNull(), F.array(F.lit("after: cycle"))).otherwise(F.array().cast("array<string>")))
     out = rows.select("conv_id", "call_id", "name", "level", place.alias("place"), F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), errors.alias("errors"), record.alias("record"))
     return out.withColumn("valid", F.size("errors") == 0)
 
