@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_checked, materialize, table
+from .common import BROADCAST_ROWS, connected_components, join_checked, materialize, table
 from .textops import mix, shingle_sets, slices
 
 SHINGLE = 5
@@ -112,6 +112,32 @@ def _signatures(runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
             yield from pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary()), *arrays], names=["doc_id", "size", "fp", "sketch", "k1", "p2", "k2", "p3", "k3"]).combine_chunks().to_batches()
 
 
+def _paths(reps: DataFrame, hot: list[DataFrame], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """(k, uid) of the paths of the next level below those of `hot`, the large buckets of each level so far."""
+    if not hot:
+        return reps.select(F.explode("k1").alias("k"), "uid")
+    parent, child = f"p{len(hot) + 1}", f"k{len(hot) + 1}"
+    if hot[-1].limit(limit + 1).count() > limit:
+        pairs = F.explode(F.arrays_zip(F.col(parent).alias("p"), F.col(child).alias("k"))).alias("x")
+        return reps.select(pairs, "uid").select("x.p", "x.k", "uid").join(hot[-1].withColumnRenamed("k", "p"), "p", "left_semi").select("k", "uid")
+    keys = np.sort(np.asarray(hot[-1].toArrow().column("k"), np.int64))  # at most `limit` keys
+    shared = reps.sparkSession.sparkContext.broadcast(keys)
+    return reps.select("uid", F.col(parent).alias("p"), F.col(child).alias("k")).mapInArrow(partial(_below, shared), "k long, uid long")
+
+
+def _below(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Paths whose parent is one of the shared keys."""
+    keys = shared.value
+    for batch in batches:
+        parents, children = batch.column("p"), batch.column("k")
+        p, k = np.asarray(parents.flatten(), np.int64), np.asarray(children.flatten(), np.int64)
+        uid = np.repeat(np.asarray(batch.column("uid"), np.int64), np.diff(np.asarray(parents.offsets)))
+        at = np.searchsorted(keys, p)
+        good = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == p) if len(keys) else np.zeros(len(p), bool)
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[good]), pa.array(uid[good])], names=["k", "uid"])
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, uid, sketch) come sorted by k; gives a link to the least uid of each part of a bucket
     whose sketches agree."""
@@ -242,21 +268,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     reps = with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[first(c) for c in ("size", "sketch", "k1", "p2", "k2", "p3", "k3")])
     reps = materialize(reps.withColumn("uid", F.monotonically_increasing_id()), "representatives")
 
-    rows = [reps.select(F.explode("k1").alias("k"), "uid")]
-    for p, k in (("p2", "k2"), ("p3", "k3")):
-        pairs = F.explode(F.arrays_zip(F.col(p).alias("p"), F.col(k).alias("k"))).alias("x")
-        rows.append(reps.select(pairs, "uid").select("x.p", "x.k", "uid"))
-    members, links = [], []
-    hot = None
-    for level, r in enumerate(rows):
-        if hot is not None:
-            r = join_checked(r, hot.withColumnRenamed("k", "p"), "p", "left_semi").select("k", "uid")
+    members, links, hot = [], [], []
+    for level in range(DEPTH):
+        r = _paths(reps, hot)
         sizes = r.groupBy("k").agg(F.count("*").alias("n"), F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most")
         sizes = materialize(sizes, f"sizes{level}")
         members.append(r.join(sizes.where(F.col("n") <= SMALL).select("k"), "k"))  # keys are as many as rows: never a broadcast by intent
-        hot = sizes.where(F.col("n") > SMALL).select("k")
+        large = sizes.where(F.col("n") > SMALL)
+        hot.append(large.select("k"))
         if level == DEPTH - 1:
-            links.append(join_checked(r, sizes.where(F.col("n") > SMALL).select("k", "least"), "k").select(F.col("uid").alias("u"), F.col("least").alias("v")))
+            links.append(join_checked(r, large.select("k", "least"), "k").select(F.col("uid").alias("u"), F.col("least").alias("v")))
     small = members[0].unionByName(members[1]).unionByName(members[2])
     small = small.join(reps.select("uid", "sketch"), "uid").select("k", "uid", "sketch")
     near = small.repartition("k").sortWithinPartitions("k").mapInArrow(_bucket_links, "u long, v long")
