@@ -9,8 +9,9 @@
    many as needed to hold enough vectors). Both are calibrated: on at most TUNE vectors of the sample,
    the ratio that lets ASKED of them see RECALL of their true nearest, found by brute force. Where the
    data have no clusters at all, that is most lists.
-4. Queries meet lists in tasks of a block of at most BLOCK vectors and QBLOCK queries, which give exact
-   distances and the block's nearest; the nearest of all are ranked at the end.
+4. Queries meet lists in tasks of a few lists, about BUNDLE vectors (of a long list a block of about BLOCK)
+   and QBLOCK queries a list, which give exact distances and the nearest there; the nearest of all are
+   ranked at the end.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ TUNE = 16_384
 ASKED = 200
 BLOCK = 4096
 QBLOCK = 1024
+#: Vectors of the lists that a task works on together, about.
+BUNDLE = 8192
 
 
 def valid(v: str = "embedding") -> Column:
@@ -189,21 +192,33 @@ def _probe(shared, need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def _nearest(k: int, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """The k nearest of each query within the lists that it asks for, exact distances, ties to smaller ids."""
+    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     if not len(vectors) or not len(queries):
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    x = np.stack(vectors["embedding"].to_numpy()).astype(np.float64)
-    ids = vectors["vec_id"].to_numpy()
-    out = []
-    for q_id, q in zip(queries["vec_id"].tolist(), queries["embedding"], strict=True):
-        d = np.sqrt(((x - np.asarray(q, np.float64)) ** 2).sum(1))
-        d[ids == q_id] = np.inf
-        some = np.arange(len(d))
-        if len(d) > k:
-            some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-        some = some[np.lexsort((ids[some], d[some]))][:k]
-        some = some[np.isfinite(d[some])]
-        out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[some], "score": d[some]}))
-    return pd.concat(out, ignore_index=True)
+        return none
+    x, q = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (vectors, queries))
+    ids, q_ids = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+    asks = np.repeat(np.arange(len(q)), [len(v) for v in queries["lists"]])
+    of = np.concatenate([np.asarray(v) for v in queries["lists"]])
+    order = np.argsort(of, kind="stable")
+    asks, of = asks[order], of[order]
+    found = [[], [], []]
+    for own, rows in vectors.groupby("list").indices.items():
+        who = asks[np.searchsorted(of, own) : np.searchsorted(of, own, side="right")]
+        step = max(1, (1 << 21) // (len(rows) * x.shape[1]))
+        for at in range(0, len(who), step):
+            some = who[at : at + step]
+            d = np.sqrt(((x[rows][None] - q[some][:, None]) ** 2).sum(2))
+            d[ids[rows][None] == q_ids[some][:, None]] = np.inf
+            least = np.partition(d, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(some), np.inf)
+            i, j = np.nonzero((d <= least[:, None]) & np.isfinite(d))
+            for held, value in zip(found, (q_ids[some[i]], ids[rows[j]], d[i, j]), strict=True):
+                held.append(value)
+    if not found[0]:
+        return none
+    out = pd.DataFrame({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
+    out = out.drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"])
+    return out.groupby("query_id").head(k)
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -237,10 +252,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     per = per.join(probes.groupBy("list").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("qblocks")), "list")
     per = F.broadcast(materialize(per, "blocks"))  # at most a row a centroid
     each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    bundles = max(1, -(-int(sizes.sum()) // BUNDLE))  # lists that one task works on
+    bundle = F.pmod(F.xxhash64("list"), F.lit(bundles)).cast("int").alias("bundle")
     left = posted.join(per, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
     right = probes.join(per, "list").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))
-    keys = ["list", "block", "qblock"]
-    left, right = left.select(*keys, "vec_id", "embedding"), right.select(*keys, "vec_id", "embedding")
+    keys = ["bundle", "block", "qblock"]
+    left = left.select(bundle, "block", "qblock", "list", "vec_id", "embedding")
+    right = right.select(bundle, "block", "qblock", "list", "vec_id").groupBy(*keys, "vec_id").agg(F.collect_list("list").alias("lists")).join(asked, "vec_id")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_nearest, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
