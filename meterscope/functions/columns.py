@@ -39,6 +39,12 @@ def time_bucket(ts: Column, minutes: int) -> Column:
     return F.window(ts, f"{minutes} minutes", f"{minutes} minutes", f"{15780960 % minutes} minutes")["start"]
 
 
+def bucket_of(ts: Column, minutes: Column) -> Column:
+    """Start of the bucket, of a width in a column; widths that divide a day."""
+    width = 60 * minutes
+    return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / width) * width)
+
+
 def local(ts: Column, tz: str) -> Column:
     """Wall-clock time in tz of a UTC instant."""
     return F.from_utc_timestamp(ts, tz)

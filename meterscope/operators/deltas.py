@@ -45,12 +45,12 @@ def bucket_deltas(rolled: DataFrame, index: DataFrame, minutes: int) -> DataFram
     return counter_steps(rows, ["endpoint_id"], "bucket", "cmax").drop("msg_type")
 
 
-def glitch_filter(deltas: DataFrame, params: Params = DEFAULTS, positives: int = 0) -> DataFrame:
-    """D3 (positives 0) and D4's rule: without null steps and those beyond the bound of their meter.
+def glitch_filter(deltas: DataFrame, params: Params = DEFAULTS, positives: int = 0, keys: tuple[str, ...] = ("endpoint_id",)) -> DataFrame:
+    """D3 (positives 0) and D4's rule: without null steps and those beyond the bound of their meter (keys).
 
     The bound is glitch_factor medians of the meter's positive steps, glitch_floor at least, and the
     floor alone where there are fewer than `positives` of them."""
-    each = Window.partitionBy("endpoint_id")
+    each = Window.partitionBy(*keys)
     positive = F.when(F.col("delta") > 0, F.col("delta"))
     median, count = F.percentile(positive, 0.5).over(each), F.count(positive).over(each)
     bound = F.when(count >= positives, F.greatest(F.coalesce(median, F.lit(0.0)) * params.glitch_factor, F.lit(params.glitch_floor))).otherwise(params.glitch_floor)

@@ -13,9 +13,9 @@ from ..functions.columns import local_day, round_half_away, time_bucket
 from ..params import DEFAULTS, Params
 
 
-def _carried(minutes: DataFrame, key: str, hi: Column | None, params: Params) -> DataFrame:
-    """minutes(key, m, src, ...) with a row for each minute that m is carried to."""
-    w = Window.partitionBy(key).orderBy("m")
+def _carried(minutes: DataFrame, keys: tuple[str, ...], hi: Column | None, params: Params) -> DataFrame:
+    """minutes(keys, m, src, ...) with a row for each minute that m is carried to."""
+    w = Window.partitionBy(*keys).orderBy("m")
     last = F.least(F.date_trunc("minute", F.col("src") + F.expr(f"INTERVAL {params.carry_min} MINUTES")), F.lead("m").over(w) - F.expr("INTERVAL 1 MINUTE"), *([] if hi is None else [F.date_trunc("minute", hi)]))
     rows = minutes.withColumn("__last", last).where("__last >= m")
     return rows.withColumn("mt", F.explode(F.expr("sequence(m, __last, INTERVAL 1 MINUTE)"))).drop("__last", "m", "src")
@@ -26,17 +26,17 @@ def _between(rows: DataFrame, lo: Column | None, hi: Column | None) -> DataFrame
     return rows if hi is None else rows.where(F.col("ts") <= hi)
 
 
-def gapfill(samples: DataFrame, lo: Column | None = None, hi: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """(entity_id, mt, w): minute means carried forward while their last sample is fresh."""
-    minutes = _between(samples, lo, hi).groupBy("entity_id", F.date_trunc("minute", "ts").alias("m")).agg(F.avg("power_w").alias("w"), F.max("ts").alias("src"))
-    return _carried(minutes, "entity_id", hi, params).select("entity_id", "mt", "w")
+def gapfill(samples: DataFrame, lo: Column | None = None, hi: Column | None = None, params: Params = DEFAULTS, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """(keys, mt, w): minute means carried forward while their last sample is fresh."""
+    minutes = _between(samples, lo, hi).groupBy(*keys, F.date_trunc("minute", "ts").alias("m")).agg(F.avg("power_w").alias("w"), F.max("ts").alias("src"))
+    return _carried(minutes, keys, hi, params).select(*keys, "mt", "w")
 
 
-def hvac_power(samples: DataFrame, heating_kw: float, cooling_kw: float, lo: Column | None = None, hi: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """(entity_id, mt, w): what heating and cooling take, of the last action of each minute carried."""
-    minutes = _between(samples, lo, hi).groupBy("entity_id", F.date_trunc("minute", "ts").alias("m")).agg(F.max(F.struct("ts", "action"))["action"].alias("act"), F.max("ts").alias("src"))
+def hvac_power(samples: DataFrame, heating_kw: float, cooling_kw: float, lo: Column | None = None, hi: Column | None = None, params: Params = DEFAULTS, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """(keys, mt, w): what heating and cooling take, of the last action of each minute carried."""
+    minutes = _between(samples, lo, hi).groupBy(*keys, F.date_trunc("minute", "ts").alias("m")).agg(F.max(F.struct("ts", "action"))["action"].alias("act"), F.max("ts").alias("src"))
     w = F.when(F.col("act") == "heating", 1000.0 * heating_kw).when(F.col("act") == "cooling", 1000.0 * cooling_kw).otherwise(0.0)
-    return _carried(minutes, "entity_id", hi, params).select("entity_id", "mt", w.alias("w"))
+    return _carried(minutes, keys, hi, params).select(*keys, "mt", w.alias("w"))
 
 
 def per_entity(filled: DataFrame, hvac: DataFrame | None = None) -> DataFrame:
@@ -45,28 +45,28 @@ def per_entity(filled: DataFrame, hvac: DataFrame | None = None) -> DataFrame:
     return rows if hvac is None else rows.unionByName(hvac.withColumn("is_hvac", F.lit(True)))
 
 
-def minute_totals(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("mt").agg(F.sum("w").alias("w"), F.count(F.when(~F.col("is_hvac") & F.col("w").isNotNull(), 1)).alias("live"))
+def minute_totals(entities: DataFrame, *by: str) -> DataFrame:
+    return entities.groupBy(*by, "mt").agg(F.sum("w").alias("w"), F.count(F.when(~F.col("is_hvac") & F.col("w").isNotNull(), 1)).alias("live"))
 
 
-def monitored_energy(entities: DataFrame) -> DataFrame:
+def monitored_energy(entities: DataFrame, *by: str) -> DataFrame:
     """kWh of all minutes and entities."""
-    return minute_totals(entities).agg(round_half_away(F.sum("w") / 60000.0, 3).alias("kwh"))
+    return minute_totals(entities, *by).groupBy(*by).agg(round_half_away(F.sum("w") / 60000.0, 3).alias("kwh"))
 
 
-def entity_energy(entities: DataFrame) -> DataFrame:
+def entity_energy(entities: DataFrame, *by: str) -> DataFrame:
     """kWh of each entity, without HVAC."""
-    return entities.where(~F.col("is_hvac")).groupBy("entity_id").agg(round_half_away(F.sum("w") / 60000.0, 3).alias("kwh"))
+    return entities.where(~F.col("is_hvac")).groupBy(*by, "entity_id").agg(round_half_away(F.sum("w") / 60000.0, 3).alias("kwh"))
 
 
-def monitored_cv(entities: DataFrame) -> DataFrame:
+def monitored_cv(entities: DataFrame, *by: str) -> DataFrame:
     """Deviation over mean of the minute totals above 0; null where the mean is not above 0."""
-    return minute_totals(entities).where("w > 0").agg(round_half_away(F.when(F.avg("w") > 0, F.try_divide(F.stddev_samp("w"), F.avg("w"))), 3).alias("cv"))
+    return minute_totals(entities, *by).where("w > 0").groupBy(*by).agg(round_half_away(F.when(F.avg("w") > 0, F.try_divide(F.stddev_samp("w"), F.avg("w"))), 3).alias("cv"))
 
 
-def monitored_floor(entities: DataFrame) -> DataFrame:
+def monitored_floor(entities: DataFrame, *by: str) -> DataFrame:
     """5th percentile of the minute totals above 0."""
-    return minute_totals(entities).where("w > 0").agg(round_half_away(F.percentile("w", 0.05), 1).alias("floor_w"))
+    return minute_totals(entities, *by).where("w > 0").groupBy(*by).agg(round_half_away(F.percentile("w", 0.05), 1).alias("floor_w"))
 
 
 def aggregate_series(entities: DataFrame, minutes: int) -> DataFrame:
@@ -89,7 +89,7 @@ def reference_coverage(samples: DataFrame, tz: str = "UTC", lo: Column | None =
     minutes = _between(samples, lo, hi).groupBy(F.date_trunc("minute", "ts").alias("m")).agg(F.max("ts").alias("src"))
     # days are worked on apart; a sample reaches over midnight at most once, so it is also put to the next day
     minutes = minutes.withColumn("__d", F.explode(F.array_distinct(F.array(F.to_date("m"), F.to_date(F.date_trunc("minute", F.col("src") + F.expr(f"INTERVAL {params.carry_min} MINUTES")))))))
-    filled = _carried(minutes, "__d", hi, params)
+    filled = _carried(minutes, ("__d",), hi, params)
     return filled.select("mt").distinct().groupBy(local_day(F.col("mt"), tz).alias("day")).agg((F.count("*") / 1440.0).alias("coverage"))
 
 

@@ -26,6 +26,8 @@ class Params:
     alive_s: int = 60
     bill_r_buckets: int = 24
     windows_most: int = 20
+    bucket_target: int = 150
+    bucket_ladder: tuple[int, ...] = (1, 2, 5, 10, 15, 30, 60, 120, 240)  # minutes
     auto_delta_w: float = 400.0
     auto_base_ewma: float = 0.02
     auto_dev_ewma: float = 0.05

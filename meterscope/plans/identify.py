@@ -4,13 +4,16 @@ and the ranking over several test windows. Windows are a column, never a loop: `
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp01, commodity, correlation, round_half_away, time_bucket
-from ..operators.deltas import bucket_deltas, glitch_filter
+from ..functions.columns import bucket_of, clamp01, commodity, correlation, round_half_away, time_bucket
+from ..functions.joins import range_join
+from ..operators.deltas import bucket_deltas, counter_steps, glitch_filter
+from ..operators.reference import entity_energy, gapfill, hvac_power, monitored_cv, monitored_energy, monitored_floor, per_entity
 from ..params import DEFAULTS, Params
 
 C = F.col
@@ -52,16 +55,52 @@ def aligned_series(rolled: DataFrame, index: DataFrame, energy: DataFrame, minut
     return steps.join(energy, "bucket").select("endpoint_id", "bucket", C("delta").alias("y"), C("wh").alias("x"))
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    """Of one window or, with a window in its columns, of several."""
+    return [c for c in ("window_id", "endpoint_id") if c in rows.columns]
+
+
+def bucket_minutes(windows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """windows(id, start_ts, end_ts) as (window_id, start_ts, end_ts, minutes): the least width of the ladder
+    that cuts a window into about bucket_target buckets."""
+    want = F.floor(F.floor((C("end_ts").cast("double") - C("start_ts").cast("double")) / 60) / params.bucket_target)
+    minutes = F.coalesce(*[F.when(want <= m, m) for m in params.bucket_ladder], F.lit(params.bucket_ladder[-1]))
+    return windows.select(C("id").alias("window_id"), "start_ts", "end_ts", minutes.alias("minutes"))
+
+
+def in_windows(rows: DataFrame, windows: DataFrame, at: str) -> DataFrame:
+    """rows once for each window that holds their time `at`, both ends included, with the window's columns."""
+    return range_join(rows, windows.withColumn("__until", C("end_ts") + F.expr("INTERVAL 1 MICROSECOND")), at, "start_ts", "__until").drop("__until")
+
+
+def window_feed(samples: DataFrame, hvac: DataFrame | None, windows: DataFrame, heating_kw: float, cooling_kw: float, params: Params = DEFAULTS) -> DataFrame:
+    """G4 of each window: (window_id, minutes, entity_id, mt, w, is_hvac); nothing is carried into a window or
+    out of it."""
+    keys = ("window_id", "minutes", "end_ts", "entity_id")
+    filled = gapfill(in_windows(samples, windows, "ts"), None, C("end_ts"), params, keys)
+    return per_entity(filled, None if hvac is None else hvac_power(in_windows(hvac, windows, "ts"), heating_kw, cooling_kw, None, C("end_ts"), params, keys)).drop("end_ts")
+
+
+def aligned_windows(rollup_1m: DataFrame, rollup_1h: DataFrame, index: DataFrame, windows: DataFrame, feed: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """I8 of each window: (window_id, endpoint_id, bucket, y, x). Buckets of an hour and more are made of the
+    1 h rollup, else of the 1 min rollup."""
+    rows = in_windows(rollup_1m, windows.where("minutes < 60"), "bucket").unionByName(in_windows(rollup_1h, windows.where("minutes >= 60"), "bucket"))
+    rows = rows.groupBy("window_id", "endpoint_id", bucket_of(C("bucket"), C("minutes")).alias("bucket")).agg(F.max("max_c").alias("cmax")).join(index.select("endpoint_id", "msg_type"), "endpoint_id")
+    steps = glitch_filter(counter_steps(rows, ["window_id", "endpoint_id"], "bucket", "cmax"), params, keys=("window_id", "endpoint_id"))
+    energy = feed.groupBy("window_id", bucket_of(C("mt"), C("minutes")).alias("bucket")).agg((F.sum("w") / 60.0).alias("wh"))
+    return steps.join(energy, ["window_id", "bucket"], "left").select("window_id", "endpoint_id", "bucket", C("delta").alias("y"), F.coalesce("wh", F.lit(0.0)).alias("x"))
+
+
 def regress_meters(aligned: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Correlation and regression of each meter's steps on the monitored energy."""
-    rows = aligned.groupBy("endpoint_id").agg(
+    """Correlation and regression of each meter's steps on the monitored energy, in each window."""
+    rows = aligned.groupBy(*_keys(aligned)).agg(
         correlation().alias("r"), F.regr_slope("y", "x").alias("ols"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy"),
         F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("buckets"), F.percentile("y", 0.1).alias("p10"),
     )
     return rows.where(C("buckets") >= params.regress_least)
 
 
-def calibrate(regressed: DataFrame, minutes: int, floor_w: Column) -> DataFrame:
+def calibrate(regressed: DataFrame, minutes: int | Column, floor_w: Column) -> DataFrame:
     """I4: slope by orthogonal regression (least squares where that is not positive), kWh a count, the
     load without the monitored part, and whether the meter's low end covers the monitored floor."""
     hours = minutes / 60.0
@@ -72,7 +111,7 @@ def calibrate(regressed: DataFrame, minutes: int, floor_w: Column) -> DataFrame:
     intercept = C("my") - C("slope_raw") * C("mx")
     low = C("p10") / C("slope_raw") / hours
     return rows.select(
-        "endpoint_id", round_half_away(C("r"), 3).alias("r"), round_half_away(C("r2"), 3).alias("r2"), "buckets", round_half_away(C("slope_raw"), 6).alias("slope"),
+        *_keys(regressed), round_half_away(C("r"), 3).alias("r"), round_half_away(C("r2"), 3).alias("r2"), "buckets", round_half_away(C("slope_raw"), 6).alias("slope"),
         round_half_away(1 / (1000 * C("slope_raw")), 8).alias("multiplier"), round_half_away(intercept / C("slope_raw") / hours, 1).alias("baseline_w"),
         F.when((C("__floor") > 0) & C("slope_raw").isNotNull(), low >= 0.8 * C("__floor")).alias("floor_ok"),
     )
@@ -83,9 +122,10 @@ def snoop_threshold(k: int) -> float:
     return NormalDist().inv_cdf(1 - 0.025 / max(k, 1))
 
 
-def snoop_factor(r: Column, n: Column, k: int) -> Column:
+def snoop_factor(r: Column, n: Column, k: int | Column) -> Column:
     """Smooth step from 0.7 to 1.3 of the least meaningful r; 1 below 4 buckets or without r."""
-    least = F.least(F.lit(snoop_threshold(k)) / F.sqrt(n), F.lit(0.95))
+    threshold = F.udf(snoop_threshold, "double")(k) if isinstance(k, Column) else F.lit(snoop_threshold(k))
+    least = F.least(threshold / F.sqrt(n), F.lit(0.95))
     t = clamp01((F.abs(r) - 0.7 * least) / (0.6 * least))
     return F.when(r.isNull() | (n < 4), 1.0).otherwise(t * t * (3 - 2 * t))
 
@@ -106,7 +146,7 @@ def lag_penalty(lag: Column, params: Params = DEFAULTS) -> Column:
     return clamp01(1 - 0.5 * F.abs(lag) / params.max_lag)
 
 
-def add_confidence(ranking: DataFrame, k: int, cv: Column, packets: Column, lag: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
+def add_confidence(ranking: DataFrame, k: int | Column, cv: Column, packets: Column, lag: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Weighted score `confidence` and its `parts` for rows with r, r2, multiplier, meter_kwh,
     monitored_kwh, floor_ok, window_rate, baseline_rate, buckets; null without r."""
     parts = {
@@ -129,22 +169,25 @@ def add_confidence(ranking: DataFrame, k: int, cv: Column, packets: Column, lag:
 def physics_fold(ranking: DataFrame, verdicts: DataFrame) -> DataFrame:
     """With the screen's verdicts(endpoint_id, pass, screen_score): half and half if passed, a fifth if
     not; a survivor without r gets half its screen score."""
-    rows = ranking.join(verdicts, "endpoint_id", "left")
-    conf = F.when(C("confidence").isNull(), F.when(C("pass"), clamp01(0.5 * C("screen_score")))).when(C("pass"), clamp01(0.5 * C("confidence") + 0.5 * C("screen_score"))).when(~C("pass"), C("confidence") * 0.2).otherwise(C("confidence"))
-    return rows.withColumn("confidence", conf)
+    return ranking.join(verdicts, "endpoint_id", "left").withColumn("confidence", _folded(C("confidence")))
+
+
+def _folded(conf: Column) -> Column:
+    return F.when(conf.isNull(), F.when(C("pass"), clamp01(0.5 * C("screen_score")))).when(C("pass"), clamp01(0.5 * conf + 0.5 * C("screen_score"))).when(~C("pass"), conf * 0.2).otherwise(conf)
 
 
 def cross_corr_lag(aligned: DataFrame, ids: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
-    """Lag in buckets of the highest correlation of each meter with the feed, the first of equals. One
-    exploded self-join on (meter, place + lag); 11 rows a row, whatever the length."""
-    rows = aligned if ids is None else aligned.join(ids, "endpoint_id", "left_semi")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("endpoint_id").orderBy("bucket")))
+    """Lag in buckets of the highest correlation of each meter with the feed, in each window, the first of
+    equals. One exploded self-join on (meter, place + lag); 11 rows a row, whatever the length."""
+    keys = _keys(aligned)
+    rows = aligned if ids is None else aligned.join(ids, keys, "left_semi")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
     lags = F.explode(F.array(*[F.lit(k) for k in range(-params.max_lag, params.max_lag + 1)]))
-    left = rows.select("endpoint_id", "y", C("i").alias("at"), lags.alias("lag")).withColumn("i", C("at") - C("lag"))
-    both = left.join(rows.select("endpoint_id", "i", "x"), ["endpoint_id", "i"])
-    rs = both.groupBy("endpoint_id", "lag").agg(F.count("*").alias("n"), F.coalesce(correlation(), F.lit(0.0)).alias("r")).where(C("n") >= params.lag_least)
-    best = rs.groupBy("endpoint_id").agg(F.max(F.struct(F.round("r", 12).alias("r"), (-C("lag")).alias("minus"), "n")).alias("b"))
-    return best.select("endpoint_id", (-C("b.minus")).alias("lag"), C("b.r").alias("lag_r"), C("b.n").alias("points"))
+    left = rows.select(*keys, "y", C("i").alias("at"), lags.alias("lag")).withColumn("i", C("at") - C("lag"))
+    both = left.join(rows.select(*keys, "i", "x"), [*keys, "i"])
+    rs = both.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.coalesce(correlation(), F.lit(0.0)).alias("r")).where(C("n") >= params.lag_least)
+    best = rs.groupBy(*keys).agg(F.max(F.struct(F.round("r", 12).alias("r"), (-C("lag")).alias("minus"), "n")).alias("b"))
+    return best.select(*keys, (-C("b.minus")).alias("lag"), C("b.r").alias("lag_r"), C("b.n").alias("points"))
 
 
 def identify(rolled: DataFrame, index: DataFrame, windows: DataFrame, entities: DataFrame, minutes: int, lo: Column, hi: Column, *, electric_only: bool = True, floor_w: float = 0.0, cv: float = 1.0, monitored_kwh: float = 0.0, k: int | None = None, verdicts: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
@@ -164,12 +207,45 @@ def identify(rolled: DataFrame, index: DataFrame, windows: DataFrame, entities:
     return rows.withColumn("confidence", round_half_away(C("confidence"), 3)).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), C("score").desc(), "endpoint_id")
 
 
+def identify_windows(rollup_1m: DataFrame, rollup_1h: DataFrame, index: DataFrame, windows: DataFrame, samples: DataFrame, hvac: DataFrame | None = None, *, heating_kw: float = 0.0, cooling_kw: float = 0.0, electric_only: bool = True, verdicts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, params: Params = DEFAULTS) -> DataFrame:
+    """I12 of every window: (window_id, endpoint_id, r, multiplier, confidence, anchor, ...), each window on its
+    own part of rollups and feed, with its own width of buckets and its own energy, variation and floor of the
+    feed (G5, G7, G8). The screen's verdicts(endpoint_id, pass, screen_score) hold for all windows. The pool is
+    the window's snoop_k if frozen, else the screen's survivors, else the window's meters with r. keep(table, name) may store what is
+    read more than once."""
+    spans = bucket_minutes(windows, params)
+    feed = keep(window_feed(samples, hvac, spans, heating_kw, cooling_kw, params), "window-feed")
+    aligned = keep(aligned_windows(rollup_1m, rollup_1h, index, spans, feed, params), "window-series")
+    scalars = windows.select(C("id").alias("window_id"), C("snoop_k").cast("long").alias("snoop_k")).join(spans.select("window_id", "minutes"), "window_id")
+    for part in (monitored_energy(feed, "window_id").withColumnRenamed("kwh", "monitored_kwh"), monitored_cv(feed, "window_id"), monitored_floor(feed, "window_id")):
+        scalars = scalars.join(part, "window_id", "left")  # a row a window
+    ranked = rate_ratio(rollup_1m, index, windows, params)
+    ranked = ranked.where(C("commodity") == "electric") if electric_only else ranked
+    found = calibrate(regress_meters(aligned, params).join(scalars.select("window_id", "minutes", "floor_w"), "window_id"), C("minutes"), C("floor_w"))
+    rows = ranked.join(scalars.drop("floor_w", "minutes"), "window_id").join(found, ["window_id", "endpoint_id"], "left").withColumn("meter_kwh", round_half_away(C("window_delta") * C("multiplier"), 3))
+    if verdicts is not None:
+        survivors = verdicts.agg(F.count(F.when(C("pass"), 1)).alias("survivors"))
+        rows = rows.join(verdicts.select("endpoint_id", "pass", "screen_score"), "endpoint_id", "left").join(F.broadcast(survivors))  # one row
+    else:
+        rows = rows.withColumns({"pass": F.lit(None).cast("boolean"), "screen_score": F.lit(None).cast("double"), "survivors": F.lit(0).cast("long")})
+    each = Window.partitionBy("window_id")
+    rows = rows.withColumn("pool", F.coalesce(F.when(C("snoop_k") > 0, C("snoop_k")), F.when(C("survivors") > 0, C("survivors")), F.count("r").over(each)))
+    rows = keep(add_confidence(rows, C("pool"), C("cv"), C("window_packets").cast("double"), params=params), "window-ranking")
+    best = F.row_number().over(each.orderBy(_folded(C("confidence")).desc_nulls_last(), C("score").desc(), "endpoint_id"))
+    top = rows.withColumn("__best", best).where((C("__best") <= params.lag_top) & _folded(C("confidence")).isNotNull()).select("window_id", "endpoint_id")
+    rows = rows.join(cross_corr_lag(aligned, top, params).select("window_id", "endpoint_id", "lag"), ["window_id", "endpoint_id"], "left")
+    rows = rows.withColumn("confidence", _folded(C("confidence") * F.coalesce(lag_penalty(C("lag"), params), F.lit(1.0)))).drop("snoop_k", "survivors")
+    return keep(known_load_anchor(rows, windows, entity_energy(feed, "window_id")), "windows-identified")
+
+
 def known_load_anchor(ranking: DataFrame, windows: DataFrame, entity_kwh: DataFrame | None = None) -> DataFrame:
-    """kWh a count from a window's known load, or its known entity's energy(entity_id, kwh)."""
+    """kWh a count from a window's known load, or its known entity's energy(entity_id, kwh), which may be
+    given by window_id."""
     w = windows.select(C("id").alias("window_id"), "known_load_w", "known_entity_id", ((C("end_ts").cast("double") - C("start_ts").cast("double")) / 3600.0).alias("hours"))
     rows = ranking.join(F.broadcast(w), "window_id")
     if entity_kwh is not None:
-        rows = rows.join(entity_kwh.select(C("entity_id").alias("known_entity_id"), C("kwh").alias("entity_kwh")), "known_entity_id", "left")
+        by = [c for c in ("window_id",) if c in entity_kwh.columns]
+        rows = rows.join(entity_kwh.select(*by, C("entity_id").alias("known_entity_id"), C("kwh").alias("entity_kwh")), [*by, "known_entity_id"], "left")
     else:
         rows = rows.withColumn("entity_kwh", F.lit(None).cast("double"))
     expected = F.coalesce(C("known_load_w") * C("hours") / 1000.0, "entity_kwh")

@@ -52,6 +52,22 @@ class Data:
     entities = property(lambda s: G.per_entity(G.gapfill(s.samples), G.hvac_power(s.hvac, 3.0, 2.0)))
 
 
+class Kept(Data):
+    """Data whose index and rollups, which are read many times, are stored in the shared folder."""
+
+    index = r1m = r1h = None
+
+    def __init__(self, d: Data) -> None:
+        super().__init__(d.spark, d.dir)
+        self.index, self.r1m = self.keep(d.index, "index"), self.keep(d.r1m, "r1m")
+        self.r1h = self.keep(D.rollup_of_rollup(self.r1m, 60), "r1h")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = T.shared_folder(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def add(name: str, run: Run, sql: str | None = None, doubles: str = "") -> None:
     """doubles: columns that both sides round, to 6 decimals or as many as stand behind a colon, sums of
     doubles being exact to some digits only."""
@@ -308,18 +324,23 @@ add("i9_cross_corr_lag", lambda d: I.cross_corr_lag(_aligned(d)).withColumn("lag
     rk AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY r DESC, lag) AS k FROM rl) SELECT endpoint_id, lag::INT AS lag, round(r, 6) AS lag_r, n AS points FROM rk WHERE k = 1""")
 
 
-def _identify(d: Data) -> DataFrame:
-    own = d.windows.where("id = 3")
-    inside = (C("bucket") >= F.lit("2024-01-20").cast("timestamp")) & (C("bucket") <= F.lit("2024-01-25").cast("timestamp"))
-    return I.identify(d.r1h.where(inside), d.index, own, d.entities, 120, F.lit("2024-01-20 00:00:00").cast("timestamp"), F.lit("2024-01-25 00:00:00").cast("timestamp"), floor_w=500.0, monitored_kwh=1000.0)
+def _identify(d: Kept, source: str | None = None) -> DataFrame:
+    verdicts = d.keep(P.daily_screen(_units(d), _days(d), d.index), "verdicts")
+    closed = d.keep(I.closed_windows(d.windows, source), "windows")
+    return I.identify_windows(d.r1m, d.r1h, d.index, closed, d.samples, d.hvac, heating_kw=3.0, cooling_kw=2.0, verdicts=verdicts, keep=d.keep)
+
+
+def _combined(d: Kept, source: str | None = None) -> DataFrame:
+    bills = B.summarize_evidence(_evidence(d)).join(I.with_commodity(d.index, electric_only=True).select("endpoint_id"), "endpoint_id")
+    return I.combined_ranking(_identify(d, source), d.keep(bills, "bills"))
 
 
-add("i12_identify", lambda d: _identify(d).drop("parts"))
+add("i12_identify", lambda d: _identify(Kept(d)).drop("parts").withColumn("confidence", round_half_away(C("confidence"), 3)).orderBy("window_id", F.coalesce("confidence", F.lit(0.0)).desc(), C("score").desc(), "endpoint_id"))
 _scored = lambda d: I.rate_ratio(d.r1m, d.index, d.windows).withColumns({"confidence": C("score") / (1 + C("score")), "r": F.lit(None).cast("double"), "multiplier": F.lit(None).cast("double")})
 add("i13_known_load_anchor", lambda d: I.known_load_anchor(_scored(d), d.windows, G.entity_energy(d.entities)).select("window_id", "endpoint_id", F.round("anchor", 9).alias("anchor")),
     _base(IX, FL, fx.WINDOWS) + _RATIO + ", ee AS (SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS k FROM fill GROUP BY 1), an AS (SELECT rs.window_id, rs.endpoint_id, d, COALESCE(known_load_w * wh / 1000, k) AS e FROM rs JOIN wins ON wins.id = rs.window_id LEFT JOIN ee ON ee.entity_id = known_entity_id) SELECT window_id, endpoint_id, round(CASE WHEN e > 0 AND d > 0 THEN e / d END, 9) AS anchor FROM an")
 add("i14_closed_windows", lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"), _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)")
-add("i15_combined_ranking", lambda d: I.combined_ranking(I.known_load_anchor(_scored(d), d.windows), B.summarize_evidence(_evidence(d))))
+add("i15_combined_ranking", lambda d: _combined(Kept(d)))
 add("i17_utility_only_confidence", lambda d: B.summarize_evidence(_evidence(d)).select("endpoint_id", I.utility_only_confidence(C("cov"), C("r"), C("buckets")).alias("confidence")),
     _base(IX, fx.BILLS) + _BK + _SUM + f", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets FROM sp), st AS (SELECT *, greatest(0, least(1, 1 - cov)) * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c FROM su) SELECT endpoint_id, floor(0.7::DOUBLE * CASE WHEN r IS NULL THEN c ELSE 0.5::DOUBLE * c + 0.5::DOUBLE * greatest(0, least(1, r)) END * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM st", "confidence")
 add("i19_with_commodity", lambda d: I.with_commodity(d.index).groupBy("commodity").agg(F.count("*").alias("meters")), _base(IX) + "SELECT commodity, count(*)::BIGINT AS meters FROM com GROUP BY 1")
@@ -378,6 +399,7 @@ add("i16_aggregate_confidence", lambda d: I.aggregate_confidence(_across(d)).sel
     _base(RD) + """, x AS (SELECT endpoint_id, count(*) % 10 / 10.0::DOUBLE AS m, endpoint_id % 3 + 1 AS present, endpoint_id % 2 AS wins, endpoint_id % 5 / 500.0::DOUBLE AS sd FROM readings GROUP BY 1),
     y AS (SELECT endpoint_id, m * (0.6::DOUBLE + 0.25::DOUBLE * present / 3.0::DOUBLE + 0.15::DOUBLE * wins / 3.0::DOUBLE) * greatest(0, least(1, 1.1::DOUBLE - sd / 0.01::DOUBLE)) * 0.9::DOUBLE * 0.85::DOUBLE AS c FROM x)
     SELECT endpoint_id, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""", "confidence")
+add("i18_identify_auto_feed", lambda d: _combined(Kept(d), "auto"))
 add("i18_identify_auto", lambda d: I.combined_ranking(I.known_load_anchor(_scored(d).join(F.broadcast(I.closed_windows(d.windows, "auto").select(C("id").alias("window_id"))), "window_id"), d.windows)).select("endpoint_id", "avg_score", "wins", "present"),
     _base(IX, fx.WINDOWS) + _RATIO + ", sc AS (SELECT endpoint_id, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS s FROM rs WHERE window_id = 2) SELECT endpoint_id, s AS avg_score, CASE WHEN row_number() OVER (ORDER BY s / (1 + s) DESC, s DESC, endpoint_id) = 1 THEN 1 ELSE 0 END::BIGINT AS wins, 1::BIGINT AS present FROM sc", "avg_score")
 

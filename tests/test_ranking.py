@@ -50,6 +50,41 @@ def test_the_following_meter_wins(spark):
     assert {r["endpoint_id"] for r in I.identify(*args, electric_only=False).collect()} == {1001, 1002, 9001}
 
 
+def test_every_window_has_its_own_regression(spark):
+    """Meter 1001 follows the plug in both windows, 1003 in the second one only; windows overlap, and each
+    gives what it gives alone."""
+    watts = [300 if m % 2 == 0 else 100 for m in range(60)] + [900 if m % 3 == 0 else 200 for m in range(60)]
+    samples = spark.createDataFrame([(at(m), "s", float(w)) for m, w in enumerate(watts)], "ts timestamp, entity_id string, power_w double")
+    rows, one, three = [], 1000.0, 1000.0
+    for m, w in enumerate(watts):
+        one, three = one + 0.1 * w, three + 0.1 * (w if m >= 60 else 400 - w)
+        rows += [(at(m), "SCM", i, t, c, "a") for i, t, c in ((1001, 4, one), (1002, 4, 5000.0 + 5 * m), (1003, 4, three), (9001, 2, one))]
+    readings = spark.createDataFrame(rows, READING)
+    windows = [(1, at(0), at(59), 2000.0, None, None), (2, at(60), at(119), None, "s", 3), (3, at(30), at(119), None, None, None)]
+    schema = "id long, start_ts timestamp, end_ts timestamp, known_load_w double, known_entity_id string, snoop_k int"
+    run = lambda w: I.identify_windows(D.rollup(readings, 1), D.rollup(readings, 60), R.meter_index(readings), spark.createDataFrame(w, schema), samples)
+    every = {(r["window_id"], r["endpoint_id"]): r for r in run(windows).collect()}
+    assert set(every) == {(w, m) for w in (1, 2, 3) for m in (1001, 1002, 1003)}
+    assert every[1, 1001]["r"] > 0.95 and every[1, 1003]["r"] < -0.95 and every[2, 1003]["r"] > 0.95
+    assert every[1, 1002]["r"] is None and every[1, 1002]["confidence"] is None
+    assert abs(every[1, 1001]["multiplier"] - 1e-3 / 6) < 3e-5 and every[1, 1001]["confidence"] > every[1, 1003]["confidence"]
+    assert [every[w, 1001]["pool"] for w in (1, 2, 3)] == [2, 3, 2]
+    assert [round(every[w, 1001]["monitored_kwh"], 3) for w in (1, 2)] == [round(sum(x) / 60000, 3) for x in (watts[:60], watts[60:])]
+    hours, delta = 59 / 60, every[1, 1001]["window_delta"]
+    assert abs(every[1, 1001]["anchor"] - 2.0 * hours / delta) < 1e-12 and abs(every[2, 1001]["anchor"] - every[2, 1001]["monitored_kwh"] / every[2, 1001]["window_delta"]) < 1e-12
+    for w in windows:
+        for r in run([w]).collect():
+            assert r == every[w[0], r["endpoint_id"]]
+    best = I.combined_ranking(run(windows)).first()
+    assert best["endpoint_id"] == 1001 and best["avg_r"] > 0.95 and best["n_mult"] == 3 and best["sd_mult"] is not None
+
+
+@pytest.mark.parametrize(("minutes", "width"), [(60, 1), (449, 2), (2880, 30), (4320, 30), (7200, 60), (100_000, 240)])
+def test_width_of_buckets(spark, minutes, width):
+    windows = spark.createDataFrame([(1, at(0), at(minutes))], "id long, start_ts timestamp, end_ts timestamp")
+    assert I.bucket_minutes(windows).first()["minutes"] == width
+
+
 def test_lag_is_recovered(spark):
     x = [float((7 * k * k) % 11) for k in range(40)]
     rows = [(1, at(10 * k), x[k - 2] if k >= 2 else 0.0, x[k]) for k in range(40)] + [(2, at(10 * k), 1.0, x[k]) for k in range(40)]
