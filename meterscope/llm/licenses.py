@@ -8,7 +8,8 @@ corpus hold them, rarest first. A block holds at least `threshold` of a template
 * positional filter: with the first shared token at places i and j, min(i, j) tokens before it and
   min(|T| - i, |B| - j) from it on can be shared, together `need`.
 
-What passes is verified, so the join is exact. Templates are a fixed table, their tokens fixed too: the
+What passes is verified, so the join is exact. `license_blocks` takes windows of consecutive words in place of
+lines. Templates are a fixed table, their tokens fixed too: the
 order and the prefixes are small literals, and blocks meet templates by an equi-join on the token.
 """
 
@@ -60,14 +61,18 @@ def scanned(docs: DataFrame, vocabulary: list[str], keep: tuple[str, ...]) -> Da
     in_lines = F.transform(F.split("__text", "\n", -1), lambda x: _words(x))
     in_lines = F.transform(in_lines, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(w, _strings(vocabulary)).alias("held")))
     rows = rows.select(*keep, whole.alias("__words"), in_lines.alias("__lines"))
+    n_words = F.aggregate("__lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    held = F.filter(F.transform("__lines", lambda x: x["held"]), lambda x: F.size(x) > 0)
+    return rows.select(*keep, F.monotonically_increasing_id().alias("__uid"), n_words.alias("n_words"), _places().alias("places"), held.alias("lines"))
+
+
+def _places() -> Column:
     spots = []
     for phrase, label in PHRASES:
         parts = phrase.split()
         at = F.sequence(F.lit(0), F.greatest(F.size("__words") - len(parts), F.lit(0)))
         spots.append(F.transform(F.filter(at, _stands(parts)), _labelled(label)))
-    n_words = F.aggregate("__lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    held = F.filter(F.transform("__lines", lambda x: x["held"]), lambda x: F.size(x) > 0)
-    return rows.select(*keep, F.monotonically_increasing_id().alias("__uid"), n_words.alias("n_words"), F.array_sort(F.concat(*spots)).alias("places"), held.alias("lines"))
+    return F.array_sort(F.concat(*spots))
 
 
 def _stands(parts: list[str]):  # noqa: ANN202
@@ -125,15 +130,56 @@ def licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates: tu
     return out.withColumn("template_labels", F.coalesce("template_labels", F.array().cast("array<string>"))).withColumn("template_score", F.coalesce("template_score", F.lit(0.0)))
 
 
+def license_blocks(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """As `licenses`, with other blocks: every |T| / threshold consecutive words, |T| being a template's words,
+    whatever line breaks are between them. So a wrapped notice is found, and tokens far apart are none.
+
+    Texts that hold too few of a template's tokens are left out first. The others' hits are dealt to stretches
+    of the window's length, each stretch with the next one, so a window lies in one group of at most two."""
+    sets = [(i, label, sorted(set(t.split())), math.ceil(threshold * len(set(t.split())) - 1e-9), int(len(t.split()) / threshold + 1e-9)) for i, (label, t) in enumerate(templates)]
+    vocabulary = sorted({w for _, _, tokens, _, _ in sets for w in tokens})
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = rows.select(*keep, F.col("__text").rlike("(?i)license").alias("__named"), _words(F.col("__text")).alias("__all"))
+    rows = rows.withColumns({"__held": F.array_intersect("__all", _strings(vocabulary)), "__words": F.when(F.col("__named"), F.col("__all")).otherwise(F.array().cast("array<string>"))})
+    near = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("__held", _strings(tokens))) >= need, F.lit(i)) for i, _, tokens, need, _ in sets]))
+    near = F.when(F.size("__held") >= min(x[3] for x in sets), near).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*keep, F.monotonically_increasing_id().alias("__uid"), F.size("__all").cast("long").alias("n_words"), _places().alias("places"), near.alias("near"), "__all")
+    rows = materialize(rows.withColumn("__all", F.when(F.size("near") > 0, F.col("__all"))), "license-words")
+    fixed = F.broadcast(docs.sparkSession.createDataFrame(sets, "template int, label string, tokens array<string>, need int, width int"))  # a row a template
+    hits = F.filter(F.transform("__all", lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda x: F.array_contains("tokens", x["token"]))
+    spots = rows.select("__uid", "__all", F.explode("near").alias("template")).join(fixed, "template").select("__uid", "template", "width", F.explode(hits).alias("spot"))
+    own = F.floor(F.col("spot.at") / F.col("width"))
+    spots = spots.withColumn("stretch", F.explode(F.array(own, own - 1))).where("stretch >= 0")
+    groups = spots.groupBy("__uid", "template", "stretch").agg(F.collect_list("spot").alias("spots")).join(fixed, "template")
+    groups = groups.where(F.size(F.array_distinct("spots.token")) >= F.col("need"))
+    inside = lambda x: F.size(F.array_distinct(F.transform(F.filter("spots", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width"))), lambda y: y["token"])))
+    shared = groups.withColumn("shared", F.array_max(F.transform("spots", inside))).where("shared >= need")
+    found = shared.groupBy("__uid").agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max(F.col("shared") / F.size("tokens")).alias("template_score"))
+    out = rows.drop("near", "__all").join(found, "__uid", "left").drop("__uid")
+    return out.withColumn("template_labels", F.coalesce("template_labels", F.array().cast("array<string>"))).withColumn("template_score", F.coalesce("template_score", F.lit(0.0)))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = licenses(table(spark, sf_dir, "documents"))
+    return _scan(licenses(table(spark, sf_dir, "documents")))
+
+
+def op8_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(license_blocks(table(spark, sf_dir, "documents")))
+
+
+def _scan(rows: DataFrame) -> DataFrame:
     starts, base = F.transform("places", lambda p: p["start"]), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.col("template_score"))
     return rows.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, "template_labels")), ",").alias("labels"), score.alias("score"))
 
 
-def _sql() -> str:
+def _sql(wrapped: bool = False) -> str:
     sets = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES)
+    scores = "SELECT row, label, len(list_intersect(b.tokens, tpl.tokens))::DOUBLE / len(tpl.tokens)::DOUBLE AS s FROM b CROSS JOIN tpl"
+    if wrapped:
+        widths = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))}, {int(len(t.split()) / THRESHOLD + 1e-9)})" for i, (label, t) in enumerate(TEMPLATES))
+        some = f"SELECT row, w, k, label, tokens, width FROM d CROSS JOIN (VALUES {widths}) AS x(k, label, tokens, width) WHERE len(list_intersect(list_distinct(w), tokens)) >= {THRESHOLD} * len(tokens) - 0.0000001"
+        scores = f"SELECT row, label, len(list_intersect(list_distinct(w[i:i + width - 1]), tokens))::DOUBLE / len(tokens)::DOUBLE AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ({some}))"
     places = " UNION ALL ".join(
         f"SELECT row, i - 1 AS start, '{label}' AS label FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES
     )
@@ -145,7 +191,7 @@ p AS ({places}),
 q AS (SELECT row, count(*) AS n, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS ls FROM p GROUP BY row),
 b AS (SELECT row, list_distinct(regexp_extract_all(line, '{word}')) AS tokens FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d)),
 tpl AS (SELECT * FROM (VALUES {sets}) AS x(label, tokens)),
-m AS (SELECT row, label, len(list_intersect(b.tokens, tpl.tokens))::DOUBLE / len(tpl.tokens)::DOUBLE AS s FROM b CROSS JOIN tpl),
+m AS ({scores}),
 g AS (SELECT row, list(DISTINCT label) AS ls, max(s) AS s FROM m WHERE s >= {THRESHOLD}::DOUBLE - 0.0000001::DOUBLE GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(q.n, 0)::BIGINT AS n_base, q.first_word::BIGINT AS first_word, q.last_word::BIGINT AS last_word,
   COALESCE(array_to_string(q.ls, ','), '') AS base_labels,
@@ -156,3 +202,4 @@ FROM d LEFT JOIN q USING (row) LEFT JOIN g USING (row)
 
 
 OP8_SQL = _sql()
+OP8_BLOCKS_SQL = _sql(wrapped=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP7_SQL, op7_tool_calls
 from .jaccard import op5_ngram_jaccard
 from .language import op3_language_id
-from .licenses import OP8_SQL, op8_license_scan
+from .licenses import OP8_BLOCKS_SQL, OP8_SQL, op8_license_blocks, op8_license_scan
 from .mixing import OP1_SQL, op1_mix_sources
 from .packing import op6_best_fit_packing
 from .pii import op2_personal_data
@@ -19,8 +19,8 @@ from .vectors import op9_nearest_neighbours
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_language_id, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op7_tool_calls, op8_license_scan, op9_nearest_neighbours, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_personal_data, op3_language_id, op4_secret_scan, op5_ngram_jaccard, op6_best_fit_packing, op7_tool_calls, op8_license_scan, op8_license_blocks, op9_nearest_neighbours, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_tool_calls": OP7_SQL, "op8_license_scan": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_tool_calls": OP7_SQL, "op8_license_scan": OP8_SQL, "op8_license_blocks": OP8_BLOCKS_SQL}

@@ -342,7 +342,32 @@ def test_licenses_equal_brute_force(spark):
         assert r["template_labels"] == sorted(found) and abs(r["template_score"] - max(found.values(), default=0)) < 1e-12
 
 
+def test_license_blocks_cross_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    far = " ".join(["released", *["x"] * 900, "under", *["y"] * 900, "the", *["z"] * 900, "license"])
+    texts = [None, "", bsd, far, "a " * 17 + bsd.replace(" ", "\n"), "released under\nthe license", "released under the a b license", "released under the a license"]
+    pool = " ".join(t for _, t in licenses.TEMPLATES).split()
+    texts += ["\n".join(" ".join(rng.choices(pool, k=rng.randint(5, 40))) for _ in range(4)) for _ in range(60)]
+    texts += ["".join(w + rng.choice(" \n") for w in t.split() if rng.random() > 0.12) for _, t in licenses.TEMPLATES for _ in range(6)]
+    word, got = re.compile(licenses.WORD), {}
+    for r in licenses.license_blocks(frame(spark, texts)).collect():
+        words, found = word.findall((texts[r["doc_id"]] or "").lower()), {}
+        for label, t in licenses.TEMPLATES:
+            own, width = set(t.split()), int(len(t.split()) / licenses.THRESHOLD + 1e-9)
+            share = max((len(own & set(words[i : i + width])) / len(own) for i in range(len(words))), default=0)
+            if share >= licenses.THRESHOLD - 1e-9:
+                found[label] = max(found.get(label, 0), share)
+        got[r["doc_id"]] = r["template_labels"]
+        assert r["n_words"] == len(words) and r["template_labels"] == sorted(found) and abs(r["template_score"] - max(found.values(), default=0)) < 1e-12
+    assert got[2] == got[4] == ["bsd"] and got[3] == got[0] == [] and got[5] == got[7] == ["mit"]
+
+
+def test_license_blocks_odd(spark, odd):
+    assert licenses.license_blocks(odd).count() == odd.count() and licenses.license_blocks(odd.limit(0)).count() == 0
+
+
 def test_licenses_odd(spark, odd):
+
     assert licenses.licenses(odd).count() == odd.count() and licenses.licenses(odd.limit(0)).count() == 0
 
 
