@@ -168,17 +168,38 @@ def _step(a: int, members: list[set[int]], of: np.ndarray, fill: np.ndarray, siz
         fit = np.flatnonzero(free >= sizes[i])
         if len(fit):
             return (i,), (), int(fit[free[fit].argmin()])
-    best, found = 0, None
     room = free[of]
-    for give in [(i,) for i in own] + [(own[x], own[y]) for x in range(min(len(own), 8)) for y in range(x)]:
-        gain = int(sizes[list(give)].sum()) - sizes
-        gain = np.where((gain <= room) & (room > 0), gain, 0)
+    most = np.where(room > 0, sizes + room, -1)  # what may come in for each item
+    best, found = 0, None
+    for sums, gives in (_singles(own, sizes), _pairs(own, sizes)):
+        if not len(sums):
+            continue
+        at = np.searchsorted(sums, most, side="right") - 1
+        gain = np.where(at >= 0, sums[at] - sizes, 0)
         j = int(gain.argmax())
         if gain[j] > best:
-            best, found = int(gain[j]), (give, (j,), int(of[j]))
+            best, found = int(gain[j]), (gives(int(at[j])), (j,), int(of[j]))
     return found
 
 
+def _singles(own: list[int], sizes: np.ndarray) -> tuple:
+    """Distinct sizes of own in ascending order, and an item of each."""
+    values, first = np.unique(sizes[own], return_index=True)
+    return values, lambda k: (own[first[k]],)
+
+
+def _pairs(own: list[int], sizes: np.ndarray) -> tuple:
+    """Distinct sums of all pairs of own in ascending order, and a pair of each. Of equal sizes two count."""
+    kinds: dict[int, list[int]] = {}
+    for i in own:
+        kinds.setdefault(int(sizes[i]), []).append(i)
+    of_two = [i for items in kinds.values() for i in items[:2]]
+    x, y = np.triu_indices(len(of_two), 1)
+    chosen = np.array(of_two, int)
+    values, first = np.unique(sizes[chosen[x]] + sizes[chosen[y]], return_index=True)
+    return values, lambda k: (of_two[x[first[k]]], of_two[y[first[k]]])
+
+
 def _pack_group(capacity: int, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     sizes = rows["length"].to_numpy()

@@ -293,6 +293,27 @@ def test_local_search_empties_bins():
     assert len(packing.improve(start, np.array([6, 2, 5, 3, 4]), 10)) == 2
 
 
+def test_exchanges_try_every_pair():
+    step = lambda bins, sizes, cap: packing._step(0, [set(b) for b in bins], np.repeat(range(len(bins)), [len(b) for b in bins]), np.array([int(sizes[b].sum()) for b in bins]), sizes, cap)
+    sizes = np.array([40] * 8 + [3, 3] + [994, 5])
+    give, take, b = step([list(range(10)), [10, 11]], sizes, 1000)
+    assert sorted(give) == [8, 9] and take == (11,) and b == 1
+    for _ in range(60):
+        sizes = np.array([rng.randint(30, 60) for _ in range(12)] + [rng.randint(20, 400) for _ in range(6)])
+        bins, cap = [list(range(12)), [12, 13, 14], [15, 16, 17]], 1000
+        fill = [int(sizes[b].sum()) for b in bins]
+        cap = max(fill) + rng.randint(1, 15)
+        gains = [0]
+        for k in (1, 2):
+            if fill[k] >= max(1, fill[0]):
+                for j in bins[k]:
+                    for s in [int(sizes[i]) for i in bins[0]] + [int(sizes[i] + sizes[h]) for i in bins[0] for h in bins[0] if i < h]:
+                        gains.append(s - int(sizes[j]) if 0 < s - sizes[j] <= cap - fill[k] else 0)
+        found = step(bins, sizes, cap)
+        if found is None or found[1]:
+            assert max(gains) == (0 if found is None else int(sizes[list(found[0])].sum()) - int(sizes[found[1][0]]))
+
+
 def test_packing_odd(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert {r["doc_id"] for r in packing.pack_documents(clashing(odd), path).collect()} == {None, *range(8)}
