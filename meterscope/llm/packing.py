@@ -28,6 +28,8 @@ from .textops import slices
 CAPACITY = 2048
 END = 0
 GROUP = 4096
+#: Tasks that the groups are dealt to at most.
+TASKS = 20_000
 #: Words whose ids a Python worker keeps at most; then it starts anew.
 CACHE = 600_000
 
@@ -40,20 +42,21 @@ _OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]")
 class WordTokenizer:
     """Ids of a tokenizer file as little-endian 32-bit bytes. Pieces between splits are encoded apart
     from each other by such a tokenizer, so their ids are kept by piece; what is kept is the
-    tokenizer's own answer, and text beyond ASCII and Latin letters is encoded whole."""
+    tokenizer's own answer, and text beyond ASCII and Latin letters, or with an added token, is encoded whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings of special and added tokens in a text are those tokens, as the tokenizer has it
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(t in text for t in self.added):
             return self._raw(text)
         pieces = _PIECES.findall(text.lower())
         try:
@@ -224,7 +227,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     groups = max(1, -(-pieces.where(F.col("length") < capacity).count() // GROUP))
     full = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    packed = rest.groupBy("group").applyInPandas(partial(_pack_group, capacity), f"{schema}, sequence_id long, offset long")
+    dealt = rest.repartitionByRange(min(groups, TASKS), "group")  # groups are alike in size: a task each, or as many each
+    packed = dealt.groupBy("group").applyInPandas(partial(_pack_group, capacity), f"{schema}, sequence_id long, offset long")
     return packed.unionByName(full)
 
 
