@@ -121,22 +121,22 @@ def _numbers(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def lists_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of all lists that each row of x is put in."""
+    """(row, list) of all lists that each row of x is put in, for all rows at once."""
     d = np.sqrt(((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).clip(0))
     k = min(COPIES * 2, len(c))
-    order = np.argpartition(d, k - 1, axis=1)[:, :k]
-    row, lists = [], []
-    for i in range(len(x)):
-        o = order[i][np.lexsort((order[i], d[i, order[i]]))]
-        taken = [o[0]]
-        for j in o[1:]:
-            if d[i, j] > (1 + REPLICATE) * d[i, o[0]] or len(taken) == COPIES:
-                break
-            if (((c[taken] - c[j]) ** 2).sum(1) > d[i, j] ** 2).all():
-                taken.append(j)
-        row += [i] * len(taken)
-        lists += taken
-    return np.array(row, np.int64), np.array(lists, np.int32)
+    order = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(d, order, 1)
+    by = np.argsort(near, axis=1, kind="stable")
+    order, near = np.take_along_axis(order, by, 1), np.take_along_axis(near, by, 1)
+    points = c[order]
+    apart = ((points[:, :, None] - points[:, None]) ** 2).sum(3)  # between the candidate centroids of each row
+    taken = np.zeros(order.shape, bool)
+    taken[:, 0] = True
+    for j in range(1, k):
+        inside = (near[:, j] <= (1 + REPLICATE) * near[:, 0]) & (taken.sum(1) < COPIES)
+        taken[:, j] = inside & (~taken | (apart[:, j] > near[:, j, None] ** 2)).all(1)
+    row, at = np.nonzero(taken)
+    return row.astype(np.int64), order[row, at].astype(np.int32)
 
 
 def calibrate(x: np.ndarray, c: np.ndarray, k: int) -> tuple[float, int]:
@@ -196,37 +196,63 @@ def _nearest(k: int, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFra
     none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     if not len(vectors) or not len(queries):
         return none
-    x, q = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (vectors, queries))
     ids, q_ids = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    asks = np.repeat(np.arange(len(q)), [len(v) for v in queries["lists"]])
+    asks = np.repeat(np.arange(len(queries)), [len(v) for v in queries["lists"]])
     of = np.concatenate([np.asarray(v) for v in queries["lists"]])
     order = np.argsort(of, kind="stable")
     asks, of = asks[order], of[order]
     found = [[], [], []]
     for own, rows in vectors.groupby("list").indices.items():
         who = asks[np.searchsorted(of, own) : np.searchsorted(of, own, side="right")]
-        step = max(1, (1 << 21) // (len(rows) * x.shape[1]))
+        if not len(who):
+            continue
+        x = np.stack(vectors["embedding"].to_numpy()[rows]).astype(np.float64)  # of one list: of one length
+        q = np.stack(queries["embedding"].to_numpy()[who]).astype(np.float64)
+        step = max(1, (1 << 21) // x.size)
         for at in range(0, len(who), step):
-            some = who[at : at + step]
-            d = np.sqrt(((x[rows][None] - q[some][:, None]) ** 2).sum(2))
-            d[ids[rows][None] == q_ids[some][:, None]] = np.inf
+            d = np.sqrt(((x[None] - q[at : at + step, None]) ** 2).sum(2))
+            some = q_ids[who[at : at + step]]
+            d[ids[rows][None] == some[:, None]] = np.inf
             least = np.partition(d, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(some), np.inf)
             i, j = np.nonzero((d <= least[:, None]) & np.isfinite(d))
-            for held, value in zip(found, (q_ids[some[i]], ids[rows[j]], d[i, j]), strict=True):
+            for held, value in zip(found, (some[i], ids[rows[j]], d[i, j]), strict=True):
                 held.append(value)
     if not found[0]:
         return none
     out = pd.DataFrame({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
-    out = out.drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"])
+    out = out.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
     return out.groupby("query_id").head(k)
 
 
+def _ask(posted: DataFrame, probes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest in the lists that probes(vec_id, list) name."""
+    per = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    per = materialize(per.join(probes.groupBy("list").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("qblocks")), "list"), "blocks")
+    total = per.agg(F.sum("blocks")).first()[0] or 0
+    per = F.broadcast(per)  # at most a row a centroid, and one a length of vectors
+    each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    bundles = max(1, -(-int(total) * LIST // BUNDLE))  # lists that one task works on
+    bundle = F.pmod(F.xxhash64("list"), F.lit(bundles)).cast("int").alias("bundle")
+    left = posted.join(per, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
+    right = probes.join(per, "list").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))
+    keys = ["bundle", "block", "qblock"]
+    left = left.select(bundle, "block", "qblock", "list", "vec_id", "embedding")
+    right = right.select(bundle, "block", "qblock", "list", "vec_id").groupBy(*keys, "vec_id").agg(F.collect_list("list").alias("lists")).join(asked, "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_nearest, k), "query_id long, vec_id long, score double")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of vectors(vec_id, embedding) for each row of
     queries(vec_id, embedding), without a vector of the query's own id; ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those of
-    another length than most. Rows that repeat a vec_id count once. No valid vector: no rows.
+    Vectors that are null, zero or hold null or non-finite components take no part. A vector's candidates
+    are those of its own length; lengths other than the most frequent one are searched in whole. Rows that
+    repeat a vec_id count once, at the nearest of them; of queries that do so the one that comes first
+    by its components is asked. A query whose lists hold fewer than k candidates is asked again of all
+    lists, so k rows come wherever k candidates exist. No valid vector: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & valid()).select(F.col("vec_id").cast("long"), "embedding")
@@ -235,34 +261,34 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     if not dims:
         return spark.createDataFrame([], schema)
     dim, n = dims[0]["dim"], dims[0]["n"]
-    rows = rows.where(F.size("embedding") == dim)
-    asked = queries.where(F.col("vec_id").isNotNull() & valid() & (F.size("embedding") == dim)).select(F.col("vec_id").cast("long"), "embedding").dropDuplicates(["vec_id"])
-    sample = rows if n <= SAMPLE else rows.where(F.xxhash64("vec_id", F.lit("sample")).cast("double") / 2.0**64 + 0.5 <= SAMPLE / n)
+    usual, other = F.size("embedding") == dim, (-F.size("embedding")).alias("list")  # another length is a list of its own
+    asked = queries.where(F.col("vec_id").isNotNull() & valid()).select(F.col("vec_id").cast("long"), "embedding")
+    asked = materialize(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    main = rows.where(usual)
+    sample = main if n <= SAMPLE else main.where(F.xxhash64("vec_id", F.lit("sample")).cast("double") / 2.0**64 + 0.5 <= SAMPLE / n)
     points = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()  # at most SAMPLE vectors
     points = _numbers(points.column("embedding"), dim)
     c = centroids(points, max(LIST * len(points) // max(n, 1), 1) if n <= LIST * MOST_LISTS else max(len(points) // MOST_LISTS, 1))
     context = spark.sparkContext
     kind = rows.schema["embedding"].dataType.simpleString()
-    posted = materialize(rows.mapInArrow(partial(_assign, context.broadcast((c,))), f"vec_id long, embedding {kind}, list int"), "postings")
+    posted = main.mapInArrow(partial(_assign, context.broadcast((c,))), f"vec_id long, embedding {kind}, list int")
+    posted = materialize(posted.unionByName(rows.where(~usual).select("vec_id", "embedding", other)), "postings")
     sizes = np.zeros(len(c), np.int64)
-    for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():  # as many as centroids
+    for r in posted.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect():  # as many as centroids
         sizes[r["list"]] = r["n"]
-    probes = materialize(asked.mapInArrow(partial(_probe, context.broadcast((c, graph(c), sizes, *calibrate(points, c, k))), (k + 1) * COPIES), f"vec_id long, embedding {kind}, list int"), "probes")
-    per = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    per = per.join(probes.groupBy("list").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("qblocks")), "list")
-    per = F.broadcast(materialize(per, "blocks"))  # at most a row a centroid
-    each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
-    bundles = max(1, -(-int(sizes.sum()) // BUNDLE))  # lists that one task works on
-    bundle = F.pmod(F.xxhash64("list"), F.lit(bundles)).cast("int").alias("bundle")
-    left = posted.join(per, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
-    right = probes.join(per, "list").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))
-    keys = ["bundle", "block", "qblock"]
-    left = left.select(bundle, "block", "qblock", "list", "vec_id", "embedding")
-    right = right.select(bundle, "block", "qblock", "list", "vec_id").groupBy(*keys, "vec_id").agg(F.collect_list("list").alias("lists")).join(asked, "vec_id")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_nearest, k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spread = asked.where(usual).repartition(max(1, spark.sparkContext.defaultParallelism), "vec_id")
+    probes = spread.mapInArrow(partial(_probe, context.broadcast((c, graph(c), sizes, *calibrate(points, c, k))), (k + 1) * COPIES), f"vec_id long, embedding {kind}, list int")
+    probes = materialize(probes.select("vec_id", "list").unionByName(asked.where(~usual).select("vec_id", other)), "probes")
+    best = materialize(_ask(posted, probes, asked, k), "nearest")
+    short = asked.where(usual).join(best.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").where(F.coalesce("count", F.lit(0)) < k)
+    short = materialize(short.select("vec_id", "embedding"), "short")
+    if short.isEmpty():
+        return best
+    # too few candidates, as where many rows repeat one vec_id: the lists that are not asked yet may hold more
+    every = short.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"))
+    again = _ask(posted.where("list >= 0"), materialize(every, "all-lists"), short, k)
+    rest = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return rest.select("query_id", "rank", "vec_id", "score").unionByName(again)
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
