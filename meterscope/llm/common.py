@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
-#: Rows that a broadcast side may have at most (a few dozen bytes a row: some ten MB).
+#: Rows and bytes that a broadcast side may have at most.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key from which on a shuffled join deals them over several tasks.
+HOT_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one
+    on a local master; on a cluster, whose machines share no such folder, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-meterscope-")
@@ -45,15 +51,27 @@ def own_names(docs: DataFrame, read: tuple[str, ...], f: Callable[[DataFrame], D
     return f(docs.toDF(*hidden)).select(*hidden).toDF(*named)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
-    """Join big with small on one column. small (at most one row per key, no text) is broadcast if it
-    has no more than `limit` rows; otherwise the join is shuffled and both sides are salted, so that
-    one hot key of big is dealt over `salts` tasks. `small` should be materialised: it is counted."""
-    if small.limit(limit + 1).count() <= limit:
+def fits(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether small has no more rows and bytes than a broadcast side may have. It is counted: materialise it first."""
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
+    bytes_ = sum(wide, F.lit(16 * len(small.columns))).cast("long")
+    got = small.select(bytes_.alias("b")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return got["n"] <= rows and (got["b"] or 0) <= size
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 32, hot: int = HOT_ROWS) -> DataFrame:
+    """Join big with small (at most one row per key) on one column. small is broadcast if its rows and bytes
+    have been counted to be few. Beyond that the join is shuffled; keys that more than `hot` rows of big
+    have are dealt over `salts` tasks, and only their rows of small are copied."""
+    if fits(small, limit):
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [on, "__salt"], how).drop("__salt")
+    marks = materialize(big.groupBy(on).count().where((F.col("count") > hot) & F.col(on).isNotNull()).select(on, F.lit(True).alias("__hot")), "hot-keys")
+    marks = F.broadcast(marks)  # at most a row for `hot` rows of big
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    left = big.join(marks, on, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(on).isNull(), dealt).otherwise(F.lit(0))).drop("__hot")
+    all_ = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(marks, on, "left").withColumn("__salt", F.explode(all_)).drop("__hot")
+    return left.join(right, [on, "__salt"], how).drop("__salt")
 
 
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -75,7 +93,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         for jump in range(64):  # pointers double until all are at roots, so a long path takes few rounds
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("p1"))
             upper = parent.select(F.col("u").alias("p1"), F.col("p").alias("p2"))
-            jumped = parent.join(up, "p", "left").withColumn("p1", F.coalesce("p1", "p")).join(upper, "p1", "left").withColumn("p2", F.coalesce("p2", "p1"))
+            jumped = join_checked(parent, up, "p", "left").withColumn("p1", F.coalesce("p1", "p"))
+            jumped = join_checked(jumped, upper, "p1", "left").withColumn("p2", F.coalesce("p2", "p1"))
             jumped = materialize(jumped.select("u", F.col("p2").alias("p"), (F.col("p2") != F.col("p1")).alias("moved")), f"{name}-q{step}-{jump}")
             parent = jumped.select("u", "p")
             if jumped.where("moved").isEmpty():
@@ -84,9 +103,10 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
             up = parent.select(F.col("u").alias("component"), F.col("p").alias("pp"))
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("pp", "component").alias("component"))
+            labels = join_checked(labels, up, "component", "left").select("node", F.coalesce("pp", "component").alias("component"))
         labels = materialize(labels, f"{name}-l{step}")
-        mapped = both.join(parent, "u").select(F.col("p").alias("a"), F.col("v").alias("u")).join(parent, "u").select(F.col("a").alias("u"), F.col("p").alias("v"))
+        mapped = join_checked(both, parent, "u").select(F.col("p").alias("a"), F.col("v").alias("u"))
+        mapped = join_checked(mapped, parent, "u").select(F.col("a").alias("u"), F.col("p").alias("v"))
         both = materialize(mapped.where("u != v").distinct(), f"{name}-e{step}")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

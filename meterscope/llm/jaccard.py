@@ -5,14 +5,15 @@
    token is chosen with probability 1 / (threshold * set size), by a hash of token and run; below a
    chosen token the set is split again on tokens chosen by a hash of token and path, to depth 3.
    Two sets of similarity >= threshold choose a shared path of depth d with the probability p(d) of
-   `found`; `runs` is the least number with which the recall reaches `recall` at depth 3.
+   `found`; `runs` is the least number with which the recall reaches `recall` at depth 3, what the sketches
+   of step 3 may miss (`sketch_loss`) being taken off first.
 2. Documents with one fingerprint are one representative with a number of copies.
 3. Buckets of sets that share a path: up to SMALL sets are compared by brute force on their sketches;
    larger ones are split on the next level; what is still larger at depth 3 is linked as a whole.
    The links made here only say what has to be compared: components of them are clusters.
-4. Within a cluster every pair of sets is compared exactly, in blocks of BLOCK sets (a cluster of g
-   sets makes g/BLOCK squared tasks' work, never rows): each block pair gives, for each set, how many
-   documents it links to and a label; components of the labels are the classes.
+4. Within a cluster every pair of sets whose sizes allow it is compared exactly, in blocks of BLOCK sets of
+   about one size (g such sets make g/BLOCK squared tasks' work, never rows): each block pair gives, for each
+   set, how many documents it links to and a label; components of the labels are the classes.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, join_checked, materialize, table
+from .common import BROADCAST_ROWS, connected_components, join_checked, materialize, own_names, table
 from .textops import mix, shingle_sets, slices
 
 SHINGLE = 5
@@ -36,8 +37,10 @@ SMALL = 48
 BLOCK = 256
 SKETCH = 64
 DEPTH = 3
-#: A pair whose sketches agree in a lesser share of bins is not compared: five deviations below 0.8.
-SKETCH_LEAST = 0.5
+#: A pair whose sketches agree in a lesser share of bins is not compared; of fewer than SKETCH_BINS filled
+#: bins no sketch is asked.
+SKETCH_LEAST = 0.4
+SKETCH_BINS = 32
 
 
 def found(threshold: float, depth: int) -> float:
@@ -48,8 +51,18 @@ def found(threshold: float, depth: int) -> float:
     return p
 
 
+def sketch_loss(threshold: float, bins: int = SKETCH_BINS, least: float = SKETCH_LEAST) -> float:
+    """Probability that the sketches of two sets of that similarity agree in less than `least` of `bins`
+    bins, each agreeing with the probability `threshold`; more bins or a higher similarity lose less."""
+    return sum(math.comb(bins, k) * threshold**k * (1 - threshold) ** (bins - k) for k in range(math.ceil(least * bins)))
+
+
 def runs_for(recall: float, threshold: float = THRESHOLD) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - found(threshold, DEPTH)))
+    """Least number of runs that find a pair of that similarity with probability `recall`, sketches included."""
+    lost = 1 - recall - sketch_loss(threshold)
+    if lost <= 0:
+        raise ValueError("the sketches alone lose more than the recall asked for allows")
+    return math.ceil(math.log(lost) / math.log(1 - found(threshold, DEPTH)))
 
 
 def _odd(n: int) -> np.ndarray:
@@ -100,7 +113,7 @@ _LEVELS = "k1 array<long>, p2 array<long>, k2 array<long>, p3 array<long>, k3 ar
 def _signatures(runs: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(pa.Table.from_batches([batch]), "text"):
-            ids, size, fps, sketches, levels = part.column("doc_id").to_pylist(), [], [], [], [[] for _ in range(5)]
+            size, fps, sketches, levels = [], [], [], [[] for _ in range(5)]
             for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), SHINGLE):
                 size.append(len(s))
                 fp, sketch, keys = signature(s, runs, threshold) if len(s) else (None, None, [np.zeros(0, np.uint64)] * 5)
@@ -109,7 +122,8 @@ def _signatures(runs: int, threshold: float, batches: Iterator[pa.RecordBatch])
                 for held, k in zip(levels, keys, strict=True):
                     held.append(k.view(np.int64))
             arrays = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in held])], pa.int32()), pa.array(np.concatenate(held) if held else [], pa.int64())) for held in levels]
-            yield from pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary()), *arrays], names=["doc_id", "size", "fp", "sketch", "k1", "p2", "k2", "p3", "k3"]).combine_chunks().to_batches()
+            columns = [part.column("doc_id"), part.column("key"), pa.array(size, pa.int64()), pa.array(fps, pa.binary()), pa.array(sketches, pa.binary()), *arrays]
+            yield from pa.table(columns, names=["doc_id", "key", "size", "fp", "sketch", "k1", "p2", "k2", "p3", "k3"]).combine_chunks().to_batches()
 
 
 def _paths(reps: DataFrame, hot: list[DataFrame], limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -164,7 +178,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             a, b = sketch[i], sketch[i + d]
             either = ((a > 0) | (b > 0)).sum(1)
             same = ((a == b) & (a > 0)).sum(1)
-            good = i[(same >= SKETCH_LEAST * either) | (either < 32)]  # small sets have too few bins to tell
+            good = i[(same >= SKETCH_LEAST * either) | (either < SKETCH_BINS)]  # small sets have too few bins to tell
             pairs.append(np.c_[good, good + d])
         if pairs:
             p = np.concatenate(pairs)
@@ -251,21 +265,21 @@ def _compare_blocks(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iter
     yield from flush()
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies, n_shingles) for every row of docs(doc_id, text, ...).
+def row_key() -> Column:
+    """What only rows of one doc_id and text have in common."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
 
-    Two documents are linked if their sets of 5-word shingles have a Jaccard similarity >= threshold
-    (a text of one to four words has one shingle, all of it). class_id is the least doc_id of those
-    connected by links; n_links counts the other rows linked to this one, copies included; n_copies the
-    rows with the same set, this one included. Texts that are null or have no word link to none
-    and are classes of their own. Repeated rows count as copies. Null ids stay null.
-    """
+
+def row_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, key, class_id, class_key, n_links, n_copies, n_shingles) for every row of docs(doc_id, text).
+    key is row_key(), class_key that of the class's least row, null ids being last; null without words."""
     runs = runs_for(recall, threshold)
-    light = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialize(light.mapInArrow(partial(_signatures, runs, threshold), f"doc_id long, size long, fp binary, sketch binary, {_LEVELS}"), "signatures")
+    light = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key())
+    signed = materialize(light.mapInArrow(partial(_signatures, runs, threshold), f"doc_id long, key string, size long, fp binary, sketch binary, {_LEVELS}"), "signatures")
     with_set = signed.where("fp is not null")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal for all copies
-    reps = with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[first(c) for c in ("size", "sketch", "k1", "p2", "k2", "p3", "k3")])
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep")
+    reps = with_set.groupBy("fp").agg(least_row, F.count("*").alias("copies"), *[first(c) for c in ("size", "sketch", "k1", "p2", "k2", "p3", "k3")])
     reps = materialize(reps.withColumn("uid", F.monotonically_increasing_id()), "representatives")
 
     members, links, hot = [], [], []
@@ -283,44 +297,83 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     near = small.repartition("k").sortWithinPartitions("k").mapInArrow(_bucket_links, "u long, v long")
     clusters = connected_components(near.union(links[0]), "clusters")
 
-    in_cluster = materialize(clusters.join(reps.select(F.col("uid").alias("node"), "fp", "rep", "copies"), "node"), "in-cluster")
-    per = materialize(in_cluster.groupBy("component").agg(F.count("*").alias("n")), "cluster-sizes")
-    ids = materialize(in_cluster.select(F.col("rep").alias("doc_id")).distinct(), "cluster-ids")
-    sets = join_checked(light, ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "fp binary, tokens binary")
-    sets = in_cluster.join(sets.where("fp is not null").groupBy("fp").agg(F.first("tokens").alias("tokens")), "fp")
-    sets = join_checked(sets, per, "component")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    sets = sets.withColumn("part", F.pmod(F.hash("node"), blocks.cast("int"))).withColumn("other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
-    sets = sets.select(F.col("component").alias("cluster"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", F.col("node").alias("uid"), "copies", "tokens")
-    keys = ["cluster", "low", "high"]
-    compared = sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_compare_blocks, threshold), "uid long, label long, links long")
-    compared = materialize(compared, "compared")
+    compared = materialize(_compared(light, reps, clusters, threshold), "compared")
     links_of = compared.groupBy("uid").agg(F.sum("links").alias("links"))
     classes = connected_components(compared.select(F.col("uid").alias("u"), F.col("label").alias("v")), "classes").select(F.col("node").alias("uid"), "component")
 
     known = reps.select("uid", "fp", "rep", "copies").join(links_of, "uid", "left").join(classes, "uid", "left")
     known = known.withColumn("component", F.coalesce("component", "uid"))
-    least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
-    known = materialize(known.join(least, "component").select("fp", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes-of-sets")
-    out = signed.select("doc_id", "size", "fp").where("fp is not null")
-    out = out.join(known, "fp").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("size").alias("n_shingles"))
-    alone = signed.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "size")
+    least = known.groupBy("component").agg(F.min("rep").alias("least"))
+    known = join_checked(known, materialize(least.select("component", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("class_key")), "least-rows"), "component")
+    known = materialize(known.select("fp", "class_id", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links")), "classes-of-sets")
+    out = join_checked(signed.select("doc_id", "key", "size", "fp").where("fp is not null"), known, "fp")
+    out = out.select("doc_id", "key", "class_id", "class_key", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("size").alias("n_shingles"))
+    alone = signed.where("fp is null").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "size")
     return out.union(alone)
 
 
+def _compared(light: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """(uid, label, links) of every block pair: the sets of a cluster are dealt to bands of size, a band being
+    1 / threshold wide, and bands to blocks of about BLOCK; only sets of the same or the next band can be
+    similar enough, so only their blocks meet. Tokens are taken anew from the representatives' texts."""
+    in_cluster = clusters.join(reps.select(F.col("uid").alias("node"), "fp", "rep", "copies", "size"), "node")
+    band = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
+    in_cluster = materialize(in_cluster.select("component", "node", "fp", F.col("rep.key").alias("key"), "copies", band.alias("band")), "in-cluster")
+    per = in_cluster.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    place = F.concat_ws(":", "component", "band")
+    beside = per.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = per.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    per = per.join(beside, ["component", "band"], "left").join(below, ["component", "band"], "left")
+    per = materialize(per.select(place.alias("place"), "blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("above", "below")]), "cluster-sizes")
+    ids = materialize(in_cluster.select("key").distinct(), "cluster-keys")
+    sets = join_checked(light, ids, "key", "left_semi").select("text").mapInArrow(_sets, "fp binary, tokens binary")
+    sets = in_cluster.join(sets.where("fp is not null").groupBy("fp").agg(F.first("tokens").alias("tokens")), "fp")
+    sets = join_checked(sets.withColumn("place", place), per, "place").withColumn("part", F.pmod(F.hash("node"), F.col("blocks")))
+    spot = lambda band, part: F.struct(band.cast("int").alias("band"), part.cast("int").alias("part"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    spots_of = lambda n, band: F.transform(upto(n), lambda i: spot(band, i))
+    others = [spots_of("blocks", F.col("band")), spots_of("above", F.col("band") + 1), spots_of("below", F.col("band") - 1)]
+    own = spot(F.col("band"), F.col("part"))
+    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.concat(*others)))
+    sets = sets.select(F.col("component").alias("cluster"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"), F.col("node").alias("uid"), "copies", "tokens")
+    sets = sets.select("cluster", F.to_json("low").alias("low"), F.to_json("high").alias("high"), F.col("first").cast("int").alias("part"), "uid", "copies", "tokens")
+    keys = ["cluster", "low", "high"]
+    return sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_compare_blocks, threshold), "uid long, label long, links long")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies, n_shingles) for every row of docs(doc_id, text, ...).
+
+    Two documents are linked if their sets of 5-word shingles have a Jaccard similarity >= threshold
+    (a text of one to four words has one shingle, all of it). class_id is the least doc_id of those
+    connected by links; n_links counts the other rows linked to this one, copies included; n_copies the
+    rows with the same set, this one included. Texts that are null or have no word link to none
+    and are classes of their own. Repeated rows count as copies. Rows with null ids take part; a class of
+    them alone has a null class_id. Texts are read whole, however long; an empty table gives no rows. A
+    pair just at the threshold is found with the probability `recall`, a more similar one more surely.
+    """
+    return row_classes(docs, threshold, recall).drop("key", "class_key")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of docs of which doc_id is the least of its class: one row of each class stays.
+    """Of every class of near copies the row with the least doc_id (null last), all columns kept.
 
-    If a doc_id is on several rows, one of those rows stays. All columns of docs are kept.
+    Classes are of texts, so rows that share a doc_id but not a text are judged apart. Of rows alike in
+    doc_id and text one stays. Rows without words have no copies and all stay.
     """
-    classes = materialize(jaccard_classes(docs).select("doc_id", "class_id"), "doc-classes")
-    gone = classes.where("doc_id > class_id").select("doc_id").distinct()
-    kept = join_checked(docs, materialize(gone, "dropped"), "doc_id", "left_anti")
-    again = materialize(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_checked(kept, again, "doc_id", "left_anti").unionByName(once)
+    return own_names(docs, ("doc_id", "text"), _drop)
+
+
+def _drop(docs: DataFrame) -> DataFrame:
+    rows = materialize(row_classes(docs).select("key", "class_key"), "doc-classes").where("class_key is not null")
+    gone = materialize(rows.where("key <> class_key").select("key").distinct(), "dropped")
+    again = materialize(rows.where("key = class_key").groupBy("key").count().where("count > 1").select("key"), "repeated-rows")
+    keyed = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")))
+    kept = join_checked(keyed, gone, "key", "left_anti")
+    if not again.isEmpty():
+        once = join_checked(kept, again, "key", "left_semi").dropDuplicates(["key"])
+        kept = join_checked(kept, again, "key", "left_anti").unionByName(once)
+    return kept.drop("key")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

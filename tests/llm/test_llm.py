@@ -252,6 +252,49 @@ def test_drop_near_duplicates_odd(spark, odd):
     assert jaccard.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_drop_goes_by_text_not_by_id(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, a), (None, b), (None, prose(50)), (4, c + " more"), (5, None), (5, None), (6, prose(30)), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in jaccard.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (3, c), rows[6], (5, None), (5, None), rows[10], (6, None)], key=str)
+    twice = docs.unionByName(docs)
+    assert Counter(tuple(r) for r in jaccard.drop_near_duplicates(twice).collect()) == Counter(kept + [(5, None), (5, None), (6, None)])
+
+
+def test_classes_of_null_ids(spark):
+    base = prose(100)
+    texts = [base, base + " more", prose(40), base]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (None, texts[3])], "doc_id long, text string")
+    got = Counter(tuple(r)[:4] for r in jaccard.jaccard_classes(df).collect())
+    assert got == {(None, None, 2, 2): 2, (None, None, 2, 1): 1, (7, 7, 0, 1): 1}
+    assert jaccard.sketch_loss(0.8) < 1e-6 and jaccard.runs_for(0.999) == 15
+
+
+def test_joins_beyond_the_bounds(spark):
+    big = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 500 + [2] * 20 + [None] * 3 + [3])], "k long, i long")
+    small = spark.createDataFrame([(1, "x" * 100), (3, "z"), (4, "w")], "k long, v string")
+    for limit, hot in ((10, 50), (0, 50), (0, 10_000)):
+        for how, n in (("inner", 501), ("left", 524), ("left_anti", 23), ("left_semi", 501)):
+            assert common.join_checked(big, small, "k", how, limit, hot=hot).count() == n
+    assert common.fits(small) and not common.fits(small, size=100) and not common.fits(small, rows=2)
+
+
+def test_no_silent_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, getConf = "spark://somewhere:7077", staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "u long, v long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
@@ -263,9 +306,9 @@ def test_components_of_a_long_path(spark):
 
 def test_packing_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [None, "", "It's WE'RE ''s a²b ǅ İ ΣΑΣ 日本語 <|endoftext|> a_b 12.5! \x1c x", "don't × ÷ Ünïcode", prose(5000)] + [prose(rng.randint(1, 300)) for _ in range(120)]
+    texts = [None, "", "It's WE'RE ''s a²b ǅ İ ΣΑΣ 日本語 <|endoftext|> a_b 12.5! \x1c x", "don't × ÷ Ünïcode", "<|endoftext|>", "a<|startoftext|> b <|ENDOFTEXT|>", prose(5000)] + [prose(rng.randint(1, 300)) for _ in range(120)]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
     ids = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in texts]
     rows = packing.pack_documents(frame(spark, texts).repartition(3), path, 512).collect()
     at = defaultdict(list)
@@ -416,6 +459,40 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (10 * len(asked)) >= 0.9
 
 
+def test_vectors_assigned_as_by_a_plain_loop():
+    g = np.random.default_rng(8)
+    c, x = g.normal(size=(60, 8)), g.normal(size=(300, 8))
+    want = []
+    for i in range(300):
+        d = np.sqrt(((c - x[i]) ** 2).sum(1))
+        o = np.argsort(d, kind="stable")[: 2 * vectors.COPIES]
+        taken = [o[0]]
+        for j in o[1:]:
+            if d[j] <= (1 + vectors.REPLICATE) * d[o[0]] and len(taken) < vectors.COPIES and (((c[taken] - c[j]) ** 2).sum(1) > d[j] ** 2).all():
+                taken.append(j)
+        want += [(i, int(j)) for j in taken]
+    assert list(zip(*[v.tolist() for v in vectors.lists_of(x, c)], strict=True)) == want and len(want) > 300
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    g = np.random.default_rng(9)
+    x = g.normal(size=(300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] + 1e-3 * g.normal(size=6)).tolist()) for _ in range(400)]
+    rows += [(1000 + i, g.normal(size=3).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("list", "block", "bundle", "score")})
+    got = defaultdict(list)
+    for r in vectors.neighbours(df, df.where("vec_id in (0, 1000)")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q, own in ((0, [r for r in rows if len(r[1]) == 6]), (1000, [r for r in rows if len(r[1]) == 3])):
+        at = np.array(next(v for i, v in own if i == q))
+        best = {}
+        for i, v in own:
+            if i != q:
+                best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(v) - at) ** 2).sum())))
+        want = sorted(((s, i) for i, s in best.items()))[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [s for s, _ in want])
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [4.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 3, 3.0)]
