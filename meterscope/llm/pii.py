@@ -4,17 +4,20 @@
    identifier of some kind but match no fixed pattern (numbers without a plus, card numbers of other
    checksums, spelled-out addresses, other dotted numbers). Each comes with lexical contexts: the word
    before, the two words before, the word after, and the words on both sides.
-2. Seeds are the strings of fixed spans. Contexts and strings form a bipartite graph; Spark scores it
-   in `ROUNDS` rounds: a context's confidence for a kind is the share of its occurrences (SMOOTH more
-   counted against it) whose strings are believed to be of the kind; a string's belief is the best confidence
-   of a context with at least SUPPORT distinct seed strings. Seeds keep belief 1 for their kind.
-3. Candidates that stand in a context of confidence >= CONFIDENT, of a kind that their shape allows, are
-   added to the spans.
+2. Seeds are the strings of fixed spans. Contexts and strings form a bipartite graph, which Spark scores
+   in rounds. A pattern is a context and a kind; its confidence is the share of known strings of that kind
+   among the strings in that context, where known strings of another kind count in full and unknown ones of
+   a shape that the kind allows count UNKNOWN. Patterns with at least SUPPORT distinct known
+   strings and a confidence of CONFIDENT make the unknown strings in them known; those count in the next
+   round, so they bring in patterns that no seed supports. It ends when a round finds no string.
+3. Every occurrence of a string so found is added to the spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,8 +29,8 @@ from .common import join_checked, materialize, own_names, table
 from .textops import slices
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-SMOOTH = 2.0
+#: What an unknown string counts against a pattern, compared with a known one of another kind.
+UNKNOWN = 0.2
 SUPPORT = 3
 CONFIDENT = 0.8
 
@@ -40,10 +43,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[^0-9]")
 
-#: Candidates: spelled-out addresses, and runs of digits with signs between them.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]? ?at ?[)\]]? ?[A-Za-z0-9-]{1,63} ?[(\[]? ?dot ?[)\]]? ?[A-Za-z]{2,24}(?![A-Za-z])")
+#: Candidates: spelled-out addresses, and runs of digits with signs between them. Runs are taken at once.
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]? ?at ?[)\]]? ?[A-Za-z0-9-]++ ?[(\[]? ?dot ?[)\]]? ?[A-Za-z]{2,}+")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[ ().-]{0,2}[0-9])++(?![A-Za-z0-9])")
+_PART = re.compile("[^ ]+")
 _WORD = re.compile(r"[^ \t-\r]+")
+#: Longer words stand in contexts by a digest of the whole word.
+WORD_LENGTH = 64
 
 
 def luhn(digits: str) -> bool:
@@ -92,9 +98,34 @@ def shapes(text: str) -> list[int]:
     return [k for k, ok in ((1, text.count(".") == 3 and len(digits) >= 4), (2, 12 <= len(digits) <= 19), (3, 9 <= len(digits) <= 15)) if ok]
 
 
+def numbers(text: str) -> list[tuple[int, int]]:
+    """Spans of numbers that some kind's shape allows. A run with blanks in it is one number if no part between
+    blanks is one by itself; a run that fits no kind is cut into the shortest joined parts that do."""
+    out = []
+    for m in _NUMBER.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
+        alone = [(a, b) for a, b in parts if shapes(text[a:b])] if len(parts) > 1 else []
+        if alone:
+            out += alone
+        elif shapes(m[0]):
+            out.append(m.span())
+        else:
+            i = 0
+            while i < len(parts):
+                for j in range(i + 1, len(parts)):
+                    if shapes(text[parts[i][0] : parts[j][1]]):
+                        out.append((parts[i][0], parts[j][1]))
+                        i = j
+                        break
+                    if parts[j][1] - parts[i][0] > 60:  # more digits than any kind has
+                        break
+                i += 1
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Spans of candidate strings that no fixed span overlaps."""
-    found = [m.span() for m in _NUMBER.finditer(text) if shapes(m[0])]
+    found = numbers(text)
     if " at " in text or "(at)" in text or "[at]" in text:
         found += [m.span() for m in _SPELLED.finditer(text)]
     found.sort()
@@ -108,21 +139,34 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a span, from the 80 characters on each side; words in lower case, digits as 0."""
-    norm = lambda w: re.sub("[0-9]+", "0", w.lower())
-    left = [norm(w) for w in _WORD.findall(text[max(0, start - 80) : start])[-2:]]
-    right = [norm(w) for w in _WORD.findall(text[end : end + 80])[:1]]
-    out = []
-    if left:
-        out.append(f"L {left[-1]}")
-    if len(left) == 2:
-        out.append(f"LL {left[0]} {left[1]}")
-    if right:
-        out.append(f"R {right[0]}")
-    if left and right:
-        out.append(f"LR {left[-1]} {right[0]}")
-    return out
+class Contexts:
+    """Lexical contexts of spans of one text, by its whole words: in lower case, runs of digits as 0."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def _norm(self, a: int, b: int) -> str:
+        word = re.sub("[0-9]+", "0", self.text[a:b].lower())
+        return word if len(word) <= WORD_LENGTH else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+    def of(self, start: int, end: int) -> list[str]:
+        i, j = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        left = [self._norm(self.starts[k], min(self.ends[k], start)) for k in range(max(0, i - 2), i)]
+        right = [self._norm(max(self.starts[j], end), self.ends[j])] if j < len(self.ends) else []
+        out = []
+        if left:
+            out.append(f"L {left[-1]}")
+        if len(left) == 2:
+            out.append(f"LL {left[0]} {left[1]}")
+        if right:
+            out.append(f"R {right[0]}")
+        if left and right:
+            out.append(f"LR {left[-1]} {right[0]}")
+        return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("end", pa.int64())])
@@ -133,10 +177,13 @@ _SCHEMA = "base array<struct<start:bigint,kind_no:int,end:bigint>>, seen array<s
 def scan(text: str) -> tuple[list[dict], list[dict]]:
     base = base_spans(text)
     seen = [(a, b, k) for a, k, b in base] + [(a, b, None) for a, b in candidates(text, base)]
-    strings = lambda a, b: re.sub(r"[ ().-]", "", text[a:b].lower())
+    strings = lambda a, b: re.sub(r"[ ()-]", "", text[a:b].lower())
+    if not seen:
+        return [], []
+    around = Contexts(text)
     return (
         [{"start": a, "kind_no": k, "end": b} for a, k, b in base],
-        [{"start": a, "end": b, "kind_no": k, "string": strings(a, b), "shapes": shapes(text[a:b]) if k is None else [k], "contexts": contexts(text, a, b)} for a, b, k in seen],
+        [{"start": a, "end": b, "kind_no": k, "string": strings(a, b), "shapes": shapes(text[a:b]) if k is None else [k], "contexts": around.of(a, b)} for a, b, k in seen],
     )
 
 
@@ -148,52 +195,53 @@ def _scan_rows(kept: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[p
             yield from pa.table(cols, names=[*kept, "base", "seen"]).combine_chunks().to_batches()
 
 
-def score_contexts(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(context, kind_no, confidence) of contexts with enough seed strings, from rows
-    (context, string, kind_no: of a seed, null: candidate, shapes). Occurrences are added up before
-    they are joined, so a frequent context or string is a few rows a task."""
-    edges = materialize(seen.groupBy("context", "string").agg(F.count("*").cast("double").alias("n"), F.max("kind_no").alias("seed"), F.first("shapes").alias("shapes")), "edges")
-    total = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    support = edges.where("seed is not null").groupBy("context", F.col("seed").alias("kind_no")).agg(F.count("*").alias("support"))
-    usable = materialize(support.where(F.col("support") >= SUPPORT).join(total, "context"), "contexts")
-    edges = materialize(join_checked(edges, usable.select("context").distinct(), "context", "left_semi"), "usable-edges")
-    by_kind = edges.select("context", "string", "n", "seed", F.explode("shapes").alias("kind_no"))
-    # belief of candidates starts at 0; seeds are 1 for their kind for good
-    belief = None
-    scored = None
-    for step in range(rounds):
-        value = (F.col("seed") == F.col("kind_no")).cast("double")
-        rows = by_kind.withColumn("own", F.coalesce(value, F.lit(0.0)))
-        if belief is not None:
-            rows = rows.join(belief, ["string", "kind_no"], "left").withColumn("own", F.when(F.col("seed").isNotNull(), F.col("own")).otherwise(F.coalesce("belief", F.lit(0.0))))
-        mass = rows.groupBy("context", "kind_no").agg(F.sum(F.col("n") * F.col("own")).alias("mass"))
-        scored = materialize(mass.join(usable, ["context", "kind_no"]).select("context", "kind_no", (F.col("mass") / (F.col("total") + SMOOTH)).alias("confidence")), f"scores{step}")
-        if step < rounds - 1:
-            best = by_kind.where("seed is null").join(scored, ["context", "kind_no"])
-            belief = materialize(best.groupBy("string", "kind_no").agg(F.max("confidence").alias("belief")), f"belief{step}")
-    return scored
+def bootstrap(seen: DataFrame) -> DataFrame:
+    """(string, kind_no) of the strings that confident patterns find, from rows (context, string, kind_no:
+    of a seed, null: candidate, shapes). Occurrences of a string in a context are one edge, so a frequent
+    one is a row; hot contexts and strings are joined as join_checked does."""
+    edges = materialize(seen.groupBy("context", "string").agg(F.max("kind_no").alias("seed"), F.first("shapes").alias("shapes")), "edges")
+    found = edges.select("string", F.lit(None).cast("int").alias("known")).limit(0)
+    while True:
+        marked = join_checked(edges, found, "string", "left").withColumn("known", F.coalesce("seed", "known"))
+        marked = materialize(marked, "marked")
+        count = lambda test: F.count(F.when(test, 1))
+        kinds = range(len(KINDS))
+        known = [count(F.col("known") == k).alias(f"k{k}") for k in kinds]
+        open_ = [count(F.col("known").isNull() & F.array_contains("shapes", k)).alias(f"o{k}") for k in kinds]
+        per = marked.groupBy("context").agg(*known, *open_)
+        all_known = sum((F.col(f"k{k}") for k in kinds), F.lit(0))
+        share = [F.when(F.col(f"k{k}") >= SUPPORT, F.col(f"k{k}") / (all_known + UNKNOWN * F.col(f"o{k}"))) for k in kinds]
+        patterns = per.select("context", F.array(*[F.coalesce(x, F.lit(0.0)) for x in share]).alias("confidence")).where(F.array_max("confidence") >= CONFIDENT)
+        met = join_checked(marked.where("known is null"), materialize(patterns, "patterns"), "context")
+        met = met.select("string", F.explode("shapes").alias("known"), "confidence").select("string", "known", F.element_at("confidence", F.col("known") + 1).alias("c"))
+        new = met.where(F.col("c") >= CONFIDENT).groupBy("string").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("known"))
+        new = materialize(new, "found")
+        if new.isEmpty():
+            return found.withColumnRenamed("known", "kind_no")
+        found = materialize(found.unionByName(new), "found-so-far")
 
 
 def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, base and spans (array<struct(start, kind_no, end)>, by start and kind) for every row of docs.
 
-    Places are in code points, ends exclusive; kind_no counts KINDS. Null and empty texts have no spans;
-    repeated rows have the same; other columns are not read; an empty table gives no rows.
+    Places are in code points, ends exclusive; kind_no counts KINDS. Null and empty texts have no spans; texts
+    are read whole, however long; repeated rows have the same, and count once for the patterns. A found string
+    that confident patterns of several kinds hold is of the most confident one, of ties the first of KINDS.
+    Other columns are not read; an empty table gives no rows.
     """
     light = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).withColumn("__uid", F.monotonically_increasing_id())
     kept = [c for c in light.columns if c != "__text"]
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema if f.name != "__text")
     rows = materialize(light.mapInArrow(partial(_scan_rows, kept), f"{ids}, {_SCHEMA}"), "scanned")
     seen = rows.select("__uid", F.inline("seen"))
-    flat = seen.select(F.explode("contexts").alias("context"), "string", "kind_no", "shapes")
-    scored = score_contexts(flat).where(F.col("confidence") >= CONFIDENT)
-    open_ = seen.where("kind_no is null").select("__uid", "start", "end", F.explode("shapes").alias("kind_no"), "contexts")
-    open_ = open_.select("__uid", "start", "end", "kind_no", F.explode("contexts").alias("context"))
-    taken = join_checked(open_.withColumn("key", F.concat_ws(" ", "kind_no", "context")), materialize(scored.select(F.concat_ws(" ", "kind_no", "context").alias("key"), "confidence"), "patterns"), "key")
-    best = taken.groupBy("__uid", "start", "end").agg(F.max_by("kind_no", F.struct("confidence", -F.col("kind_no"))).alias("kind_no"))
-    more = best.groupBy("__uid").agg(F.collect_list(F.struct("start", "kind_no", "end")).alias("more"))
-    out = rows.drop("seen").join(more, "__uid", "left")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>"))))).select(*keep, "base", "spans")
+    found = bootstrap(seen.select(F.explode("contexts").alias("context"), "string", "kind_no", "shapes"))
+    none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
+    if found.isEmpty():
+        return rows.select(*keep, "base", F.col("base").alias("spans"))
+    open_ = seen.where("kind_no is null").select("__uid", "start", "end", "string")
+    taken = join_checked(open_, found, "string")
+    more = taken.groupBy("__uid").agg(F.collect_list(F.struct("start", "kind_no", "end")).alias("more"))
+    return rows.drop("seen").join(more, "__uid", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", none)))).select(*keep, "base", "spans")
 
 
 def _said(spans: Column) -> Column:
