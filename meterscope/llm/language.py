@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_checked, materialize, table
 from .textops import slices
 
 DIM = 1 << 13
@@ -48,37 +48,61 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], lang)
 
 
+def _letters(text: str) -> np.ndarray:
+    """Code points in lower case, all but letters as blanks; both small sigmas are one letter, for which of them
+    it is depends on the letters around."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    letter = ((code >= 97) & (code <= 122)) | ((code >= 0xC0) & (code != 0xD7) & (code != 0xF7))
+    return np.where(code == 0x3C2, np.uint64(0x3C3), np.where(letter, code, np.uint64(32)))
+
+
+def _squeezed(code: np.ndarray) -> np.ndarray:
+    """Marks of what is left when runs of blanks are one."""
+    return np.r_[True, (code[1:] != 32) | (code[:-1] != 32)]
+
+
+def _grams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the bigrams and trigrams from each place on."""
+    mult = np.uint64(0x9E3779B97F4A7C15)
+    two = (code[:-1] * np.uint64(0x100000001B3) + code[1:]) * mult
+    three = (two[:-1] ^ (code[2:] * np.uint64(0xC2B2AE3D27D4EB4F))) * mult + np.uint64(1)
+    return (two >> np.uint64(51)).astype(np.int64), (three >> np.uint64(51)).astype(np.int64)
+
+
 def counts(texts: list[str]) -> np.ndarray:
-    """Feature counts, one row a text (float32). A long text is counted in pieces of CHUNK characters."""
+    """Feature counts, one row a text (float32), of each text with a blank before and after it. A long text is
+    counted in pieces of CHUNK characters; the last two letters of a piece go before the next one."""
     out = np.zeros((len(texts), DIM), np.float32)
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
-        joined = " ".join(t for _, t in held).lower()
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        letter = ((code >= 97) & (code <= 122)) | ((code >= 0xC0) & (code != 0xD7) & (code != 0xF7))
-        code = np.where(letter, code, np.uint64(32))
-        keep = np.r_[True, (code[1:] != 32) | (code[:-1] != 32)]
-        ends = np.cumsum([len(t.lower()) + 1 for _, t in held])
-        row = np.searchsorted(ends, np.flatnonzero(keep), side="right")
-        code = code[keep]
-        mult = np.uint64(0x9E3779B97F4A7C15)
-        two = (code[:-1] * np.uint64(0x100000001B3) + code[1:]) * mult
-        three = (two[:-1] ^ (code[2:] * np.uint64(0xC2B2AE3D27D4EB4F))) * mult
-        at = np.concatenate([row[:-1], row[:-2]]) * DIM + (np.concatenate([two, three + np.uint64(1)]) >> np.uint64(51)).astype(np.int64)
-        n = len(held)
-        got = np.bincount(at, minlength=n * DIM).reshape(n, DIM)
-        for k, (i, _) in enumerate(held):
-            out[i] += got[k]
+        code = np.concatenate([c for _, c in held])
+        row = np.repeat(np.arange(len(held)), [len(c) for _, c in held])
+        keep = _squeezed(code) | np.r_[True, row[1:] != row[:-1]]
+        code, row = code[keep], row[keep]
+        two, three = _grams(code)
+        inside2, inside3 = row[1:] == row[:-1], row[2:] == row[:-2]
+        at = np.concatenate([row[:-1][inside2] * DIM + two[inside2], row[:-2][inside3] * DIM + three[inside3]])
+        got = np.bincount(at, minlength=len(held) * DIM).reshape(len(held), DIM)
+        out[[i for i, _ in held]] = got
 
     for i, t in enumerate(texts):
-        for a in range(0, len(t), CHUNK):
-            held.append((i, t[a : a + CHUNK]))
-            size += len(held[-1][1])
-            if size >= CHUNK or len(held) >= 256:
-                flush()
-                held, size = [], 0
+        if len(t) > CHUNK:
+            before = np.array([32], np.uint64)
+            for a in range(0, len(t), CHUNK):
+                code = np.concatenate([before, _letters(t[a : a + CHUNK]), np.array([32] if a + CHUNK >= len(t) else [], np.uint64)])
+                code = code[_squeezed(code)]
+                two, three = _grams(code)
+                # what lies within the letters handed over is counted already
+                out[i] += np.bincount(two[len(before) - 1 :], minlength=DIM) + np.bincount(three, minlength=DIM)
+                before = code[-2:]
+            continue
+        held.append((i, np.concatenate([np.array([32], np.uint64), _letters(t), np.array([32], np.uint64)])))
+        size += len(t)
+        if size >= CHUNK or len(held) >= 256:
+            flush()
+            held, size = [], 0
     if held:
         flush()
     return out
@@ -129,7 +153,8 @@ def _train_pair(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Model:
-    """langs: learned languages; families: log probabilities of buckets; pairs: (a, b) -> weights."""
+    """What train() learns: families with the log probabilities of their buckets and their languages, and the
+    weights of all pairs of languages as one matrix."""
 
     def __init__(self, sums: dict[str, np.ndarray], pairs: dict[tuple[str, str], np.ndarray]) -> None:
         self.members: dict[str, list[str]] = {}
@@ -139,37 +164,45 @@ class Model:
         # each language counts alike in its family, however much of it there is
         share = [sum(sums[m] / sums[m].sum() for m in self.members[f]) / len(self.members[f]) for f in self.families]
         self.log = np.log(np.stack([s + 0.1 / DIM for s in share]) / 1.1) if share else np.zeros((0, DIM))
-        self.pairs = pairs
+        self.own = []  # of each family: rows of the matrix, and which languages its pairs are of
+        weights = []
+        for f in self.families:
+            names = self.members[f]
+            duels = list(combinations(range(len(names)), 2))
+            self.own.append((np.arange(len(weights), len(weights) + len(duels)), np.array(duels, int).reshape(-1, 2)))
+            weights += [pairs[names[a], names[b]] for a, b in duels]
+        self.weights = np.array(weights, np.float32).reshape(-1, DIM + 1)
+
+    def decide(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """(languages, scores) of rows of counts: the likeliest family; in it the language with the most duels
+        won, of equal ones that with the larger margins, then the last by name."""
+        like = x @ self.log.T.astype(np.float32)
+        p = np.exp(like - like.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best, unit = p.argmax(1), normalised(x)
+        values = unit @ self.weights[:, :-1].T + self.weights[:, -1]
+        langs, scores = np.empty(len(x), object), np.zeros(len(x))
+        for f in np.unique(best):
+            rows, (at, duels) = np.flatnonzero(best == f), self.own[f]
+            names = np.array(self.members[self.families[f]], object)
+            v = values[np.ix_(rows, at)]
+            sides = [np.eye(len(names))[duels[:, k]] for k in (0, 1)]
+            votes = (v >= 0) @ sides[0] + (v < 0) @ sides[1]
+            margin = v @ (sides[0] - sides[1])
+            margin = np.where(votes == votes.max(1, keepdims=True), margin, -np.inf)
+            win = len(names) - 1 - (margin == margin.max(1, keepdims=True))[:, ::-1].argmax(1)
+            signed = np.where(duels[None, :, 0] == win[:, None], v, np.where(duels[None, :, 1] == win[:, None], -v, np.inf))
+            sure = 1 / (1 + np.exp(-np.clip(4 * signed.min(1, initial=np.inf), -30, 30)))
+            langs[rows], scores[rows] = names[win], p[rows, f] * np.where(len(names) > 1, sure, 1.0)
+        return langs.tolist(), scores.clip(0, 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        if not self.families or not todo:
-            return langs, scores
-        for at in range(0, len(todo), 256):
+        for at in range(0, len(todo) if self.families else 0, 256):
             some = todo[at : at + 256]
-            x = counts([texts[i] for i in some])
-            like = x @ self.log.T.astype(np.float32)
-            like -= like.max(1, keepdims=True)
-            p = np.exp(like)
-            p /= p.sum(1, keepdims=True)
-            best, unit = p.argmax(1), normalised(x)
-            for k, i in enumerate(some):
-                members = self.members[self.families[best[k]]]
-                votes, margin = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
-                sure = 1.0
-                for a, b in combinations(members, 2):
-                    w = self.pairs[a, b]
-                    f = float(unit[k] @ w[:-1] + w[-1])
-                    votes[a if f >= 0 else b] += 1
-                    margin[a] += f
-                    margin[b] -= f
-                win = max(members, key=lambda m: (votes[m], margin[m], m))
-                for a, b in combinations(members, 2):
-                    if win in (a, b):
-                        f = float(unit[k] @ self.pairs[a, b][:-1] + self.pairs[a, b][-1]) * (1 if win == a else -1)
-                        sure = min(sure, 1 / (1 + np.exp(-np.clip(4 * f, -30, 30))))
-                langs[i], scores[i] = win, float(min(1.0, max(0.0, p[k, best[k]] * sure)))
+            for i, lang, score in zip(some, *self.decide(counts([texts[i] for i in some])), strict=True):
+                langs[i], scores[i] = lang, float(score)
         return langs, scores
 
 
@@ -180,10 +213,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r["lang"]: r["n"] for r in light.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as languages
     if not sizes:
         return Model({}, {})
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 2 * sample / n)).otherwise(share)
-    few = light.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share)
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, 2 * sample / n)) for lang, n in sizes.items()], "lang string, share double")
+    few = join_checked(light, shares, "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = materialize(few.withColumn("place", place).where(F.col("place") <= sample).select("doc_id").distinct(), "language-sample")
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # at most sample ids a language
@@ -208,7 +239,9 @@ def _predict(kept: list[str], model, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, lang_pred and score for every row of docs; `und` and 0 for null texts and those without
-    a letter. Repeated rows get the same; other columns are not read."""
+    a letter. Long texts are counted whole, in pieces that lose nothing at their edges. Repeated rows get the same,
+    whatever rows are around them; ties go as Model.decide says. An empty table gives no rows; other columns are
+    not read."""
     rows = docs.select(*keep, F.col("text").alias("__text"))
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
