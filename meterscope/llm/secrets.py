@@ -68,6 +68,13 @@ def evidence(alphabet: str) -> tuple[list[float], float, float]:
     return log, mean, math.sqrt(sum(x * (y - mean) ** 2 for x, y in zip(q, log, strict=True)))
 
 
+def uniformity_in_text(alphabet: str) -> tuple[float, float, float]:
+    """(k, sum of squares, sum of cubes) of the symbols' probabilities in ordinary text, k being their number.
+    Of n symbols, equal pairs among them have a mean and variance by these, and with them chi-squared."""
+    q = _text_model(alphabet)
+    return float(len(q)), sum(x**2 for x in q), sum(x**3 for x in q)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct(gap, len, hit)>: characters before each match, its length, and the asked group."""
     p = F.lit(pattern)
@@ -80,7 +87,9 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def with_tests(rows: DataFrame) -> DataFrame:
-    """rows(token, ...) with `z`, evidence against ordinary text, and `battery`, the sum of squares."""
+    """rows(token, ...) with `battery`, the sum of squares, and two z-values of evidence against ordinary
+    text, large for random tokens: `z_battery` of the battery, `z_ratio` of the likelihood ratio. What it
+    needs of memory follows the length of the longest token."""
     names = list(ENCODINGS)
     which = F.lit(names[-1])
     for name in reversed(names[:-1]):
@@ -119,7 +128,15 @@ def with_tests(rows: DataFrame) -> DataFrame:
     z_serial = F.when(F.col("spread") > 0, F.col("lagged") / F.col("spread") * F.sqrt("n")).otherwise(F.sqrt("n"))
     battery = F.pow(F.greatest(z_chi, F.lit(0.0)), F.lit(2)) + z_runs * z_runs + z_serial * z_serial
     z = (F.col("llr") - F.col("n") * per(lambda e: evidence(ENCODINGS[e][1])[1])) / (per(lambda e: evidence(ENCODINGS[e][1])[2]) * F.sqrt("n"))
-    return rows.withColumn("z", z).withColumn("battery", battery).drop("enc", "body", "alphabet", "k", "logs", "v", "n", "sq", "up", "ch", "lagged", "spread", "llr")
+    # in text, chi-squared is k / n * (n + 2 * equal pairs) - n; the chi-squared whose z is the battery's root
+    # bounds the token's own, so the p-value allows for what the other two tests add
+    pairs_of, two, three = F.col("n") * (F.col("n") - 1) / 2, per(lambda e: uniformity_in_text(ENCODINGS[e][1])[1]), per(lambda e: uniformity_in_text(ENCODINGS[e][1])[2])
+    mean = F.col("k") / F.col("n") * (F.col("n") + 2 * pairs_of * two) - F.col("n")
+    spread_of = pairs_of * two * (1 - two) + F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) * (three - two * two)
+    deviation = 2 * F.col("k") / F.col("n") * F.sqrt(F.greatest(spread_of, F.lit(1e-9)))
+    bound = df * F.pow(1 - 2 / (9 * df) + F.sqrt("battery") * F.sqrt(2 / (9 * df)), F.lit(3.0))
+    rows = rows.withColumn("battery", battery)
+    return rows.withColumn("z_ratio", z).withColumn("z_battery", (mean - bound) / deviation).drop("enc", "body", "alphabet", "k", "logs", "v", "n", "sq", "up", "ch", "lagged", "spread", "llr")
 
 
 def per_array(names: list[str]) -> Column:
@@ -139,7 +156,7 @@ def _histogram_cuts(rows: list, fdr: float = FDR) -> dict[int, float]:
         for b, n in own:
             so_far += n
             z = b * Z_STEP
-            if total * 0.5 * math.erfc(z / math.sqrt(2)) <= fdr * so_far:
+            if total * math.erfc(z / math.sqrt(2)) <= fdr * so_far:  # twice the upper tail: the lesser of two p-values
                 cuts[s] = z
     return cuts
 
@@ -148,9 +165,16 @@ def secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), fdr: float = F
     """`keep` columns and `found`, array<struct(start, kind_no, end)> by start, for every row of docs.
 
     kind_no counts KINDS; end is exclusive. Tokens that the battery takes for random are added where no
-    fixed pattern has matched. Null and empty texts have none; repeated rows have the same; tokens count
-    once for the false-discovery rate however often they occur.
+    fixed pattern has matched. Null and empty texts have none; long texts are read whole; repeated rows have
+    the same; tokens count once for the false-discovery rate however often they occur, and of equal z all or
+    none are discoveries. An empty table gives no rows; other columns are not read.
     """
+    named = [f"__keep{i}" for i in range(len(keep))]
+    found = _secrets(docs.select(*[F.col(c).alias(n) for c, n in zip(keep, named, strict=True)], F.col("text")), tuple(named), fdr)
+    return found.toDF(*keep, "found")
+
+
+def _secrets(docs: DataFrame, keep: tuple[str, ...], fdr: float) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     arrays = [matches(text, p, g).alias(f"m{i}") for i, (p, g, _) in enumerate(BASE.values())] + [matches(text, TOKEN).alias("m3")]
     rows = materialize(docs.select(*keep, "text").select(*keep, F.monotonically_increasing_id().alias("__uid"), *arrays), "matches")
@@ -166,7 +190,7 @@ def secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), fdr: float = F
     for i, at in enumerate(STRATA[1:], 1):
         stratum = F.when(size >= at, i).otherwise(stratum)
     tokens = each.where(F.col("kind_no") == 3).groupBy("token").agg(F.lit(1).alias("one"))
-    tested = materialize(with_tests(tokens).select("token", "z", "battery", stratum.alias("stratum")), "tested")
+    tested = materialize(with_tests(tokens).select("token", F.greatest("z_ratio", "z_battery").alias("z"), "battery", stratum.alias("stratum")), "tested")
     bins = F.floor(F.greatest(F.lit(-1.0), F.least(F.col("z"), F.lit(Z_MOST))) / Z_STEP).cast("int")
     cuts = _histogram_cuts(tested.groupBy("stratum", bins.alias("bin")).agg(F.count("*").alias("n")).collect(), fdr)  # a table of fixed size
     discovery = F.lit(False)
