@@ -25,9 +25,6 @@ WINDOW = 8
 LEAST = 0.02
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_alpha long, n_shouts long"
 
-#: Words of abuse that the rule on toxic language counts (fixed values).
-ABUSE = ("stupid", "idiot", "trash", "disgusting", "scum", "worthless", "moron", "pathetic", "filth", "vermin")
-
 
 def text_stats(texts: list[bytes]) -> list[np.ndarray]:
     """The columns of STATS for whole texts, vectorised over all of them."""
@@ -67,11 +64,10 @@ def text_stats(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def with_stats(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols and STATS of each row's whole text (null: empty), and n_abuse. The text comes along only
-    if it is one of id_cols; names of id_cols are not to be among the statistics (see own_names)."""
-    abuse = F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(rf"\b({'|'.join(ABUSE)})\b"), F.lit(1))).cast("long")
-    rows = docs.select(*id_cols, *([] if text_col in id_cols else [text_col]), abuse.alias("n_abuse"))
-    kept = [*id_cols, "n_abuse"]
+    """id_cols and STATS of each row's whole text (null: empty). The text comes along only if it is one of
+    id_cols; names of id_cols are not to be among the statistics (see own_names)."""
+    rows = docs.select(*id_cols, *([] if text_col in id_cols else [text_col]))
+    kept = list(id_cols)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(partial(_stats_of, kept, text_col), ", ".join([f"`{c}` {fields[c]}" for c in kept] + [STATS]))
 
@@ -101,7 +97,6 @@ def rules() -> dict[str, Column]:
         "odd_chars": (1 - F.col("n_alpha") / F.greatest(F.col("word_chars"), F.lit(1)), 0.12, 0.25),
         "capitals": (F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1)), 0.3, 0.6),
         "shouting": (F.col("n_shouts") / words_, 0.1, 0.3),
-        "abuse": (F.col("n_abuse") / words_, 0.02, 0.05),
         "long_words": (F.col("word_chars") / words_, 12.0, 16.0),
     }
     odd = sum(((v > typical).cast("int") for v, typical, _ in high.values()), F.lit(0))
