@@ -46,12 +46,12 @@ def reference_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hvac_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(C("event_type") == "click", "heating").when(C("event_type") == "view", "cooling").otherwise("idle")
-    return events(spark, sf_dir).where("user_id % 5 = 0").select("ts", F.lit("climate.t").alias("entity_id"), action.alias("action"), F.lit("live").alias("src"))
+    return events(spark, sf_dir).select("ts", F.lit("climate.t").alias("entity_id"), action.alias("action"), F.lit("live").alias("src"))
 
 
 SAMPLES = """
 samples AS (SELECT ts, 'sensor.' || event_type AS entity_id, value * 10 AS power_w, 'live' AS src FROM events),
-hvac AS (SELECT ts, 'climate.t' AS entity_id, CASE event_type WHEN 'click' THEN 'heating' WHEN 'view' THEN 'cooling' ELSE 'idle' END AS action FROM events WHERE user_id % 5 = 0),
+hvac AS (SELECT ts, 'climate.t' AS entity_id, CASE event_type WHEN 'click' THEN 'heating' WHEN 'view' THEN 'cooling' ELSE 'idle' END AS action FROM events),
 """
 
 
@@ -83,9 +83,27 @@ def readings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ts", "endpoint_id", F.lit("IDM").alias("msg_type"), F.lit(4).alias("endpoint_type"), (C("before") + C("inside") + 100000).cast("double").alias("consumption"), F.lit("long").alias("source"))
 
 
+def samples_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A monitored feed of the same years: a sample a line of an order, at a minute of its day of shipping."""
+    at = C("l_shipdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (C("l_orderkey") % 1440).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(at.alias("ts"), F.concat(F.lit("sensor."), (C("l_linenumber") % 3).cast("string")).alias("entity_id"), (C("l_quantity") * 100).alias("power_w"), F.lit("live").alias("src"))
+
+
+def meters_long(spark: SparkSession) -> DataFrame:
+    rows = [(5000, "home", True, True, 0.5, "kWh"), (5001, None, False, True, 0.25, "kWh"), (5002, "maybe", False, False, 1.0, None)]
+    return spark.createDataFrame(rows, "endpoint_id long, label string, is_mine boolean, publish boolean, pub_multiplier double, pub_unit string")
+
+
+#: Readings, hourly steps (the counters never wrap), monitored days and meters of the years that bills are of.
 LONG = """
 longr AS (SELECT ts, endpoint_id, 'IDM' AS msg_type, 4 AS endpoint_type, (100000 + sum(q) OVER (PARTITION BY endpoint_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::DOUBLE AS consumption, 'long' AS source
   FROM (SELECT 5000 + l_suppkey % 40 AS endpoint_id, l_shipdate AS ts, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2)),
+lday AS (SELECT endpoint_id, ts::DATE AS day, consumption - lag(consumption) OVER (PARTITION BY endpoint_id ORDER BY ts) AS delta FROM longr),
+lmins AS (SELECT 'sensor.' || l_linenumber % 3 AS entity_id, (l_shipdate + to_minutes(l_orderkey % 1440))::TIMESTAMP AS m, avg(l_quantity * 100) AS w FROM lineitem GROUP BY 1, 2),
+lminl AS (SELECT *, least(m + INTERVAL '15 minutes', COALESCE(lead(m) OVER (PARTITION BY entity_id ORDER BY m) - INTERVAL '1 minute', TIMESTAMP '2999-01-01')) AS last FROM lmins),
+lfill AS (SELECT unnest(generate_series(m, last, INTERVAL '1 minute')) AS mt, w FROM lminl WHERE last >= m),
+lref AS (SELECT mt::DATE AS day, sum(w) / 60000 AS k FROM lfill GROUP BY 1),
+lmeters(endpoint_id, is_mine, publish, pub_multiplier) AS (VALUES (5000::BIGINT, TRUE, TRUE, 0.5::DOUBLE), (5001::BIGINT, FALSE, TRUE, 0.25::DOUBLE), (5002::BIGINT, FALSE, FALSE, 1.0::DOUBLE)),
 """
 
 

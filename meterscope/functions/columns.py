@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..params import COMMODITIES, SCM_MODULUS, WIDE_MODULUS
@@ -15,6 +15,7 @@ def round_half_away(v: Column, places: int) -> Column:
 
 
 def clamp01(v: Column) -> Column:
+    """v within 0 and 1; 0 for null, which greatest and least pass over."""
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
 
@@ -61,14 +62,6 @@ def unit_factor(unit: Column, table: dict[str, float]) -> Column:
     return out
 
 
-def with_previous(df: DataFrame, keys: list[str], order: str, value: str, out: str = "prev") -> DataFrame:
-    return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
-
-
-def seconds(ts: Column) -> Column:
-    return ts.cast("double")
-
-
 def correlation() -> Column:
     """Pearson r of y on x from regression sums; null where one side is constant."""
     xx, yy, xy = F.regr_sxx("y", "x"), F.regr_syy("y", "x"), F.regr_sxy("y", "x")

@@ -37,24 +37,26 @@ def receiver_inventory(devices: DataFrame, coverage: DataFrame, readings: DataFr
     return devices.join(heard, "serial", "left").join(recent, "serial", "left").select("serial", "name", zero("meters", "long"), zero("total", "long"), "last_ts", zero("ppm", "double"))
 
 
-def dropouts(index: DataFrame, meters: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:
-    """H5: tracked or published meters that are not heard any more."""
+def _tracked(meters: DataFrame) -> DataFrame:
+    """The user's and the published meters, ignored or not."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = meters.where(~flag("ignored") & (flag("is_mine") | flag("is_candidate") | flag("publish")))
+    return meters.where(flag("is_mine") | flag("publish")).select("endpoint_id")
+
+
+def dropouts(index: DataFrame, meters: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:
+    """H5: tracked meters that are not heard any more."""
     silent = as_of.cast("double") - F.col("last_seen").cast("double") > 60.0 * params.dropout_min
-    return own.join(index, "endpoint_id").where(silent).select(F.lit("dropout").alias("kind"), F.col("endpoint_id").cast("string").alias("subject"), F.col("last_seen").alias("since"))
+    return _tracked(meters).join(index, "endpoint_id").where(silent).select(F.lit("dropout").alias("kind"), F.col("endpoint_id").cast("string").alias("subject"), F.col("last_seen").alias("since"))
 
 
-def stuck(deltas: DataFrame, meters: DataFrame, as_of: Column) -> DataFrame:
-    """H6: tracked or published meters that are heard without movement in the last hour, yet moved in the
-    24 hours before."""
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = meters.where(~flag("ignored") & (flag("is_mine") | flag("is_candidate") | flag("publish"))).select("endpoint_id")
-    hour = F.date_trunc("hour", as_of)
-    now = F.when(F.col("hb") >= hour, F.col("delta"))
-    before = F.when((F.col("hb") < hour) & (F.col("hb") >= hour - F.expr("INTERVAL 24 HOURS")), F.col("delta"))
-    rows = deltas.where((F.col("hb") >= hour - F.expr("INTERVAL 24 HOURS")) & (F.col("hb") <= as_of)).join(own, "endpoint_id").groupBy("endpoint_id").agg(F.sum(now).alias("now"), F.sum(before).alias("before"), F.max("hb").alias("since"))
-    return rows.where("now = 0 and before > 0").select(F.lit("stuck").alias("kind"), F.col("endpoint_id").cast("string").alias("subject"), "since")
+def stuck(rollup_1m: DataFrame, meters: DataFrame, as_of: Column) -> DataFrame:
+    """H6: tracked meters whose value did not move in the last 60 minutes, heard or not, yet did in the 24 hours
+    before; since when they were last heard."""
+    ago = lambda h: as_of - F.expr(f"INTERVAL {h} HOURS")
+    recent, prior = F.col("bucket") >= ago(1), F.col("bucket") < ago(1)
+    move = lambda c: F.max(F.when(c, F.col("max_c"))) - F.min(F.when(c, F.col("min_c")))
+    rows = rollup_1m.where((F.col("bucket") >= ago(25)) & (F.col("bucket") <= as_of)).join(_tracked(meters), "endpoint_id").groupBy("endpoint_id").agg(move(recent).alias("now"), move(prior).alias("before"), F.max("bucket").alias("since"))
+    return rows.where((F.col("before") > 0) & (F.coalesce("now", F.lit(0.0)) == 0)).select(F.lit("stuck").alias("kind"), F.col("endpoint_id").cast("string").alias("subject"), "since")
 
 
 def sources_down(heartbeat: DataFrame, devices: DataFrame, as_of: Column, params: Params = DEFAULTS) -> DataFrame:

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import commodity, local, local_day, time_bucket
+from ..functions.columns import commodity, local, local_day, round_half_away, time_bucket
 from ..functions.joins import broadcast_checked, range_join
-from .deltas import bucket_deltas
+from ..params import DEFAULTS, Params
+from .deltas import bucket_deltas, hourly_deltas, movement_between
 
 
 def leaderboard(rollup_1m: DataFrame, deltas: DataFrame, coverage: DataFrame, index: DataFrame, meters: DataFrame, *, msg_type: str | None = None, electric_only: bool = False, include_ignored: bool = False, tracked_only: bool = False, published_only: bool = False) -> DataFrame:
     """Packets, receivers, first and last minute, movement and rate of each meter heard; most movement
-    first (none counts as 0), then endpoint_id. Cut rollup and deltas to the time wanted beforehand."""
+    first (none counts as 0), then endpoint_id. Cut rollup and deltas to the time wanted beforehand. Tracked is
+    the user's own meter; candidates are not."""
     heard = rollup_1m.groupBy("endpoint_id").agg(F.sum("n").alias("packets"), F.min("bucket").alias("first_minute"), F.max("bucket").alias("last_minute"))
     moved = deltas.groupBy("endpoint_id").agg(F.sum("delta").alias("movement"))
     sources = coverage.groupBy("endpoint_id").agg(F.count("*").alias("sources"))
     rows = heard.join(moved, "endpoint_id", "left").join(sources, "endpoint_id", "left").join(index.select("endpoint_id", "msg_type", "endpoint_type"), "endpoint_id").join(meters, "endpoint_id", "left")
     hours = (F.col("last_minute").cast("double") - F.col("first_minute").cast("double")) / 3600.0
-    rows = rows.withColumn("packets_per_hour", F.col("packets") / F.when(hours > 0, hours).otherwise(1 / 3600.0)).withColumn("commodity", commodity(F.col("endpoint_type")))
+    rows = rows.withColumn("packets_per_hour", round_half_away(F.col("packets") / F.when(hours > 0, hours).otherwise(1 / 3600.0), 2)).withColumn("commodity", commodity(F.col("endpoint_type")))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = rows if msg_type is None else rows.where(F.col("msg_type") == msg_type)
     rows = rows.where(F.col("commodity") == "electric") if electric_only else rows
     rows = rows if include_ignored else rows.where(~flag("ignored"))
-    rows = rows.where(flag("is_candidate") | flag("is_mine")) if tracked_only else rows
+    rows = rows.where(flag("is_mine")) if tracked_only else rows
     rows = rows.where(flag("publish")) if published_only else rows
     rows = rows.select("endpoint_id", "msg_type", "commodity", "label", "packets", F.coalesce("sources", F.lit(0)).cast("long").alias("sources"), "first_minute", "last_minute", "movement", "packets_per_hour")
     return rows.orderBy(F.coalesce("movement", F.lit(0.0)).desc(), "endpoint_id")
@@ -71,26 +73,57 @@ def period_slots(anchors: DataFrame, view: str, tz: str = "UTC") -> DataFrame:
     return rows.select("anchor", "slot", utc(F.col("at")).alias("start"), utc(F.col("at") + one).alias("end"))
 
 
-def consumption_page(deltas: DataFrame, meters: DataFrame, slots: DataFrame) -> DataFrame:
-    """U4: (endpoint_id, slot, start, value, packets) of every meter in `meters` and every slot; value is
-    movement x pub_multiplier, null where there is no data. Cut the deltas to the page and its look-back."""
-    got = range_join(deltas, slots, "hb").groupBy("endpoint_id", "slot").agg(F.sum("delta").alias("d"), F.sum("n").alias("packets"))
-    own = meters.select("endpoint_id", F.coalesce("pub_multiplier", F.lit(1.0)).alias("mult"))
-    page = slots.agg(F.collect_list(F.struct("slot", "start")).alias("slots"))  # one row: the slots of one page
-    every = own.join(F.broadcast(page)).select("endpoint_id", "mult", F.inline("slots"))
-    return every.join(got, ["endpoint_id", "slot"], "left").select("endpoint_id", "slot", "start", (F.col("d") * F.col("mult")).alias("value"), F.coalesce("packets", F.lit(0)).cast("long").alias("packets"))
+def page_deltas(rollup_1h: DataFrame, index: DataFrame, view: str, anchor: Column, tz: str = "UTC", params: Params = DEFAULTS) -> DataFrame:
+    """D4 of one page: steps of the period's hours, bounded by what the period and its look-back hold."""
+    _, lo, hi = period_bounds(view, anchor, tz)
+    lo, hi = F.to_utc_timestamp(lo, tz), F.to_utc_timestamp(hi, tz)
+    cut = rollup_1h.where((F.col("bucket") >= lo - F.expr(f"INTERVAL {params.lookback_h} HOURS")) & (F.col("bucket") < hi))
+    return hourly_deltas(cut, index, params).where(F.col("hb") >= lo)
 
 
-def page_totals(page: DataFrame, previous: DataFrame) -> DataFrame:
-    """Total, previous period's total and coverage of each meter's page."""
-    now = page.groupBy("endpoint_id").agg(F.sum("value").alias("total"), (F.count("value") / F.count("*")).alias("coverage"))
-    return now.join(previous.groupBy("endpoint_id").agg(F.sum("value").alias("previous_total")), "endpoint_id", "left")
+def calibration(meters: DataFrame) -> DataFrame:
+    """(endpoint_id, mult): a meter's multiplier counts if it has a unit."""
+    calibrated = F.coalesce("pub_unit", F.lit("")) != ""
+    return meters.select("endpoint_id", F.when(calibrated, F.coalesce("pub_multiplier", F.lit(1.0))).otherwise(1.0).alias("mult"))
 
 
-def overlay(slots: DataFrame, hourly: DataFrame, name: str) -> DataFrame:
-    """Slots with kWh of an hourly series(hour, kwh) added up in each."""
-    got = range_join(hourly, slots, "hour").groupBy("slot", "start").agg(F.sum("kwh").alias(name))
-    return slots.select("slot", "start").join(got, ["slot", "start"], "left")
+def consumption_page(deltas: DataFrame, meters: DataFrame, slots: DataFrame) -> DataFrame:
+    """U4: (endpoint_id, slot, start, value, packets) of every meter in `meters` and every slot; value is
+    movement by the meter's calibration, null where there is no data. deltas are those of page_deltas."""
+    got = range_join(deltas, slots, "hb").groupBy("endpoint_id", "slot").agg(F.sum("delta").alias("d"), F.sum("n").alias("packets"))
+    page = slots.agg(F.collect_list(F.struct("slot", "start")).alias("slots"))  # one row: the slots of one page
+    every = calibration(meters).join(F.broadcast(page)).select("endpoint_id", "mult", F.inline("slots"))
+    return every.join(got, ["endpoint_id", "slot"], "left").select("endpoint_id", "slot", "start", round_half_away(F.col("d") * F.col("mult"), 3).alias("value"), F.coalesce("packets", F.lit(0)).cast("long").alias("packets"))
+
+
+def page_totals(page: DataFrame, rollup_1h: DataFrame, index: DataFrame, meters: DataFrame, view: str, anchor: Column, as_of: Column, tz: str = "UTC", params: Params = DEFAULTS) -> DataFrame:
+    """What stands around a page, a row a meter: total and mean of an elapsed day (null without data), coverage of
+    its slots, the previous period's total, and the local days that the pages before and after start with
+    (null: nothing there yet)."""
+    bounds = period_bounds(view, anchor, tz)
+    before, lo, hi = (F.to_utc_timestamp(c, tz) for c in bounds)
+    now = page.groupBy("endpoint_id").agg(round_half_away(F.sum("value"), 3).alias("total"), F.sum("value").alias("__sum"), round_half_away(F.count("value") / F.count("*"), 3).alias("coverage"))
+    span = page.sparkSession.range(1).select(F.lit("previous").alias("span"), before.alias("start"), lo.alias("end"))
+    previous = movement_between(rollup_1h, index, span, params).select("endpoint_id", "movement")
+    rows = now.join(calibration(meters), "endpoint_id").join(previous, "endpoint_id", "left").join(index.select("endpoint_id", "first_seen"), "endpoint_id", "left")
+    until = F.when((as_of < hi) & (as_of > lo), as_of).otherwise(hi)
+    days = F.greatest((until.cast("double") - lo.cast("double")) / 86400.0, F.lit(1 / 24.0))
+    earlier = F.col("first_seen").isNull() | (lo > F.col("first_seen"))
+    return rows.select(
+        "endpoint_id", "total", round_half_away(F.col("__sum") / days, 3).alias("avg_per_day"), "coverage", round_half_away(F.col("movement") * F.col("mult"), 3).alias("previous_total"),
+        F.when(earlier, F.to_date(bounds[0])).alias("prev_anchor"), F.when(hi <= as_of, F.to_date(bounds[2])).alias("next_anchor"),
+    )
+
+
+def overlay(slots: DataFrame, hourly: DataFrame, estimate: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
+    """Slots with monitored kWh, an hourly series(hour, kwh) added up in each, and, on pages of days, the
+    bills' kWh of each day, of daily_estimate_range(day, kwh)."""
+    got = range_join(hourly, slots, "hour").groupBy("slot", "start").agg(round_half_away(F.sum("kwh"), 3).alias("monitored"))
+    rows = slots.select("slot", "start").join(got, ["slot", "start"], "left")
+    if estimate is None:
+        return rows.withColumn("bill", F.lit(None).cast("double"))
+    billed = estimate.groupBy("day").agg(round_half_away(F.sum("kwh"), 3).alias("bill"))
+    return rows.withColumn("day", local_day(F.col("start"), tz)).join(billed, "day", "left").drop("day")
 
 
 def profile(deltas: DataFrame, by: tuple[str, ...], tz: str = "UTC") -> DataFrame:
@@ -158,15 +191,22 @@ def published_feed(readings: DataFrame, meters: DataFrame, as_of: Column) -> Dat
     return rows.select("endpoint_id", "pub_name", "pub_unit", "ts", (F.col("consumption") * F.col("mult")).alias("energy"), "power", F.coalesce("signal", F.lit(0)).cast("long").alias("signal"))
 
 
-def overview(movement: DataFrame, meters: DataFrame, power: DataFrame, tariff: float) -> DataFrame:
-    """From movement(endpoint_id, span, movement) over the spans today, week and month: the user's
-    and the published meters with movement x multiplier, rate, and what today costs."""
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = meters.where(~flag("ignored") & (flag("is_mine") | flag("publish") | (flag("is_candidate") & (F.coalesce("label", F.lit("")) != ""))))
+def overview(movement: DataFrame, meters: DataFrame, index: DataFrame, power: DataFrame, tariff: float) -> DataFrame:
+    """From movement(endpoint_id, span, movement) over the spans today, week and month: the user's meter
+    with all three, and each published meter with today's, times the multiplier; the rate, and what today costs:
+    of electric published meters, and of the user's if it is calibrated. A meter that is both stands twice."""
+    mine = my_meter(meters).withColumn("role", F.lit("mine"))
+    own = meters.where(F.coalesce("publish", F.lit(False))).withColumn("role", F.lit("published")).unionByName(mine)
+    own = own.join(index.select("endpoint_id", "endpoint_type"), "endpoint_id", "left")
     mult = F.coalesce("pub_multiplier", F.lit(1.0))
     by = movement.groupBy("endpoint_id").pivot("span", ["today", "week", "month"]).agg(F.sum("movement"))
     rows = own.join(by, "endpoint_id", "left").join(power, "endpoint_id", "left")
-    return rows.select("endpoint_id", "label", *[(F.col(s) * mult).alias(s) for s in ("today", "week", "month")], "power", (F.col("today") * mult * F.lit(float(tariff))).alias("cost_today"))
+    value = lambda s: round_half_away(F.coalesce(F.col(s), F.lit(0.0)) * mult, 3)
+    is_mine = F.col("role") == "mine"
+    costs = F.when(is_mine, F.coalesce("pub_unit", F.lit("")) != "").otherwise(commodity(F.col("endpoint_type")) == "electric")
+    cost = F.when(costs & F.lit(tariff > 0), round_half_away(value("today") * tariff, 2)).otherwise(0.0)
+    name = F.when(is_mine, F.col("label")).otherwise(F.coalesce("pub_name", F.lit("")))
+    return rows.select("role", "endpoint_id", name.alias("name"), value("today").alias("today"), *[F.when(is_mine, value(s)).alias(s) for s in ("week", "month")], round_half_away(F.col("power"), 3).alias("power"), cost.alias("cost_today"))
 
 
 def local_series(rolled: DataFrame, minutes: int) -> DataFrame:

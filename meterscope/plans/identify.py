@@ -178,14 +178,15 @@ def _folded(conf: Column) -> Column:
 
 def cross_corr_lag(aligned: DataFrame, ids: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Lag in buckets of the highest correlation of each meter with the feed, in each window, the first of
-    equals. One exploded self-join on (meter, place + lag); 11 rows a row, whatever the length."""
+    equals; of series with lag_least points at all. One exploded self-join on (meter, place + lag); 11 rows a
+    row, whatever the length."""
     keys = _keys(aligned)
     rows = aligned if ids is None else aligned.join(ids, keys, "left_semi")
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
+    rows = rows.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")), "__n": F.count("*").over(Window.partitionBy(*keys))}).where(C("__n") >= params.lag_least)
     lags = F.explode(F.array(*[F.lit(k) for k in range(-params.max_lag, params.max_lag + 1)]))
     left = rows.select(*keys, "y", C("i").alias("at"), lags.alias("lag")).withColumn("i", C("at") - C("lag"))
     both = left.join(rows.select(*keys, "i", "x"), [*keys, "i"])
-    rs = both.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.coalesce(correlation(), F.lit(0.0)).alias("r")).where(C("n") >= params.lag_least)
+    rs = both.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.coalesce(correlation(), F.lit(0.0)).alias("r"))
     best = rs.groupBy(*keys).agg(F.max(F.struct(F.round("r", 12).alias("r"), (-C("lag")).alias("minus"), "n")).alias("b"))
     return best.select(*keys, (-C("b.minus")).alias("lag"), C("b.r").alias("lag_r"), C("b.n").alias("points"))
 
@@ -266,8 +267,8 @@ def aggregate_confidence(rows: DataFrame) -> DataFrame:
 
 
 def utility_only_confidence(cov: Column, r: Column, buckets: Column) -> Column:
-    """What bills alone give, 0.7 at most."""
-    stability = F.coalesce(clamp01(1 - cov), F.lit(0.5))
+    """What bills alone give, 0.7 at most; a variation that is not known counts half."""
+    stability = F.when(cov.isNull(), 0.5).otherwise(clamp01(1 - cov))
     c = stability * (0.5 + 0.5 * F.least(F.lit(1.0), buckets / 3.0))
     c = F.when(r.isNotNull(), 0.5 * c + 0.5 * clamp01(r)).otherwise(c)
     return round_half_away(0.7 * c, 3)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ class Data:
     bills = property(lambda s: fx.bills(s.spark, s.dir))
     monthly = property(lambda s: fx.monthly_bills(s.spark, s.dir))
     long = property(lambda s: fx.readings_long(s.spark, s.dir))
+    long_days = property(lambda s: G.monitored_daily_kwh(G.per_entity(G.gapfill(fx.samples_long(s.spark, s.dir)))))
     events = property(lambda s: fx.events(s.spark, s.dir))
     devices = property(lambda s: fx.devices(s.spark, s.dir))
     index = property(lambda s: R.meter_index(s.readings))
@@ -87,9 +89,9 @@ add("r2_meter_source", lambda d: d.coverage, _base(RD) + "SELECT endpoint_id, so
 add("r3_source_heartbeat", lambda d: R.source_heartbeat(d.readings), _base(RD) + "SELECT source, max(ts) AS last_ts, count(*)::BIGINT AS total_count FROM readings GROUP BY 1")
 _zeroed = lambda d: d.readings.withColumn("consumption", F.when(C("event_id") % 50 == 0, 0.0).otherwise(C("consumption")))
 add("r4_scrub_zeros", lambda d: R.meter_index(R.scrub_zeros(_zeroed(d))).select("endpoint_id", "packets", "min_consumption", "max_consumption"), _base(RD) + "SELECT endpoint_id, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM readings WHERE event_id % 50 <> 0 GROUP BY 1")
-add("r5_retention", lambda d: R.keep_newer(d.readings, AS_OF(), 10).groupBy("endpoint_id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest")), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS n, min(ts) AS oldest FROM readings WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days' GROUP BY 1")
-add("r6_drop_source", lambda d: R.drop_source(d.readings, "click").groupBy("source").agg(F.count("*").alias("n")), _base(RD) + "SELECT source, count(*)::BIGINT AS n FROM readings WHERE source <> 'click' GROUP BY 1")
-add("r7_purge_meters", lambda d: R.purge_meters(d.readings, d.meters.where("ignored")).groupBy("endpoint_id").agg(F.count("*").alias("n")), _base(RD) + "SELECT endpoint_id, count(*)::BIGINT AS n FROM readings WHERE endpoint_id <> 1005 GROUP BY 1")
+add("r5_retention", lambda d: R.keep_newer(d.readings, AS_OF(), 10), _base(RD) + f"SELECT * FROM readings WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days'")
+add("r6_drop_source", lambda d: R.drop_source(d.readings, "click"), _base(RD) + "SELECT * FROM readings WHERE source <> 'click'")
+add("r7_purge_meters", lambda d: R.purge_meters(d.readings, d.meters.where("ignored")), _base(RD) + "SELECT * FROM readings WHERE endpoint_id <> 1005")
 _patch = lambda d: d.readings.where("endpoint_type = 2").groupBy("endpoint_id").agg(F.lit("gas").alias("label"), F.lit(True).alias("is_candidate")).unionByName(d.spark.createDataFrame([(1002, "mine", None)], "endpoint_id long, label string, is_candidate boolean"))
 add("r8_update_annotations", lambda d: R.update_annotations(d.meters, _patch(d)).select("endpoint_id", "label", "notes", "is_candidate", "publish"),
     _base(RD, fx.METERS) + "SELECT COALESCE(p.endpoint_id, m.endpoint_id) AS endpoint_id, COALESCE(p.label, m.label) AS label, m.notes, COALESCE(p.c, m.is_candidate) AS is_candidate, m.publish FROM meters m FULL JOIN (SELECT DISTINCT endpoint_id, 'gas' AS label, TRUE AS c FROM readings WHERE endpoint_type = 2 UNION ALL SELECT 1002::BIGINT, 'mine', NULL) p ON m.endpoint_id = p.endpoint_id")
@@ -101,6 +103,7 @@ add("r12_refresh_rollup", lambda d: D.refresh_rollup(D.rollup(d.readings.where("
     _base(IX) + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE event_id % 2 = 0 OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') GROUP BY 1, 2")
 add("r13_realtime_rollup", lambda d: D.realtime_rollup(D.rollup(d.readings.where(C("ts") < _mid()), 60), d.readings, 60, _mid()), _base(IX) + "SELECT * FROM r1h")
 add("r14_table_stats", lambda d: R.table_stats({"readings": d.readings}, d.readings)[1], _base(RD) + "SELECT source, count(*)::BIGINT AS rows, min(ts) AS oldest, max(ts) AS newest FROM readings GROUP BY 1")
+add("r14_table_rows", lambda d: R.table_stats({"readings": d.readings, "samples": d.samples, "hvac": d.hvac}, d.readings)[0], _base(RD, fx.SAMPLES) + "SELECT 'readings' AS name, count(*)::BIGINT AS rows FROM readings UNION ALL SELECT 'samples', count(*)::BIGINT FROM samples UNION ALL SELECT 'hvac', count(*)::BIGINT FROM hvac")
 add("r15_data_span", lambda d: R.data_span(d.index), _base(RD) + "SELECT min(ts) AS first_seen, max(ts) AS last_seen FROM readings")
 
 # deltas
@@ -144,9 +147,9 @@ add("s11_resolve_period", lambda d: S.resolve_period(d.bills.unionByName(d.month
 add("s12_upsert_utility", lambda d: S.upsert_utility(d.bills, d.bills.where(F.dayofmonth("ts") <= 10).withColumn("kwh", F.lit(1.5))), _base(fx.BILLS) + "SELECT statistic_id, period, ts, CASE WHEN day(ts) <= 10 THEN 1.5::DOUBLE ELSE kwh END AS kwh FROM bills")
 add("s13_keep_only_utility", lambda d: S.keep_only_utility(d.bills.unionByName(d.monthly), "bill.day", "day"), _base(fx.BILLS) + "SELECT * FROM bills")
 _back = lambda d: d.samples.withColumn("src", F.when(F.minute("ts") < 30, "lts_backfill").otherwise("live"))
-add("s14_replace_backfill", lambda d: S.replace_backfill(_back(d), "sensor.click", _mid(), AS_OF(), d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click"))).groupBy("entity_id", "src").agg(F.count("*").alias("n")),
-    _base(fx.SAMPLES) + f"""SELECT entity_id, src, count(*)::BIGINT AS n FROM (SELECT entity_id, CASE WHEN minute(ts) < 30 THEN 'lts_backfill' ELSE 'live' END AS src FROM samples
-    WHERE NOT (minute(ts) < 30 AND entity_id = 'sensor.click' AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL}) UNION ALL SELECT 'sensor.click', 'lts_backfill' FROM samples WHERE entity_id = 'sensor.view') GROUP BY 1, 2""")
+add("s14_replace_backfill", lambda d: S.replace_backfill(_back(d), "sensor.click", _mid(), AS_OF(), d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click"))),
+    _base(fx.SAMPLES) + f"""SELECT ts, entity_id, power_w, CASE WHEN minute(ts) < 30 THEN 'lts_backfill' ELSE 'live' END AS src FROM samples
+    WHERE NOT (minute(ts) < 30 AND entity_id = 'sensor.click' AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL}) UNION ALL SELECT ts, 'sensor.click', power_w, 'lts_backfill' FROM samples WHERE entity_id = 'sensor.view'""")
 _means = lambda d: d.samples.groupBy("entity_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("power_w").alias("mean")).withColumns({"kind": F.lit("power"), "change": F.lit(None).cast("double")})
 add("s16_expand_hourly_means", lambda d: S.expand_hourly_means(_means(d), d.samples.select("entity_id", _mid().alias("lo"), (_mid() + F.expr("INTERVAL 90 MINUTES")).alias("hi")).distinct()),
     _base(fx.SAMPLES) + "SELECT entity_id, ts, power_w FROM (SELECT entity_id, unnest(generate_series(h, h + INTERVAL '55 minutes', INTERVAL '5 minutes')) AS ts, greatest(0, p) AS power_w FROM (SELECT entity_id, date_trunc('hour', ts)::TIMESTAMP AS h, avg(power_w) AS p FROM samples GROUP BY 1, 2)) WHERE ts >= TIMESTAMP '2024-01-15' AND ts <= TIMESTAMP '2024-01-15 01:30:00'", "power_w")
@@ -157,9 +160,9 @@ add("s17_expand_hvac_history", lambda d: S.expand_hvac_history(_acts(d), _mid(),
     SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL '60 minutes')) AS ts, action FROM b WHERE lo <= hi AND action <> ''""")
 
 # the monitored feed
-add("g1_gapfill", lambda d: G.gapfill(d.samples).groupBy("entity_id", F.to_date("mt").alias("day")).agg(F.count("*").alias("minutes"), F.sum("w").alias("w")), _base(FL) + "SELECT entity_id, mt::DATE AS day, count(*)::BIGINT AS minutes, sum(w) AS w FROM fill GROUP BY 1, 2", "w")
-add("g3_hvac_power", lambda d: G.hvac_power(d.hvac, 3.0, 2.0).groupBy(F.to_date("mt").alias("day")).agg(F.count("*").alias("minutes"), F.sum("w").alias("w")), _base(FL) + "SELECT mt::DATE AS day, count(*)::BIGINT AS minutes, sum(w) AS w FROM hfill GROUP BY 1", "w")
-add("g4_per_entity", lambda d: d.entities.groupBy("is_hvac", "entity_id").agg(F.count("*").alias("minutes")), _base(FL) + "SELECT is_hvac, entity_id, count(*)::BIGINT AS minutes FROM ent GROUP BY 1, 2")
+add("g1_gapfill", lambda d: G.gapfill(d.samples), _base(FL) + "SELECT entity_id, mt, w FROM fill", "w")
+add("g3_hvac_power", lambda d: G.hvac_power(d.hvac, 3.0, 2.0), _base(FL) + "SELECT entity_id, mt, w FROM hfill", "w")
+add("g4_per_entity", lambda d: d.entities, _base(FL) + "SELECT * FROM ent", "w")
 add("g5_monitored_energy", lambda d: G.monitored_energy(d.entities), _base(FL) + "SELECT floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS kwh FROM tot", "kwh")
 add("g6_entity_energy", lambda d: G.entity_energy(d.entities), _base(FL) + "SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS kwh FROM fill GROUP BY 1", "kwh")
 add("g7_monitored_cv", lambda d: G.monitored_cv(d.entities), _base(FL) + "SELECT floor(stddev_samp(w) / avg(w) * 1000 + 0.5::DOUBLE) / 1000 AS cv FROM tot WHERE w > 0", "cv")
@@ -179,7 +182,14 @@ add("g14_plan_backfill", lambda d: G.plan_backfill(d.samples, _early(), 120, AS_
     _base(fx.SAMPLES) + f""", gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples),
     gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS e FROM gm UNION ALL SELECT entity_id, max(m), {AS_OF_SQL} FROM gm GROUP BY 1 UNION ALL SELECT entity_id, TIMESTAMP '2023-12-25', min(ts) FROM samples GROUP BY 1)
     SELECT entity_id, start, least(e, {AS_OF_SQL}) AS "end" FROM gp WHERE epoch(e) - epoch(start) > 120 * 60 AND start < least(e, {AS_OF_SQL})""")
-add("g15_reference_health", lambda d: G.reference_health(d.samples, _cap()).select("entity_id", "last_ts", "stale"), _base(fx.SAMPLES) + "SELECT entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM samples GROUP BY 1")
+add(
+    "g15_reference_health",
+    lambda d: G.reference_health(d.samples, _cap()),
+    _base(fx.SAMPLES)
+    + """, wm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples WHERE ts >= TIMESTAMP '2024-01-24 12:00:00'),
+    wg AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS a, m AS b FROM wm UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM wm GROUP BY 1)
+    SELECT s.entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale, (SELECT count(*) FROM wg WHERE wg.entity_id = s.entity_id AND epoch(b) - epoch(a) > 1800)::BIGINT AS gaps FROM samples s GROUP BY 1""",
+)
 add("g16_hvac_status", lambda d: G.hvac_status(d.hvac, _cap()), _base(fx.SAMPLES) + "SELECT entity_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(action, (ts, action)) AS action, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM hvac GROUP BY 1")
 
 # usage
@@ -187,18 +197,89 @@ _LOCAL = f"((hb AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')"
 add("u1_leaderboard", lambda d: U.leaderboard(d.r1m, d.hourly, d.coverage, d.index, d.meters),
     _base(IX, fx.METERS) + """, q AS (SELECT endpoint_id, sum(n)::BIGINT AS packets, min(bucket) AS first_minute, max(bucket) AS last_minute FROM r1m GROUP BY 1)
     SELECT q.endpoint_id, msg_type, commodity, label, q.packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = q.endpoint_id)::BIGINT AS sources, first_minute, last_minute, (SELECT sum(delta) FROM hd WHERE hd.endpoint_id = q.endpoint_id) AS movement,
-    q.packets / CASE WHEN epoch(last_minute) > epoch(first_minute) THEN (epoch(last_minute) - epoch(first_minute)) / 3600.0::DOUBLE ELSE 1 / 3600.0::DOUBLE END AS packets_per_hour
+    floor(q.packets / CASE WHEN epoch(last_minute) > epoch(first_minute) THEN (epoch(last_minute) - epoch(first_minute)) / 3600.0::DOUBLE ELSE 1 / 3600.0::DOUBLE END * 100 + 0.5::DOUBLE) / 100 AS packets_per_hour
     FROM q JOIN mi ON mi.endpoint_id = q.endpoint_id JOIN com ON com.endpoint_id = q.endpoint_id LEFT JOIN meters ON meters.endpoint_id = q.endpoint_id WHERE NOT COALESCE(ignored, FALSE)""", "packets_per_hour")
-add("u2_meter_series", lambda d: U.meter_series(d.r1h.where("endpoint_id < 1006"), d.index, 360), _base(IX, fx.SIX) + "SELECT endpoint_id, bucket, cmax, n, delta FROM step6 WHERE endpoint_id < 1006")
+_OPTIONS = ("electric_only", "include_ignored", "tracked_only", "published_only")
+
+
+def _leaderboards(d: Data) -> DataFrame:
+    rows = [U.leaderboard(d.r1m, d.hourly, d.coverage, d.index, d.meters, **{o: True}).select(F.lit(o).alias("option"), "endpoint_id", "movement", "packets_per_hour") for o in _OPTIONS]
+    rows.append(U.leaderboard(d.r1m, d.hourly, d.coverage, d.index, d.meters, msg_type="SCM").select(F.lit("msg_type").alias("option"), "endpoint_id", "movement", "packets_per_hour"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+add(
+    "u1_leaderboard_options",
+    _leaderboards,
+    _base(IX, fx.METERS)
+    + """, q AS (SELECT mi.endpoint_id, msg_type, commodity, COALESCE(ignored, FALSE) AS ignored, COALESCE(is_mine, FALSE) AS mine, COALESCE(publish, FALSE) AS pub, p.n, p.h,
+        (SELECT sum(delta) FROM hd WHERE hd.endpoint_id = mi.endpoint_id) AS movement
+      FROM (SELECT endpoint_id, sum(n) AS n, (epoch(max(bucket)) - epoch(min(bucket))) / 3600.0::DOUBLE AS h FROM r1m GROUP BY 1) p JOIN mi ON mi.endpoint_id = p.endpoint_id
+      JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id),
+    o AS (SELECT *, unnest(['electric_only', 'include_ignored', 'tracked_only', 'published_only', 'msg_type']) AS option FROM q)
+    SELECT option, endpoint_id, movement, floor(n / CASE WHEN h > 0 THEN h ELSE 1 / 3600.0::DOUBLE END * 100 + 0.5::DOUBLE) / 100 AS packets_per_hour FROM o
+    WHERE CASE option WHEN 'electric_only' THEN commodity = 'electric' AND NOT ignored WHEN 'include_ignored' THEN TRUE WHEN 'tracked_only' THEN mine AND NOT ignored
+      WHEN 'published_only' THEN pub AND NOT ignored ELSE msg_type = 'SCM' AND NOT ignored END""",
+    "packets_per_hour:2",
+)
+add("u2_meter_series", lambda d: U.meter_series(d.r1h, d.index, 360), _base(IX, fx.SIX) + "SELECT endpoint_id, bucket, cmax, n, delta FROM step6")
 add("u3_multi_series", lambda d: U.multi_series(d.r1h, d.index, 360), _base(IX, fx.SIX) + "SELECT endpoint_id, bucket, delta AS value FROM step6 WHERE delta > 0")
-_page = lambda d, view: U.period_slots(d.index.agg(F.lit("2024-01-17 15:00:00").cast("timestamp").alias("anchor")), view, TZ)
-add("u4_consumption_page", lambda d: U.consumption_page(d.hourly, d.meters, _page(d, "week")),
-    _base(IX, fx.METERS) + f""", slots AS (SELECT i AS slot, ((TIMESTAMP '2024-01-14' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS start, ((TIMESTAMP '2024-01-15' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS "end" FROM (SELECT unnest(range(7))::INT AS i))
-    SELECT m.endpoint_id, s.slot, s.start, (SELECT sum(delta) FROM hd WHERE hd.endpoint_id = m.endpoint_id AND hb >= s.start AND hb < s."end") * pub_multiplier AS value, COALESCE((SELECT sum(n) FROM hd WHERE hd.endpoint_id = m.endpoint_id AND hb >= s.start AND hb < s."end"), 0)::BIGINT AS packets FROM meters m CROSS JOIN slots s""", "value")
-add("u5_period_slots", lambda d: _page(d, "month").select("slot", "start", "end"), f"""SELECT i AS slot, ((TIMESTAMP '2024-01-01' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS start, ((TIMESTAMP '2024-01-02' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS "end" FROM (SELECT unnest(range(31))::INT AS i)""")
-add("u6_overlay", lambda d: U.overlay(_page(d, "month"), G.monitored_hourly_kwh(d.entities), "kwh"),
-    _base(FL) + f""", slots AS (SELECT i AS slot, ((TIMESTAMP '2024-01-01' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS start, ((TIMESTAMP '2024-01-02' + i * INTERVAL '1 day') AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC' AS "end" FROM (SELECT unnest(range(31))::INT AS i))
-    SELECT slot, start, sum(w) / 60000 AS kwh FROM slots LEFT JOIN ent ON mt >= start AND mt < "end" GROUP BY 1, 2""", "kwh:9")
+_ANCHOR = lambda: F.lit("2024-01-17 15:00:00").cast("timestamp")
+_slots = lambda d, view: U.period_slots(d.index.agg(_ANCHOR().alias("anchor")), view, TZ)
+_page = lambda d: U.consumption_page(U.page_deltas(d.r1h, d.index, "week", _ANCHOR(), TZ), d.meters, _slots(d, "week"))
+_UTC = lambda t: f"(({t}) AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC'"
+#: D4 of the hours of a span and its look-back, for span bounds in SQL.
+_SPAN_HD = lambda name, lo, hi: f"""
+{name}x AS (SELECT r.endpoint_id, r.bucket, n, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+  FROM r1h r JOIN mi ON mi.endpoint_id = r.endpoint_id WHERE r.bucket >= {lo} - INTERVAL '48 hours' AND r.bucket < {hi}),
+{name}y AS (SELECT *, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM {name}x),
+{name}z AS (SELECT endpoint_id, quantile_cont(delta, 0.5) AS md, count(*) AS pn FROM {name}y WHERE delta > 0 GROUP BY 1),
+{name} AS (SELECT y.endpoint_id, y.bucket AS hb, y.n, y.delta FROM {name}y y LEFT JOIN {name}z z ON z.endpoint_id = y.endpoint_id
+  WHERE y.bucket >= {lo} AND delta <= CASE WHEN COALESCE(pn, 0) >= 3 THEN greatest(md * 50, 1000) ELSE 1000 END),
+"""
+_CALIBRATED = "cal AS (SELECT endpoint_id, CASE WHEN COALESCE(pub_unit, '') <> '' THEN pub_multiplier ELSE 1.0::DOUBLE END AS mult FROM meters),"
+_WEEK = (
+    _SPAN_HD("wk", _UTC("TIMESTAMP '2024-01-14'"), _UTC("TIMESTAMP '2024-01-21'"))
+    + _CALIBRATED
+    + f"""
+slots AS (SELECT i AS slot, {_UTC("TIMESTAMP '2024-01-14' + i * INTERVAL '1 day'")} AS start, {_UTC("TIMESTAMP '2024-01-15' + i * INTERVAL '1 day'")} AS "end" FROM (SELECT unnest(range(7))::INT AS i)),
+pg AS (SELECT m.endpoint_id, s.slot, s.start, floor(sum(delta) * any_value(mult) * 1000 + 0.5::DOUBLE) / 1000 AS value, COALESCE(sum(n), 0)::BIGINT AS packets
+  FROM cal m CROSS JOIN slots s LEFT JOIN wk ON wk.endpoint_id = m.endpoint_id AND hb >= s.start AND hb < s."end" GROUP BY 1, 2, 3),
+"""
+)
+add("u4_consumption_page", _page, _base(IX, fx.METERS, _WEEK) + "SELECT * FROM pg", "value")
+add(
+    "u4_page_totals",
+    lambda d: U.page_totals(_page(d), d.r1h, d.index, d.meters, "week", _ANCHOR(), AS_OF(), TZ),
+    _base(IX, fx.METERS, _WEEK, _SPAN_HD("pw", _UTC("TIMESTAMP '2024-01-07'"), _UTC("TIMESTAMP '2024-01-14'")))
+    + f""", now AS (SELECT endpoint_id, sum(value) AS s, count(value) / 7.0::DOUBLE AS c FROM pg GROUP BY 1), pt AS (SELECT endpoint_id, sum(delta) AS s FROM pw GROUP BY 1)
+    SELECT now.endpoint_id, floor(now.s * 1000 + 0.5::DOUBLE) / 1000 AS total, floor(now.s / 7 * 1000 + 0.5::DOUBLE) / 1000 AS avg_per_day, floor(c * 1000 + 0.5::DOUBLE) / 1000 AS coverage,
+      floor(pt.s * mult * 1000 + 0.5::DOUBLE) / 1000 AS previous_total, CASE WHEN first_seen IS NULL OR {_UTC("TIMESTAMP '2024-01-14'")} > first_seen THEN DATE '2024-01-07' END AS prev_anchor, DATE '2024-01-21' AS next_anchor
+    FROM now JOIN cal ON cal.endpoint_id = now.endpoint_id LEFT JOIN pt ON pt.endpoint_id = now.endpoint_id LEFT JOIN mi ON mi.endpoint_id = now.endpoint_id""",
+    "total avg_per_day previous_total",
+)
+add(
+    "u5_period_slots",
+    lambda d: U.period_slots(d.monthly.select((C("ts") + F.expr("INTERVAL 14 DAYS")).alias("anchor")), "month", TZ),
+    _base(fx.BILLS)
+    + f"""SELECT ts + INTERVAL '14 days' AS anchor, (day(d) - 1)::INT AS slot, {_UTC("d")} AS start, {_UTC("d + INTERVAL '1 day'")} AS "end"
+    FROM (SELECT ts, unnest(generate_series(ts, ts + INTERVAL '1 month' - INTERVAL '1 day', INTERVAL '1 day')) AS d FROM mbills)""",
+)
+_PAGE_OF_BILLS = lambda: F.lit("1998-03-17 15:00:00").cast("timestamp")
+add(
+    "u6_overlay",
+    lambda d: U.overlay(
+        U.period_slots(d.monthly.agg(_PAGE_OF_BILLS().alias("anchor")), "month"),
+        G.monitored_hourly_kwh(G.per_entity(G.gapfill(fx.samples_long(d.spark, d.dir)))),
+        B.daily_estimate_range(_long_estimate(d), _rates(d), F.lit("1998-03-01").cast("date"), F.lit("1998-03-31").cast("date")),
+    ),
+    _base(fx.LONG, fx.BILLS)
+    + """, e AS (SELECT ts, kwh, lead(ts) OVER (ORDER BY ts) AS bend FROM mbills),
+    slots AS (SELECT i AS slot, TIMESTAMP '1998-03-01' + i * INTERVAL '1 day' AS start FROM (SELECT unnest(range(31))::INT AS i))
+    SELECT slot, start, floor(k * 1000 + 0.5::DOUBLE) / 1000 AS monitored, floor(kwh / ((epoch(bend) - epoch(ts)) / 86400.0::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS bill
+    FROM slots LEFT JOIN lref ON lref.day = start::DATE LEFT JOIN e ON start >= e.ts AND start < e.bend""",
+    "monitored bill",
+)
 add("u7_hour_profile", lambda d: U.profile(d.hourly, ("hour",), TZ), _base(IX) + f"SELECT endpoint_id, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
 add("u8_dow_profile", lambda d: U.profile(d.hourly, ("dow",), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
 add("u9_heatmap", lambda d: U.profile(d.hourly, ("dow", "hour"), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2, 3", "avg_delta")
@@ -223,53 +304,89 @@ def _overview_spans(d: Data) -> DataFrame:
     return d.spark.createDataFrame(rows, "span string, start string").select("span", C("start").cast("timestamp").alias("start"), AS_OF().alias("end"))
 
 
-add("u18_overview", lambda d: U.overview(D.movement_between(d.r1h, d.index, _overview_spans(d)), d.meters, U.derived_power(d.readings, d.meters), 0.2),
-    _base(IX, fx.METERS) + _TWO + f""", sp(span, s0) AS (VALUES ('today', TIMESTAMP '2024-01-30'), ('week', TIMESTAMP '2024-01-28'), ('month', TIMESTAMP '2024-01-01')),
-    x AS (SELECT span, r.endpoint_id, r.bucket, s0, max_c - lag(max_c) OVER (PARTITION BY span, r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
-    FROM r1h r JOIN sp ON r.bucket >= s0 - INTERVAL '48 hours' AND r.bucket < {AS_OF_SQL} JOIN mi ON mi.endpoint_id = r.endpoint_id),
-    y AS (SELECT *, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM x),
-    z AS (SELECT span, endpoint_id, quantile_cont(delta, 0.5) AS md, count(*) AS pn FROM y WHERE delta > 0 GROUP BY 1, 2),
-    mv AS (SELECT y.endpoint_id, y.span, sum(delta) AS m FROM y LEFT JOIN z ON y.span = z.span AND y.endpoint_id = z.endpoint_id WHERE y.bucket >= s0 AND delta <= CASE WHEN COALESCE(pn, 0) >= 3 THEN greatest(md * 50, 1000) ELSE 1000 END GROUP BY 1, 2),
-    pv AS (SELECT endpoint_id, max(m) FILTER (WHERE span = 'today') AS t, max(m) FILTER (WHERE span = 'week') AS w, max(m) FILTER (WHERE span = 'month') AS mo FROM mv GROUP BY 1)
-    SELECT m.endpoint_id, label, t * pub_multiplier AS today, w * pub_multiplier AS week, mo * pub_multiplier AS month, p * pub_multiplier AS power, t * pub_multiplier * 0.2::DOUBLE AS cost_today
-    FROM meters m LEFT JOIN pv ON pv.endpoint_id = m.endpoint_id LEFT JOIN pw ON pw.endpoint_id = m.endpoint_id WHERE NOT ignored AND (is_mine OR publish)""", "today week month power cost_today")
+add(
+    "u18_overview",
+    lambda d: U.overview(D.movement_between(d.r1h, d.index, _overview_spans(d)), d.meters, d.index, U.derived_power(d.readings, d.meters), 0.2),
+    _base(IX, fx.METERS, *[_SPAN_HD(n, f"TIMESTAMP '{t}'", AS_OF_SQL) for n, t in (("today", "2024-01-30"), ("week", "2024-01-28"), ("mon", "2024-01-01"))])
+    + _TWO
+    + """, who AS (SELECT 'published' AS role, * FROM meters WHERE publish UNION ALL SELECT 'mine' AS role, * FROM meters WHERE is_mine AND NOT ignored),
+    v AS (SELECT w.*, commodity, p * pub_multiplier AS pow, COALESCE((SELECT sum(delta) FROM today x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS t, COALESCE((SELECT sum(delta) FROM week x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS wk,
+        COALESCE((SELECT sum(delta) FROM mon x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS mo FROM who w LEFT JOIN com ON com.endpoint_id = w.endpoint_id LEFT JOIN pw ON pw.endpoint_id = w.endpoint_id),
+    r AS (SELECT *, floor(t * 1000 + 0.5::DOUBLE) / 1000 AS tr FROM v)
+    SELECT role, endpoint_id, CASE role WHEN 'mine' THEN label ELSE COALESCE(pub_name, '') END AS name, tr AS today, CASE role WHEN 'mine' THEN floor(wk * 1000 + 0.5::DOUBLE) / 1000 END AS week,
+      CASE role WHEN 'mine' THEN floor(mo * 1000 + 0.5::DOUBLE) / 1000 END AS month, sign(pow) * floor(abs(pow) * 1000 + 0.5::DOUBLE) / 1000 AS power,
+      CASE WHEN CASE role WHEN 'mine' THEN COALESCE(pub_unit, '') <> '' ELSE commodity = 'electric' END THEN floor(tr * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 ELSE 0.0::DOUBLE END AS cost_today FROM r""",
+    "today week month power cost_today",
+)
 
 # bills
-_BK = """, bk AS (SELECT * FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM bills) WHERE bend IS NOT NULL),
-ev2 AS (SELECT s.endpoint_id, b.statistic_id, b.bstart, b.bend, b.kwh, sum(delta) AS delta, count(*)::BIGINT AS covered_h, (epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE AS bucket_h FROM step1h s JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+_BK = """, late AS (SELECT * FROM bills WHERE ts >= TIMESTAMP '2024-01-08'), bk AS (SELECT * FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM late) WHERE bend IS NOT NULL),
+cut1h AS (SELECT r.endpoint_id, r.bucket, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+  FROM r1h r JOIN mi ON mi.endpoint_id = r.endpoint_id WHERE r.bucket >= (SELECT min(bstart) FROM bk) AND r.bucket < (SELECT max(bend) FROM bk)),
+stepb AS (SELECT endpoint_id, bucket, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM cut1h),
+ev2 AS (SELECT s.endpoint_id, b.statistic_id, b.bstart, b.bend, b.kwh, sum(delta) AS delta, count(*)::BIGINT AS covered_h, (epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE AS bucket_h FROM stepb s JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 evd AS (SELECT * FROM ev2 WHERE delta > 0)\n"""
-_buckets = lambda d: B.bill_buckets(d.bills)
+#: Bills that begin a week into the readings.
+_late = lambda d: d.bills.where(C("ts") >= F.lit("2024-01-08").cast("timestamp"))
+_buckets = lambda d: B.bill_buckets(_late(d))
 _evidence = lambda d: B.bill_evidence(d.r1h, d.index, _buckets(d))
-add("b1_bill_buckets", _buckets, _base(fx.BILLS) + "SELECT statistic_id, ts AS bstart, bend, kwh FROM (SELECT *, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend FROM bills) WHERE bend IS NOT NULL", "kwh")
+add("b1_bill_buckets", lambda d: B.bill_buckets(d.bills), _base(fx.BILLS) + "SELECT statistic_id, ts AS bstart, bend, kwh FROM (SELECT *, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend FROM bills) WHERE bend IS NOT NULL", "kwh")
 add("b2_bill_evidence", _evidence, _base(IX, fx.BILLS) + _BK + "SELECT * FROM evd", "kwh bucket_h")
-_SUM = """, sm AS (SELECT *, least(covered_h / bucket_h, 1) AS cov FROM evd), sn AS (SELECT *, kwh * cov / delta AS mult FROM sm), sp AS (SELECT endpoint_id, sum(mult * cov) / sum(cov) AS m, COALESCE(stddev_samp(mult), 0) AS sd, count(*)::BIGINT AS buckets,
+_SUM = """, sm AS (SELECT *, least(covered_h / bucket_h, 1) AS cov FROM evd), sn AS (SELECT *, kwh * cov / delta AS mult FROM sm), sp AS (SELECT endpoint_id, sum(mult * cov) / sum(cov) AS m, stddev_samp(mult) AS sd, count(*)::BIGINT AS buckets,
 CASE WHEN regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov) > 0 THEN regr_sxy(delta, kwh * cov) / sqrt(regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov)) END AS r FROM sn GROUP BY 1)\n"""
 add("b3_summarize_evidence", lambda d: B.summarize_evidence(_evidence(d)), _base(IX, fx.BILLS) + _BK + _SUM + "SELECT endpoint_id, floor(m * 100000000 + 0.5::DOUBLE) / 100000000 AS multiplier, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN sign(r) * floor(abs(r) * 1000 + 0.5::DOUBLE) / 1000 END AS r, buckets FROM sp", "multiplier cov r")
 add("b4_utility_compare", lambda d: B.utility_compare(_evidence(d), B.summarize_evidence(_evidence(d))), _base(IX, fx.BILLS) + _BK + _SUM + "SELECT sm.endpoint_id, bstart, kwh, floor(delta * (floor(m * 100000000 + 0.5::DOUBLE) / 100000000) * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh, floor(cov * 1000 + 0.5::DOUBLE) / 1000 AS coverage FROM sm JOIN sp ON sp.endpoint_id = sm.endpoint_id", "kwh metered_kwh coverage")
-_REC = ", rc AS (SELECT b.statistic_id, b.bstart, sum(delta * pub_multiplier) AS metered_kwh, least(count(DISTINCT s.bucket) / ((epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE), 1) AS coverage FROM step1h s JOIN meters m ON m.endpoint_id = s.endpoint_id JOIN com ON com.endpoint_id = s.endpoint_id JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL AND (publish OR is_mine) AND commodity = 'electric' GROUP BY b.statistic_id, b.bstart, b.bend)\n"
+_REC = ", rc AS (SELECT b.statistic_id, b.bstart, sum(delta * pub_multiplier) AS metered_kwh, least(count(DISTINCT s.bucket) / ((epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE), 1) AS coverage FROM stepb s JOIN meters m ON m.endpoint_id = s.endpoint_id JOIN com ON com.endpoint_id = s.endpoint_id JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL AND (publish OR is_mine) AND commodity = 'electric' GROUP BY b.statistic_id, b.bstart, b.bend)\n"
 _rec = lambda d: B.reconcile(d.r1h, d.index, d.meters, _buckets(d))
 add("b5_reconcile", _rec, _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT * FROM rc", "metered_kwh coverage")
-_metered = lambda d: U.daily_rollup(d.hourly).where("endpoint_id = 1000").select("day", (C("movement") * 0.01).alias("kwh"))
-add("b6_daily_estimate", lambda d: B.daily_estimate(B.bill_buckets(d.monthly), G.monitored_daily_kwh(d.entities), _metered(d)),
-    _base(IX, FL, fx.BILLS) + """, mk AS (SELECT * FROM (SELECT ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM mbills) WHERE bend IS NOT NULL), dd AS (SELECT bstart, bend, kwh, unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day FROM mk),
-    rf AS (SELECT mt::DATE AS day, sum(w) / 60000 AS k FROM ent GROUP BY 1), mt2 AS (SELECT hb::DATE AS day, sum(delta) * 0.01::DOUBLE AS k FROM hd WHERE endpoint_id = 1000 GROUP BY 1)
-    SELECT 'bill.month' AS statistic_id, dd.day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS flat_kwh, kwh * rf.k / sum(rf.k) OVER (PARTITION BY bstart) AS shaped_kwh, mt2.k AS metered_kwh FROM dd LEFT JOIN rf ON rf.day = dd.day LEFT JOIN mt2 ON mt2.day = dd.day""", "flat_kwh shaped_kwh metered_kwh")
-_homes = lambda d: U.daily_rollup(d.hourly).join(d.meters.where("publish"), "endpoint_id").groupBy("day").agg(F.sum(C("movement") * C("pub_multiplier")).alias("kwh"))
-add("b7_daily_estimate_series", lambda d: B.daily_estimate(_buckets(d), G.monitored_daily_kwh(d.entities), _homes(d)),
-    _base(IX, FL, fx.BILLS, fx.METERS) + """, bk AS (SELECT * FROM (SELECT ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM bills) WHERE bend IS NOT NULL), dd AS (SELECT bstart, bend, kwh, unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day FROM bk),
-    rf AS (SELECT mt::DATE AS day, sum(w) / 60000 AS k FROM ent GROUP BY 1), mt2 AS (SELECT hb::DATE AS day, sum(delta * pub_multiplier) AS k FROM hd JOIN meters ON meters.endpoint_id = hd.endpoint_id WHERE publish GROUP BY 1)
-    SELECT 'bill.day' AS statistic_id, dd.day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS flat_kwh, CASE WHEN rf.k IS NULL THEN NULL ELSE kwh * rf.k / sum(rf.k) OVER (PARTITION BY bstart) END AS shaped_kwh, mt2.k AS metered_kwh FROM dd LEFT JOIN rf ON rf.day = dd.day LEFT JOIN mt2 ON mt2.day = dd.day""", "flat_kwh shaped_kwh metered_kwh")
 _rates = lambda d: B.bill_monthly_rates(d.monthly)
-_RATES = ", rt AS (SELECT month(ts)::INT AS month, kwh / day(last_day(ts::DATE)) AS rate FROM mbills WHERE kwh > 0), ra AS (SELECT * FROM rt UNION ALL SELECT 0, rate FROM rt), mr AS (SELECT month, avg(rate) AS rate, min(rate) AS least, max(rate) AS most FROM ra GROUP BY 1)\n"
-add("b8_daily_estimate_range", lambda d: B.daily_estimate_range(B.daily_estimate(B.bill_buckets(d.monthly), G.monitored_daily_kwh(d.entities), _metered(d)), _rates(d), F.lit("1998-07-01").cast("date"), F.lit("1999-02-28").cast("date")),
-    _base(fx.BILLS) + _RATES + """, mk AS (SELECT * FROM (SELECT ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM mbills) WHERE bend IS NOT NULL),
-    dd AS (SELECT unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day, kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) AS k FROM mk), sl AS (SELECT unnest(generate_series(TIMESTAMP '1998-07-01', TIMESTAMP '1999-02-28', INTERVAL '1 day'))::DATE AS day)
-    SELECT sl.day, COALESCE(k, mr.rate, (SELECT rate FROM mr WHERE month = 0)) AS kwh, k IS NULL AS projected FROM sl LEFT JOIN dd ON dd.day = sl.day LEFT JOIN mr ON mr.month = month(sl.day) WHERE k IS NOT NULL OR sl.day > (SELECT max(day) FROM dd)""", "kwh")
-add("b9_bill_monthly_rates", _rates, _base(fx.BILLS) + _RATES + "SELECT * FROM mr", "rate least most")
+_long_r1h = lambda d: D.rollup(d.long, 60)
+_mults = lambda meters: meters.select("endpoint_id", C("pub_multiplier").alias("multiplier"))
+
+
+def _long_estimate(d: Data, meters: str = "publish or is_mine") -> DataFrame:
+    metered = B.daily_metered(_long_r1h(d), R.meter_index(d.long), _mults(fx.meters_long(d.spark).where(meters)))
+    return B.daily_estimate(B.bill_buckets(d.monthly), d.long_days, metered)
+
+
+def _estimate_sql(meters: str) -> str:
+    return f"""mk AS (SELECT * FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (ORDER BY ts) AS bend, kwh FROM mbills) WHERE bend IS NOT NULL),
+    dd AS (SELECT statistic_id, bstart, bend, kwh, unnest(generate_series(bstart, bend - INTERVAL '1 day', INTERVAL '1 day'))::DATE AS day FROM mk),
+    mo AS (SELECT date_trunc('month', day)::DATE AS month, sum(k) AS k FROM lref WHERE day >= (SELECT min(day) FROM dd) AND day <= (SELECT max(day) FROM dd) GROUP BY 1),
+    me AS (SELECT day, sum(delta * pub_multiplier) AS k FROM lday JOIN lmeters ON lmeters.endpoint_id = lday.endpoint_id WHERE {meters} GROUP BY 1),
+    es AS (SELECT statistic_id, dd.day, floor(kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS flat_kwh,
+      CASE WHEN mo.k > 0 AND kwh > 0 THEN floor(kwh * (COALESCE(lref.k, 0.0::DOUBLE) / mo.k) * 1000 + 0.5::DOUBLE) / 1000 END AS shaped_kwh, floor(me.k * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh
+      FROM dd LEFT JOIN lref ON lref.day = dd.day LEFT JOIN mo ON mo.month = date_trunc('month', dd.day)::DATE LEFT JOIN me ON me.day = dd.day),
+"""
+
+
+add("b6_daily_estimate", lambda d: _long_estimate(d, "endpoint_id = 5002"), _base(fx.LONG, fx.BILLS, _estimate_sql("lmeters.endpoint_id = 5002")) + "SELECT * FROM es", "flat_kwh shaped_kwh metered_kwh")
+add("b7_daily_estimate_series", _long_estimate, _base(fx.LONG, fx.BILLS, _estimate_sql("publish OR is_mine")) + "SELECT * FROM es", "flat_kwh shaped_kwh metered_kwh")
+_RATES = """rt AS (SELECT statistic_id, month(ts)::INT AS month, kwh / day(last_day(ts::DATE)) AS rate FROM mbills WHERE kwh > 0), ra AS (SELECT * FROM rt UNION ALL SELECT statistic_id, 0, rate FROM rt),
+mr AS (SELECT statistic_id, month, avg(rate) AS rate, min(rate) AS least, max(rate) AS most FROM ra GROUP BY 1, 2),
+"""
+add(
+    "b8_daily_estimate_range",
+    lambda d: B.daily_estimate_range(_long_estimate(d), _rates(d), F.lit("2001-06-15").cast("date"), F.lit("2002-02-28").cast("date")),
+    _base(fx.LONG, fx.BILLS, _estimate_sql("publish OR is_mine"), _RATES)
+    + """, sl AS (SELECT unnest(generate_series(TIMESTAMP '2001-06-15', TIMESTAMP '2002-02-28', INTERVAL '1 day'))::DATE AS day)
+    SELECT 'bill.month' AS statistic_id, sl.day, COALESCE(flat_kwh, floor(COALESCE(mr.rate, (SELECT rate FROM mr WHERE month = 0)) * 1000 + 0.5::DOUBLE) / 1000) AS kwh, shaped_kwh, flat_kwh IS NULL AS projected
+    FROM sl LEFT JOIN es ON es.day = sl.day LEFT JOIN mr ON mr.month = month(sl.day) WHERE flat_kwh IS NOT NULL OR sl.day > (SELECT max(day) FROM es)""",
+    "kwh shaped_kwh",
+)
+add("b9_bill_monthly_rates", _rates, _base(fx.BILLS, _RATES) + "SELECT * FROM mr", "rate least most")
+add(
+    "b9_bill_band",
+    lambda d: B.bill_band(_rates(d), d.long_days.agg(F.max("day").alias("day"))),
+    _base(fx.LONG, fx.BILLS, _RATES)
+    + """, mm AS (SELECT month(max(day)) AS month FROM lref) SELECT a.statistic_id, floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 AS bill_low, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 AS bill_high
+    FROM mr a LEFT JOIN mr o ON o.statistic_id = a.statistic_id AND o.month = (SELECT month FROM mm) WHERE a.month = 0""",
+    "bill_low bill_high",
+)
 add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh:9")
-add("b11_bill_series", lambda d: B.bill_series(d.bills, _rec(d), 0.2), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage FROM bills b LEFT JOIN rc ON rc.bstart = b.ts", "kwh cost total_kwh metered_kwh coverage")
+add("b11_bill_series", lambda d: B.bill_series(_late(d), _rec(d), 0.2), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage FROM late b LEFT JOIN rc ON rc.bstart = b.ts", "kwh cost total_kwh metered_kwh coverage")
 add("b12_bill_energy", lambda d: B.bill_energy(d.bills, lo=_mid()), _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1", "kwh")
-add("b13_tracking_pct", lambda d: B.tracking_pct(B.bill_series(d.bills, _rec(d))), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM bills b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1", "pct")
+add("b13_tracking_pct", lambda d: B.tracking_pct(B.bill_series(_late(d), _rec(d))), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM late b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1", "pct")
 
 # screen
 _days = lambda d: P.screen_days(G.monitored_daily_kwh(d.entities), G.reference_coverage(d.samples), F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
@@ -278,20 +395,52 @@ _units = lambda d: P.meter_daily_units(d.hourly)
 add("p1_meter_daily_units", _units, _base(IX) + "SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2")
 add("p2_screen_days", _days, _base(FL) + _DAYS + "SELECT * FROM sd", "kwh:9")
 add("p3_magnitude_band", lambda d: P.magnitude_band(_days(d)), _base(FL) + _DAYS + "SELECT avg(kwh) AS mon, count(*)::BIGINT AS days, 0.9::DOUBLE * avg(kwh) AS low, 3.0::DOUBLE * avg(kwh) AS high FROM sd WHERE used", "mon low high")
+#: A band from the monthly bills of the same season, which are of a larger house: a share of it.
+_season = lambda d: B.bill_band(_rates(d), P.last_used_day(_days(d))).select((C("bill_low") * _BILL_SHARE).alias("bill_low"), (C("bill_high") * _BILL_SHARE).alias("bill_high"))
+_BILL_SHARE = 0.5
+_SEASON = _RATES + f"""sm AS (SELECT month(max(day)) AS month FROM sd WHERE used),
+se AS (SELECT floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bl, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bh FROM mr a LEFT JOIN mr o ON o.month = (SELECT month FROM sm) WHERE a.month = 0),
+bw AS (SELECT avg(kwh) AS mon, count(*)::BIGINT AS days FROM sd WHERE used),
+bd AS (SELECT mon, days, CASE WHEN f < c THEN f ELSE 0.9::DOUBLE * mon END AS low, CASE WHEN f < c THEN c ELSE 3.0::DOUBLE * mon END AS high FROM (SELECT *, greatest(0.9::DOUBLE * mon, 0.6::DOUBLE * bl) AS f, least(3.0::DOUBLE * mon, 1.4::DOUBLE * bh) AS c FROM bw CROSS JOIN se)),
+"""
+add("p3_magnitude_band_of_bills", lambda d: P.magnitude_band(_days(d), _season(d)), _base(FL, fx.BILLS) + _DAYS.rstrip() + ", " + _SEASON.rstrip().rstrip(",") + " SELECT * FROM bd", "mon low high")
 _bandless = lambda d: _units(d).groupBy("endpoint_id").agg(F.avg("units").alias("mean_units")).withColumns({"mon": F.lit(300.0), "low": F.lit(270.0), "high": F.lit(900.0)})
 add("p4_infer_unit", lambda d: P.infer_unit(_bandless(d)),
     _base(IX) + ", mu AS (SELECT endpoint_id, avg(u) AS mean_units FROM (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS u FROM hd GROUP BY 1, 2) GROUP BY 1) SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / 375.0::DOUBLE))) FILTER (WHERE mean_units * unit >= 270 AND mean_units * unit <= 900) AS unit FROM mu CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1")
-add("p7_daily_screen", lambda d: P.daily_screen(_units(d), _days(d), d.index),
-    _base(IX, FL) + _DAYS + """, mu AS (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2),
-    ux AS (SELECT mu.endpoint_id, mu.day, units, kwh AS md FROM mu JOIN sd ON sd.day = mu.day JOIN com ON com.endpoint_id = mu.endpoint_id WHERE used AND commodity = 'electric'),
-    bd AS (SELECT avg(kwh) AS mon, count(*)::BIGINT AS days FROM sd WHERE used), me AS (SELECT endpoint_id, avg(units) AS mean_units, count(*)::BIGINT AS n FROM ux GROUP BY 1),
-    un AS (SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / (1.25::DOUBLE * mon)))) FILTER (WHERE mean_units * unit >= 0.9::DOUBLE * mon AND mean_units * unit <= 3.0::DOUBLE * mon) AS unit FROM me CROSS JOIN bd CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1),
-    ag AS (SELECT ux.endpoint_id, max(unit) AS unit, max(days) AS days, max(n) AS n, max(mon) AS mon, avg(units * unit) AS k, avg(units * unit - md) AS rm, COALESCE(stddev_samp(units * unit - md), 0.0::DOUBLE) AS rsd, min(CASE WHEN units * unit - md < -greatest(1.5::DOUBLE, 0.05::DOUBLE * md) THEN ux.day END) AS broken
-    FROM ux JOIN un ON un.endpoint_id = ux.endpoint_id JOIN me ON me.endpoint_id = ux.endpoint_id CROSS JOIN bd WHERE days >= 3 GROUP BY 1),
-    rz AS (SELECT *, CASE WHEN n < days THEN 'missing days' WHEN unit IS NULL THEN 'magnitude' WHEN broken IS NOT NULL THEN 'below monitored on ' || broken ELSE '' END AS reason FROM ag)
-    SELECT endpoint_id, unit, """ + ", ".join(f"sign({x}) * floor(abs({x}) * 1000 + 0.5::DOUBLE) / 1000 AS {y}" for x, y in (("k", "kwh_day"), ("rm", "resid_mean"), ("rsd", "resid_sd")))
-    + """, CASE WHEN n < days THEN NULL ELSE reason = '' END AS pass, reason, CASE WHEN n >= days AND reason = '' THEN floor(greatest(0, least(1, 0.3::DOUBLE + 0.4::DOUBLE * greatest(0, least(1, 1 - rsd / (0.15::DOUBLE * mon + 2))) + 0.3::DOUBLE * greatest(0, least(1, 1 - rm / greatest(mon, 1))))) * 1000 + 0.5::DOUBLE) / 1000 END AS screen_score FROM rz""",
-    "kwh_day resid_mean resid_sd screen_score")
+#: Asked for beside the electric ones: an ignored gas meter, and one that nobody hears.
+_asked = lambda d: d.spark.createDataFrame([(1005,), (4711,)], "endpoint_id long")
+_screened = lambda d: P.daily_screen(_units(d), _days(d), d.index, meters=d.meters, bills=_season(d), requested=_asked(d))
+_r = lambda e, p: f"sign({e}) * floor(abs({e}) * {10**p} + 0.5::DOUBLE) / {10**p}"
+_SCREEN = (
+    _DAYS.strip().lstrip(",")
+    + ", "
+    + _SEASON
+    + """mu AS (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2),
+po AS (SELECT com.endpoint_id FROM com LEFT JOIN meters m ON m.endpoint_id = com.endpoint_id WHERE commodity = 'electric' AND NOT COALESCE(ignored, FALSE) UNION SELECT unnest([1005, 4711])),
+hp AS (SELECT DISTINCT mu.endpoint_id FROM mu JOIN po ON po.endpoint_id = mu.endpoint_id),
+ux AS (SELECT mu.endpoint_id, mu.day, units, kwh AS md FROM mu JOIN sd ON sd.day = mu.day JOIN hp ON hp.endpoint_id = mu.endpoint_id WHERE used),
+mi2 AS (SELECT hp.endpoint_id, min(sd.day) AS missing FROM hp CROSS JOIN sd LEFT JOIN ux ON ux.endpoint_id = hp.endpoint_id AND ux.day = sd.day WHERE used AND ux.day IS NULL GROUP BY 1),
+me AS (SELECT endpoint_id, avg(units) AS mean_units FROM ux GROUP BY 1),
+un AS (SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / (1.25::DOUBLE * mon)))) FILTER (WHERE mean_units * unit >= low AND mean_units * unit <= high) AS unit FROM me CROSS JOIN bd CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1),
+ag AS (SELECT ux.endpoint_id, max(unit) AS unit, avg(units * unit) AS k, avg(units * unit - md) AS rm, COALESCE(stddev_samp(units * unit - md), 0.0::DOUBLE) AS rsd, min(CASE WHEN units * unit - md < -greatest(1.5::DOUBLE, 0.05::DOUBLE * md) THEN ux.day END) AS broken FROM ux JOIN un ON un.endpoint_id = ux.endpoint_id GROUP BY 1),
+rz AS (SELECT hp.endpoint_id, missing IS NULL AS whole, unit, k, rm, rsd, mon, CASE WHEN missing IS NOT NULL THEN 'no readings on ' || missing WHEN unit IS NULL THEN 'magnitude' WHEN broken IS NOT NULL THEN 'below monitored on ' || broken ELSE '' END AS reason
+  FROM hp LEFT JOIN ag ON ag.endpoint_id = hp.endpoint_id LEFT JOIN mi2 ON mi2.endpoint_id = hp.endpoint_id CROSS JOIN bd WHERE days >= 3),
+sc AS (SELECT endpoint_id, CASE WHEN whole THEN unit END AS unit, CASE WHEN whole THEN """
+    + f"{_r('k', 2)} END AS kwh_day, CASE WHEN whole THEN {_r('rm', 2)} END AS resid_mean, CASE WHEN whole AND unit IS NOT NULL THEN {_r('rsd', 2)} END AS resid_sd,"
+    + """ CASE WHEN whole THEN reason = '' END AS pass, reason,
+  CASE WHEN whole AND reason = '' THEN floor(greatest(0, least(1, 0.3::DOUBLE + 0.4::DOUBLE * greatest(0, least(1, 1 - rsd / (0.15::DOUBLE * mon + 2))) + 0.3::DOUBLE * greatest(0, least(1, 1 - rm / greatest(mon, 1))))) * 1000 + 0.5::DOUBLE) / 1000 END AS screen_score FROM rz
+  UNION ALL SELECT po.endpoint_id, NULL, NULL, NULL, NULL, FALSE, 'no readings in the analysis window', NULL FROM po LEFT JOIN mu ON mu.endpoint_id = po.endpoint_id CROSS JOIN bd WHERE mu.endpoint_id IS NULL AND po.endpoint_id IN (1005, 4711) AND days >= 3),
+"""
+)
+_SC = (IX, FL, fx.BILLS, fx.METERS, _SCREEN)
+add("p7_daily_screen", _screened, _base(*_SC) + "SELECT * FROM sc", "kwh_day resid_mean resid_sd screen_score")
+add(
+    "p7_screen_day_detail",
+    lambda d: P.screen_day_detail(_units(d), _days(d), _screened(d)),
+    _base(*_SC) + f"SELECT ux.endpoint_id, ux.day, {_r('units * COALESCE(sc.unit, 1)', 3)} AS kwh, CASE WHEN sc.unit IS NOT NULL THEN {_r('(units * sc.unit - md)', 3)} END AS resid FROM ux JOIN sc ON sc.endpoint_id = ux.endpoint_id WHERE pass IS NOT NULL",
+    "kwh resid",
+)
+add("p7_survivors", lambda d: P.survivors(_screened(d)), _base(*_SC) + "SELECT count(*) FILTER (WHERE pass)::BIGINT AS survivors FROM sc")
 add("p8_meter_screen_meta", lambda d: P.meter_screen_meta(d.index, d.coverage, d.meters), _base(IX, fx.METERS) + "SELECT mi.endpoint_id, msg_type, commodity, packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = mi.endpoint_id)::BIGINT AS sources, label, COALESCE(ignored, FALSE) AS ignored FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id")
 
 # ranking
@@ -325,7 +474,7 @@ add("i9_cross_corr_lag", lambda d: I.cross_corr_lag(_aligned(d)).withColumn("lag
 
 
 def _identify(d: Kept, source: str | None = None) -> DataFrame:
-    verdicts = d.keep(P.daily_screen(_units(d), _days(d), d.index), "verdicts")
+    verdicts = d.keep(P.daily_screen(_units(d), _days(d), d.index, meters=d.meters, bills=_season(d)), "verdicts")
     closed = d.keep(I.closed_windows(d.windows, source), "windows")
     return I.identify_windows(d.r1m, d.r1h, d.index, closed, d.samples, d.hvac, heating_kw=3.0, cooling_kw=2.0, verdicts=verdicts, keep=d.keep)
 
@@ -342,7 +491,7 @@ add("i13_known_load_anchor", lambda d: I.known_load_anchor(_scored(d), d.windows
 add("i14_closed_windows", lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"), _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)")
 add("i15_combined_ranking", lambda d: _combined(Kept(d)))
 add("i17_utility_only_confidence", lambda d: B.summarize_evidence(_evidence(d)).select("endpoint_id", I.utility_only_confidence(C("cov"), C("r"), C("buckets")).alias("confidence")),
-    _base(IX, fx.BILLS) + _BK + _SUM + f", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets FROM sp), st AS (SELECT *, greatest(0, least(1, 1 - cov)) * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c FROM su) SELECT endpoint_id, floor(0.7::DOUBLE * CASE WHEN r IS NULL THEN c ELSE 0.5::DOUBLE * c + 0.5::DOUBLE * greatest(0, least(1, r)) END * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM st", "confidence")
+    _base(IX, fx.BILLS) + _BK + _SUM + f", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets FROM sp), st AS (SELECT *, CASE WHEN cov IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - cov)) END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c FROM su) SELECT endpoint_id, floor(0.7::DOUBLE * CASE WHEN r IS NULL THEN c ELSE 0.5::DOUBLE * c + 0.5::DOUBLE * greatest(0, least(1, r)) END * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM st", "confidence")
 add("i19_with_commodity", lambda d: I.with_commodity(d.index).groupBy("commodity").agg(F.count("*").alias("meters")), _base(IX) + "SELECT commodity, count(*)::BIGINT AS meters FROM com GROUP BY 1")
 
 # health
@@ -350,11 +499,22 @@ add("h1_coverage_matrix", lambda d: H.coverage_matrix(d.coverage, d.meters, d.de
 add("h2_source_timeline", lambda d: H.source_timeline(d.readings, 60), _base(RD) + "SELECT source, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2")
 add("h3_capture_health", lambda d: H.capture_health(d.readings, _cap()).select("source", F.round("age_s", 3).alias("age_s"), "last_minute", "meters", "alive", "any_alive"), _base(RD) + "SELECT source, round(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)), 3) AS age_s, count(*) FILTER (WHERE epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(ts) < 60)::BIGINT AS last_minute, count(DISTINCT endpoint_id)::BIGINT AS meters, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60 AS alive, bool_or(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60) OVER () AS any_alive FROM readings GROUP BY 1")
 add("h4_receiver_inventory", lambda d: H.receiver_inventory(d.devices, d.coverage, d.readings, AS_OF()), _base(RD, fx.DEVICES) + f"SELECT serial, name, count(DISTINCT endpoint_id)::BIGINT AS meters, count(*)::BIGINT AS total, max(ts) AS last_ts, count(*) FILTER (WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL}) / 60.0::DOUBLE AS ppm FROM devices JOIN readings ON serial = source GROUP BY 1, 2", "ppm")
-add("h5_dropouts", lambda d: H.dropouts(d.index, d.meters, _cap()), _base(IX, fx.METERS) + "SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id WHERE NOT ignored AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900")
-add("h6_stuck", lambda d: H.stuck(d.hourly.withColumn("delta", F.when(C("hb") >= F.date_trunc("hour", F.lit("2024-01-29 12:00:00").cast("timestamp")), 0.0).otherwise(C("delta"))), d.meters, F.lit("2024-01-30 00:00:00").cast("timestamp")),
-    _base(IX, fx.METERS) + ", hz AS (SELECT endpoint_id, hb, CASE WHEN hb >= TIMESTAMP '2024-01-29 12:00:00' THEN 0 ELSE delta END AS delta FROM hd WHERE hb >= TIMESTAMP '2024-01-29' AND hb <= TIMESTAMP '2024-01-30') SELECT 'stuck' AS kind, hz.endpoint_id::VARCHAR AS subject, max(hb) AS since FROM hz JOIN meters m ON m.endpoint_id = hz.endpoint_id WHERE NOT ignored GROUP BY 1, 2 HAVING sum(delta) FILTER (WHERE hb >= TIMESTAMP '2024-01-30') = 0 AND sum(delta) FILTER (WHERE hb < TIMESTAMP '2024-01-30') > 0")
-add("h7_sources_down", lambda d: H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap()), _base(RD, fx.DEVICES) + "SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600")
-add("h8_anomalies", lambda d: H.anomalies(G.reference_health(d.samples, _cap()), H.dropouts(d.index, d.meters, _cap()), H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap())))
+_DROP = "SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id WHERE (is_mine OR publish) AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900"
+_STUCK = f"""SELECT 'stuck' AS kind, m.endpoint_id::VARCHAR AS subject, max(bucket) AS since FROM r1m JOIN meters m ON m.endpoint_id = r1m.endpoint_id
+    WHERE (is_mine OR publish) AND bucket >= {AS_OF_SQL} - INTERVAL '25 hours' AND bucket <= {AS_OF_SQL} GROUP BY 1, 2
+    HAVING COALESCE(max(max_c) FILTER (WHERE bucket >= {AS_OF_SQL} - INTERVAL '1 hour') - min(min_c) FILTER (WHERE bucket >= {AS_OF_SQL} - INTERVAL '1 hour'), 0) = 0
+    AND max(max_c) FILTER (WHERE bucket < {AS_OF_SQL} - INTERVAL '1 hour') - min(min_c) FILTER (WHERE bucket < {AS_OF_SQL} - INTERVAL '1 hour') > 0"""
+_DOWN = "SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600"
+add("h5_dropouts", lambda d: H.dropouts(d.index, d.meters, _cap()), _base(IX, fx.METERS) + _DROP)
+add("h6_stuck", lambda d: H.stuck(d.r1m, d.meters, AS_OF()), _base(IX, fx.METERS) + _STUCK)
+add("h7_sources_down", lambda d: H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap()), _base(RD, fx.DEVICES) + _DOWN)
+add(
+    "h8_anomalies",
+    lambda d: H.anomalies(G.reference_health(d.samples, _cap()), H.dropouts(d.index, d.meters, _cap()), H.stuck(d.r1m, d.meters, AS_OF()), H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap())),
+    _base(IX, fx.METERS, fx.DEVICES, fx.SAMPLES)
+    + f"""SELECT 'reference_stale' AS kind, entity_id AS subject, max(ts) AS since, 0 AS place FROM samples GROUP BY 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800
+    UNION ALL SELECT *, 1 FROM ({_DROP}) UNION ALL SELECT *, 2 FROM ({_STUCK}) UNION ALL SELECT *, 3 FROM ({_DOWN})""",
+)
 
 # streaming, in the form that runs on tables
 add("t4_auto_windows", lambda d: T.auto_windows(d.events.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w"))))
@@ -371,9 +531,9 @@ def _append(d: Data) -> DataFrame:
 
 add("s3_append_readings", _append, _base(RD) + "SELECT ts::DATE AS dt, count(*)::BIGINT AS n, sum(consumption) AS c FROM readings GROUP BY 1", "c:2")
 _hback = lambda d: d.hvac.withColumn("src", F.when(F.minute("ts") < 30, "history_backfill").otherwise("live"))
-add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid(), AS_OF(), d.hvac.where("action = 'idle'"), "history_backfill").groupBy("action", "src").agg(F.count("*").alias("n")),
-    _base(fx.SAMPLES) + f"""SELECT action, src, count(*)::BIGINT AS n FROM (SELECT action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
-    UNION ALL SELECT action, 'history_backfill' FROM hvac WHERE action = 'idle') GROUP BY 1, 2""")
+add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid(), AS_OF(), d.hvac.where("action = 'idle'"), "history_backfill"),
+    _base(fx.SAMPLES) + f"""SELECT ts, entity_id, action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
+    UNION ALL SELECT ts, entity_id, action, 'history_backfill' FROM hvac WHERE action = 'idle'""")
 
 
 def _ranked(d: Data) -> DataFrame:

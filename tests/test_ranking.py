@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterscope.operators import deltas as D
+from meterscope.operators import health as H
 from meterscope.operators import reference as G
 from meterscope.operators import registry as R
 from meterscope.operators import screen as P
@@ -93,6 +94,14 @@ def test_lag_is_recovered(spark):
     assert got[1][0] == 2 and got[1][1] > 0.99 and got[2][1] == 0.0
 
 
+def test_short_series_have_lags_too(spark):
+    """Five points, the meter two buckets late: the lag needs four points in the series, not at each lag."""
+    x = [3.0, 9.0, 1.0, 4.0, 0.0]
+    rows = [(1, at(k), ([0.0, 0.0] + x)[k], x[k]) for k in range(5)] + [(2, at(k), x[k], x[k]) for k in range(3)]
+    got = {r["endpoint_id"]: r["lag"] for r in I.cross_corr_lag(spark.createDataFrame(rows, "endpoint_id long, bucket timestamp, y double, x double")).collect()}
+    assert got == {1: 2}
+
+
 def test_constant_side_has_no_r(spark):
     df = spark.createDataFrame([(1, at(k), 1.0, float(k)) for k in range(9)], "endpoint_id long, bucket timestamp, y double, x double")
     assert I.regress_meters(df).first()["r"] is None
@@ -119,8 +128,27 @@ def test_daily_screen(spark):
     index = spark.createDataFrame([(i, 4) for i in range(1, 6)], "endpoint_id long, endpoint_type int")
     got = {r["endpoint_id"]: r for r in P.daily_screen(spark.createDataFrame(units, "endpoint_id long, day date, units double"), screen, index).collect()}
     assert got[1]["pass"] and got[1]["unit"] == 1.0 and got[2]["pass"] and got[2]["unit"] == 0.01
-    assert got[3]["reason"] == "magnitude" and got[4]["reason"].startswith("below monitored") and got[5]["pass"] is None
+    assert got[3]["reason"] == "magnitude" and got[4]["reason"].startswith("below monitored") and got[5]["pass"] is None and got[5]["reason"] == "no readings on 2026-01-05"
+
 
+def test_screen_of_ignored_and_requested_meters(spark):
+    days = [datetime(2026, 1, 1 + k).date() for k in range(4)]
+    screen = spark.createDataFrame([(d, 30.0, True, True) for d in days], "day date, kwh double, covered boolean, used boolean")
+    units = spark.createDataFrame([(i, d, 35.0) for i in (1, 2, 3, 4) for d in days], "endpoint_id long, day date, units double")
+    index = spark.createDataFrame([(1, 4), (2, 4), (3, 2), (4, 2)], "endpoint_id long, endpoint_type int")
+    meters = spark.createDataFrame([(2, True), (1, False)], "endpoint_id long, ignored boolean")
+    run = lambda ids, **more: {r["endpoint_id"]: r for r in P.daily_screen(units, screen, index, meters=meters, requested=spark.createDataFrame([(i,) for i in ids], "endpoint_id long"), **more).collect()}
+    assert set(run([])) == {1} and set(run([2, 3, 99])) == {1, 2, 3, 99}
+    gone = run([99])[99]
+    assert gone["pass"] is False and gone["reason"] == "no readings in the analysis window"
+    assert P.survivors(P.daily_screen(units, screen, index)).first()["survivors"] == 2
+    narrow = spark.createDataFrame([("b", 70.0, 80.0)], "statistic_id string, bill_low double, bill_high double")  # 42 to 112 kWh a day
+    assert run([], bills=narrow)[1]["reason"] == "magnitude"
+    wide = spark.createDataFrame([("b", 900.0, 999.0)], "statistic_id string, bill_low double, bill_high double")  # nothing is left: not used
+    assert run([], bills=wide)[1]["pass"]
+    detail = P.screen_day_detail(units, screen, P.daily_screen(units, screen, index)).where("endpoint_id = 1").collect()
+    assert len(detail) == 4 and all(r["kwh"] == 35.0 and r["resid"] == 5.0 for r in detail)
+    assert P.daily_screen(units, screen.limit(2), index, requested=index.limit(1)).count() == 0
 
 def test_bills_give_the_multiplier(spark):
     hours = [(BASE + timedelta(hours=h), "IDM", 3001, 4, 10000.0 + 20 * h, "a") for h in range(24 * 91)]
@@ -132,6 +160,79 @@ def test_bills_give_the_multiplier(spark):
     assert all(abs(r["metered_kwh"] - 720) < 5 for r in B.utility_compare(evidence, B.summarize_evidence(evidence)).collect())
 
 
+def test_one_bill_says_nothing_of_variation(spark):
+    hours = [(BASE + timedelta(hours=h), "IDM", 3001, 4, 10000.0 + 20 * h, "a") for h in range(24 * 31)]
+    df = spark.createDataFrame(hours, READING)
+    bills = spark.createDataFrame([("b", "month", BASE + timedelta(days=30 * k), 720.0 * (1 - k)) for k in range(2)], "statistic_id string, period string, ts timestamp, kwh double")
+    evidence = B.bill_evidence(D.rollup(df, 60), R.meter_index(df), B.bill_buckets(bills))
+    got = B.summarize_evidence(evidence).first()
+    assert got["cov"] is None and got["multiplier"] > 0
+    only = B.summarize_evidence(evidence).select(I.utility_only_confidence(F.col("cov"), F.col("r"), F.col("buckets")).alias("c")).first()["c"]
+    assert only == 0.233
+    nothing = B.summarize_evidence(evidence.withColumn("kwh", F.lit(0.0))).first()
+    assert nothing["multiplier"] is None and nothing["cov"] is None
+
+
+def test_evidence_begins_with_the_first_bill(spark):
+    """Hours before the first bill do not reach into it; two statistics begin at their own times."""
+    hours = [(BASE + timedelta(hours=h), "IDM", 3001, 4, 10000.0 + (5000 if h >= 24 else 0) + 10 * h, "a") for h in range(73)]
+    df = spark.createDataFrame(hours, READING)
+    bills = [("late", BASE + timedelta(hours=24), 5.0), ("late", BASE + timedelta(hours=48), 5.0), ("early", BASE, 1.0), ("early", BASE + timedelta(hours=48), 1.0)]
+    buckets = B.bill_buckets(spark.createDataFrame([(s, "day", t, k) for s, t, k in bills], "statistic_id string, period string, ts timestamp, kwh double"))
+    got = {r["statistic_id"]: (r["delta"], r["covered_h"]) for r in B.bill_evidence(D.rollup(df, 60), R.meter_index(df), buckets).collect()}
+    assert got == {"late": (230.0, 23), "early": (5470.0, 47)}
+
+
+def test_days_are_shaped_by_their_calendar_month(spark):
+    """A bill from the 20th to the 20th: each day is held against its own month; no glitch filter on meters."""
+    bills = spark.createDataFrame([("b", "month", datetime(2026, 1, 20), 310.0), ("b", "month", datetime(2026, 2, 20), 0.0), ("c", "month", datetime(2026, 2, 1), 28.0), ("c", "month", datetime(2026, 3, 1), 0.0)], "statistic_id string, period string, ts timestamp, kwh double")
+    first = datetime(2026, 1, 1).date()
+    reference = spark.createDataFrame([(first + timedelta(days=k), 2.0 if k < 31 else 4.0) for k in range(60) if k != 40], "day date, kwh double")
+    rows = [(datetime(2026, 1, 18) + timedelta(hours=h), "IDM", 3001, 4, 5000.0 + 2 * h + (90_000 if h >= 240 else 0), "a") for h in range(24 * 30)]
+    df = spark.createDataFrame(rows, READING)
+    metered = B.daily_metered(D.rollup(df, 60), R.meter_index(df), spark.createDataFrame([(3001, 0.5)], "endpoint_id long, multiplier double"))
+    got = {(r["statistic_id"], str(r["day"])): r for r in B.daily_estimate(B.bill_buckets(bills), reference, metered).collect()}
+    assert len(got) == 31 + 28 and got["b", "2026-01-20"]["flat_kwh"] == 10.0
+    assert abs(got["b", "2026-01-25"]["shaped_kwh"] - 310 * 2 / (12 * 2)) < 1e-3 and abs(got["b", "2026-02-05"]["shaped_kwh"] - 310 * 4 / (18 * 4)) < 1e-3
+    assert got["b", "2026-02-10"]["shaped_kwh"] == 0.0 and abs(got["c", "2026-02-05"]["shaped_kwh"] - 28 / 27) < 1e-3
+    assert got["b", "2026-01-25"]["metered_kwh"] == 24.0 and got["b", "2026-01-28"]["metered_kwh"] == 45_024.0
+    rates = B.bill_monthly_rates(spark.createDataFrame([("b", datetime(2025, 2, 1), 56.0), ("b", datetime(2025, 7, 1), 310.0), ("z", datetime(2025, 2, 1), 28.0)], "statistic_id string, ts timestamp, kwh double"))
+    far = B.daily_estimate_range(B.daily_estimate(B.bill_buckets(bills), reference, metered), rates, F.lit("2026-02-18").cast("date"), F.lit("2026-03-02").cast("date"))
+    got = {(r["statistic_id"], str(r["day"])): (r["kwh"], r["projected"]) for r in far.collect()}
+    assert got["b", "2026-02-19"] == (10.0, False) and got["b", "2026-02-20"] == (2.0, True) and got["b", "2026-03-01"] == (6.0, True)
+    assert got["z", "2026-02-18"] == (1.0, True) and got["c", "2026-02-28"] == (1.0, False) and ("c", "2026-03-01") not in got
+
+
+def test_health_of_tracked_meters(spark):
+    meters = spark.createDataFrame([(1, True, False, False, True), (2, False, False, True, False), (3, False, True, False, False), (4, True, False, False, False)], "endpoint_id long, is_mine boolean, is_candidate boolean, publish boolean, ignored boolean")
+    moving = [(at(m), "IDM", i, 4, 100.0 + (m if i != 2 or m < 700 else 700), "a") for i in (1, 2, 3) for m in range(0, 1500, 20)]
+    still = [(at(m), "IDM", 4, 4, 100.0 + m, "a") for m in range(0, 1400, 20)]  # 4 falls silent: not heard, so not moving
+    df = spark.createDataFrame(moving + still, READING)
+    now = ts(1490)
+    assert {r["subject"] for r in H.stuck(D.rollup(df, 1), meters, now).collect()} == {"2", "4"}
+    assert {r["subject"] for r in H.dropouts(R.meter_index(df), meters, ts(1499)).collect()} == {"1", "2", "4"}
+    assert H.stuck(D.rollup(df.limit(0), 1), meters, now).count() == 0
+
+
+def test_page_totals_and_costs(spark):
+    """A week of two counts an hour, seen on its fourth day."""
+    rows = [(datetime(2026, 6, 20) + timedelta(hours=h), "IDM", 1, 4, 1000.0 + 2 * h, "a") for h in range(24 * 10 + 12)]
+    df = spark.createDataFrame(rows, READING)
+    meters = spark.createDataFrame([(1, "home", True, False, True, "h", 0.5, "kWh", False), (2, None, False, False, True, None, 2.0, None, False)], "endpoint_id long, label string, is_mine boolean, is_candidate boolean, publish boolean, pub_name string, pub_multiplier double, pub_unit string, ignored boolean")
+    r1h, index = D.rollup(df, 60), R.meter_index(df)
+    anchor = F.lit("2026-06-30 12:00:00").cast("timestamp")
+    slots = U.period_slots(spark.range(1).select(anchor.alias("anchor")), "week")
+    page = U.consumption_page(U.page_deltas(r1h, index, "week", anchor), meters, slots)
+    got = {r["endpoint_id"]: r for r in U.page_totals(page, r1h, index, meters, "week", anchor, anchor).collect()}
+    assert got[1]["total"] == 60.0 and got[1]["avg_per_day"] == 24.0 and got[1]["coverage"] == round(3 / 7, 3) and got[1]["previous_total"] == 168.0
+    assert str(got[1]["prev_anchor"]) == "2026-06-21" and got[1]["next_anchor"] is None and got[2]["total"] is None and got[2]["coverage"] == 0.0
+    power = U.derived_power(df, meters)
+    movement = spark.createDataFrame([(1, "today", 24.0), (1, "week", 60.0)], "endpoint_id long, span string, movement double")
+    over = {(r["role"], r["endpoint_id"]): r for r in U.overview(movement, meters, index, power, 0.25).collect()}
+    assert set(over) == {("mine", 1), ("published", 1), ("published", 2)} and over["mine", 1]["cost_today"] == 3.0 and over["mine", 1]["month"] == 0.0
+    assert over["published", 1]["week"] is None and over["published", 2]["cost_today"] == 0.0
+
+
 @pytest.mark.parametrize(("view", "when", "n"), [("day", "2026-03-08 15:00:00", 23), ("day", "2026-11-01 15:00:00", 25), ("month", "2026-02-10 15:00:00", 28), ("year", "2026-02-10 15:00:00", 12), ("week", "2026-07-01 15:00:00", 7)])
 def test_calendar(spark, view, when, n):
     slots = U.period_slots(spark.sql(f"SELECT TIMESTAMP '{when}' AS anchor"), view, "America/New_York").orderBy("slot").collect()
