@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast, counted before each use.
 BROADCAST_ROWS = 10_000
+#: Spans up to which each point is held against every span.
+FEW_SPANS = 64
 
 
 def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than `most` rows, else as it is."""
+    """df with a broadcast hint if it has no more than `most` rows, else as it is. df is counted: it should be
+    small or stored."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def range_join(points: DataFrame, spans: DataFrame, at: str, start: str = "start", end: str = "end", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of points whose time `at` lies in [start, end) of a row of spans. Few spans (counted) are
-    broadcast; more are cut into days, and days meet by an equi-join, which is shuffled."""
+def range_join(points: DataFrame, spans: DataFrame, at: str, start: str = "start", end: str = "end", most: int = FEW_SPANS) -> DataFrame:
+    """Rows of points whose time `at` lies in [start, end) of a row of spans. A few dozen spans (counted) are
+    held against each point; more are cut into days, and points meet the days by an equi-join, whose span side is
+    broadcast only if it is counted to be small."""
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     if spans.limit(most + 1).count() <= most:
         return points.join(F.broadcast(spans), inside)
     days = spans.withColumn("__day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
-    return points.withColumn("__day", F.to_date(at)).join(days, "__day").where(inside).drop("__day")
+    return points.withColumn("__day", F.to_date(at)).join(broadcast_checked(days), "__day").where(inside).drop("__day")

@@ -8,16 +8,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import time_bucket
 
-def meter_index(readings: DataFrame) -> DataFrame:
-    """What is known of each meter; latest non-null types, value by time (ties: the larger)."""
+
+def _index_aggs() -> list[Column]:
     latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c).alias("v"))))["v"].alias(c)
-    return readings.where("endpoint_id is not null").groupBy("endpoint_id").agg(
+    return [
         latest("msg_type"), latest("endpoint_type"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("packets"),
         F.min("consumption").alias("min_consumption"), F.max("consumption").alias("max_consumption"),
         F.max(F.when(F.col("consumption").isNotNull(), F.struct("ts", "consumption")))["consumption"].alias("last_consumption"),
         F.max(F.when(F.col("consumption").isNotNull(), F.col("ts"))).alias("last_consumption_ts"),
-    )
+    ]
+
+
+def meter_index(readings: DataFrame) -> DataFrame:
+    """What is known of each meter; latest non-null types, value by time (ties: the larger)."""
+    return readings.where("endpoint_id is not null").groupBy("endpoint_id").agg(*_index_aggs())
+
+
+def index_by_bucket(readings: DataFrame, minutes: int) -> DataFrame:
+    """Registry rows of each meter and bucket, in one pass over the readings. Rollups (R10, R11) and the registry
+    follow from them without the readings: see rollup_of_parts and merge_parts."""
+    return readings.where("endpoint_id is not null").groupBy("endpoint_id", time_bucket(F.col("ts"), minutes).alias("bucket")).agg(*_index_aggs(), F.count("consumption").alias("n"))
+
+
+def rollup_of_parts(parts: DataFrame) -> DataFrame:
+    """R10, R11 of index_by_bucket."""
+    return parts.where("n > 0").select("endpoint_id", "bucket", F.col("min_consumption").alias("min_c"), F.col("max_consumption").alias("max_c"), "n")
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """R1 of index_by_bucket."""
+    rows = parts.drop("bucket", "n")
+    return merge_index(rows, rows.limit(0))
 
 
 def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -36,6 +59,16 @@ def meter_source(readings: DataFrame) -> DataFrame:
     return readings.where("source is not null and source <> ''").groupBy("endpoint_id", "source").agg(F.count("*").alias("packets"), F.max("ts").alias("last_seen"))
 
 
+def merge_sources(parts: DataFrame) -> DataFrame:
+    """R2 of several parts, such as a stream's batches."""
+    return parts.groupBy("endpoint_id", "source").agg(F.sum("packets").alias("packets"), F.max("last_seen").alias("last_seen"))
+
+
+def heartbeat_of_sources(coverage: DataFrame) -> DataFrame:
+    """R3 of R2: every packet of a receiver is of some meter."""
+    return coverage.groupBy("source").agg(F.max("last_seen").alias("last_ts"), F.sum("packets").alias("total_count"))
+
+
 def source_heartbeat(readings: DataFrame) -> DataFrame:
     """Last time and total by receiver."""
     return readings.where("source is not null and source <> ''").groupBy("source").agg(F.max("ts").alias("last_ts"), F.count("*").alias("total_count"))

@@ -140,14 +140,21 @@ def daily_rollup(deltas: DataFrame, tz: str = "UTC") -> DataFrame:
 
 def benchmark(deltas: DataFrame, index: DataFrame) -> DataFrame:
     """Each meter's movement among peers of its commodity that move: their number, median, and the
-    share of them strictly below it."""
+    share of them strictly below it. Peers are ranked in bands of movement about 1 % wide, whose counts are
+    added up, so that no task holds all meters of a commodity."""
     moved = deltas.groupBy("endpoint_id").agg(F.sum("delta").alias("movement"))
     rows = index.select("endpoint_id", commodity(F.col("endpoint_type")).alias("commodity")).join(moved, "endpoint_id", "left").withColumn("movement", F.coalesce("movement", F.lit(0.0)))
-    peers = rows.where("movement > 0").groupBy("commodity").agg(F.count("*").alias("peers"), F.percentile("movement", 0.5).alias("median"))
-    # number below by rank among the peers, not by comparing pairs
-    at = Window.partitionBy("commodity").orderBy("movement")
-    below = rows.where("movement > 0").select("endpoint_id", (F.rank().over(at) - 1).alias("below"))
-    out = rows.join(peers, "commodity", "left").join(below, "endpoint_id", "left")
+    peer = rows.where("movement > 0").withColumn("band", F.floor(F.log2("movement") * 64))
+    bands = peer.groupBy("commodity", "band").agg(F.count("*").alias("n"))  # a few thousand at most for a commodity
+    each = Window.partitionBy("commodity")
+    before = F.coalesce(F.sum("n").over(each.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = bands.select("commodity", "band", before.alias("before"), F.sum("n").over(each).alias("peers"))
+    at = Window.partitionBy("commodity", "band").orderBy("movement")
+    ranked = peer.withColumns({"below": F.rank().over(at) - 1, "place": F.row_number().over(at)}).join(bands, ["commodity", "band"])
+    ranked = ranked.select("endpoint_id", "commodity", "movement", (F.col("before") + F.col("below")).alias("below"), (F.col("before") + F.col("place")).alias("place"), "peers")
+    middle = (F.col("place") == F.floor((F.col("peers") + 1) / 2)) | (F.col("place") == F.ceil((F.col("peers") + 1) / 2))
+    peers = ranked.groupBy("commodity").agg(F.max("peers").alias("peers"), F.avg(F.when(middle, F.col("movement"))).alias("median"))
+    out = rows.join(peers, "commodity", "left").join(ranked.select("endpoint_id", "below"), "endpoint_id", "left")
     return out.select("endpoint_id", "commodity", "movement", F.coalesce("peers", F.lit(0)).cast("long").alias("peers"), "median", F.try_divide(100.0 * F.coalesce("below", F.lit(0)), F.col("peers")).alias("pct_below"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, clamp01, commodity, correlation, round_half_away, time_bucket
-from ..functions.joins import range_join
+from ..functions.joins import broadcast_checked, range_join
 from ..operators.deltas import bucket_deltas, counter_steps, glitch_filter
 from ..operators.reference import entity_energy, gapfill, hvac_power, monitored_cv, monitored_energy, monitored_floor, per_entity
 from ..params import DEFAULTS, Params
@@ -27,12 +27,12 @@ def closed_windows(windows: DataFrame, source: str | None = None, params: Params
 
 
 def rate_ratio(rollup_1m: DataFrame, index: DataFrame, windows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Movement and rate of every meter in each window against its rate outside of it. windows(id,
-    start_ts, end_ts) are few (at most the limit of I14, or one)."""
-    w = F.broadcast(windows.select(C("id").alias("window_id"), "start_ts", "end_ts"))
-    inside = rollup_1m.join(w, (C("bucket") >= C("start_ts")) & (C("bucket") <= C("end_ts"))).groupBy("window_id", "endpoint_id").agg((F.max("max_c") - F.min("min_c")).alias("wd"), F.sum("n").alias("wn"))
+    """Movement and rate of every meter in each window of windows(id, start_ts, end_ts) against its rate
+    outside of it. Every meter has a row for every window: that is the ranking."""
+    w = windows.select(C("id").alias("window_id"), "start_ts", "end_ts")
+    inside = in_windows(rollup_1m, w, "bucket").groupBy("window_id", "endpoint_id").agg((F.max("max_c") - F.min("min_c")).alias("wd"), F.sum("n").alias("wn"))
     span = F.broadcast(index.agg(((F.max("last_seen").cast("double") - F.min("first_seen").cast("double")) / 3600.0).alias("span_h")))
-    every = index.select("endpoint_id", "endpoint_type", (C("max_consumption") - C("min_consumption")).alias("total")).join(w).join(span)
+    every = index.select("endpoint_id", "endpoint_type", (C("max_consumption") - C("min_consumption")).alias("total")).join(broadcast_checked(w)).join(span)
     rows = every.join(inside, ["window_id", "endpoint_id"], "left")
     hours = (C("end_ts").cast("double") - C("start_ts").cast("double")) / 3600.0
     rows = rows.withColumn("wh", F.when(hours > 0, hours).otherwise(params.epsilon)).withColumn("oh", F.greatest(C("span_h") - C("wh"), F.lit(params.epsilon))).withColumn("d", F.coalesce("wd", F.lit(0.0)))
@@ -243,7 +243,7 @@ def known_load_anchor(ranking: DataFrame, windows: DataFrame, entity_kwh: DataFr
     """kWh a count from a window's known load, or its known entity's energy(entity_id, kwh), which may be
     given by window_id."""
     w = windows.select(C("id").alias("window_id"), "known_load_w", "known_entity_id", ((C("end_ts").cast("double") - C("start_ts").cast("double")) / 3600.0).alias("hours"))
-    rows = ranking.join(F.broadcast(w), "window_id")
+    rows = ranking.join(w, "window_id")
     if entity_kwh is not None:
         by = [c for c in ("window_id",) if c in entity_kwh.columns]
         rows = rows.join(entity_kwh.select(*by, C("entity_id").alias("known_entity_id"), C("kwh").alias("entity_kwh")), [*by, "known_entity_id"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import unit_factor
+from ..functions.joins import broadcast_checked
 from ..params import ENERGY_UNITS, SENSOR_UNITS
 
 
@@ -25,9 +26,14 @@ def ingest_packets(lines: DataFrame, source: str | Column, ingest_time: Column)
     return rows.where("endpoint_id is not null and consumption > 0")
 
 
-def append_readings(readings: DataFrame, path: str, mode: str = "append") -> None:
-    """S3: append to the readings table, a folder a day."""
-    readings.withColumn("dt", F.to_date("ts")).repartition("dt").sortWithinPartitions("endpoint_id", "ts").write.mode(mode).partitionBy("dt").parquet(path)
+def append_readings(readings: DataFrame, path: str, mode: str = "append", rows_a_file: int = 5_000_000) -> None:
+    """S3: append to the readings table, a folder a day. A day is dealt by meter to as many tasks, a file each,
+    as its rows ask for, in order of meter and time."""
+    rows = readings.withColumn("dt", F.to_date("ts"))
+    files = rows.groupBy(F.col("dt").alias("__day")).agg(F.ceil(F.count("*") / rows_a_file).cast("int").alias("__files"))
+    rows = rows.join(broadcast_checked(files), F.col("dt").eqNullSafe(F.col("__day"))).drop("__day")
+    rows = rows.withColumn("__file", F.pmod(F.hash("endpoint_id"), "__files")).drop("__files").repartition("dt", "__file")
+    rows.sortWithinPartitions("dt", "__file", "endpoint_id", "ts").drop("__file").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def meter_readings(readings: DataFrame, endpoint_id: int, since: Column | None = None, until: Column | None = None) -> DataFrame:
@@ -39,6 +45,7 @@ def meter_readings(readings: DataFrame, endpoint_id: int, since: Column | None =
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, in the order of the rows."""
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.registry import merge_index, meter_index
-from ..operators.usage import published_feed
+from ..functions.joins import broadcast_checked
+from ..operators.registry import merge_index, meter_index, meter_source
 from ..params import DEFAULTS, Params
 from ..sources.ingest import append_readings
 
@@ -22,8 +22,13 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-meterscope-")
+    """A new folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one
+    on a local master; on a cluster, whose machines share no such folder, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-meterscope-")
     return f"{base.rstrip('/')}/meterscope-{uuid.uuid4().hex}/{name}"
 
 
@@ -36,19 +41,28 @@ def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, in
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    spark.conf.set(*next(iter(STATE_STORE.items())))
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink or keep).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink or keep).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return None if sink else spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
 
 
-def ingest_batch(readings_path: str, index_path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function of S1's stream: writes a batch's readings by day, and its registry rows, to
-    folders of the batch; a batch that is run again replaces them. merge_batches adds registries up."""
+def ingest_batch(readings_path: str, index_path: str, coverage_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function of S1's stream: writes a batch's readings by day, its registry rows (R1) and
+    its coverage rows (R2), to folders of the batch; a batch that is run again replaces them. merge_batches and
+    merge_sources add them up; heartbeats (R3) follow from the coverage."""
 
     def run(batch: DataFrame, number: int) -> None:
         append_readings(batch, f"{readings_path}/batch={number}", "overwrite")
         meter_index(batch).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        if coverage_path:
+            meter_source(batch).write.mode("overwrite").parquet(f"{coverage_path}/batch={number}")
 
     return run
 
@@ -71,18 +85,57 @@ def source_packets(readings: DataFrame, span: str = "60 seconds", slide: str = "
     return rows.select("source", F.col("w.end").alias("until"), "packets")
 
 
-def publish_batch(meters: DataFrame, history: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """T5: foreachBatch function: what U17 publishes of the meters that a batch has readings of; history()
-    is the readings table, cut to the last hours that power and signal need."""
+def _chunks(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one batch in order. What a batch holds is the source's to bound (maxFilesPerTrigger)."""
+    return pd.concat(list(rows)).sort_values(by)
 
-    def run(batch: DataFrame, number: int) -> None:
-        heard = batch.join(F.broadcast(meters.where("publish").select("endpoint_id")), "endpoint_id", "left_semi")
-        rows = history().unionByName(heard, allowMissingColumns=True).dropDuplicates(["endpoint_id", "ts", "consumption"])
-        now = heard.agg(F.max("ts").alias("t")).first()["t"]
-        if now is not None:
-            sink(published_feed(rows.join(heard.select("endpoint_id").distinct(), "endpoint_id", "left_semi"), meters, F.lit(now)), number)
 
-    return run
+class Publish(StatefulProcessor):
+    """T5: keyed by meter. State is the last two readings and the times of the last hour's; each batch with
+    readings of a published meter gives what U17 publishes of it, as of its newest reading. Chunks of a batch
+    are taken as they come, none is held."""
+
+    hour = pd.Timedelta(hours=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.two = handle.getValueState("two", "ts array<timestamp>, value array<double>")
+        self.recent = handle.getValueState("recent", "ts array<timestamp>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = list(zip(*self.two.get(), strict=True)) if self.two.exists() else []
+        times = pd.Series([pd.Timestamp(t) for t in self.recent.get()[0]] if self.recent.exists() else [], dtype="datetime64[us]")
+        name, mult = None, 1.0
+        for chunk in rows:
+            name, mult = chunk["pub_name"].iloc[0], float(chunk["mult"].iloc[0])
+            top = chunk.dropna(subset=["consumption"]).nlargest(2, ["ts", "consumption"])
+            held = sorted([(pd.Timestamp(t), v) for t, v in held] + [(pd.Timestamp(t), float(v)) for t, v in zip(top["ts"], top["consumption"], strict=True)])[-2:]
+            times = pd.concat([times, chunk["ts"].astype("datetime64[us]")])
+            times = times[times > times.max() - self.hour]
+        if not held:
+            return
+        self.two.update(([t.to_pydatetime() for t, _ in held], [v for _, v in held]))
+        self.recent.update(([t.to_pydatetime() for t in times],))
+        power = None
+        if len(held) == 2 and held[1][0] > held[0][0]:
+            power = (held[1][1] - held[0][1]) / ((held[1][0] - held[0][0]).total_seconds() / 3600.0) * mult
+        yield pd.DataFrame({"endpoint_id": [key[0]], "pub_name": [name], "ts": [held[-1][0]], "energy": [held[-1][1] * mult], "power": [power], "signal": [len(times)]}).astype({"power": "float64", "ts": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+def publish(readings: DataFrame, meters: DataFrame) -> DataFrame:
+    """T5: (endpoint_id, pub_name, ts, energy, power, signal) of each batch and published meter."""
+    own = meters.where(F.coalesce("publish", F.lit(False))).select("endpoint_id", F.coalesce("pub_name", F.lit("")).alias("pub_name"), F.coalesce("pub_multiplier", F.lit(1.0)).alias("mult"))
+    rows = readings.where("ts is not null").select("endpoint_id", "ts", "consumption").join(broadcast_checked(own), "endpoint_id")
+    return rows.groupBy("endpoint_id").transformWithStateInPandas(Publish(), "endpoint_id long, pub_name string, ts timestamp, energy double, power double, signal long", "Update", "None")
+
+
+def with_hvac(power: DataFrame, hvac: DataFrame, heating_kw: float, cooling_kw: float) -> DataFrame:
+    """Samples (home, ts, entity_id, w) of power(home, ts, entity_id, w) and, as watts, of
+    hvac(home, ts, entity_id, action): what heating and cooling take, 0 for any other action."""
+    w = F.when(F.col("action") == "heating", 1000.0 * heating_kw).when(F.col("action") == "cooling", 1000.0 * cooling_kw).otherwise(0.0)
+    return power.select("home", "ts", "entity_id", "w").unionByName(hvac.select("home", "ts", "entity_id", w.alias("w")))
 
 
 class LivePower(StatefulProcessor):
@@ -92,15 +145,15 @@ class LivePower(StatefulProcessor):
         self.last = handle.getMapState("last", "entity_id string", "w double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        whole = pd.concat(list(rows)).sort_values(["ts", "entity_id"])
+        whole = _chunks(rows, ["ts", "entity_id"])
         known = {k[0]: v[0] for k, v in self.last.iterator()}
-        out = []
-        for ts, entity, w in zip(whole["ts"], whole["entity_id"], whole["w"], strict=True):
-            known[entity] = w
-            out.append((key[0], ts, float(sum(known.values()))))
-        for entity in whole["entity_id"].unique():
-            self.last.updateValue((entity,), (float(known[entity]),))
-        yield pd.DataFrame(out, columns=["home", "ts", "power_w"])
+        # a sample changes the total by what it differs from the entity's last one
+        before = whole.groupby("entity_id")["w"].shift()
+        before = before.where(before.notna(), whole["entity_id"].map(known)).fillna(0.0)
+        total = sum(known.values()) + (whole["w"] - before).cumsum()
+        for entity, w in whole.groupby("entity_id")["w"].last().items():
+            self.last.updateValue((entity,), (float(w),))
+        yield pd.DataFrame({"home": key[0], "ts": whole["ts"].to_numpy(), "power_w": total.to_numpy(dtype="float64")})
 
     def close(self) -> None:
         pass
@@ -157,13 +210,19 @@ def _unit(ts: pd.Series) -> float:
 
 
 def auto_windows(totals: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """T4 in batch: windows of each home's totals(home, ts, power_w), in order of ts and power."""
+    """T4 in batch: windows of each home's totals(home, ts, power_w), in order of ts and power. The rule's five
+    values go along the sorted rows of a home, batch by batch, so a long history is never held."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "power_w"])
-        return _windows_of(rows, AutoWindow(params=params), rows["home"].iloc[0])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, home = AutoWindow(params=params), None
+        for batch in batches:
+            for name, rows in batch.groupby("home", sort=False):
+                if name != home:
+                    machine, home = AutoWindow(params=params), name
+                yield _windows_of(rows, machine, home)
 
-    return totals.groupBy("home").applyInPandas(run, _WINDOWS)
+    rows = totals.where("home is not null").select("home", "ts", "power_w")
+    return rows.repartition("home").sortWithinPartitions("home", "ts", "power_w").mapInPandas(run, _WINDOWS)
 
 
 class AutoWindows(StatefulProcessor):
@@ -175,8 +234,7 @@ class AutoWindows(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         machine = AutoWindow(tuple(self.value.get()) if self.value.exists() else None)
-        whole = pd.concat(list(rows)).sort_values(["ts", "power_w"])
-        out = _windows_of(whole, machine, key[0])
+        out = _windows_of(_chunks(rows, ["ts", "power_w"]), machine, key[0])
         self.value.update(tuple(None if x is None else float(x) for x in machine.state()))
         yield out
 
@@ -204,7 +262,7 @@ class KeepAlive(StatefulProcessor):
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.silence_s)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        whole = pd.concat(list(rows)).sort_values("ts")
+        whole = _chunks(rows, ["ts"])
         self.value.update((float(whole["energy"].iloc[-1]),))
         self._again(timerValues)
         yield pd.DataFrame({"endpoint_id": key[0], "ts": whole["ts"], "energy": whole["energy"], "repeated": False})
