@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime, timedelta
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import modulus, step, time_bucket
@@ -23,6 +26,42 @@ def refresh_rollup(old: DataFrame, readings: DataFrame, minutes: int, since: Col
     return old.where(~inside("bucket")).unionByName(fresh)
 
 
+def backfill_rollup(readings: DataFrame, minutes: int, path: str, first: datetime, as_of: datetime, *, step_days: int = 7, settle_h: int = 48, most_steps: int | None = None) -> datetime:
+    """R12 over a long history, resumable: ranges of step_days from `first` on to settle_h before as_of (what is
+    newer is the regular refresh's), each a job that writes its buckets to a folder of its own under path and
+    then the time reached. A run goes on from the time that an earlier one has written; a range that was cut
+    off is written anew. most_steps ends a run early. Returns the time reached; read_backfill gives the rollup."""
+    spark = readings.sparkSession
+    reached, end = first, as_of - timedelta(hours=settle_h)
+    marks = _marks(spark, path)
+    if marks is not None:
+        reached = max(reached, marks.agg(F.max("reached")).first()[0])
+    steps = 0
+    while reached < end and (most_steps is None or steps < most_steps):
+        upto = min(reached + timedelta(days=step_days), end)
+        bounds = [F.lit(t.isoformat(" ")).cast("timestamp") for t in (reached, upto)]
+        part = rollup(readings.where((F.col("ts") >= bounds[0]) & (F.col("ts") < bounds[1])), minutes)
+        name = reached.strftime("%Y%m%dT%H%M%S")
+        part.write.mode("overwrite").parquet(f"{path}/ranges/since={name}")
+        spark.range(1).select(bounds[1].alias("reached")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/since={name}")
+        reached, steps = upto, steps + 1
+    return reached
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("reached timestamp, since string").parquet(f"{path}/marks")
+    except AnalysisException:  # nothing is written yet
+        return None
+
+
+def read_backfill(spark: SparkSession, path: str) -> DataFrame:
+    """The rollup of backfill_rollup. A bucket that two ranges share is one row."""
+    schema = "endpoint_id long, bucket timestamp, min_c double, max_c double, n long, since string"
+    rows = spark.read.schema(schema).parquet(f"{path}/ranges")
+    return rows.groupBy("endpoint_id", "bucket").agg(F.min("min_c").alias("min_c"), F.max("max_c").alias("max_c"), F.sum("n").alias("n"))
+
+
 def realtime_rollup(materialised: DataFrame, readings: DataFrame, minutes: int, watermark: Column) -> DataFrame:
     """What is materialised before the watermark, and fresh readings from it on."""
     return materialised.where(F.col("bucket") < watermark).unionByName(rollup(readings.where(F.col("ts") >= watermark), minutes))

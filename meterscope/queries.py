@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,17 @@ add("r11_rollup_1h", lambda d: d.r1h, _base(IX) + "SELECT * FROM r1h")
 _mid = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp")
 add("r12_refresh_rollup", lambda d: D.refresh_rollup(D.rollup(d.readings.where("event_id % 2 = 0"), 60), d.readings, 60, _mid(), _mid() + F.expr("INTERVAL 7 DAYS")),
     _base(IX) + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE event_id % 2 = 0 OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') GROUP BY 1, 2")
+
+
+def _backfilled(d: Data) -> DataFrame:
+    """Two runs: the first is cut off after two ranges, the second goes on from there."""
+    path = T.shared_folder(d.spark, "backfill")
+    for most in (2, None):
+        D.backfill_rollup(d.readings, 60, path, datetime(2024, 1, 1), datetime(2024, 1, 30, 20), most_steps=most)
+    return D.read_backfill(d.spark, path)
+
+
+add("r12_backfill_rollup", _backfilled, _base(IX) + f"SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE ts < {AS_OF_SQL} - INTERVAL '48 hours' GROUP BY 1, 2")
 add("r13_realtime_rollup", lambda d: D.realtime_rollup(D.rollup(d.readings.where(C("ts") < _mid()), 60), d.readings, 60, _mid()), _base(IX) + "SELECT * FROM r1h")
 add("r14_table_stats", lambda d: R.table_stats({"readings": d.readings}, d.readings)[1], _base(RD) + "SELECT source, count(*)::BIGINT AS rows, min(ts) AS oldest, max(ts) AS newest FROM readings GROUP BY 1")
 add("r14_table_rows", lambda d: R.table_stats({"readings": d.readings, "samples": d.samples, "hvac": d.hvac}, d.readings)[0], _base(RD, fx.SAMPLES) + "SELECT 'readings' AS name, count(*)::BIGINT AS rows FROM readings UNION ALL SELECT 'samples', count(*)::BIGINT FROM samples UNION ALL SELECT 'hvac', count(*)::BIGINT FROM hvac")
@@ -580,8 +592,7 @@ add(
     _WI() + f"SELECT window_id, endpoint_id, score, r, r2, buckets, slope, multiplier, baseline_w, floor_ok, meter_kwh, kwh AS monitored_kwh, cv, pool, pass, lag::INT AS lag, {_R('confidence', 3)} AS confidence, anchor FROM wi",
     "confidence anchor:9 slope baseline_w:1 multiplier:8",
 )
-_scored = lambda d: I.rate_ratio(d.r1m, d.index, d.windows).withColumns({"confidence": C("score") / (1 + C("score")), "r": F.lit(None).cast("double"), "multiplier": F.lit(None).cast("double")})
-add("i13_known_load_anchor", lambda d: I.known_load_anchor(_scored(d), d.windows, G.entity_energy(d.entities)).select("window_id", "endpoint_id", F.round("anchor", 9).alias("anchor")),
+add("i13_known_load_anchor", lambda d: I.known_load_anchor(I.rate_ratio(d.r1m, d.index, d.windows), d.windows, G.entity_energy(d.entities)).select("window_id", "endpoint_id", F.round("anchor", 9).alias("anchor")),
     _base(IX, FL, fx.WINDOWS) + _RATIO + ", ee AS (SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS k FROM fill GROUP BY 1), an AS (SELECT rs.window_id, rs.endpoint_id, d, COALESCE(known_load_w * wh / 1000, k) AS e FROM rs JOIN wins ON wins.id = rs.window_id LEFT JOIN ee ON ee.entity_id = known_entity_id) SELECT window_id, endpoint_id, round(CASE WHEN e > 0 AND d > 0 THEN e / d END, 9) AS anchor FROM an")
 add("i14_closed_windows", lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"), _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)")
 add("i15_combined_ranking", lambda d: _combined(d).select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED) + _COMBINED_SQL, _COMBINED_DOUBLES)
@@ -612,7 +623,17 @@ add(
 )
 
 # streaming, in the form that runs on tables
-add("t4_auto_windows", lambda d: T.auto_windows(d.events.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w"))))
+_watts = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w"))
+#: The rule, walked a sample a step in all homes at once.
+_AUTO = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY ts, p) AS i FROM (SELECT 'home' || user_id % 50 AS home, ts, value * 30 AS p FROM events)),
+m AS (SELECT home, i, ts, p AS base, 0.0::DOUBLE AS dev, NULL::TIMESTAMP AS opened, NULL::DOUBLE AS load, NULL::TIMESTAMP AS closed, NULL::TIMESTAMP AS from_ts, NULL::DOUBLE AS given FROM e WHERE i = 1
+  UNION ALL SELECT home, i, ts, CASE WHEN opened IS NULL THEN nb ELSE base END, CASE WHEN opened IS NULL THEN nd ELSE dev END,
+    CASE WHEN opened IS NULL THEN CASE WHEN opens THEN ts END WHEN NOT ends THEN opened END, CASE WHEN opened IS NULL THEN CASE WHEN opens THEN floor(p - nb + 0.5::DOUBLE) END WHEN NOT ends THEN load END,
+    CASE WHEN opened IS NOT NULL AND ends THEN ts ELSE closed END, CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN opened END, CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN load END
+  FROM (SELECT *, (closed IS NULL OR epoch_us(ts) - epoch_us(closed) >= 300000000) AND p - nb >= greatest(400, 3 * nd) AS opens, p < base + greatest(200, 1.5::DOUBLE * dev) OR age >= 900000000 AS ends
+    FROM (SELECT e.home, e.i, e.ts, e.p, base, dev, opened, load, closed, dev + 0.05::DOUBLE * (abs(e.p - base) - dev) AS nd, base + 0.02::DOUBLE * (e.p - base) AS nb, epoch_us(e.ts) - epoch_us(opened) AS age FROM m JOIN e ON e.home = m.home AND e.i = m.i + 1)))
+SELECT home, from_ts AS start_ts, ts AS end_ts, given AS known_load_w FROM m WHERE from_ts IS NOT NULL"""
+add("t4_auto_windows", lambda d: T.auto_windows(_watts(d.events)), _AUTO)
 add("t7_source_packets", lambda d: T.source_packets(d.readings, "60 minutes", "20 minutes"),
     _base(RD) + """, s AS (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets FROM s GROUP BY 1, 2""")
 
@@ -632,31 +653,40 @@ add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climat
 
 
 def _ranked(d: Data) -> DataFrame:
-    rows = I.rate_ratio(d.r1m, d.index, d.windows.where("id = 3")).join(I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)), "endpoint_id")
+    rows = I.rate_ratio(d.r1m, d.index, d.windows).join(I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)), "endpoint_id")
     rows = rows.withColumns({"meter_kwh": round_half_away(C("window_delta") * C("multiplier"), 3), "monitored_kwh": F.lit(500.0)})
     return I.add_confidence(rows, 24, F.lit(0.2), C("window_packets").cast("double"))
 
 
-_CONF = _CAL + _RATIO + f""", wr AS (SELECT endpoint_id, d, wn, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs WHERE window_id = 3),
-cc AS (SELECT cs.endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets::DOUBLE AS n, {_R('(1 / (1000 * sl))', 8)} AS mult, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS fok, a, b, d, wn FROM cs JOIN wr ON wr.endpoint_id = cs.endpoint_id),
+_CONF = _CAL + _RATIO + f""", wr AS (SELECT window_id, endpoint_id, d, wn, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs),
+cc AS (SELECT window_id, cs.endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets::DOUBLE AS n, {_R('(1 / (1000 * sl))', 8)} AS mult, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS fok, a, b, d, wn FROM cs JOIN wr ON wr.endpoint_id = cs.endpoint_id),
 ce AS (SELECT *, ({_R('(d * mult)', 3)}) / 500.0::DOUBLE AS q, least({I.snoop_threshold(24)!r}::DOUBLE / sqrt(n), 0.95::DOUBLE) AS c FROM cc),
 cf2 AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE * c))) AS t,
   CASE WHEN mult IS NULL OR q <= 0 THEN 0.5::DOUBLE WHEN q < 0.5 THEN greatest(0, least(1, q / 0.5::DOUBLE * 0.4::DOUBLE)) WHEN q <= 1 THEN 0.7::DOUBLE + 0.3::DOUBLE * (q - 0.5::DOUBLE) / 0.5::DOUBLE WHEN q <= 20 THEN 1.0::DOUBLE WHEN q <= 100 THEN 1 - 0.5::DOUBLE * (q - 20) / 80 ELSE 0.3::DOUBLE END AS rec,
   CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS chg FROM ce),
-cg AS (SELECT endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1, r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
+cg AS (SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1, r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
   + 0.10::DOUBLE * CASE WHEN wn > 0 THEN least(1, n / 30, wn / 60.0::DOUBLE) ELSE least(1, n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) * CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END)) END AS confidence FROM cf2)\n"""
-add("i10_add_confidence", lambda d: _ranked(d).select("endpoint_id", "confidence"), _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT * FROM cg", "confidence")
+add("i10_add_confidence", lambda d: _ranked(d).select("window_id", "endpoint_id", "confidence"), _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT * FROM cg", "confidence")
 _verdicts = lambda d: d.index.select("endpoint_id", F.when(C("endpoint_id") % 3 == 0, True).when(C("endpoint_id") % 3 == 1, False).alias("pass"), F.lit(0.8).alias("screen_score"))
-add("i11_physics_fold", lambda d: I.physics_fold(_ranked(d).select("endpoint_id", "confidence"), _verdicts(d)).select("endpoint_id", "confidence"),
-    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT endpoint_id, CASE WHEN confidence IS NULL THEN CASE WHEN endpoint_id % 3 = 0 THEN 0.4::DOUBLE END WHEN endpoint_id % 3 = 0 THEN 0.5::DOUBLE * confidence + 0.4::DOUBLE WHEN endpoint_id % 3 = 1 THEN confidence * 0.2::DOUBLE ELSE confidence END AS confidence FROM cg", "confidence")
-_across = lambda d: d.readings.groupBy("endpoint_id").agg((F.count("*") % 10 / 10.0).alias("mean_conf"), F.lit(3).cast("long").alias("total"), (C("endpoint_id") % 3 + 1).alias("present"), (C("endpoint_id") % 2).alias("wins"), F.lit(2).cast("long").alias("n_mult"), F.lit(0.01).alias("multiplier"), (C("endpoint_id") % 5 / 500.0).alias("sd_mult"), F.lit(0.02).alias("anchor"), F.lit(0.005).alias("bill_multiplier"))
-add("i16_aggregate_confidence", lambda d: I.aggregate_confidence(_across(d)).select("endpoint_id", "confidence"),
-    _base(RD) + """, x AS (SELECT endpoint_id, count(*) % 10 / 10.0::DOUBLE AS m, endpoint_id % 3 + 1 AS present, endpoint_id % 2 AS wins, endpoint_id % 5 / 500.0::DOUBLE AS sd FROM readings GROUP BY 1),
-    y AS (SELECT endpoint_id, m * (0.6::DOUBLE + 0.25::DOUBLE * present / 3.0::DOUBLE + 0.15::DOUBLE * wins / 3.0::DOUBLE) * greatest(0, least(1, 1.1::DOUBLE - sd / 0.01::DOUBLE)) * 0.9::DOUBLE * 0.85::DOUBLE AS c FROM x)
-    SELECT endpoint_id, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""", "confidence")
-add("i18_identify_auto_feed", lambda d: _combined(d, "auto").select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED, source="source = 'auto'") + _COMBINED_SQL, _COMBINED_DOUBLES)
-add("i18_identify_auto", lambda d: I.combined_ranking(I.known_load_anchor(_scored(d).join(F.broadcast(I.closed_windows(d.windows, "auto").select(C("id").alias("window_id"))), "window_id"), d.windows)).select("endpoint_id", "avg_score", "wins", "present"),
-    _base(IX, fx.WINDOWS) + _RATIO + ", sc AS (SELECT endpoint_id, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS s FROM rs WHERE window_id = 2) SELECT endpoint_id, s AS avg_score, CASE WHEN row_number() OVER (ORDER BY s / (1 + s) DESC, s DESC, endpoint_id) = 1 THEN 1 ELSE 0 END::BIGINT AS wins, 1::BIGINT AS present FROM sc", "avg_score")
+add("i11_physics_fold", lambda d: I.physics_fold(_ranked(d).select("window_id", "endpoint_id", "confidence"), _verdicts(d)).select("window_id", "endpoint_id", "confidence"),
+    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT window_id, endpoint_id, CASE WHEN confidence IS NULL THEN CASE WHEN endpoint_id % 3 = 0 THEN 0.4::DOUBLE END WHEN endpoint_id % 3 = 0 THEN 0.5::DOUBLE * confidence + 0.4::DOUBLE WHEN endpoint_id % 3 = 1 THEN confidence * 0.2::DOUBLE ELSE confidence END AS confidence FROM cg", "confidence")
+#: Aggregates of meters over windows in all combinations of what may be missing.
+_across = lambda d: d.readings.groupBy("endpoint_id", F.hour("ts").alias("k")).agg(
+    (F.count("*") % 10 / 10.0).alias("mean_conf"), (C("k") % 3 + 1).cast("long").alias("total"), (C("k") % 3 % 2 + 1).alias("present"), (C("endpoint_id") % 2).alias("wins"), (C("k") % 4).cast("long").alias("n_mult"),
+    F.when(C("k") % 5 > 0, (C("endpoint_id") % 3 + 1) / 100.0).alias("multiplier"), (C("endpoint_id") % 5 / 500.0).alias("sd_mult"), F.when(C("k") % 7 < 4, 0.02).alias("anchor"), F.when(C("k") % 2 == 0, C("k") % 3 * 0.01).alias("bill_multiplier"),
+)
+_FAR = lambda a, b, top: f"CASE WHEN {a} > 0 AND {b} > 0 THEN greatest(0, least(1, {top}::DOUBLE - 0.3::DOUBLE * (greatest({a} / {b}, {b} / {a}) - 1))) ELSE 1 END"
+add(
+    "i16_aggregate_confidence",
+    lambda d: I.aggregate_confidence(_across(d)).select("endpoint_id", "k", "confidence"),
+    _base(RD)
+    + f""", x AS (SELECT endpoint_id, hour(ts)::INT AS k, count(*) % 10 / 10.0::DOUBLE AS m, hour(ts) % 3 + 1 AS total, hour(ts) % 3 % 2 + 1 AS present, endpoint_id % 2 AS wins, hour(ts) % 4 AS nm, CASE WHEN hour(ts) % 5 > 0 THEN (endpoint_id % 3 + 1) / 100.0::DOUBLE END AS mu,
+      endpoint_id % 5 / 500.0::DOUBLE AS sd, CASE WHEN hour(ts) % 7 < 4 THEN 0.02::DOUBLE END AS an, CASE WHEN hour(ts) % 2 = 0 THEN hour(ts) % 3 * 0.01::DOUBLE END AS bi FROM readings GROUP BY endpoint_id, hour(ts)),
+    y AS (SELECT *, m * CASE WHEN total > 1 THEN 0.6::DOUBLE + 0.25::DOUBLE * present / total::DOUBLE + 0.15::DOUBLE * wins / total::DOUBLE ELSE 1 END * CASE WHEN nm >= 2 AND mu > 0 THEN greatest(0, least(1, 1.1::DOUBLE - sd / mu)) ELSE 1 END * {_FAR("an", "mu", "1.2")} * {_FAR("bi", "COALESCE(mu, an)", "1.15")} AS c FROM x)
+    SELECT endpoint_id, k, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""",
+    "confidence",
+)
+add("i18_identify_auto", lambda d: _combined(d, "auto").select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED, source="source = 'auto'") + _COMBINED_SQL, _COMBINED_DOUBLES)
 
 
 def _frozen(d: Data) -> DataFrame:
@@ -714,7 +744,7 @@ add(
     SELECT home, count(DISTINCT i)::BIGINT AS n, sum(v) AS power_w, max(ts) AS last_ts FROM g GROUP BY 1""",
     "power_w:3",
 )
-add("t4_stream_auto_windows", lambda d: T.drain(T.stream_auto_windows(_event_stream(d).select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w")))).drop("batch"))
+add("t4_stream_auto_windows", lambda d: T.drain(T.stream_auto_windows(_watts(_event_stream(d)))).drop("batch"), _AUTO)
 add(
     "t5_publish_stream",
     lambda d: _latest(T.drain(T.publish(_plain(_event_stream(d)), d.meters), "update"), "endpoint_id"),
@@ -729,7 +759,7 @@ add("t7_source_packets_stream", lambda d: _latest(T.drain(T.source_packets(_plai
 
 
 #: Queries that read rollups, registry, steps or the filled feed several times: those are stored first.
-_STORED = ("u1_", "u4_page_totals", "u18", "b4", "b11", "b13", "p3_magnitude_band_of_bills", "p7", "i3", "i4", "i6", "i8", "i9", "i10", "i11", "i12", "i13", "i15", "i18_identify_auto_feed")
+_STORED = ("u1_", "u4_page_totals", "u18", "b4", "b11", "b13", "p3_magnitude_band_of_bills", "p7", "i3", "i4", "i6", "i8", "i9", "i10", "i11", "i12", "i13", "i15", "i18")
 
 
 def _finish(df: DataFrame, doubles: dict[str, int]) -> DataFrame:

@@ -174,7 +174,7 @@ class AutoWindow:
         return self.base, self.dev, self.opened, self.load, self.closed
 
     def step(self, t: float, power: float) -> tuple | None:
-        """(start, end, known load) when a window closes; seconds."""
+        """(start, end, known load) when a window closes; times are microseconds."""
         p, delta = self.p, self.p.auto_delta_w if self.p.auto_delta_w > 0 else 400.0
         if self.base is None:
             self.base = power
@@ -182,14 +182,14 @@ class AutoWindow:
             self.dev += p.auto_dev_ewma * (abs(power - self.base) - self.dev)
             self.base += p.auto_base_ewma * (power - self.base)
             rise = power - self.base
-            rested = self.closed is None or t - self.closed >= 60 * p.auto_cooldown_min
+            rested = self.closed is None or t - self.closed >= 60e6 * p.auto_cooldown_min
             if rested and rise >= max(delta, 3 * self.dev):
                 self.opened, self.load = t, float(int(rise + 0.5))
             return None
         age = t - self.opened
-        if power < self.base + max(delta / 2, 1.5 * self.dev) or age >= 60 * p.auto_cap_min:
+        if power < self.base + max(delta / 2, 1.5 * self.dev) or age >= 60e6 * p.auto_cap_min:
             start, load, self.opened, self.load, self.closed = self.opened, self.load, None, None, t
-            return (start, t, load) if age >= 60 * p.auto_discard_min else None
+            return (start, t, load) if age >= 60e6 * p.auto_discard_min else None
         return None
 
 
@@ -198,17 +198,13 @@ _WINDOWS = "home string, start_ts timestamp, end_ts timestamp, known_load_w doub
 
 def _windows_of(rows: pd.DataFrame, machine: AutoWindow, home: str) -> pd.DataFrame:
     out = []
-    for t, power in zip(rows["ts"].astype("int64") / _unit(rows["ts"]), rows["power_w"], strict=True):
+    for t, power in zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), rows["power_w"].tolist(), strict=True):
         done = machine.step(float(t), float(power))
         if done:
-            out.append((home, pd.Timestamp(done[0], unit="s"), pd.Timestamp(done[1], unit="s"), done[2]))
+            out.append((home, pd.Timestamp(int(done[0]), unit="us"), pd.Timestamp(int(done[1]), unit="us"), done[2]))
     return pd.DataFrame(out, columns=["home", "start_ts", "end_ts", "known_load_w"]).astype({"start_ts": "datetime64[us]", "end_ts": "datetime64[us]", "known_load_w": "float64"})
 
 
-def _unit(ts: pd.Series) -> float:
-    return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[ts.dt.unit]
-
-
 def auto_windows(totals: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """T4 in batch: windows of each home's totals(home, ts, power_w), in order of ts and power. The rule's five
     values go along the sorted rows of a home, batch by batch, so a long history is never held."""
