@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,9 +123,19 @@ def snoop_threshold(k: int) -> float:
     return NormalDist().inv_cdf(1 - 0.025 / max(k, 1))
 
 
+def _thresholds() -> Callable[[Column], Column]:
+    """snoop_threshold of a column, an Arrow batch at a time: Spark has no inverse of the normal distribution."""
+
+    @F.pandas_udf("double")
+    def of(k: pd.Series) -> pd.Series:
+        return k.map({int(x): snoop_threshold(int(x)) for x in k.dropna().unique()})
+
+    return of
+
+
 def snoop_factor(r: Column, n: Column, k: int | Column) -> Column:
     """Smooth step from 0.7 to 1.3 of the least meaningful r; 1 below 4 buckets or without r."""
-    threshold = F.udf(snoop_threshold, "double")(k) if isinstance(k, Column) else F.lit(snoop_threshold(k))
+    threshold = _thresholds()(k) if isinstance(k, Column) else F.lit(snoop_threshold(k))
     least = F.least(threshold / F.sqrt(n), F.lit(0.95))
     t = clamp01((F.abs(r) - 0.7 * least) / (0.6 * least))
     return F.when(r.isNull() | (n < 4), 1.0).otherwise(t * t * (3 - 2 * t))

@@ -146,9 +146,9 @@ add("d8_span_movement", lambda d: D.span_movement(d.readings), _base(RD) + "SELE
 add("d9_movement_leaderboard", lambda d: D.movement_leaderboard(d.readings), _base(RD) + "SELECT endpoint_id, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets, count(DISTINCT ts::DATE)::BIGINT AS days FROM readings GROUP BY 1")
 
 # sources
-_line = lambda: F.concat(F.lit('{"Time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('","Type":"'), "msg_type", F.lit('","Message":{"'), F.when(C("msg_type") == "SCM", "ID").when(C("msg_type") == "SCM+", "EndpointID").otherwise("ERTSerialNumber"), F.lit('":'), C("endpoint_id").cast("string"), F.lit(',"'), F.when(C("msg_type") == "IDM", "LastConsumptionCount").otherwise("Consumption"), F.lit('":'), C("consumption").cast("long").cast("string"), F.lit(',"A":[1,2]}}'))
-add("s1_ingest_packets", lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line()).alias("value"), "source"), C("source"), AS_OF()).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "consumption", "source"),
-    _base(RD) + "SELECT date_trunc('second', ts)::TIMESTAMP AS ts, msg_type, endpoint_id, consumption, source FROM readings WHERE event_id % 100 <> 7 AND consumption > 0")
+_line = lambda: F.concat(F.lit('{"Time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('","Type":"'), "msg_type", F.lit('","Message":{"'), F.when(C("msg_type") == "SCM", "ID").when(C("msg_type") == "SCM+", "EndpointID").otherwise("ERTSerialNumber"), F.lit('":'), C("endpoint_id").cast("string"), F.lit(',"'), F.when(C("msg_type") == "IDM", "LastConsumptionCount").otherwise("Consumption"), F.lit('":'), C("consumption").cast("long").cast("string"), F.when((C("msg_type") != "IDM") & C("endpoint_type").isNotNull(), F.concat(F.lit(',"'), F.when(C("msg_type") == "SCM", "Type").otherwise("EndpointType"), F.lit('":'), C("endpoint_type").cast("string"))).otherwise(""), F.lit(',"A":[1,2]}}'))
+add("s1_ingest_packets", lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line()).alias("value"), "source"), C("source"), AS_OF()).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "endpoint_type", "consumption", "source"),
+    _base(RD) + "SELECT date_trunc('second', ts)::TIMESTAMP AS ts, msg_type, endpoint_id, CASE WHEN msg_type <> 'IDM' THEN endpoint_type END AS endpoint_type, consumption, source FROM readings WHERE event_id % 100 <> 7 AND consumption > 0")
 add("s4_meter_readings", lambda d: S.meter_readings(d.readings, 1003, since=_mid()), _base(RD) + "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings WHERE endpoint_id = 1003 AND ts >= TIMESTAMP '2024-01-15'")
 _info = lambda d: d.events.select(F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_type") == "click", "energy").otherwise("power").alias("device_class"), F.when(C("event_type") == "click", "Wh").otherwise("kW").alias("unit")).distinct()
 _states = lambda d: d.events.select("ts", F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_id") % 40 == 3, "unavailable").otherwise(F.round(C("value") * 100).cast("long").cast("string")).alias("state"))

@@ -18,12 +18,42 @@ def readings(spark, rows):
 
 
 def test_wrap_is_movement_and_reset_is_null(spark):
-    wraps = [(0, "SCM", 1, 16777200), (5, "SCM", 1, 16777210), (10, "SCM", 1, 16777215), (15, "SCM", 1, 7), (20, "SCM", 1, 12)]
-    resets = [(0, "IDM", 2, 5000), (5, "IDM", 2, 5010), (10, "IDM", 2, 100), (15, "IDM", 2, 110)]
-    rows = readings(spark, wraps + resets)
-    got = D.counter_steps(rows, ["endpoint_id"], "ts", "consumption").orderBy("endpoint_id", "ts").collect()
-    assert [r["delta"] for r in got if r["endpoint_id"] == 1] == [None, 10.0, 5.0, 8.0, 5.0]
-    assert [r["delta"] for r in got if r["endpoint_id"] == 2] == [None, 10.0, None, 10.0]
+    """A counter that goes round: its modulus is its message type's. One that starts anew far below: no step."""
+    rows, want = [], {}
+    for meter, kind, modulus in ((1, "SCM", 2**24), (2, "SCM+", 2**32)):
+        steps = [3, 41, 7, 100, 9]
+        value = modulus - 50
+        rows.append((0, kind, meter, value))
+        for k, s in enumerate(steps, 1):
+            value = (value + s) % modulus
+            rows.append((k, kind, meter, value))
+        want[meter] = [None, *map(float, steps)]
+    rows += [(k, "IDM", 3, v) for k, v in enumerate((90_000, 90_400, 12, 40))]
+    want[3] = [None, 400.0, None, 28.0]
+    df = readings(spark, rows)
+    got = {}
+    for r in D.counter_steps(df, ["endpoint_id"], "ts", "consumption").orderBy("endpoint_id", "ts").collect():
+        got.setdefault(r["endpoint_id"], []).append(r["delta"])
+    assert got == want
+
+
+def test_rollup_and_registry_of_one_pass(spark):
+    df = readings(spark, [(m, "IDM", m % 3, 50 + m) for m in range(0, 300, 2)] + [(5, "IDM", 9, None)])
+    parts = R.index_by_bucket(df, 1)
+    assert sorted(map(tuple, R.rollup_of_parts(parts).collect())) == sorted(map(tuple, D.rollup(df, 1).collect()))
+    index = R.meter_index(df)
+    assert sorted(map(str, R.merge_parts(parts).select(index.columns).collect())) == sorted(map(str, index.collect()))
+
+
+def test_backfill_goes_on_where_it_was(spark, tmp_path):
+    df = readings(spark, [(60 * h, "IDM", 1, 100 + h) for h in range(24 * 30)])
+    path, now = str(tmp_path / "roll"), BASE + timedelta(days=29, minutes=30)
+    assert D.backfill_rollup(df, 60, path, BASE, now, most_steps=1) == BASE + timedelta(days=7)
+    first = D.read_backfill(spark, path).count()
+    end = D.backfill_rollup(df, 60, path, BASE, now)
+    assert first == 24 * 7 and end == now - timedelta(hours=48) and D.backfill_rollup(df, 60, path, BASE, now) == end
+    want = D.rollup(df.where(F.col("ts") < F.lit(end.isoformat(" ")).cast("timestamp")), 60)
+    assert sorted(map(tuple, D.read_backfill(spark, path).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_one_bit_flip_does_not_count(spark):

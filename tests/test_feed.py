@@ -19,11 +19,12 @@ def samples(spark, rows):
 
 
 def test_carry_ends_after_fifteen_minutes(spark):
-    df = samples(spark, [(m, "s", 1000) for m in range(0, 61, 5)])
-    entities = G.per_entity(G.gapfill(df, ts(0), ts(300)))
-    assert 0.8 <= G.monitored_energy(entities).first()["kwh"] <= 1.5
-    series = G.aggregate_series(entities, 5).collect()
-    assert max(r["bucket"] for r in series) <= at(80) and all(r["power_w"] > 0 for r in series)
+    """750 W each 4 minutes until minute 40: 56 minutes hold, then nothing, whatever is asked for."""
+    df = samples(spark, [(m, "s", 750) for m in range(0, 41, 4)])
+    entities = G.per_entity(G.gapfill(df, ts(0), ts(240)))
+    assert G.monitored_energy(entities).first()["kwh"] == round(56 * 750 / 60000, 3)
+    series = {r["bucket"]: r["power_w"] for r in G.aggregate_series(entities, 10).collect()}
+    assert max(series) == at(50) and set(series.values()) == {750.0}
 
 
 def test_fill_equals_brute_force(spark):
@@ -40,11 +41,13 @@ def test_fill_equals_brute_force(spark):
 
 
 def test_hvac_adds_its_kilowatts(spark):
-    acts = spark.createDataFrame([(at(m), "c", "heating" if m < 60 else "idle") for m in range(0, 120, 5)], "ts timestamp, entity_id string, action string")
-    base = samples(spark, [(m, "s", 1000) for m in range(0, 120, 5)])
-    entities = G.per_entity(G.gapfill(base, ts(0), ts(119)), G.hvac_power(acts, 0.5, 3.0, ts(0), ts(119)))
-    assert abs(G.monitored_energy(entities).first()["kwh"] - 2.5) <= 0.05
-    assert abs(G.entity_energy(entities).first()["kwh"] - 2.0) <= 0.05
+    """45 minutes of cooling, then the fan: only cooling counts, carried to the minute before the next state."""
+    acts = spark.createDataFrame([(at(m), "c", "cooling" if m < 45 else "fan") for m in range(0, 90, 9)], "ts timestamp, entity_id string, action string")
+    base = samples(spark, [(m, "s", 400) for m in range(90)])
+    for kw in (1.25, 2.0):
+        entities = G.per_entity(G.gapfill(base, ts(0), ts(89)), G.hvac_power(acts, 9.0, kw, ts(0), ts(89)))
+        assert G.monitored_energy(entities).first()["kwh"] == round((90 * 400 + 45 * 1000 * kw) / 60000, 3)
+        assert G.entity_energy(entities).first()["kwh"] == 0.6
 
 
 def test_floor_cv_and_constant_feed(spark):
@@ -94,3 +97,27 @@ def test_statistics(spark):
     rows = [("s", "hour", "2026-01-05T00:00:00Z", 100.0, None), ("s", "hour", str(int(at(60).timestamp() * 1000)), 103.0, None), ("s", "hour", "2026-01-05T02:00:00Z", None, 9.0), ("s", "hour", "2026-01-05T03:00:00Z", 101.0, None)]
     df = spark.createDataFrame(rows, "statistic_id string, period string, start string, sum double, change double")
     assert [r["kwh"] for r in S.stat_deltas(df).orderBy("ts").collect()] == [3.0, 9.0, 0.0]
+
+
+def test_export_and_factors(spark, tmp_path):
+    rows = spark.createDataFrame([(at(2), "IDM", 7, 4, 12.0, "a"), (at(1), "IDM", 7, None, 11.0, None), (at(3), "IDM", 8, 4, 1.0, "a")], "ts timestamp, msg_type string, endpoint_id long, endpoint_type int, consumption double, source string")
+    S.export_csv(S.meter_readings(rows, 7), str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == ["ts", "msg_type", "endpoint_id", "endpoint_type", "consumption", "source"] and sorted(r["consumption"] for r in back.collect()) == ["11.0", "12.0"]
+    units = spark.createDataFrame([("Wh",), ("kWh",), ("MWh",), (None,)], "unit string")
+    assert [r["f"] for r in units.select(S.statistic_factor(F.col("unit")).alias("f")).collect()] == [0.001, 1.0, 1000.0, 1.0]
+
+
+def test_days_in_several_files(spark, tmp_path):
+    rows = spark.createDataFrame([(at(60 * h), "IDM", m, 4, float(h), "a") for h in range(48) for m in range(12)], "ts timestamp, msg_type string, endpoint_id long, endpoint_type int, consumption double, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files stay apart
+    try:
+        S.append_readings(rows, str(tmp_path / "t"), rows_a_file=40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "t" / "dt=2026-01-05").glob("*.parquet"))) > 1
+    S.append_readings(rows.limit(0), str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == rows.count() and back.select("dt").distinct().count() == 2
+    of_meter = back.withColumn("f", F.input_file_name()).groupBy("dt", "endpoint_id").agg(F.countDistinct("f").alias("n")).collect()
+    assert all(r["n"] == 1 for r in of_meter)

@@ -25,30 +25,31 @@ READING = "ts timestamp, msg_type string, endpoint_id long, endpoint_type int, c
 
 
 def plug_and_meters(spark):
-    watts = [300 if m % 2 == 0 else 100 for m in range(60)]
+    """A plug at three levels; meter 21 counts 0.09 a watt-minute more than a steady 4, 22 is steady, 23 is a
+    gas meter that follows as well."""
+    watts = [(150, 620, 380)[m * m % 7 % 3] for m in range(90)]
     samples = spark.createDataFrame([(at(m), "s", float(w)) for m, w in enumerate(watts)], "ts timestamp, entity_id string, power_w double")
-    rows, follow = [], 1000.0
+    rows, follow = [], 700.0
     for m, w in enumerate(watts):
-        for half in (0, 30):
-            follow += 0.05 * w
-            rows.append((at(m) + timedelta(seconds=half), "SCM", 1001, 4, follow, "a"))
-            rows.append((at(m) + timedelta(seconds=half), "SCM", 1002, 4, 5000.0 + 5 * m, "a"))
-            rows.append((at(m) + timedelta(seconds=half), "SCM", 9001, 2, follow, "a"))
-    return samples, spark.createDataFrame(rows, READING)
+        follow += 0.09 * w + 4
+        rows += [(at(m) + timedelta(seconds=20), "IDM", i, t, c, "a") for i, t, c in ((21, 4, follow), (22, 4, 9000.0 + 30 * m), (23, 2, follow))]
+    return watts, samples, spark.createDataFrame(rows, READING)
 
 
 def test_the_following_meter_wins(spark):
-    samples, readings = plug_and_meters(spark)
-    window = spark.createDataFrame([(1, at(0), at(60))], "id long, start_ts timestamp, end_ts timestamp")
-    entities = G.per_entity(G.gapfill(samples, ts(0), ts(60)))
+    watts, samples, readings = plug_and_meters(spark)
+    window = spark.createDataFrame([(1, at(0), at(90))], "id long, start_ts timestamp, end_ts timestamp")
+    entities = G.per_entity(G.gapfill(samples, ts(0), ts(89)))
     floor = G.monitored_floor(entities).first()["floor_w"]
-    assert 90 <= floor <= 130
-    args = (D.rollup(readings, 1), R.meter_index(readings), window, entities, 1, ts(0), ts(60))
+    assert floor == 150.0 and G.monitored_energy(entities).first()["kwh"] == round(sum(watts) / 60000, 3)
+    args = (D.rollup(readings, 1), R.meter_index(readings), window, entities, 1, ts(0), ts(89))
     got = I.identify(*args, floor_w=floor, monitored_kwh=G.monitored_energy(entities).first()["kwh"], cv=G.monitored_cv(entities).first()["cv"]).collect()
     best = got[0]
-    assert best["endpoint_id"] == 1001 and best["r"] >= 0.95 and 5 <= best["slope"] <= 7 and 1.3e-4 <= best["multiplier"] <= 2.1e-4 and best["confidence"] >= 0.5
-    assert {r["endpoint_id"] for r in got} == {1001, 1002}
-    assert {r["endpoint_id"] for r in I.identify(*args, electric_only=False).collect()} == {1001, 1002, 9001}
+    # a watt-hour is 60 watt-minutes: 0.09 x 60 counts
+    assert best["endpoint_id"] == 21 and best["r"] > 0.999 and abs(best["slope"] - 5.4) < 0.01 and abs(best["multiplier"] - 1 / 5400) < 1e-6
+    assert abs(best["baseline_w"] - 4 / 5.4 * 60) < 1 and best["floor_ok"] and best["confidence"] > 0.7
+    assert {r["endpoint_id"] for r in got} == {21, 22} and got[1]["r"] is None
+    assert {r["endpoint_id"] for r in I.identify(*args, electric_only=False).collect()} == {21, 22, 23}
 
 
 def test_every_window_has_its_own_regression(spark):
@@ -280,11 +281,45 @@ def test_live_power_sums_last_values(spark, tmp_path):
     assert [r["power_w"] for r in spark.table("live").orderBy("ts").collect()] == [5.0, 12.0, 8.0]
 
 
+def test_hvac_is_part_of_live_power(spark, tmp_path):
+    df = spark.createDataFrame([("h", at(0), "a", 5.0, None), ("h", at(1), "c", None, "heating"), ("h", at(2), "a", 1.0, None), ("h", at(3), "c", None, "off"), ("i", at(0), "c", None, "cooling")], "home string, ts timestamp, entity_id string, w double, action string")
+    for k in range(2):  # the second batch goes on from the first one's state
+        df.where(f"minute(ts) {'<' if k == 0 else '>='} 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    both = T.with_hvac(stream.where("w is not null"), stream.where("action is not null"), 1.5, 2.5)
+    rows = T.drain(T.live_power(both)).orderBy("home", "ts").collect()
+    assert [r["power_w"] for r in rows] == [5.0, 1505.0, 1501.0, 1.0, 2500.0]
+
+
+def test_published_feed_of_a_stream(spark, tmp_path):
+    """Two batches: what is published after each is what the table so far says."""
+    rows = [(at(m), "IDM", 1 + m % 2, 4, 100.0 + 3 * m, "a") for m in range(0, 200, 7)]
+    df = spark.createDataFrame(rows, READING)
+    meters = spark.createDataFrame([(1, True, "one", 0.5, None), (2, False, None, 1.0, None)], "endpoint_id long, publish boolean, pub_name string, pub_multiplier double, pub_unit string")
+    for k, part in enumerate((rows[:15], rows[15:])):
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = T.drain(T.publish(stream, meters), "update").orderBy("batch").collect()
+    last = df.where("endpoint_id = 1").agg(F.max("ts")).first()[0]
+    want = U.published_feed(df, meters, F.lit(last.isoformat(" ")).cast("timestamp")).first()
+    assert [r["endpoint_id"] for r in got] == [1, 1] and (got[-1]["energy"], got[-1]["power"], got[-1]["signal"], got[-1]["ts"]) == (want["energy"], want["power"], want["signal"], want["ts"])
+
+
+def test_sliding_packets_of_a_stream_equal_batch(spark, tmp_path):
+    df = spark.createDataFrame([(at(0) + timedelta(seconds=7 * k), "IDM", k % 3, 4, 1.0 + k, "ab"[k % 2]) for k in range(60)], READING)
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = T.drain(T.source_packets(stream), "update").drop("batch")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.source_packets(df).collect()))
+
+
 def test_ingest_batches_are_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(at(m), "IDM", 1, 4, 100.0 + m, "a") for m in range(10)], READING)
-    run = T.ingest_batch(str(tmp_path / "readings"), str(tmp_path / "index"))
+    run = T.ingest_batch(str(tmp_path / "readings"), str(tmp_path / "index"), str(tmp_path / "coverage"))
     run(df, 0)
     run(df, 0)
+    coverage = R.merge_sources(spark.read.parquet(str(tmp_path / "coverage")).drop("batch"))
+    assert coverage.first()["packets"] == 10 and R.heartbeat_of_sources(coverage).first()["total_count"] == 10
     parts = spark.read.parquet(str(tmp_path / "index"))
     assert T.merge_batches(parts).first()["packets"] == 10
 
