@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, table
+from .common import join_checked, materialize, settled, table
 
 #: tool: {argument: (type, required)}; types as variants have them. What the query's calls are held to.
 SCHEMAS = {
@@ -185,7 +185,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
     first = F.min(F.struct("turn", "name", "arguments", "after", "conv_id")).alias("c")
     calls = materialize(calls.groupBy("call_id").agg(first).select("call_id", "c.*"), "calls")
     results = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(F.col("turn").alias("turn"), "content")).alias("r"), F.count("*").alias("n_results"))
-    level = topological_levels(calls)
+    level = settled(lambda: topological_levels(calls), "levels")
     placed = with_places(calls.select("call_id", "conv_id", "turn").join(level, "call_id"), "conv_id", F.coalesce(F.floor(F.col("level") / STRETCH), F.lit(1 << 62)), [F.col("level").asc_nulls_last(), "turn", "call_id"])
     rows = with_argument_errors(calls, schemas).join(placed.select("call_id", "level", "place"), "call_id").join(results.hint("shuffle_hash"), "call_id", "left")
     canonical = F.coalesce(F.to_json("__parsed"), F.to_json(F.struct(F.col("arguments").alias("text"))))

@@ -37,9 +37,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meterscope-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders written within the settled() calls that run now, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() in shared storage, without the tables that it has stored on the way: those are removed once it is
+    written. For steps of which nothing but the result is read later."""
+    _SCOPES.append([])
+    try:
+        out = materialize(make(), name)
+    finally:
+        paths = _SCOPES.pop()
+        if _SCOPES:
+            _SCOPES[-1] += paths  # removed with the outer step's, if not here
+    context = out.sparkSession.sparkContext
+    for path in paths[:-1]:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    if _SCOPES:
+        _SCOPES[-1][-len(paths) :] = paths[-1:]
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,6 +100,11 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
 
 
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of edges (u long, v long); component is the least node. In shared storage."""
+    return settled(lambda: _components(edges, name, max_rounds), f"{name}-labels")
+
+
+def _components(edges: DataFrame, name: str, max_rounds: int) -> DataFrame:
     """(node, component) for every node of edges (u long, v long); component is the least node.
 
     Contraction: every node hooks to its least neighbour, pointers are doubled until they are at roots,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, join_checked, materialize, own_names, table
+from .common import BROADCAST_ROWS, connected_components, join_checked, materialize, own_names, settled, table
 from .textops import mix, shingle_sets, slices
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ SMALL = 48
 BLOCK = 256
 SKETCH = 64
 DEPTH = 3
+#: Bytes of text whose sets a task holds at once, about.
+SLICE = 4 << 20
 #: A pair whose sketches agree in a lesser share of bins is not compared; of fewer than SKETCH_BINS filled
 #: bins no sketch is asked.
 SKETCH_LEAST = 0.4
@@ -112,7 +114,7 @@ _LEVELS = "k1 array<long>, p2 array<long>, k2 array<long>, p3 array<long>, k3 ar
 
 def _signatures(runs: int, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(pa.Table.from_batches([batch]), "text"):
+        for part in slices(pa.Table.from_batches([batch]), "text", SLICE):
             size, fps, sketches, levels = [], [], [], [[] for _ in range(5)]
             for s in shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), SHINGLE):
                 size.append(len(s))
@@ -201,7 +203,7 @@ def _with_end(batches: Iterator) -> Iterator:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(pa.Table.from_batches([batch]), "text"):
+        for part in slices(pa.Table.from_batches([batch]), "text", SLICE):
             sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), SHINGLE)
             fps = [signature_fp(s) if len(s) else None for s in sets]
             yield from pa.table([pa.array(fps, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "tokens"]).combine_chunks().to_batches()
@@ -365,7 +367,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _drop(docs: DataFrame) -> DataFrame:
-    rows = materialize(row_classes(docs).select("key", "class_key"), "doc-classes").where("class_key is not null")
+    rows = settled(lambda: row_classes(docs).select("key", "class_key"), "doc-classes").where("class_key is not null")
     gone = materialize(rows.where("key <> class_key").select("key").distinct(), "dropped")
     again = materialize(rows.where("key = class_key").groupBy("key").count().where("count > 1").select("key"), "repeated-rows")
     keyed = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string")))

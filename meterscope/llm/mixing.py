@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, own_names, table
+from .common import join_checked, materialize, own_names, settled, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 TURNS = 16
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The mixture: rows of docs with all their columns, each as often as repetitions() says."""
 
     def run(d: DataFrame) -> DataFrame:
-        _, plan = mixture_plan(d, weights)
+        plan = settled(lambda: mixture_plan(d, weights)[1], "mix-turns")
         rows = join_checked(d.withColumn("__key", _key()), plan.select("__key", "__rate", "__turn"), "__key")
         copies = _copies(_draw(), F.col("__rate"), F.col("__turn"))
         return rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))

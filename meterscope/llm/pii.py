@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, own_names, table
+from .common import join_checked, materialize, own_names, settled, table
 from .textops import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -234,7 +234,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema if f.name != "__text")
     rows = materialize(light.mapInArrow(partial(_scan_rows, kept), f"{ids}, {_SCHEMA}"), "scanned")
     seen = rows.select("__uid", F.inline("seen"))
-    found = bootstrap(seen.select(F.explode("contexts").alias("context"), "string", "kind_no", "shapes"))
+    found = settled(lambda: bootstrap(seen.select(F.explode("contexts").alias("context"), "string", "kind_no", "shapes")), "found-strings")
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
     if found.isEmpty():
         return rows.select(*keep, "base", F.col("base").alias("spans"))

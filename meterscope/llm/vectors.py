@@ -16,7 +16,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import partial
 
@@ -87,33 +86,45 @@ def graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         near[at : at + 1024] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
     far = np.random.default_rng(7).integers(0, n, (n, min(degree // 2, n)))
-    return np.concatenate([near, far], axis=1)
+    links = np.sort(np.concatenate([near, far], axis=1), axis=1)
+    again = np.c_[np.zeros((n, 1), bool), links[:, 1:] == links[:, :-1]]
+    return np.where(again, np.arange(n)[:, None], links)  # a neighbour twice: the centroid itself, which is known
 
 
 def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, distances) of about the `ef` nearest to q, nearest first, by best-first search."""
+    """(centroids, distances) of about the `ef` nearest to each row of q, nearest first, by best-first search
+    of all rows side by side: in a step every row that is not at its end opens its nearest centroid not opened
+    yet. Places that stay empty have an infinite distance."""
+    n, ef = len(q), min(ef, len(c))
     entry = np.unique(np.linspace(0, len(c) - 1, 8).astype(int))
-    dist = np.sqrt(((c[entry] - q) ** 2).sum(1))
-    seen = set(entry.tolist())
-    todo = list(zip(dist.tolist(), entry.tolist(), strict=True))
-    best = [(-d, i) for d, i in todo]
-    heapq.heapify(todo)
-    heapq.heapify(best)
-    while todo:
-        d, i = heapq.heappop(todo)
-        if len(best) >= ef and d > -best[0][0]:
+    ids = np.repeat(entry[None], n, 0)
+    dist = np.sqrt(((c[entry][None] - q[:, None]) ** 2).sum(2))
+    opened, seen = np.zeros(ids.shape, bool), np.zeros((n, len(c)), bool)
+    seen[:, entry] = True
+    rows = np.arange(n)
+    while len(rows):
+        left = np.where(opened[rows], np.inf, dist[rows])
+        at = left.argmin(1)
+        best = left[np.arange(len(rows)), at]
+        full = np.isfinite(dist[rows]).sum(1) >= ef
+        going = np.isfinite(best) & ~(full & (best > np.sort(dist[rows], axis=1)[:, min(ef, dist.shape[1]) - 1]))
+        rows, at = rows[going], at[going]
+        if not len(rows):
             break
-        new = [j for j in links[i].tolist() if j not in seen]
-        seen.update(new)
-        new = list(dict.fromkeys(new))
-        for e, j in zip(np.sqrt(((c[new] - q) ** 2).sum(1)).tolist() if new else [], new, strict=True):
-            if len(best) < ef or e < -best[0][0]:
-                heapq.heappush(todo, (e, j))
-                heapq.heappush(best, (-e, j))
-                if len(best) > ef:
-                    heapq.heappop(best)
-    found = sorted((-d, i) for d, i in best)
-    return np.array([i for _, i in found]), np.array([d for d, _ in found])
+        opened[rows, at] = True
+        near = links[ids[rows, at]]
+        known = np.take_along_axis(seen[rows], near, 1)
+        seen[rows[:, None], near] = True
+        far = np.where(known, np.inf, np.sqrt(((c[near] - q[rows, None]) ** 2).sum(2)))
+        # the ef nearest of what was held and what is new
+        if dist.shape[1] < ef:
+            grow = ef - dist.shape[1]
+            dist, ids, opened = np.c_[dist, np.full((n, grow), np.inf)], np.c_[ids, np.zeros((n, grow), int)], np.c_[opened, np.zeros((n, grow), bool)]
+        d, i, o = np.c_[dist[rows], far], np.c_[ids[rows], near], np.c_[opened[rows], np.zeros(far.shape, bool)]
+        keep = np.argsort(d, axis=1, kind="stable")[:, : dist.shape[1]]
+        dist[rows], ids[rows], opened[rows] = (np.take_along_axis(x, keep, 1) for x in (d, i, o))
+    by = np.lexsort((ids, dist), axis=1)[:, :ef]
+    return np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
 
 
 def _numbers(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -170,25 +181,34 @@ def _assign(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
 
 
+def probes_of(x: np.ndarray, c: np.ndarray, links: np.ndarray, sizes: np.ndarray, prune: float, ef: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that each row of x asks for."""
+    near, d = walk(x, c, links, ef)
+    rows, lists = [], []
+    held = np.cumsum(np.where(np.isfinite(d), sizes[near], 0), axis=1)
+    enough = held[:, -1] >= need
+    asked = np.isfinite(d) & ((d <= (1 + prune) * d[:, :1] + 1e-12) | (np.c_[np.zeros(len(x), int), held[:, :-1]] < need))
+    row, at = np.nonzero(asked & enough[:, None])
+    rows.append(row)
+    lists.append(near[row, at])
+    for i in np.flatnonzero(~enough):  # few vectors a list: all centroids in order
+        to = np.sqrt(((c - x[i]) ** 2).sum(1))
+        order = np.argsort(to, kind="stable")
+        before = np.r_[0, np.cumsum(sizes[order])[:-1]]
+        some = order[(to[order] <= (1 + prune) * to[order[0]] + 1e-12) | (before < need)]
+        rows.append(np.full(len(some), i))
+        lists.append(some)
+    return np.concatenate(rows).astype(np.int64), np.concatenate(lists).astype(np.int32)
+
+
 def _probe(shared, need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     c, links, sizes, prune, ef = shared.value
     for batch in batches:
-        part = pa.Table.from_batches([batch])
-        x = _numbers(part.column("embedding"), c.shape[1])
-        row, lists = [], []
-        for i in range(len(x)):
-            near, d = walk(x[i], c, links, ef)
-            enough = int(np.searchsorted(np.cumsum(sizes[near]), need)) + 1
-            if enough > len(near):  # few vectors a list: all centroids in order
-                d = np.sqrt(((c - x[i]) ** 2).sum(1))
-                near = np.argsort(d, kind="stable")
-                d = d[near]
-                enough = int(np.searchsorted(np.cumsum(sizes[near]), need)) + 1
-            keep = (d <= (1 + prune) * d[0] + 1e-12) | (np.arange(len(near)) < enough)
-            row += [i] * int(keep.sum())
-            lists += near[keep].tolist()
-        part = part.take(pa.array(row, pa.int64()))
-        yield from part.append_column("list", pa.array(np.array(lists, np.int32))).combine_chunks().to_batches()
+        for at in range(0, batch.num_rows, 256):
+            part = pa.Table.from_batches([batch.slice(at, 256)])
+            row, lists = probes_of(_numbers(part.column("embedding"), c.shape[1]), c, links, sizes, prune, ef, need)
+            part = part.take(pa.array(row))
+            yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
 
 
 def _nearest(k: int, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:

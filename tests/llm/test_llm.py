@@ -447,6 +447,25 @@ def test_joins_beyond_the_bounds(spark):
     assert common.fits(small) and not common.fits(small, size=100) and not common.fits(small, rows=2)
 
 
+def test_settled_keeps_its_result_only(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    root = Path(urlparse(common.shared_dir(spark)).path)
+    folders = lambda: {p.name for p in root.glob("meterscope-*")}
+    before = folders()
+
+    def steps():
+        inner = common.settled(lambda: common.materialize(common.materialize(spark.range(10), "a"), "b"), "c")
+        return common.materialize(inner.where("id > 3"), "d")
+
+    out = common.settled(steps, "e")
+    assert out.count() == 6 and len(folders() - before) == 1 and not common._SCOPES
+    with pytest.raises(ZeroDivisionError):
+        common.settled(lambda: common.materialize(spark.range(3), "x").where(str(1 / 0)), "y")
+    assert not common._SCOPES and out.count() == 6
+
+
 def test_no_silent_local_folder_on_a_cluster():
     class Conf:
         def get(self, *_):
@@ -672,6 +691,20 @@ def test_vectors_assigned_as_by_a_plain_loop():
     assert list(zip(*[v.tolist() for v in vectors.lists_of(x, c)], strict=True)) == want and len(want) > 300
 
 
+def test_walk_finds_the_nearest_centroids():
+    g = np.random.default_rng(5)
+    for n in (1, 3, 9, 400):
+        c, q = g.normal(size=(n, 6)), g.normal(size=(70, 6))
+        ids, d = vectors.walk(q, c, vectors.graph(c), min(n, 40))
+        true = np.sqrt(((c[None] - q[:, None]) ** 2).sum(2))
+        best = np.argsort(true, axis=1)[:, :10]
+        found = np.isfinite(d)
+        assert all(len(set(i[f].tolist())) == f.sum() for i, f in zip(ids, found, strict=True)) and np.allclose(d[found], np.take_along_axis(true, ids, 1)[found])
+        assert np.mean([len(set(b.tolist()) & set(i[f].tolist())) / len(b) for b, i, f in zip(best, ids, found, strict=True)]) >= 0.95
+        row, lists = vectors.probes_of(q, c, vectors.graph(c), np.full(n, 3), 0.1, 8, 20)
+        assert all((row == i).sum() * 3 >= min(20, 3 * n) for i in range(70))
+
+
 def test_repeated_ids_and_other_lengths(spark):
     g = np.random.default_rng(9)
     x = g.normal(size=(300, 6))
