@@ -30,8 +30,10 @@ END = 0
 GROUP = 4096
 #: Tasks that the groups are dealt to at most.
 TASKS = 20_000
-#: Words whose ids a Python worker keeps at most; then it starts anew.
-CACHE = 600_000
+#: Pieces whose ids a Python worker keeps at most (some 60 MB); then it starts anew.
+CACHE = 300_000
+#: Bytes of text that are tokenised together, about.
+SLICE = 2 << 20
 
 #: For lower-cased ASCII and Latin letters, the pieces that the tokenizer's own pattern splits text into.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-z0-9ß-öø-ɏ]+")
@@ -55,25 +57,21 @@ class WordTokenizer:
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if _OTHER.search(text) or any(t in text for t in self.added):
-            return self._raw(text)
-        pieces = _PIECES.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self.known) > CACHE:
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Pieces that are not known yet are encoded together, whichever text they are of."""
+        split = [None if _OTHER.search(t) or any(x in t for x in self.added) else _PIECES.findall(t.lower()) for t in texts]
+        pieces = set().union(*(p for p in split if p is not None))
+        if len(self.known) + len(pieces) > CACHE:
             self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        for at in range(0, len(new), 512):  # one call for many pieces, apart from each other by spaces
-            some = new[at : at + 512]
+        new = list(pieces.difference(self.known))
+        for at in range(0, len(new), 256):  # one call for many pieces, apart from each other by spaces
+            some = new[at : at + 256]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(encoded.ids, "<u4"), np.array(encoded.word_ids)
-            cut = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-            raw = ids.tobytes()
-            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, cut, cut[1:], strict=False))
-        return b"".join(map(self.known.__getitem__, pieces))
+            cut = (4 * np.searchsorted(np.array(encoded.word_ids), np.arange(len(some) + 1))).tolist()
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+        get = self.known.__getitem__
+        return [self._raw(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -89,10 +87,10 @@ def _pieces(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iter
     own = _tokenizer(path)
     end = np.array([END], "<u4").tobytes()
     for batch in batches:
-        for part in slices(pa.Table.from_batches([batch]), "text"):
+        for part in slices(pa.Table.from_batches([batch]), "text", SLICE):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = own.ids(text) + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), own.ids_of(part.column("text").to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     piece = ids[4 * at : 4 * (at + capacity)]

@@ -118,7 +118,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(rows: pa.Table, text: str, most: int = 16 << 20) -> Iterator[pa.Table]:
+def slices(rows: pa.Table, text: str, most: int = 4 << 20) -> Iterator[pa.Table]:
     """Runs of rows with about `most` bytes of text at most, or one longer row."""
     start, held = 0, 0
     for i, size in enumerate(pc.fill_null(pc.binary_length(rows.column(text)), 0).to_pylist()):
