@@ -99,19 +99,31 @@ add("r1_meter_index", lambda d: d.index, _base(IX) + "SELECT * FROM mi")
 add("r2_meter_source", lambda d: d.coverage, _base(RD) + "SELECT endpoint_id, source, count(*)::BIGINT AS packets, max(ts) AS last_seen FROM readings GROUP BY 1, 2")
 add("r3_source_heartbeat", lambda d: R.source_heartbeat(d.readings), _base(RD) + "SELECT source, max(ts) AS last_ts, count(*)::BIGINT AS total_count FROM readings GROUP BY 1")
 _zeroed = lambda d: d.readings.withColumn("consumption", F.when(C("event_id") % 50 == 0, 0.0).otherwise(C("consumption")))
-add("r4_scrub_zeros", lambda d: R.meter_index(R.scrub_zeros(_zeroed(d))).select("endpoint_id", "packets", "min_consumption", "max_consumption"), _base(RD) + "SELECT endpoint_id, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM readings WHERE event_id % 50 <> 0 GROUP BY 1")
+add(
+    "r4_scrub_zeros",
+    lambda d: R.meter_index(R.scrub_zeros(_zeroed(d))).select("endpoint_id", "packets", "min_consumption", "max_consumption"),
+    _base(RD) + """SELECT endpoint_id, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM readings
+      WHERE event_id % 50 <> 0 GROUP BY 1""",
+)
 add("r5_retention", lambda d: R.keep_newer(d.readings, AS_OF(), 10), _base(RD) + f"SELECT * FROM readings WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days'")
 add("r6_drop_source", lambda d: R.drop_source(d.readings, "click"), _base(RD) + "SELECT * FROM readings WHERE source <> 'click'")
 add("r7_purge_meters", lambda d: R.purge_meters(d.readings, d.meters.where("ignored")), _base(RD) + "SELECT * FROM readings WHERE endpoint_id <> 1005")
 _patch = lambda d: d.readings.where("endpoint_type = 2").groupBy("endpoint_id").agg(F.lit("gas").alias("label"), F.lit(True).alias("is_candidate")).unionByName(d.spark.createDataFrame([(1002, "mine", None)], "endpoint_id long, label string, is_candidate boolean"))
 add("r8_update_annotations", lambda d: R.update_annotations(d.meters, _patch(d)).select("endpoint_id", "label", "notes", "is_candidate", "publish"),
-    _base(RD, fx.METERS) + "SELECT COALESCE(p.endpoint_id, m.endpoint_id) AS endpoint_id, COALESCE(p.label, m.label) AS label, m.notes, COALESCE(p.c, m.is_candidate) AS is_candidate, m.publish FROM meters m FULL JOIN (SELECT DISTINCT endpoint_id, 'gas' AS label, TRUE AS c FROM readings WHERE endpoint_type = 2 UNION ALL SELECT 1002::BIGINT, 'mine', NULL) p ON m.endpoint_id = p.endpoint_id")
-add("r9_stored_period", lambda d: R.stored_period(d.bills.unionByName(d.monthly)), _base(fx.BILLS) + "SELECT statistic_id, arg_max(period, ts) AS period FROM (SELECT * FROM bills UNION ALL SELECT * FROM mbills) GROUP BY 1")
+    _base(RD, fx.METERS) + """SELECT COALESCE(p.endpoint_id, m.endpoint_id) AS endpoint_id, COALESCE(p.label, m.label) AS label, m.notes, COALESCE(p.c, m.is_candidate) AS is_candidate, m.publish
+      FROM meters m FULL JOIN (SELECT DISTINCT endpoint_id, 'gas' AS label, TRUE AS c FROM readings WHERE endpoint_type = 2
+      UNION ALL SELECT 1002::BIGINT, 'mine', NULL) p ON m.endpoint_id = p.endpoint_id""")
+add(
+    "r9_stored_period",
+    lambda d: R.stored_period(d.bills.unionByName(d.monthly)),
+    _base(fx.BILLS) + "SELECT statistic_id, arg_max(period, ts) AS period FROM (SELECT * FROM bills UNION ALL SELECT * FROM mbills) GROUP BY 1",
+)
 add("r10_rollup_1m", lambda d: d.r1m, _base(IX) + "SELECT * FROM r1m")
 add("r11_rollup_1h", lambda d: d.r1h, _base(IX) + "SELECT * FROM r1h")
 _mid = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp")
 add("r12_refresh_rollup", lambda d: D.refresh_rollup(D.rollup(d.readings.where("event_id % 2 = 0"), 60), d.readings, 60, _mid(), _mid() + F.expr("INTERVAL 7 DAYS")),
-    _base(IX) + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE event_id % 2 = 0 OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') GROUP BY 1, 2")
+    _base(IX) + """SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n
+      FROM readings WHERE event_id % 2 = 0 OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') GROUP BY 1, 2""")
 
 
 def _backfilled(d: Data) -> DataFrame:
@@ -122,63 +134,125 @@ def _backfilled(d: Data) -> DataFrame:
     return D.read_backfill(d.spark, path)
 
 
-add("r12_backfill_rollup", _backfilled, _base(IX) + f"SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM readings WHERE ts < {AS_OF_SQL} - INTERVAL '48 hours' GROUP BY 1, 2")
+add("r12_backfill_rollup", _backfilled, _base(IX) + f"""SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n
+      FROM readings WHERE ts < {AS_OF_SQL} - INTERVAL '48 hours' GROUP BY 1, 2""")
 add("r13_realtime_rollup", lambda d: D.realtime_rollup(D.rollup(d.readings.where(C("ts") < _mid()), 60), d.readings, 60, _mid()), _base(IX) + "SELECT * FROM r1h")
-add("r14_table_stats", lambda d: R.table_stats({"readings": d.readings}, d.readings)[1], _base(RD) + "SELECT source, count(*)::BIGINT AS rows, min(ts) AS oldest, max(ts) AS newest FROM readings GROUP BY 1")
-add("r14_table_rows", lambda d: R.table_stats({"readings": d.readings, "samples": d.samples, "hvac": d.hvac}, d.readings)[0], _base(RD, fx.SAMPLES) + "SELECT 'readings' AS name, count(*)::BIGINT AS rows FROM readings UNION ALL SELECT 'samples', count(*)::BIGINT FROM samples UNION ALL SELECT 'hvac', count(*)::BIGINT FROM hvac")
+add(
+    "r14_table_stats",
+    lambda d: R.table_stats({"readings": d.readings}, d.readings)[1],
+    _base(RD) + "SELECT source, count(*)::BIGINT AS rows, min(ts) AS oldest, max(ts) AS newest FROM readings GROUP BY 1",
+)
+add(
+    "r14_table_rows",
+    lambda d: R.table_stats({"readings": d.readings, "samples": d.samples, "hvac": d.hvac}, d.readings)[0],
+    _base(RD, fx.SAMPLES) + """SELECT 'readings' AS name, count(*)::BIGINT AS rows FROM readings UNION ALL SELECT 'samples', count(*)::BIGINT FROM samples
+      UNION ALL SELECT 'hvac', count(*)::BIGINT FROM hvac""",
+)
 add("r15_data_span", lambda d: R.data_span(d.index), _base(RD) + "SELECT min(ts) AS first_seen, max(ts) AS last_seen FROM readings")
 
 # deltas
 add("d1_counter_steps", lambda d: D.counter_steps(d.readings.withColumn("k", F.struct("ts", "event_id")), ["endpoint_id"], "k", "consumption").select("event_id", "delta"),
-    _base(RD) + "SELECT event_id, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM (SELECT event_id, consumption - lag(consumption) OVER (PARTITION BY endpoint_id ORDER BY ts, event_id) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu FROM readings)")
+    _base(RD) + """SELECT event_id, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta
+      FROM (SELECT event_id, consumption - lag(consumption) OVER (PARTITION BY endpoint_id
+      ORDER BY ts, event_id) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu FROM readings)""")
 add("d2_bucket_deltas", lambda d: D.bucket_deltas(d.r1h, d.index, 360), _base(IX, fx.SIX) + "SELECT endpoint_id, bucket, cmax, n, delta FROM step6")
 add("d3_glitch_filter", lambda d: D.glitch_filter(D.bucket_deltas(d.r1h, d.index, 360)).select("endpoint_id", "bucket", "delta"), _base(IX, fx.SIX) + "SELECT * FROM clean6")
 add("d4_hourly_deltas", lambda d: d.hourly, _base(IX) + "SELECT * FROM hd")
-add("d5_time_bucket", lambda d: U.local_series(d.r1h, 420).groupBy("wide").agg(F.count("*").alias("n")), _base(IX) + "SELECT wide, count(*)::BIGINT AS n FROM (SELECT time_bucket(INTERVAL '420 minutes', bucket, TIMESTAMP '2000-01-03') AS wide FROM r1h) GROUP BY 1")
+add(
+    "d5_time_bucket",
+    lambda d: U.local_series(d.r1h, 420).groupBy("wide").agg(F.count("*").alias("n")),
+    _base(IX) + "SELECT wide, count(*)::BIGINT AS n FROM (SELECT time_bucket(INTERVAL '420 minutes', bucket, TIMESTAMP '2000-01-03') AS wide FROM r1h) GROUP BY 1",
+)
 _spans = lambda d: d.windows.select(C("id").alias("span"), C("start_ts").alias("start"), C("end_ts").alias("end"))
 add("d7_movement_between", lambda d: D.movement_between(d.r1h, d.index, _spans(d)),
-    _base(IX, fx.WINDOWS) + """, x AS (SELECT w.id AS span, r.endpoint_id, r.bucket, start_ts, max_c - lag(max_c) OVER (PARTITION BY w.id, r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+    _base(IX, fx.WINDOWS) + """, x AS (SELECT w.id AS span, r.endpoint_id, r.bucket, start_ts, max_c - lag(max_c) OVER (PARTITION BY w.id, r.endpoint_id
+      ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
     FROM r1h r JOIN wins w ON r.bucket >= w.start_ts - INTERVAL '48 hours' AND r.bucket < w.end_ts JOIN mi ON mi.endpoint_id = r.endpoint_id),
     y AS (SELECT *, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM x),
     z AS (SELECT span, endpoint_id, quantile_cont(delta, 0.5) AS md, count(*) AS pn FROM y WHERE delta > 0 GROUP BY 1, 2)
-    SELECT y.endpoint_id, y.span, sum(delta) AS movement FROM y LEFT JOIN z ON y.span = z.span AND y.endpoint_id = z.endpoint_id WHERE y.bucket >= start_ts AND delta <= CASE WHEN COALESCE(pn, 0) >= 3 THEN greatest(md * 50, 1000) ELSE 1000 END GROUP BY 1, 2""")
-add("d8_span_movement", lambda d: D.span_movement(d.readings), _base(RD) + "SELECT endpoint_id, date_trunc('day', ts)::TIMESTAMP AS bucket, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2")
-add("d9_movement_leaderboard", lambda d: D.movement_leaderboard(d.readings), _base(RD) + "SELECT endpoint_id, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets, count(DISTINCT ts::DATE)::BIGINT AS days FROM readings GROUP BY 1")
+    SELECT y.endpoint_id, y.span, sum(delta) AS movement FROM y LEFT JOIN z ON y.span = z.span AND y.endpoint_id = z.endpoint_id
+      WHERE y.bucket >= start_ts AND delta <= CASE WHEN COALESCE(pn, 0) >= 3 THEN greatest(md * 50, 1000) ELSE 1000 END GROUP BY 1, 2""")
+add(
+    "d8_span_movement",
+    lambda d: D.span_movement(d.readings),
+    _base(RD) + "SELECT endpoint_id, date_trunc('day', ts)::TIMESTAMP AS bucket, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2",
+)
+add(
+    "d9_movement_leaderboard",
+    lambda d: D.movement_leaderboard(d.readings),
+    _base(RD) + "SELECT endpoint_id, max(consumption) - min(consumption) AS delta, count(*)::BIGINT AS packets, count(DISTINCT ts::DATE)::BIGINT AS days FROM readings GROUP BY 1",
+)
 
 # sources
 _line = lambda: F.concat(F.lit('{"Time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('","Type":"'), "msg_type", F.lit('","Message":{"'), F.when(C("msg_type") == "SCM", "ID").when(C("msg_type") == "SCM+", "EndpointID").otherwise("ERTSerialNumber"), F.lit('":'), C("endpoint_id").cast("string"), F.lit(',"'), F.when(C("msg_type") == "IDM", "LastConsumptionCount").otherwise("Consumption"), F.lit('":'), C("consumption").cast("long").cast("string"), F.when((C("msg_type") != "IDM") & C("endpoint_type").isNotNull(), F.concat(F.lit(',"'), F.when(C("msg_type") == "SCM", "Type").otherwise("EndpointType"), F.lit('":'), C("endpoint_type").cast("string"))).otherwise(""), F.lit(',"A":[1,2]}}'))
-add("s1_ingest_packets", lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line()).alias("value"), "source"), C("source"), AS_OF()).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "endpoint_type", "consumption", "source"),
-    _base(RD) + "SELECT date_trunc('second', ts)::TIMESTAMP AS ts, msg_type, endpoint_id, CASE WHEN msg_type <> 'IDM' THEN endpoint_type END AS endpoint_type, consumption, source FROM readings WHERE event_id % 100 <> 7 AND consumption > 0")
-add("s4_meter_readings", lambda d: S.meter_readings(d.readings, 1003, since=_mid()), _base(RD) + "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings WHERE endpoint_id = 1003 AND ts >= TIMESTAMP '2024-01-15'")
+add(
+    "s1_ingest_packets",
+    lambda d: S.ingest_packets(d.readings.select(F.when(C("event_id") % 100 == 7, "{bad").otherwise(_line()).alias("value"), "source"), C("source"), AS_OF()).select(F.date_trunc("second", "ts").alias("ts"), "msg_type", "endpoint_id", "endpoint_type", "consumption", "source"),
+    _base(RD) + """SELECT date_trunc('second', ts)::TIMESTAMP AS ts, msg_type, endpoint_id, CASE WHEN msg_type <> 'IDM' THEN endpoint_type END AS endpoint_type, consumption, source
+      FROM readings WHERE event_id % 100 <> 7 AND consumption > 0""",
+)
+add(
+    "s4_meter_readings",
+    lambda d: S.meter_readings(d.readings, 1003, since=_mid()),
+    _base(RD) + "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings WHERE endpoint_id = 1003 AND ts >= TIMESTAMP '2024-01-15'",
+)
 _info = lambda d: d.events.select(F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_type") == "click", "energy").otherwise("power").alias("device_class"), F.when(C("event_type") == "click", "Wh").otherwise("kW").alias("unit")).distinct()
 _states = lambda d: d.events.select("ts", F.concat(F.lit("sensor."), "event_type").alias("entity_id"), F.when(C("event_id") % 40 == 3, "unavailable").otherwise(F.round(C("value") * 100).cast("long").cast("string")).alias("state"))
 add("s5_normalize_reference", lambda d: S.normalize_reference(_states(d), S.classify_sensors(_info(d))),
     """WITH s AS (SELECT ts, 'sensor.' || event_type AS entity_id, event_type, round(value * 100)::BIGINT::DOUBLE AS v FROM events WHERE event_id % 40 <> 3),
-    e AS (SELECT ts, entity_id, (v * 0.001::DOUBLE - lag(v * 0.001::DOUBLE) OVER w) * 1000 AS dw, epoch(ts) - lag(epoch(ts)) OVER w AS dt FROM s WHERE event_type = 'click' WINDOW w AS (ORDER BY ts, v))
-    SELECT ts, entity_id, v * 1000 AS power_w FROM s WHERE event_type <> 'click' UNION ALL SELECT ts, entity_id, greatest(0, dw / (dt / 3600)) AS power_w FROM e WHERE dt > 0""", "power_w")
-add("s6_classify_sensors", lambda d: S.classify_sensors(_info(d)), "SELECT DISTINCT 'sensor.' || event_type AS entity_id, CASE event_type WHEN 'click' THEN 'energy' ELSE 'power' END AS kind, CASE event_type WHEN 'click' THEN 'Wh' ELSE 'kW' END AS unit FROM events")
-add("s7_resolve_entities", lambda d: S.resolve_entities(_info(d).select("entity_id"), S.classify_sensors(_info(d)).where("kind = 'energy'"), S.classify_sensors(_info(d)).withColumn("unit", F.lit("old"))),
-    "SELECT DISTINCT 'sensor.' || event_type AS entity_id, CASE event_type WHEN 'click' THEN 'energy' ELSE 'power' END AS kind, CASE event_type WHEN 'click' THEN 'Wh' ELSE 'old' END AS unit FROM events")
-add("s8_normalize_hvac", lambda d: S.normalize_hvac(d.events.select("ts", F.lit("climate.t").alias("entity_id"), F.concat(F.lit('{"hvac_action":"'), F.when(C("event_type") == "click", "").otherwise(C("event_type")), F.lit('"}')).alias("attributes"))),
-    "SELECT ts, 'climate.t' AS entity_id, event_type AS action FROM events WHERE event_type <> 'click'")
+    e AS (SELECT ts, entity_id, (v * 0.001::DOUBLE - lag(v * 0.001::DOUBLE) OVER w) * 1000 AS dw, epoch(ts) - lag(epoch(ts)) OVER w AS dt FROM s
+      WHERE event_type = 'click' WINDOW w AS (ORDER BY ts, v))
+    SELECT ts, entity_id, v * 1000 AS power_w FROM s WHERE event_type <> 'click'
+      UNION ALL SELECT ts, entity_id, greatest(0, dw / (dt / 3600)) AS power_w FROM e WHERE dt > 0""", "power_w")
+add(
+    "s6_classify_sensors",
+    lambda d: S.classify_sensors(_info(d)),
+    """SELECT DISTINCT 'sensor.' || event_type AS entity_id, CASE event_type WHEN 'click' THEN 'energy' ELSE 'power' END AS kind, CASE event_type WHEN 'click' THEN 'Wh' ELSE 'kW' END AS unit
+      FROM events""",
+)
+add(
+    "s7_resolve_entities",
+    lambda d: S.resolve_entities(_info(d).select("entity_id"), S.classify_sensors(_info(d)).where("kind = 'energy'"), S.classify_sensors(_info(d)).withColumn("unit", F.lit("old"))),
+    """SELECT DISTINCT 'sensor.' || event_type AS entity_id, CASE event_type WHEN 'click' THEN 'energy' ELSE 'power' END AS kind, CASE event_type WHEN 'click' THEN 'Wh' ELSE 'old' END AS unit
+      FROM events""",
+)
+add(
+    "s8_normalize_hvac",
+    lambda d: S.normalize_hvac(d.events.select("ts", F.lit("climate.t").alias("entity_id"), F.concat(F.lit('{"hvac_action":"'), F.when(C("event_type") == "click", "").otherwise(C("event_type")), F.lit('"}')).alias("attributes"))),
+    "SELECT ts, 'climate.t' AS entity_id, event_type AS action FROM events WHERE event_type <> 'click'",
+)
 _points = lambda d: d.bills.select("statistic_id", "period", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.round(C("kwh") * 10000).alias("sum"), F.when(F.dayofmonth("ts") % 5 == 0, F.lit(7.0)).alias("change"))
 add("s9_stat_deltas", lambda d: S.stat_deltas(_points(d)),
-    _base(fx.BILLS) + """SELECT statistic_id, period, ts, greatest(0.0::DOUBLE, k) AS kwh FROM (SELECT *, COALESCE(change, s - last_value(CASE WHEN change IS NULL THEN s END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS k
+    _base(fx.BILLS) + """SELECT statistic_id, period, ts, greatest(0.0::DOUBLE, k) AS kwh
+      FROM (SELECT *, COALESCE(change, s - last_value(CASE WHEN change IS NULL THEN s END IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS k
     FROM (SELECT *, round(kwh * 10000) AS s, CASE WHEN day(ts) % 5 = 0 THEN 7.0::DOUBLE END AS change FROM bills)) WHERE k IS NOT NULL""", "kwh")
-add("s11_resolve_period", lambda d: S.resolve_period(d.bills.unionByName(d.monthly).withColumn("statistic_id", F.lit("x"))), _base(fx.BILLS) + "SELECT 'x' AS statistic_id, CASE WHEN (SELECT count(*) FROM bills) > 1 THEN 'day' ELSE 'month' END AS period")
-add("s12_upsert_utility", lambda d: S.upsert_utility(d.bills, d.bills.where(F.dayofmonth("ts") <= 10).withColumn("kwh", F.lit(1.5))), _base(fx.BILLS) + "SELECT statistic_id, period, ts, CASE WHEN day(ts) <= 10 THEN 1.5::DOUBLE ELSE kwh END AS kwh FROM bills")
+add(
+    "s11_resolve_period",
+    lambda d: S.resolve_period(d.bills.unionByName(d.monthly).withColumn("statistic_id", F.lit("x"))),
+    _base(fx.BILLS) + "SELECT 'x' AS statistic_id, CASE WHEN (SELECT count(*) FROM bills) > 1 THEN 'day' ELSE 'month' END AS period",
+)
+add(
+    "s12_upsert_utility",
+    lambda d: S.upsert_utility(d.bills, d.bills.where(F.dayofmonth("ts") <= 10).withColumn("kwh", F.lit(1.5))),
+    _base(fx.BILLS) + "SELECT statistic_id, period, ts, CASE WHEN day(ts) <= 10 THEN 1.5::DOUBLE ELSE kwh END AS kwh FROM bills",
+)
 add("s13_keep_only_utility", lambda d: S.keep_only_utility(d.bills.unionByName(d.monthly), "bill.day", "day"), _base(fx.BILLS) + "SELECT * FROM bills")
 _back = lambda d: d.samples.withColumn("src", F.when(F.minute("ts") < 30, "lts_backfill").otherwise("live"))
 add("s14_replace_backfill", lambda d: S.replace_backfill(_back(d), "sensor.click", _mid(), AS_OF(), d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click"))),
     _base(fx.SAMPLES) + f"""SELECT ts, entity_id, power_w, CASE WHEN minute(ts) < 30 THEN 'lts_backfill' ELSE 'live' END AS src FROM samples
-    WHERE NOT (minute(ts) < 30 AND entity_id = 'sensor.click' AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL}) UNION ALL SELECT ts, 'sensor.click', power_w, 'lts_backfill' FROM samples WHERE entity_id = 'sensor.view'""")
+    WHERE NOT (minute(ts) < 30 AND entity_id = 'sensor.click' AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
+      UNION ALL SELECT ts, 'sensor.click', power_w, 'lts_backfill' FROM samples WHERE entity_id = 'sensor.view'""")
 _means = lambda d: d.samples.groupBy("entity_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("power_w").alias("mean")).withColumns({"kind": F.lit("power"), "change": F.lit(None).cast("double")})
 add("s16_expand_hourly_means", lambda d: S.expand_hourly_means(_means(d), d.samples.select("entity_id", _mid().alias("lo"), (_mid() + F.expr("INTERVAL 90 MINUTES")).alias("hi")).distinct()),
-    _base(fx.SAMPLES) + "SELECT entity_id, ts, power_w FROM (SELECT entity_id, unnest(generate_series(h, h + INTERVAL '55 minutes', INTERVAL '5 minutes')) AS ts, greatest(0, p) AS power_w FROM (SELECT entity_id, date_trunc('hour', ts)::TIMESTAMP AS h, avg(power_w) AS p FROM samples GROUP BY 1, 2)) WHERE ts >= TIMESTAMP '2024-01-15' AND ts <= TIMESTAMP '2024-01-15 01:30:00'", "power_w")
+    _base(fx.SAMPLES) + """SELECT entity_id, ts, power_w
+      FROM (SELECT entity_id, unnest(generate_series(h, h + INTERVAL '55 minutes', INTERVAL '5 minutes')) AS ts, greatest(0, p) AS power_w
+      FROM (SELECT entity_id, date_trunc('hour', ts)::TIMESTAMP AS h, avg(power_w) AS p FROM samples GROUP BY 1, 2))
+      WHERE ts >= TIMESTAMP '2024-01-15' AND ts <= TIMESTAMP '2024-01-15 01:30:00'""", "power_w")
 _acts = lambda d: d.hvac.groupBy("entity_id", F.date_trunc("day", "ts").alias("ts")).agg(F.when(F.count("*") % 3 == 0, "").otherwise(F.max("action")).alias("action"))
 add("s17_expand_hvac_history", lambda d: S.expand_hvac_history(_acts(d), _mid(), _mid() + F.expr("INTERVAL 5 DAYS"), 60),
     _base(fx.SAMPLES) + """, a AS (SELECT entity_id, date_trunc('day', ts)::TIMESTAMP AS ts, CASE WHEN count(*) % 3 = 0 THEN '' ELSE max(action) END AS action FROM hvac GROUP BY 1, 2),
-    b AS (SELECT entity_id, action, greatest(ts, TIMESTAMP '2024-01-15') AS lo, least(COALESCE(lead(ts) OVER (PARTITION BY entity_id ORDER BY ts) - INTERVAL '1 microsecond', TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-20') AS hi FROM a)
+    b AS (SELECT entity_id, action, greatest(ts, TIMESTAMP '2024-01-15') AS lo, least(COALESCE(lead(ts) OVER (PARTITION BY entity_id
+      ORDER BY ts) - INTERVAL '1 microsecond', TIMESTAMP '2024-01-20'), TIMESTAMP '2024-01-20') AS hi FROM a)
     SELECT entity_id, unnest(generate_series(lo, hi, INTERVAL '60 minutes')) AS ts, action FROM b WHERE lo <= hi AND action <> ''""")
 
 # the monitored feed
@@ -189,38 +263,69 @@ add("g5_monitored_energy", lambda d: G.monitored_energy(d.entities), _base(FL) +
 add("g6_entity_energy", lambda d: G.entity_energy(d.entities), _base(FL) + "SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS kwh FROM fill GROUP BY 1", "kwh")
 add("g7_monitored_cv", lambda d: G.monitored_cv(d.entities), _base(FL) + "SELECT floor(stddev_samp(w) / avg(w) * 1000 + 0.5::DOUBLE) / 1000 AS cv FROM tot WHERE w > 0", "cv")
 add("g8_monitored_floor", lambda d: G.monitored_floor(d.entities), _base(FL) + "SELECT floor(quantile_cont(w, 0.05) * 10 + 0.5::DOUBLE) / 10 AS floor_w FROM tot WHERE w > 0", "floor_w")
-add("g9_aggregate_series", lambda d: G.aggregate_series(d.entities, 60), _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS bucket, avg(w) AS power_w FROM tot WHERE live > 0 GROUP BY 1", "power_w")
-add("g10_monitored_daily_kwh", lambda d: G.monitored_daily_kwh(d.entities, TZ), _base(FL) + f"SELECT ((mt AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')::DATE AS day, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh:9")
+add(
+    "g9_aggregate_series",
+    lambda d: G.aggregate_series(d.entities, 60),
+    _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS bucket, avg(w) AS power_w FROM tot WHERE live > 0 GROUP BY 1",
+    "power_w",
+)
+add(
+    "g10_monitored_daily_kwh",
+    lambda d: G.monitored_daily_kwh(d.entities, TZ),
+    _base(FL) + f"SELECT ((mt AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')::DATE AS day, sum(w) / 60000 AS kwh FROM ent GROUP BY 1",
+    "kwh:9",
+)
 add("g11_monitored_hourly_kwh", lambda d: G.monitored_hourly_kwh(d.entities), _base(FL) + "SELECT date_trunc('hour', mt)::TIMESTAMP AS hour, sum(w) / 60000 AS kwh FROM ent GROUP BY 1", "kwh:9")
 _COVER = ", cm AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS m, max(ts) AS src FROM samples GROUP BY 1), cf AS (SELECT DISTINCT unnest(generate_series(m, date_trunc('minute', src + INTERVAL '15 minutes')::TIMESTAMP, INTERVAL '1 minute')) AS mt FROM cm)\n"
-add("g12_reference_coverage", lambda d: G.reference_coverage(d.samples), _base(fx.SAMPLES) + _COVER + "SELECT mt::DATE AS day, count(*)::DOUBLE / 1440.0::DOUBLE AS coverage FROM cf GROUP BY 1", "coverage")
+add(
+    "g12_reference_coverage",
+    lambda d: G.reference_coverage(d.samples),
+    _base(fx.SAMPLES) + _COVER + "SELECT mt::DATE AS day, count(*)::DOUBLE / 1440.0::DOUBLE AS coverage FROM cf GROUP BY 1",
+    "coverage",
+)
 _GAPS = """, gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples WHERE ts >= TIMESTAMP '2024-01-10'),
-gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS "end" FROM gm UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM gm GROUP BY 1)\n"""
+gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS "end" FROM gm
+      UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM gm GROUP BY 1)\n"""
 _cap = lambda: F.lit("2024-01-31 12:00:00").cast("timestamp")
 _from = lambda: F.lit("2024-01-10 00:00:00").cast("timestamp")
 add("g13_sample_gaps", lambda d: G.sample_gaps(d.samples, _from(), 45, _cap()), _base(fx.SAMPLES) + _GAPS + 'SELECT entity_id, start, "end" FROM gp WHERE epoch("end") - epoch(start) > 45 * 60')
 _early = lambda: F.lit("2023-12-25 00:00:00").cast("timestamp")
 add("g14_plan_backfill", lambda d: G.plan_backfill(d.samples, _early(), 120, AS_OF()),
     _base(fx.SAMPLES) + f""", gm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples),
-    gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS e FROM gm UNION ALL SELECT entity_id, max(m), {AS_OF_SQL} FROM gm GROUP BY 1 UNION ALL SELECT entity_id, TIMESTAMP '2023-12-25', min(ts) FROM samples GROUP BY 1)
+    gp AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS start, m AS e FROM gm UNION ALL SELECT entity_id, max(m), {AS_OF_SQL}
+      FROM gm GROUP BY 1 UNION ALL SELECT entity_id, TIMESTAMP '2023-12-25', min(ts) FROM samples GROUP BY 1)
     SELECT entity_id, start, least(e, {AS_OF_SQL}) AS "end" FROM gp WHERE epoch(e) - epoch(start) > 120 * 60 AND start < least(e, {AS_OF_SQL})""")
 add(
     "g15_reference_health",
     lambda d: G.reference_health(d.samples, _cap()),
     _base(fx.SAMPLES)
     + """, wm AS (SELECT DISTINCT entity_id, date_trunc('minute', ts)::TIMESTAMP AS m FROM samples WHERE ts >= TIMESTAMP '2024-01-24 12:00:00'),
-    wg AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS a, m AS b FROM wm UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM wm GROUP BY 1)
-    SELECT s.entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale, (SELECT count(*) FROM wg WHERE wg.entity_id = s.entity_id AND epoch(b) - epoch(a) > 1800)::BIGINT AS gaps FROM samples s GROUP BY 1""",
+    wg AS (SELECT entity_id, lag(m) OVER (PARTITION BY entity_id ORDER BY m) AS a, m AS b FROM wm
+      UNION ALL SELECT entity_id, max(m), TIMESTAMP '2024-01-31 12:00:00' FROM wm GROUP BY 1)
+    SELECT s.entity_id, max(ts) AS last_ts, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale, (SELECT count(*) FROM wg
+      WHERE wg.entity_id = s.entity_id AND epoch(b) - epoch(a) > 1800)::BIGINT AS gaps FROM samples s GROUP BY 1""",
+)
+add(
+    "g16_hvac_status",
+    lambda d: G.hvac_status(d.hvac, _cap()),
+    _base(fx.SAMPLES) + """SELECT entity_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(action, (ts, action)) AS action, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale
+      FROM hvac GROUP BY 1""",
 )
-add("g16_hvac_status", lambda d: G.hvac_status(d.hvac, _cap()), _base(fx.SAMPLES) + "SELECT entity_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(action, (ts, action)) AS action, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800 AS stale FROM hvac GROUP BY 1")
 
 # usage
 _LOCAL = f"((hb AT TIME ZONE 'UTC') AT TIME ZONE '{TZ}')"
-add("u1_leaderboard", lambda d: U.leaderboard(d.r1m, d.hourly, d.coverage, d.index, d.meters),
+add(
+    "u1_leaderboard",
+    lambda d: U.leaderboard(d.r1m, d.hourly, d.coverage, d.index, d.meters),
     _base(IX, fx.METERS) + """, q AS (SELECT endpoint_id, sum(n)::BIGINT AS packets, min(bucket) AS first_minute, max(bucket) AS last_minute FROM r1m GROUP BY 1)
-    SELECT q.endpoint_id, msg_type, commodity, label, q.packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = q.endpoint_id)::BIGINT AS sources, first_minute, last_minute, (SELECT sum(delta) FROM hd WHERE hd.endpoint_id = q.endpoint_id) AS movement,
+    SELECT q.endpoint_id, msg_type, commodity, label, q.packets, (SELECT count(DISTINCT source) FROM readings r
+      WHERE r.endpoint_id = q.endpoint_id)::BIGINT AS sources, first_minute, last_minute, (SELECT sum(delta) FROM hd
+      WHERE hd.endpoint_id = q.endpoint_id) AS movement,
     floor(q.packets / CASE WHEN epoch(last_minute) > epoch(first_minute) THEN (epoch(last_minute) - epoch(first_minute)) / 3600.0::DOUBLE ELSE 1 / 3600.0::DOUBLE END * 100 + 0.5::DOUBLE) / 100 AS packets_per_hour
-    FROM q JOIN mi ON mi.endpoint_id = q.endpoint_id JOIN com ON com.endpoint_id = q.endpoint_id LEFT JOIN meters ON meters.endpoint_id = q.endpoint_id WHERE NOT COALESCE(ignored, FALSE)""", "packets_per_hour")
+    FROM q JOIN mi ON mi.endpoint_id = q.endpoint_id JOIN com ON com.endpoint_id = q.endpoint_id LEFT
+      JOIN meters ON meters.endpoint_id = q.endpoint_id WHERE NOT COALESCE(ignored, FALSE)""",
+    "packets_per_hour",
+)
 _OPTIONS = ("electric_only", "include_ignored", "tracked_only", "published_only")
 
 
@@ -236,7 +341,8 @@ add(
     _base(IX, fx.METERS)
     + """, q AS (SELECT mi.endpoint_id, msg_type, commodity, COALESCE(ignored, FALSE) AS ignored, COALESCE(is_mine, FALSE) AS mine, COALESCE(publish, FALSE) AS pub, p.n, p.h,
         (SELECT sum(delta) FROM hd WHERE hd.endpoint_id = mi.endpoint_id) AS movement
-      FROM (SELECT endpoint_id, sum(n) AS n, (epoch(max(bucket)) - epoch(min(bucket))) / 3600.0::DOUBLE AS h FROM r1m GROUP BY 1) p JOIN mi ON mi.endpoint_id = p.endpoint_id
+      FROM (SELECT endpoint_id, sum(n) AS n, (epoch(max(bucket)) - epoch(min(bucket))) / 3600.0::DOUBLE AS h FROM r1m GROUP BY 1) p
+      JOIN mi ON mi.endpoint_id = p.endpoint_id
       JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id),
     o AS (SELECT *, unnest(['electric_only', 'include_ignored', 'tracked_only', 'published_only', 'msg_type']) AS option FROM q)
     SELECT option, endpoint_id, movement, floor(n / CASE WHEN h > 0 THEN h ELSE 1 / 3600.0::DOUBLE END * 100 + 0.5::DOUBLE) / 100 AS packets_per_hour FROM o
@@ -252,7 +358,8 @@ _page = lambda d: U.consumption_page(U.page_deltas(d.r1h, d.index, "week", _ANCH
 _UTC = lambda t: f"(({t}) AT TIME ZONE '{TZ}') AT TIME ZONE 'UTC'"
 #: D4 of the hours of a span and its look-back, for span bounds in SQL.
 _SPAN_HD = lambda name, lo, hi: f"""
-{name}x AS (SELECT r.endpoint_id, r.bucket, n, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+{name}x AS (SELECT r.endpoint_id, r.bucket, n, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id
+      ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
   FROM r1h r JOIN mi ON mi.endpoint_id = r.endpoint_id WHERE r.bucket >= {lo} - INTERVAL '48 hours' AND r.bucket < {hi}),
 {name}y AS (SELECT *, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM {name}x),
 {name}z AS (SELECT endpoint_id, quantile_cont(delta, 0.5) AS md, count(*) AS pn FROM {name}y WHERE delta > 0 GROUP BY 1),
@@ -276,7 +383,8 @@ add(
     _base(IX, fx.METERS, _WEEK, _SPAN_HD("pw", _UTC("TIMESTAMP '2024-01-07'"), _UTC("TIMESTAMP '2024-01-14'")))
     + f""", now AS (SELECT endpoint_id, sum(value) AS s, count(value) / 7.0::DOUBLE AS c FROM pg GROUP BY 1), pt AS (SELECT endpoint_id, sum(delta) AS s FROM pw GROUP BY 1)
     SELECT now.endpoint_id, floor(now.s * 1000 + 0.5::DOUBLE) / 1000 AS total, floor(now.s / 7 * 1000 + 0.5::DOUBLE) / 1000 AS avg_per_day, floor(c * 1000 + 0.5::DOUBLE) / 1000 AS coverage,
-      floor(pt.s * mult * 1000 + 0.5::DOUBLE) / 1000 AS previous_total, CASE WHEN first_seen IS NULL OR {_UTC("TIMESTAMP '2024-01-14'")} > first_seen THEN DATE '2024-01-07' END AS prev_anchor, DATE '2024-01-21' AS next_anchor
+      floor(pt.s * mult * 1000 + 0.5::DOUBLE) / 1000 AS previous_total,
+        CASE WHEN first_seen IS NULL OR {_UTC("TIMESTAMP '2024-01-14'")} > first_seen THEN DATE '2024-01-07' END AS prev_anchor, DATE '2024-01-21' AS next_anchor
     FROM now JOIN cal ON cal.endpoint_id = now.endpoint_id LEFT JOIN pt ON pt.endpoint_id = now.endpoint_id LEFT JOIN mi ON mi.endpoint_id = now.endpoint_id""",
     "total avg_per_day previous_total",
 )
@@ -302,22 +410,64 @@ add(
     FROM slots LEFT JOIN lref ON lref.day = start::DATE LEFT JOIN e ON start >= e.ts AND start < e.bend""",
     "monitored bill",
 )
-add("u7_hour_profile", lambda d: U.profile(d.hourly, ("hour",), TZ), _base(IX) + f"SELECT endpoint_id, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
-add("u8_dow_profile", lambda d: U.profile(d.hourly, ("dow",), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2", "avg_delta")
-add("u9_heatmap", lambda d: U.profile(d.hourly, ("dow", "hour"), TZ), _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2, 3", "avg_delta")
+add(
+    "u7_hour_profile",
+    lambda d: U.profile(d.hourly, ("hour",), TZ),
+    _base(IX) + f"SELECT endpoint_id, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2",
+    "avg_delta",
+)
+add(
+    "u8_dow_profile",
+    lambda d: U.profile(d.hourly, ("dow",), TZ),
+    _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2",
+    "avg_delta",
+)
+add(
+    "u9_heatmap",
+    lambda d: U.profile(d.hourly, ("dow", "hour"), TZ),
+    _base(IX) + f"SELECT endpoint_id, dayofweek({_LOCAL})::INT AS dow, hour({_LOCAL})::INT AS hour, avg(delta) AS avg_delta, count(*)::BIGINT AS hours FROM hd GROUP BY 1, 2, 3",
+    "avg_delta",
+)
 add("u10_daily_rollup", lambda d: U.daily_rollup(d.hourly, TZ), _base(IX) + f"SELECT endpoint_id, {_LOCAL}::DATE AS day, sum(delta) AS movement, sum(n)::BIGINT AS packets FROM hd GROUP BY 1, 2")
 add("u11_benchmark", lambda d: U.benchmark(d.hourly, d.index),
     _base(IX) + """, mv AS (SELECT com.endpoint_id, commodity, COALESCE(sum(delta), 0.0::DOUBLE) AS movement FROM com LEFT JOIN hd ON hd.endpoint_id = com.endpoint_id GROUP BY 1, 2)
-    SELECT a.endpoint_id, a.commodity, a.movement, (SELECT count(*) FROM mv b WHERE b.commodity = a.commodity AND b.movement > 0)::BIGINT AS peers, (SELECT quantile_cont(b.movement, 0.5) FROM mv b WHERE b.commodity = a.commodity AND b.movement > 0) AS median,
-    100.0::DOUBLE * (SELECT count(*) FROM mv b WHERE b.commodity = a.commodity AND b.movement > 0 AND b.movement < a.movement)::DOUBLE / NULLIF((SELECT count(*) FROM mv b WHERE b.commodity = a.commodity AND b.movement > 0), 0)::DOUBLE AS pct_below FROM mv a""", "median pct_below")
-add("u12_meter_info", lambda d: U.meter_info(d.index, d.meters).select("endpoint_id", "msg_type", "commodity", "packets", "label", "publish"), _base(IX, fx.METERS) + "SELECT mi.endpoint_id, msg_type, commodity, packets, label, publish FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id")
-add("u13_my_meter", lambda d: U.my_meter(d.meters.join(d.index.select("endpoint_id"), "endpoint_id")).select("endpoint_id", "label"), _base(IX, fx.METERS) + "SELECT meters.endpoint_id, label FROM meters JOIN mi ON mi.endpoint_id = meters.endpoint_id WHERE is_mine")
-add("u14_latest_reading", lambda d: U.latest_reading(d.readings), _base(RD) + "SELECT endpoint_id, max(ts) AS ts, arg_max(consumption, (ts, consumption)) AS consumption, arg_max(msg_type, ts) AS msg_type FROM readings GROUP BY 1")
+    SELECT a.endpoint_id, a.commodity, a.movement, (SELECT count(*) FROM mv b
+      WHERE b.commodity = a.commodity AND b.movement > 0)::BIGINT AS peers, (SELECT quantile_cont(b.movement, 0.5) FROM mv b
+      WHERE b.commodity = a.commodity AND b.movement > 0) AS median,
+    100.0::DOUBLE * (SELECT count(*) FROM mv b
+      WHERE b.commodity = a.commodity AND b.movement > 0 AND b.movement < a.movement)::DOUBLE / NULLIF((SELECT count(*) FROM mv b
+      WHERE b.commodity = a.commodity AND b.movement > 0), 0)::DOUBLE AS pct_below FROM mv a""", "median pct_below")
+add(
+    "u12_meter_info",
+    lambda d: U.meter_info(d.index, d.meters).select("endpoint_id", "msg_type", "commodity", "packets", "label", "publish"),
+    _base(IX, fx.METERS) + """SELECT mi.endpoint_id, msg_type, commodity, packets, label, publish FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT
+      JOIN meters ON meters.endpoint_id = mi.endpoint_id""",
+)
+add(
+    "u13_my_meter",
+    lambda d: U.my_meter(d.meters.join(d.index.select("endpoint_id"), "endpoint_id")).select("endpoint_id", "label"),
+    _base(IX, fx.METERS) + "SELECT meters.endpoint_id, label FROM meters JOIN mi ON mi.endpoint_id = meters.endpoint_id WHERE is_mine",
+)
+add(
+    "u14_latest_reading",
+    lambda d: U.latest_reading(d.readings),
+    _base(RD) + "SELECT endpoint_id, max(ts) AS ts, arg_max(consumption, (ts, consumption)) AS consumption, arg_max(msg_type, ts) AS msg_type FROM readings GROUP BY 1",
+)
 _TWO = ", tw AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY ts DESC, consumption DESC) AS i FROM readings), pw AS (SELECT endpoint_id, (max(consumption) FILTER (WHERE i = 1) - max(consumption) FILTER (WHERE i = 2)) / ((epoch(max(ts) FILTER (WHERE i = 1)) - epoch(max(ts) FILTER (WHERE i = 2))) / 3600.0::DOUBLE) AS p FROM tw WHERE i <= 2 GROUP BY 1)\n"
-add("u15_derived_power", lambda d: U.derived_power(d.readings, d.meters), _base(RD, fx.METERS) + _TWO + "SELECT pw.endpoint_id, p * COALESCE(pub_multiplier, 1.0::DOUBLE) AS power FROM pw LEFT JOIN meters ON meters.endpoint_id = pw.endpoint_id", "power")
-add("u16_signal_per_hour", lambda d: U.signal_per_hour(d.readings, AS_OF()), _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS signal FROM readings WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL} GROUP BY 1")
+add(
+    "u15_derived_power",
+    lambda d: U.derived_power(d.readings, d.meters),
+    _base(RD, fx.METERS) + _TWO + "SELECT pw.endpoint_id, p * COALESCE(pub_multiplier, 1.0::DOUBLE) AS power FROM pw LEFT JOIN meters ON meters.endpoint_id = pw.endpoint_id",
+    "power",
+)
+add(
+    "u16_signal_per_hour",
+    lambda d: U.signal_per_hour(d.readings, AS_OF()),
+    _base(RD) + f"SELECT endpoint_id, count(*)::BIGINT AS signal FROM readings WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL} GROUP BY 1",
+)
 add("u17_published_feed", lambda d: U.published_feed(d.readings, d.meters, AS_OF()),
-    _base(IX, fx.METERS) + _TWO + f"""SELECT m.endpoint_id, pub_name, pub_unit, mi.last_seen AS ts, last_consumption * pub_multiplier AS energy, p * pub_multiplier AS power, (SELECT count(*) FROM readings r WHERE r.endpoint_id = m.endpoint_id AND ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL})::BIGINT AS signal
+    _base(IX, fx.METERS) + _TWO + f"""SELECT m.endpoint_id, pub_name, pub_unit, mi.last_seen AS ts, last_consumption * pub_multiplier AS energy, p * pub_multiplier AS power, (SELECT count(*)
+      FROM readings r WHERE r.endpoint_id = m.endpoint_id AND ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL})::BIGINT AS signal
     FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id LEFT JOIN pw ON pw.endpoint_id = m.endpoint_id WHERE publish""", "energy power")
 
 
@@ -332,32 +482,62 @@ add(
     _base(IX, fx.METERS, *[_SPAN_HD(n, f"TIMESTAMP '{t}'", AS_OF_SQL) for n, t in (("today", "2024-01-30"), ("week", "2024-01-28"), ("mon", "2024-01-01"))])
     + _TWO
     + """, who AS (SELECT 'published' AS role, * FROM meters WHERE publish UNION ALL SELECT 'mine' AS role, * FROM meters WHERE is_mine AND NOT ignored),
-    v AS (SELECT w.*, commodity, p * pub_multiplier AS pow, COALESCE((SELECT sum(delta) FROM today x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS t, COALESCE((SELECT sum(delta) FROM week x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS wk,
-        COALESCE((SELECT sum(delta) FROM mon x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS mo FROM who w LEFT JOIN com ON com.endpoint_id = w.endpoint_id LEFT JOIN pw ON pw.endpoint_id = w.endpoint_id),
+    v AS (SELECT w.*, commodity, p * pub_multiplier AS pow, COALESCE((SELECT sum(delta) FROM today x
+      WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS t, COALESCE((SELECT sum(delta) FROM week x
+      WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS wk,
+        COALESCE((SELECT sum(delta) FROM mon x WHERE x.endpoint_id = w.endpoint_id), 0) * pub_multiplier AS mo FROM who w LEFT
+      JOIN com ON com.endpoint_id = w.endpoint_id LEFT JOIN pw ON pw.endpoint_id = w.endpoint_id),
     r AS (SELECT *, floor(t * 1000 + 0.5::DOUBLE) / 1000 AS tr FROM v)
-    SELECT role, endpoint_id, CASE role WHEN 'mine' THEN label ELSE COALESCE(pub_name, '') END AS name, tr AS today, CASE role WHEN 'mine' THEN floor(wk * 1000 + 0.5::DOUBLE) / 1000 END AS week,
+    SELECT role, endpoint_id, CASE role WHEN 'mine' THEN label ELSE COALESCE(pub_name, '') END AS name, tr AS today,
+        CASE role WHEN 'mine' THEN floor(wk * 1000 + 0.5::DOUBLE) / 1000 END AS week,
       CASE role WHEN 'mine' THEN floor(mo * 1000 + 0.5::DOUBLE) / 1000 END AS month, sign(pow) * floor(abs(pow) * 1000 + 0.5::DOUBLE) / 1000 AS power,
-      CASE WHEN CASE role WHEN 'mine' THEN COALESCE(pub_unit, '') <> '' ELSE commodity = 'electric' END THEN floor(tr * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 ELSE 0.0::DOUBLE END AS cost_today FROM r""",
+      CASE WHEN CASE role WHEN 'mine' THEN COALESCE(pub_unit,
+        '') <> '' ELSE commodity = 'electric' END THEN floor(tr * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 ELSE 0.0::DOUBLE END AS cost_today
+      FROM r""",
     "today week month power cost_today",
 )
 
 # bills
-_BK = """, late AS (SELECT * FROM bills WHERE ts >= TIMESTAMP '2024-01-08'), bk AS (SELECT * FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM late) WHERE bend IS NOT NULL),
-cut1h AS (SELECT r.endpoint_id, r.bucket, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
+_BK = """, late AS (SELECT * FROM bills WHERE ts >= TIMESTAMP '2024-01-08'), bk AS (SELECT *
+      FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM late) WHERE bend IS NOT NULL),
+cut1h AS (SELECT r.endpoint_id, r.bucket, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id
+      ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
   FROM r1h r JOIN mi ON mi.endpoint_id = r.endpoint_id WHERE r.bucket >= (SELECT min(bstart) FROM bk) AND r.bucket < (SELECT max(bend) FROM bk)),
 stepb AS (SELECT endpoint_id, bucket, CASE WHEN raw >= 0 THEN raw WHEN raw + modu >= 0 AND raw + modu < modu * 0.5::DOUBLE THEN raw + modu END AS delta FROM cut1h),
-ev2 AS (SELECT s.endpoint_id, b.statistic_id, b.bstart, b.bend, b.kwh, sum(delta) AS delta, count(*)::BIGINT AS covered_h, (epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE AS bucket_h FROM stepb s JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+ev2 AS (SELECT s.endpoint_id, b.statistic_id, b.bstart, b.bend, b.kwh, sum(delta) AS delta, count(*)::BIGINT AS covered_h, (epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE AS bucket_h
+      FROM stepb s JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 evd AS (SELECT * FROM ev2 WHERE delta > 0)\n"""
 #: Bills that begin a week into the readings.
 _late = lambda d: d.bills.where(C("ts") >= F.lit("2024-01-08").cast("timestamp"))
 _buckets = lambda d: B.bill_buckets(_late(d))
 _evidence = lambda d: B.bill_evidence(d.r1h, d.index, _buckets(d))
-add("b1_bill_buckets", lambda d: B.bill_buckets(d.bills), _base(fx.BILLS) + "SELECT statistic_id, ts AS bstart, bend, kwh FROM (SELECT *, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend FROM bills) WHERE bend IS NOT NULL", "kwh")
+add(
+    "b1_bill_buckets",
+    lambda d: B.bill_buckets(d.bills),
+    _base(fx.BILLS) + "SELECT statistic_id, ts AS bstart, bend, kwh FROM (SELECT *, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend FROM bills) WHERE bend IS NOT NULL",
+    "kwh",
+)
 add("b2_bill_evidence", _evidence, _base(IX, fx.BILLS) + _BK + "SELECT * FROM evd", "kwh bucket_h")
-_SUM = """, sm AS (SELECT *, least(covered_h / bucket_h, 1) AS cov FROM evd), sn AS (SELECT *, kwh * cov / delta AS mult FROM sm), sp AS (SELECT endpoint_id, sum(mult * cov) / sum(cov) AS m, stddev_samp(mult) AS sd, count(*)::BIGINT AS buckets,
-CASE WHEN regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov) > 0 THEN regr_sxy(delta, kwh * cov) / sqrt(regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov)) END AS r FROM sn GROUP BY 1)\n"""
-add("b3_summarize_evidence", lambda d: B.summarize_evidence(_evidence(d)), _base(IX, fx.BILLS) + _BK + _SUM + "SELECT endpoint_id, floor(m * 100000000 + 0.5::DOUBLE) / 100000000 AS multiplier, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN sign(r) * floor(abs(r) * 1000 + 0.5::DOUBLE) / 1000 END AS r, buckets FROM sp", "multiplier cov r")
-add("b4_utility_compare", lambda d: B.utility_compare(_evidence(d), B.summarize_evidence(_evidence(d))), _base(IX, fx.BILLS) + _BK + _SUM + "SELECT sm.endpoint_id, bstart, kwh, floor(delta * (floor(m * 100000000 + 0.5::DOUBLE) / 100000000) * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh, floor(cov * 1000 + 0.5::DOUBLE) / 1000 AS coverage FROM sm JOIN sp ON sp.endpoint_id = sm.endpoint_id", "kwh metered_kwh coverage")
+_SUM = """, sm AS (SELECT *, least(covered_h / bucket_h, 1) AS cov FROM evd), sn AS (SELECT *, kwh * cov / delta AS mult
+      FROM sm), sp AS (SELECT endpoint_id, sum(mult * cov) / sum(cov) AS m, stddev_samp(mult) AS sd, count(*)::BIGINT AS buckets,
+CASE WHEN regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov) > 0 THEN regr_sxy(delta, kwh * cov) / sqrt(regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov)) END AS r
+      FROM sn GROUP BY 1)\n"""
+add(
+    "b3_summarize_evidence",
+    lambda d: B.summarize_evidence(_evidence(d)),
+    _base(IX, fx.BILLS) + _BK + _SUM + """SELECT endpoint_id, floor(m * 100000000 + 0.5::DOUBLE) / 100000000 AS multiplier, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov,
+        CASE WHEN buckets >= 24 THEN sign(r) * floor(abs(r) * 1000 + 0.5::DOUBLE) / 1000 END AS r, buckets
+      FROM sp""",
+    "multiplier cov r",
+)
+add(
+    "b4_utility_compare",
+    lambda d: B.utility_compare(_evidence(d), B.summarize_evidence(_evidence(d))),
+    _base(IX, fx.BILLS) + _BK + _SUM + """SELECT sm.endpoint_id, bstart, kwh, floor(delta * (floor(m * 100000000 + 0.5::DOUBLE) / 100000000) * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh,
+        floor(cov * 1000 + 0.5::DOUBLE) / 1000 AS coverage
+      FROM sm JOIN sp ON sp.endpoint_id = sm.endpoint_id""",
+    "kwh metered_kwh coverage",
+)
 _REC = ", rc AS (SELECT b.statistic_id, b.bstart, sum(delta * pub_multiplier) AS metered_kwh, least(count(DISTINCT s.bucket) / ((epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE), 1) AS coverage FROM stepb s JOIN meters m ON m.endpoint_id = s.endpoint_id JOIN com ON com.endpoint_id = s.endpoint_id JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL AND (publish OR is_mine) AND commodity = 'electric' GROUP BY b.statistic_id, b.bstart, b.bend)\n"
 _rec = lambda d: B.reconcile(d.r1h, d.index, d.meters, _buckets(d))
 add("b5_reconcile", _rec, _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT * FROM rc", "metered_kwh coverage")
@@ -377,14 +557,21 @@ def _estimate_sql(meters: str) -> str:
     mo AS (SELECT date_trunc('month', day)::DATE AS month, sum(k) AS k FROM lref WHERE day >= (SELECT min(day) FROM dd) AND day <= (SELECT max(day) FROM dd) GROUP BY 1),
     me AS (SELECT day, sum(delta * pub_multiplier) AS k FROM lday JOIN lmeters ON lmeters.endpoint_id = lday.endpoint_id WHERE {meters} GROUP BY 1),
     es AS (SELECT statistic_id, dd.day, floor(kwh / ((epoch(bend) - epoch(bstart)) / 86400.0::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS flat_kwh,
-      CASE WHEN mo.k > 0 AND kwh > 0 THEN floor(kwh * (COALESCE(lref.k, 0.0::DOUBLE) / mo.k) * 1000 + 0.5::DOUBLE) / 1000 END AS shaped_kwh, floor(me.k * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh
+      CASE WHEN mo.k > 0 AND kwh > 0 THEN floor(kwh * (COALESCE(lref.k, 0.0::DOUBLE) / mo.k) * 1000 + 0.5::DOUBLE) / 1000 END AS shaped_kwh,
+        floor(me.k * 1000 + 0.5::DOUBLE) / 1000 AS metered_kwh
       FROM dd LEFT JOIN lref ON lref.day = dd.day LEFT JOIN mo ON mo.month = date_trunc('month', dd.day)::DATE LEFT JOIN me ON me.day = dd.day),
 """
 
 
-add("b6_daily_estimate", lambda d: _long_estimate(d, "endpoint_id = 5002"), _base(fx.LONG, fx.BILLS, _estimate_sql("lmeters.endpoint_id = 5002")) + "SELECT * FROM es", "flat_kwh shaped_kwh metered_kwh")
+add(
+    "b6_daily_estimate",
+    lambda d: _long_estimate(d, "endpoint_id = 5002"),
+    _base(fx.LONG, fx.BILLS, _estimate_sql("lmeters.endpoint_id = 5002")) + "SELECT * FROM es",
+    "flat_kwh shaped_kwh metered_kwh",
+)
 add("b7_daily_estimate_series", _long_estimate, _base(fx.LONG, fx.BILLS, _estimate_sql("publish OR is_mine")) + "SELECT * FROM es", "flat_kwh shaped_kwh metered_kwh")
-_RATES = """rt AS (SELECT statistic_id, month(ts)::INT AS month, kwh / day(last_day(ts::DATE)) AS rate FROM mbills WHERE kwh > 0), ra AS (SELECT * FROM rt UNION ALL SELECT statistic_id, 0, rate FROM rt),
+_RATES = """rt AS (SELECT statistic_id, month(ts)::INT AS month, kwh / day(last_day(ts::DATE)) AS rate FROM mbills WHERE kwh > 0), ra AS (SELECT * FROM rt
+      UNION ALL SELECT statistic_id, 0, rate FROM rt),
 mr AS (SELECT statistic_id, month, avg(rate) AS rate, min(rate) AS least, max(rate) AS most FROM ra GROUP BY 1, 2),
 """
 add(
@@ -392,7 +579,8 @@ add(
     lambda d: B.daily_estimate_range(_long_estimate(d), _rates(d), F.lit("2001-06-15").cast("date"), F.lit("2002-02-28").cast("date")),
     _base(fx.LONG, fx.BILLS, _estimate_sql("publish OR is_mine"), _RATES)
     + """, sl AS (SELECT unnest(generate_series(TIMESTAMP '2001-06-15', TIMESTAMP '2002-02-28', INTERVAL '1 day'))::DATE AS day)
-    SELECT 'bill.month' AS statistic_id, sl.day, COALESCE(flat_kwh, floor(COALESCE(mr.rate, (SELECT rate FROM mr WHERE month = 0)) * 1000 + 0.5::DOUBLE) / 1000) AS kwh, shaped_kwh, flat_kwh IS NULL AS projected
+    SELECT 'bill.month' AS statistic_id, sl.day, COALESCE(flat_kwh, floor(COALESCE(mr.rate, (SELECT rate FROM mr
+      WHERE month = 0)) * 1000 + 0.5::DOUBLE) / 1000) AS kwh, shaped_kwh, flat_kwh IS NULL AS projected
     FROM sl LEFT JOIN es ON es.day = sl.day LEFT JOIN mr ON mr.month = month(sl.day) WHERE flat_kwh IS NOT NULL OR sl.day > (SELECT max(day) FROM es)""",
     "kwh shaped_kwh",
 )
@@ -401,14 +589,31 @@ add(
     "b9_bill_band",
     lambda d: B.bill_band(_rates(d), d.long_days.agg(F.max("day").alias("day"))),
     _base(fx.LONG, fx.BILLS, _RATES)
-    + """, mm AS (SELECT month(max(day)) AS month FROM lref) SELECT a.statistic_id, floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 AS bill_low, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 AS bill_high
+    + """, mm AS (SELECT month(max(day)) AS month
+      FROM lref) SELECT a.statistic_id, floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 AS bill_low, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 AS bill_high
     FROM mr a LEFT JOIN mr o ON o.statistic_id = a.statistic_id AND o.month = (SELECT month FROM mm) WHERE a.month = 0""",
     "bill_low bill_high",
 )
 add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh:9")
-add("b11_bill_series", lambda d: B.bill_series(_late(d), _rec(d), 0.2), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage FROM late b LEFT JOIN rc ON rc.bstart = b.ts", "kwh cost total_kwh metered_kwh coverage")
-add("b12_bill_energy", lambda d: B.bill_energy(d.bills, lo=_mid()), _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1", "kwh")
-add("b13_tracking_pct", lambda d: B.tracking_pct(B.bill_series(_late(d), _rec(d))), _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + "SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM late b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1", "pct")
+add(
+    "b11_bill_series",
+    lambda d: B.bill_series(_late(d), _rec(d), 0.2),
+    _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + """SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage
+      FROM late b LEFT JOIN rc ON rc.bstart = b.ts""",
+    "kwh cost total_kwh metered_kwh coverage",
+)
+add(
+    "b12_bill_energy",
+    lambda d: B.bill_energy(d.bills, lo=_mid()),
+    _base(fx.BILLS) + "SELECT statistic_id, sum(kwh) AS kwh, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS bills FROM bills WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
+    "kwh",
+)
+add(
+    "b13_tracking_pct",
+    lambda d: B.tracking_pct(B.bill_series(_late(d), _rec(d))),
+    _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + """SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM late b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1""",
+    "pct",
+)
 
 # screen
 _once = lambda d, name, make: d._once(name, make) if isinstance(d, Kept) else make()
@@ -417,19 +622,28 @@ _DAYS = _COVER + ", dk AS (SELECT mt::DATE AS day, sum(w) / 60000 AS kwh FROM en
 _units = lambda d: _once(d, "units", lambda: P.meter_daily_units(d.hourly))
 add("p1_meter_daily_units", _units, _base(IX) + "SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2")
 add("p2_screen_days", _days, _base(FL) + _DAYS + "SELECT * FROM sd", "kwh:9")
-add("p3_magnitude_band", lambda d: P.magnitude_band(_days(d)), _base(FL) + _DAYS + "SELECT avg(kwh) AS mon, count(*)::BIGINT AS days, 0.9::DOUBLE * avg(kwh) AS low, 3.0::DOUBLE * avg(kwh) AS high FROM sd WHERE used", "mon low high")
+add(
+    "p3_magnitude_band",
+    lambda d: P.magnitude_band(_days(d)),
+    _base(FL) + _DAYS + "SELECT avg(kwh) AS mon, count(*)::BIGINT AS days, 0.9::DOUBLE * avg(kwh) AS low, 3.0::DOUBLE * avg(kwh) AS high FROM sd WHERE used",
+    "mon low high",
+)
 #: A band from the monthly bills of the same season, which are of a larger house: a share of it.
 _season = lambda d: B.bill_band(_rates(d), P.last_used_day(_days(d))).select((C("bill_low") * _BILL_SHARE).alias("bill_low"), (C("bill_high") * _BILL_SHARE).alias("bill_high"))
 _BILL_SHARE = 0.5
 _SEASON = _RATES + f"""smo AS (SELECT month(max(day)) AS month FROM sd WHERE used),
-se AS (SELECT floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bl, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bh FROM mr a LEFT JOIN mr o ON o.month = (SELECT month FROM smo) WHERE a.month = 0),
+se AS (SELECT floor(COALESCE(o.least, a.least) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bl, floor(COALESCE(o.most, a.most) * 100 + 0.5::DOUBLE) / 100 * {_BILL_SHARE}::DOUBLE AS bh
+      FROM mr a LEFT JOIN mr o ON o.month = (SELECT month FROM smo) WHERE a.month = 0),
 bw AS (SELECT avg(kwh) AS mon, count(*)::BIGINT AS days FROM sd WHERE used),
-bd AS (SELECT mon, days, CASE WHEN f < c THEN f ELSE 0.9::DOUBLE * mon END AS low, CASE WHEN f < c THEN c ELSE 3.0::DOUBLE * mon END AS high FROM (SELECT *, greatest(0.9::DOUBLE * mon, 0.6::DOUBLE * bl) AS f, least(3.0::DOUBLE * mon, 1.4::DOUBLE * bh) AS c FROM bw CROSS JOIN se)),
+bd AS (SELECT mon, days, CASE WHEN f < c THEN f ELSE 0.9::DOUBLE * mon END AS low, CASE WHEN f < c THEN c ELSE 3.0::DOUBLE * mon END AS high
+      FROM (SELECT *, greatest(0.9::DOUBLE * mon, 0.6::DOUBLE * bl) AS f, least(3.0::DOUBLE * mon, 1.4::DOUBLE * bh) AS c FROM bw CROSS JOIN se)),
 """
 add("p3_magnitude_band_of_bills", lambda d: P.magnitude_band(_days(d), _season(d)), _base(FL, fx.BILLS) + _DAYS.rstrip() + ", " + _SEASON.rstrip().rstrip(",") + " SELECT * FROM bd", "mon low high")
 _bandless = lambda d: _units(d).groupBy("endpoint_id").agg(F.avg("units").alias("mean_units")).withColumns({"mon": F.lit(300.0), "low": F.lit(270.0), "high": F.lit(900.0)})
 add("p4_infer_unit", lambda d: P.infer_unit(_bandless(d)),
-    _base(IX) + ", mu AS (SELECT endpoint_id, avg(u) AS mean_units FROM (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS u FROM hd GROUP BY 1, 2) GROUP BY 1) SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / 375.0::DOUBLE))) FILTER (WHERE mean_units * unit >= 270 AND mean_units * unit <= 900) AS unit FROM mu CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1")
+    _base(IX) + """, mu AS (SELECT endpoint_id, avg(u) AS mean_units FROM (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS u FROM hd GROUP BY 1, 2)
+      GROUP BY 1) SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / 375.0::DOUBLE))) FILTER (WHERE mean_units * unit >= 270 AND mean_units * unit <= 900) AS unit
+      FROM mu CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1""")
 #: Asked for beside the electric ones: an ignored gas meter, and one that nobody hears.
 _asked = lambda d: d.spark.createDataFrame([(1005,), (4711,)], "endpoint_id long")
 _screened = lambda d: P.daily_screen(_units(d), _days(d), d.index, meters=d.meters, bills=_season(d), requested=_asked(d))
@@ -439,20 +653,29 @@ _SCREEN = (
     + ", "
     + _SEASON
     + """mu AS (SELECT endpoint_id, hb::DATE AS day, sum(delta) AS units FROM hd GROUP BY 1, 2),
-po AS (SELECT com.endpoint_id FROM com LEFT JOIN meters m ON m.endpoint_id = com.endpoint_id WHERE commodity = 'electric' AND NOT COALESCE(ignored, FALSE) UNION SELECT unnest([1005, 4711])),
+po AS (SELECT com.endpoint_id FROM com LEFT JOIN meters m ON m.endpoint_id = com.endpoint_id
+      WHERE commodity = 'electric' AND NOT COALESCE(ignored, FALSE) UNION SELECT unnest([1005, 4711])),
 hp AS (SELECT DISTINCT mu.endpoint_id FROM mu JOIN po ON po.endpoint_id = mu.endpoint_id),
 ux AS (SELECT mu.endpoint_id, mu.day, units, kwh AS md FROM mu JOIN sd ON sd.day = mu.day JOIN hp ON hp.endpoint_id = mu.endpoint_id WHERE used),
-mi2 AS (SELECT hp.endpoint_id, min(sd.day) AS missing FROM hp CROSS JOIN sd LEFT JOIN ux ON ux.endpoint_id = hp.endpoint_id AND ux.day = sd.day WHERE used AND ux.day IS NULL GROUP BY 1),
+mi2 AS (SELECT hp.endpoint_id, min(sd.day) AS missing FROM hp CROSS JOIN sd LEFT JOIN ux ON ux.endpoint_id = hp.endpoint_id AND ux.day = sd.day
+      WHERE used AND ux.day IS NULL GROUP BY 1),
 me AS (SELECT endpoint_id, avg(units) AS mean_units FROM ux GROUP BY 1),
-un AS (SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / (1.25::DOUBLE * mon)))) FILTER (WHERE mean_units * unit >= low AND mean_units * unit <= high) AS unit FROM me CROSS JOIN bd CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1),
-ag AS (SELECT ux.endpoint_id, max(unit) AS unit, avg(units * unit) AS k, avg(units * unit - md) AS rm, COALESCE(stddev_samp(units * unit - md), 0.0::DOUBLE) AS rsd, min(CASE WHEN units * unit - md < -greatest(1.5::DOUBLE, 0.05::DOUBLE * md) THEN ux.day END) AS broken FROM ux JOIN un ON un.endpoint_id = ux.endpoint_id GROUP BY 1),
-rz AS (SELECT hp.endpoint_id, missing IS NULL AS whole, unit, k, rm, rsd, mon, CASE WHEN missing IS NOT NULL THEN 'no readings on ' || missing WHEN unit IS NULL THEN 'magnitude' WHEN broken IS NOT NULL THEN 'below monitored on ' || broken ELSE '' END AS reason
+un AS (SELECT endpoint_id, arg_min(unit, abs(ln(mean_units * unit / (1.25::DOUBLE * mon)))) FILTER (WHERE mean_units * unit >= low AND mean_units * unit <= high) AS unit
+      FROM me CROSS JOIN bd CROSS JOIN (VALUES (1.0::DOUBLE), (0.1::DOUBLE), (0.01::DOUBLE)) AS x(unit) GROUP BY 1),
+ag AS (SELECT ux.endpoint_id, max(unit) AS unit, avg(units * unit) AS k, avg(units * unit - md) AS rm, COALESCE(stddev_samp(units * unit - md),
+        0.0::DOUBLE) AS rsd, min(CASE WHEN units * unit - md < -greatest(1.5::DOUBLE, 0.05::DOUBLE * md) THEN ux.day END) AS broken
+      FROM ux JOIN un ON un.endpoint_id = ux.endpoint_id GROUP BY 1),
+rz AS (SELECT hp.endpoint_id, missing IS NULL AS whole, unit, k, rm, rsd, mon,
+        CASE WHEN missing IS NOT NULL THEN 'no readings on ' || missing WHEN unit IS NULL THEN 'magnitude' WHEN broken IS NOT NULL THEN 'below monitored on ' || broken ELSE '' END AS reason
   FROM hp LEFT JOIN ag ON ag.endpoint_id = hp.endpoint_id LEFT JOIN mi2 ON mi2.endpoint_id = hp.endpoint_id CROSS JOIN bd WHERE days >= 3),
 sc AS (SELECT endpoint_id, CASE WHEN whole THEN unit END AS unit, CASE WHEN whole THEN """
     + f"{_r('k', 2)} END AS kwh_day, CASE WHEN whole THEN {_r('rm', 2)} END AS resid_mean, CASE WHEN whole AND unit IS NOT NULL THEN {_r('rsd', 2)} END AS resid_sd,"
     + """ CASE WHEN whole THEN reason = '' END AS pass, reason,
-  CASE WHEN whole AND reason = '' THEN floor(greatest(0, least(1, 0.3::DOUBLE + 0.4::DOUBLE * greatest(0, least(1, 1 - rsd / (0.15::DOUBLE * mon + 2))) + 0.3::DOUBLE * greatest(0, least(1, 1 - rm / greatest(mon, 1))))) * 1000 + 0.5::DOUBLE) / 1000 END AS screen_score FROM rz
-  UNION ALL SELECT po.endpoint_id, NULL, NULL, NULL, NULL, FALSE, 'no readings in the analysis window', NULL FROM po LEFT JOIN mu ON mu.endpoint_id = po.endpoint_id CROSS JOIN bd WHERE mu.endpoint_id IS NULL AND po.endpoint_id IN (1005, 4711) AND days >= 3),
+  CASE WHEN whole AND reason = '' THEN floor(greatest(0, least(1, 0.3::DOUBLE + 0.4::DOUBLE * greatest(0, least(1,
+        1 - rsd / (0.15::DOUBLE * mon + 2))) + 0.3::DOUBLE * greatest(0, least(1, 1 - rm / greatest(mon, 1))))) * 1000 + 0.5::DOUBLE) / 1000 END AS screen_score
+      FROM rz
+  UNION ALL SELECT po.endpoint_id, NULL, NULL, NULL, NULL, FALSE, 'no readings in the analysis window', NULL FROM po LEFT
+      JOIN mu ON mu.endpoint_id = po.endpoint_id CROSS JOIN bd WHERE mu.endpoint_id IS NULL AND po.endpoint_id IN (1005, 4711) AND days >= 3),
 """
 )
 _SC = (IX, FL, fx.BILLS, fx.METERS, _SCREEN)
@@ -460,20 +683,37 @@ add("p7_daily_screen", _screened, _base(*_SC) + "SELECT * FROM sc", "kwh_day res
 add(
     "p7_screen_day_detail",
     lambda d: P.screen_day_detail(_units(d), _days(d), _screened(d)),
-    _base(*_SC) + f"SELECT ux.endpoint_id, ux.day, {_r('units * COALESCE(sc.unit, 1)', 3)} AS kwh, CASE WHEN sc.unit IS NOT NULL THEN {_r('(units * sc.unit - md)', 3)} END AS resid FROM ux JOIN sc ON sc.endpoint_id = ux.endpoint_id WHERE pass IS NOT NULL",
+    _base(*_SC) + f"""SELECT ux.endpoint_id, ux.day, {_r('units * COALESCE(sc.unit, 1)', 3)} AS kwh, CASE WHEN sc.unit IS NOT NULL THEN {_r('(units * sc.unit - md)', 3)} END AS resid FROM ux JOIN sc ON sc.endpoint_id = ux.endpoint_id
+      WHERE pass IS NOT NULL""",
     "kwh resid",
 )
 add("p7_survivors", lambda d: P.survivors(_screened(d)), _base(*_SC) + "SELECT count(*) FILTER (WHERE pass)::BIGINT AS survivors FROM sc")
-add("p8_meter_screen_meta", lambda d: P.meter_screen_meta(d.index, d.coverage, d.meters), _base(IX, fx.METERS) + "SELECT mi.endpoint_id, msg_type, commodity, packets, (SELECT count(DISTINCT source) FROM readings r WHERE r.endpoint_id = mi.endpoint_id)::BIGINT AS sources, label, COALESCE(ignored, FALSE) AS ignored FROM mi JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id")
+add(
+    "p8_meter_screen_meta",
+    lambda d: P.meter_screen_meta(d.index, d.coverage, d.meters),
+    _base(IX, fx.METERS) + """SELECT mi.endpoint_id, msg_type, commodity, packets, (SELECT count(DISTINCT source) FROM readings r
+      WHERE r.endpoint_id = mi.endpoint_id)::BIGINT AS sources, label, COALESCE(ignored, FALSE) AS ignored FROM mi
+      JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN meters ON meters.endpoint_id = mi.endpoint_id""",
+)
 
 # ranking
 _lo = lambda: F.lit("2024-01-05 00:00:00").cast("timestamp")
 _hi = lambda: F.lit("2024-01-25 00:00:00").cast("timestamp")
-_RATIO = """, ins AS (SELECT w.id AS window_id, r.endpoint_id, max(max_c) - min(min_c) AS wd, sum(n)::BIGINT AS wn FROM r1m r JOIN wins w ON bucket >= start_ts AND bucket <= end_ts GROUP BY 1, 2),
-rr AS (SELECT w.id AS window_id, mi.endpoint_id, commodity, COALESCE(wd, 0.0::DOUBLE) AS d, COALESCE(wn, 0)::BIGINT AS wn, (epoch(end_ts) - epoch(start_ts)) / 3600.0::DOUBLE AS wh, (SELECT epoch(max(last_seen)) - epoch(min(first_seen)) FROM mi) / 3600.0::DOUBLE AS span, max_consumption - min_consumption AS total
+_RATIO = """, ins AS (SELECT w.id AS window_id, r.endpoint_id, max(max_c) - min(min_c) AS wd, sum(n)::BIGINT AS wn FROM r1m r
+      JOIN wins w ON bucket >= start_ts AND bucket <= end_ts GROUP BY 1, 2),
+rr AS (SELECT w.id AS window_id, mi.endpoint_id, commodity, COALESCE(wd, 0.0::DOUBLE) AS d, COALESCE(wn, 0)::BIGINT AS wn,
+        (epoch(end_ts) - epoch(start_ts)) / 3600.0::DOUBLE AS wh, (SELECT epoch(max(last_seen)) - epoch(min(first_seen))
+      FROM mi) / 3600.0::DOUBLE AS span, max_consumption - min_consumption AS total
 FROM mi CROSS JOIN wins w JOIN com ON com.endpoint_id = mi.endpoint_id LEFT JOIN ins ON ins.window_id = w.id AND ins.endpoint_id = mi.endpoint_id),
 rs AS (SELECT *, d / wh AS a, greatest(total - d, 0.0::DOUBLE) / greatest(span - wh, 0.000000001::DOUBLE) AS b FROM rr)\n"""
-add("i1_rate_ratio", lambda d: I.rate_ratio(d.r1m, d.index, d.windows), _base(IX, fx.WINDOWS) + _RATIO + "SELECT window_id, endpoint_id, commodity, d AS window_delta, wn AS window_packets, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS window_rate, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS baseline_rate, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS score FROM rs", "window_rate baseline_rate score")
+add(
+    "i1_rate_ratio",
+    lambda d: I.rate_ratio(d.r1m, d.index, d.windows),
+    _base(IX, fx.WINDOWS) + _RATIO + """SELECT window_id, endpoint_id, commodity, d AS window_delta, wn AS window_packets, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS window_rate,
+        floor(b * 10000 + 0.5::DOUBLE) / 10000 AS baseline_rate, floor(a / greatest(b, 0.000000001::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000 AS score
+      FROM rs""",
+    "window_rate baseline_rate score",
+)
 _energy = lambda d: I.reference_energy_buckets(d.entities, 360, _lo(), _hi())
 _WH = ", wh AS (SELECT g.bucket, COALESCE(sum(w) / 60, 0.0::DOUBLE) AS wh FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL '6 hours')) AS bucket) g LEFT JOIN ent ON time_bucket(INTERVAL '6 hours', mt) = g.bucket GROUP BY 1)\n"
 add("i2_reference_energy_buckets", _energy, _base(FL) + _WH + "SELECT * FROM wh", "wh")
@@ -481,20 +721,39 @@ _ALN = _WH + ", al AS (SELECT c.endpoint_id, c.bucket, c.delta AS y, wh.wh AS x
 _aligned = lambda d: I.aligned_series(d.r1h, d.index, _energy(d), 360)
 _REG = _ALN + ", rg AS (SELECT endpoint_id, CASE WHEN regr_sxx(y, x) * regr_syy(y, x) > 0 THEN regr_sxy(y, x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) END AS r, regr_slope(y, x) AS ols, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, avg(x) AS mx, avg(y) AS my, count(*)::BIGINT AS buckets, quantile_cont(y, 0.1) AS p10 FROM al GROUP BY 1 HAVING count(*) >= 5)\n"
 _REGRESSED = {"r": 6, "ols": 6, "r2": 6, "sxx": 2, "syy": 2, "sxy": 2, "mx": 6, "my": 6, "p10": 3}
-add("i3_regress_meters", lambda d: I.regress_meters(_aligned(d)), _base(IX, FL, fx.SIX) + _REG + "SELECT endpoint_id, r, ols, r2, sxx, syy, sxy, mx, my, buckets, p10 FROM rg", " ".join(f"{c}:{n}" for c, n in _REGRESSED.items()))
+add(
+    "i3_regress_meters",
+    lambda d: I.regress_meters(_aligned(d)),
+    _base(IX, FL, fx.SIX) + _REG + "SELECT endpoint_id, r, ols, r2, sxx, syy, sxy, mx, my, buckets, p10 FROM rg",
+    " ".join(f"{c}:{n}" for c, n in _REGRESSED.items()),
+)
 _R = lambda e, p: f"sign({e}) * floor(abs({e}) * {10**p} + 0.5::DOUBLE) / {10**p}"
 _CAL = _REG + ", dm AS (SELECT *, CASE WHEN abs(sxy) < 1e-12 THEN CASE WHEN sxx = 0 THEN 0 ELSE sxy / sxx END ELSE (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) END AS dem FROM rg), cs AS (SELECT *, CASE WHEN dem > 0 THEN dem WHEN ols > 0 THEN ols END AS sl FROM dm)\n"
-add("i4_calibrate", lambda d: I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)), _base(IX, FL, fx.SIX) + _CAL + f"SELECT endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets, {_R('sl', 6)} AS slope, {_R('(1 / (1000 * sl))', 8)} AS multiplier, {_R('((my - sl * mx) / sl / 6)', 1)} AS baseline_w, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS floor_ok FROM cs", "r r2 slope multiplier baseline_w")
+add(
+    "i4_calibrate",
+    lambda d: I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)),
+    _base(IX, FL, fx.SIX) + _CAL + f"""SELECT endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets, {_R('sl', 6)} AS slope, {_R('(1 / (1000 * sl))', 8)} AS multiplier, {_R('((my - sl * mx) / sl / 6)', 1)} AS baseline_w, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS floor_ok
+      FROM cs""",
+    "r r2 slope multiplier baseline_w",
+)
 add("i6_snoop_factor", lambda d: I.regress_meters(_aligned(d)).select("endpoint_id", F.round(I.snoop_factor(round_half_away(C("r"), 3), C("buckets").cast("double"), 24), 6).alias("snoop")),
-    _base(IX, FL, fx.SIX) + _REG + f", t AS (SELECT endpoint_id, buckets, {_R('r', 3)} AS r, least({I.snoop_threshold(24)!r}::DOUBLE / sqrt(buckets), 0.95::DOUBLE) AS c FROM rg), v AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE * c))) AS t FROM t) SELECT endpoint_id, round(CASE WHEN r IS NULL OR buckets < 4 THEN 1.0::DOUBLE ELSE t * t * (3 - 2 * t) END, 6) AS snoop FROM v")
+    _base(IX, FL, fx.SIX) + _REG + f""", t AS (SELECT endpoint_id, buckets, {_R('r', 3)} AS r, least({I.snoop_threshold(24)!r}::DOUBLE / sqrt(buckets), 0.95::DOUBLE) AS c
+      FROM rg), v AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE * c))) AS t
+      FROM t) SELECT endpoint_id, round(CASE WHEN r IS NULL OR buckets < 4 THEN 1.0::DOUBLE ELSE t * t * (3 - 2 * t) END, 6) AS snoop FROM v""")
 add("i7_change_point", lambda d: I.rate_ratio(d.r1m, d.index, d.windows).select("window_id", "endpoint_id", I.change_point(C("window_rate"), C("baseline_rate")).alias("change")),
-    _base(IX, fx.WINDOWS) + _RATIO + ", ch AS (SELECT window_id, endpoint_id, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs) SELECT window_id, endpoint_id, CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS change FROM ch", "change")
+    _base(IX, fx.WINDOWS) + _RATIO + """, ch AS (SELECT window_id, endpoint_id, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b
+      FROM rs) SELECT window_id, endpoint_id, CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1,
+        0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS change
+      FROM ch""", "change")
 add("i8_aligned_series", _aligned, _base(IX, FL, fx.SIX) + _ALN + "SELECT * FROM al", "x")
 add("i9_cross_corr_lag", lambda d: I.cross_corr_lag(_aligned(d)).withColumn("lag_r", F.round("lag_r", 6)),
     _base(IX, FL, fx.SIX) + _ALN + """, pl AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY bucket) AS i FROM al), lg AS (SELECT unnest(range(-5, 6)) AS lag),
     bo AS (SELECT a.endpoint_id, lag, a.y, b.x FROM pl a CROSS JOIN lg JOIN pl b ON b.endpoint_id = a.endpoint_id AND b.i = a.i - lag),
-    rl AS (SELECT endpoint_id, lag, count(*)::BIGINT AS n, round(COALESCE(CASE WHEN regr_sxx(y, x) * regr_syy(y, x) > 0 THEN regr_sxy(y, x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) END, 0), 12) AS r FROM bo GROUP BY 1, 2 HAVING count(*) >= 4),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY r DESC, lag) AS k FROM rl) SELECT endpoint_id, lag::INT AS lag, round(r, 6) AS lag_r, n AS points FROM rk WHERE k = 1""")
+    rl AS (SELECT endpoint_id, lag, count(*)::BIGINT AS n, round(COALESCE(CASE WHEN regr_sxx(y, x) * regr_syy(y, x) > 0 THEN regr_sxy(y,
+        x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) END, 0), 12) AS r
+      FROM bo GROUP BY 1, 2 HAVING count(*) >= 4),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY r DESC, lag) AS k
+      FROM rl) SELECT endpoint_id, lag::INT AS lag, round(r, 6) AS lag_r, n AS points FROM rk WHERE k = 1""")
 
 
 def _identify(d: Data, source: str | None = None) -> DataFrame:
@@ -575,7 +834,9 @@ co AS (SELECT *, CASE WHEN mean_conf IS NOT NULL THEN {_R(_C01("""mean_conf * CA
   FROM (SELECT *, CASE WHEN bc IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - bc)) END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, bn / 3.0::DOUBLE)) AS st FROM fu)),
 """
 _COMBINED_COLUMNS = ("endpoint_id", "avg_score", "min_score", "avg_r", "wins", "present", "total", "mean_conf", "multiplier", "sd_mult", "n_mult", "anchor", "bill_multiplier", "bill_cov", "bill_r", "bill_buckets", "confidence")
-_COMBINED_SQL = "SELECT endpoint_id, avg_score, min_score, avg_r, wins, present, total, mean_conf, multiplier, sd_mult, n_mult, anchor, bm AS bill_multiplier, bc AS bill_cov, br AS bill_r, bn AS bill_buckets, confidence FROM co"
+_COMBINED_SQL = """SELECT endpoint_id, avg_score, min_score, avg_r, wins, present, total, mean_conf, multiplier, sd_mult, n_mult, anchor, bm AS bill_multiplier,
+        bc AS bill_cov, br AS bill_r, bn AS bill_buckets, confidence
+      FROM co"""
 _COMBINED_DOUBLES = "avg_score mean_conf multiplier:9 sd_mult:9 anchor:9 confidence"
 _EVIDENCE = _BK.strip().lstrip(",").strip() + _SUM.rstrip() + ","
 
@@ -589,28 +850,68 @@ def _identified(d: Data) -> DataFrame:
 add(
     "i12_identify",
     _identified,
-    _WI() + f"SELECT window_id, endpoint_id, score, r, r2, buckets, slope, multiplier, baseline_w, floor_ok, meter_kwh, kwh AS monitored_kwh, cv, pool, pass, lag::INT AS lag, {_R('confidence', 3)} AS confidence, anchor FROM wi",
+    _WI() + f"""SELECT window_id, endpoint_id, score, r, r2, buckets, slope, multiplier, baseline_w, floor_ok, meter_kwh, kwh AS monitored_kwh, cv, pool, pass, lag::INT AS lag, {_R('confidence', 3)} AS confidence, anchor
+      FROM wi""",
     "confidence anchor:9 slope baseline_w:1 multiplier:8",
 )
-add("i13_known_load_anchor", lambda d: I.known_load_anchor(I.rate_ratio(d.r1m, d.index, d.windows), d.windows, G.entity_energy(d.entities)).select("window_id", "endpoint_id", F.round("anchor", 9).alias("anchor")),
-    _base(IX, FL, fx.WINDOWS) + _RATIO + ", ee AS (SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS k FROM fill GROUP BY 1), an AS (SELECT rs.window_id, rs.endpoint_id, d, COALESCE(known_load_w * wh / 1000, k) AS e FROM rs JOIN wins ON wins.id = rs.window_id LEFT JOIN ee ON ee.entity_id = known_entity_id) SELECT window_id, endpoint_id, round(CASE WHEN e > 0 AND d > 0 THEN e / d END, 9) AS anchor FROM an")
-add("i14_closed_windows", lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"), _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)")
+add(
+    "i13_known_load_anchor",
+    lambda d: I.known_load_anchor(I.rate_ratio(d.r1m, d.index, d.windows), d.windows, G.entity_energy(d.entities)).select("window_id", "endpoint_id", F.round("anchor", 9).alias("anchor")),
+    _base(IX, FL, fx.WINDOWS) + _RATIO + """, ee AS (SELECT entity_id, floor(sum(w) / 60000 * 1000 + 0.5::DOUBLE) / 1000 AS k FROM fill
+      GROUP BY 1), an AS (SELECT rs.window_id, rs.endpoint_id, d, COALESCE(known_load_w * wh / 1000, k) AS e FROM rs
+      JOIN wins ON wins.id = rs.window_id LEFT
+      JOIN ee ON ee.entity_id = known_entity_id) SELECT window_id, endpoint_id, round(CASE WHEN e > 0 AND d > 0 THEN e / d END, 9) AS anchor FROM an""",
+)
+add(
+    "i14_closed_windows",
+    lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"),
+    _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)",
+)
 add("i15_combined_ranking", lambda d: _combined(d).select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED) + _COMBINED_SQL, _COMBINED_DOUBLES)
 add("i17_utility_only_confidence", lambda d: B.summarize_evidence(_evidence(d)).select("endpoint_id", I.utility_only_confidence(C("cov"), C("r"), C("buckets")).alias("confidence")),
-    _base(IX, fx.BILLS) + _BK + _SUM + f", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets FROM sp), st AS (SELECT *, CASE WHEN cov IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - cov)) END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c FROM su) SELECT endpoint_id, floor(0.7::DOUBLE * CASE WHEN r IS NULL THEN c ELSE 0.5::DOUBLE * c + 0.5::DOUBLE * greatest(0, least(1, r)) END * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM st", "confidence")
+    _base(IX, fx.BILLS) + _BK + _SUM + f""", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets
+      FROM sp), st AS (SELECT *, CASE WHEN cov IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - cov)) END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c
+      FROM su) SELECT endpoint_id, floor(0.7::DOUBLE * CASE WHEN r IS NULL THEN c ELSE 0.5::DOUBLE * c + 0.5::DOUBLE * greatest(0, least(1, r)) END * 1000 + 0.5::DOUBLE) / 1000 AS confidence
+      FROM st""", "confidence")
 add("i19_with_commodity", lambda d: I.with_commodity(d.index).groupBy("commodity").agg(F.count("*").alias("meters")), _base(IX) + "SELECT commodity, count(*)::BIGINT AS meters FROM com GROUP BY 1")
 
 # health
-add("h1_coverage_matrix", lambda d: H.coverage_matrix(d.coverage, d.meters, d.devices), _base(RD, fx.METERS) + "SELECT r.source, r.endpoint_id, label, count(*)::BIGINT AS packets, max(ts) AS last_seen, (sum(count(*)) OVER (PARTITION BY r.source))::BIGINT AS source_total, TRUE AS present FROM readings r LEFT JOIN meters m ON m.endpoint_id = r.endpoint_id GROUP BY 1, 2, 3")
-add("h2_source_timeline", lambda d: H.source_timeline(d.readings, 60), _base(RD) + "SELECT source, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2")
-add("h3_capture_health", lambda d: H.capture_health(d.readings, _cap()).select("source", F.round("age_s", 3).alias("age_s"), "last_minute", "meters", "alive", "any_alive"), _base(RD) + "SELECT source, round(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)), 3) AS age_s, count(*) FILTER (WHERE epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(ts) < 60)::BIGINT AS last_minute, count(DISTINCT endpoint_id)::BIGINT AS meters, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60 AS alive, bool_or(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60) OVER () AS any_alive FROM readings GROUP BY 1")
-add("h4_receiver_inventory", lambda d: H.receiver_inventory(d.devices, d.coverage, d.readings, AS_OF()), _base(RD, fx.DEVICES) + f"SELECT serial, name, count(DISTINCT endpoint_id)::BIGINT AS meters, count(*)::BIGINT AS total, max(ts) AS last_ts, count(*) FILTER (WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL}) / 60.0::DOUBLE AS ppm FROM devices JOIN readings ON serial = source GROUP BY 1, 2", "ppm")
-_DROP = "SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id WHERE (is_mine OR publish) AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900"
+add(
+    "h1_coverage_matrix",
+    lambda d: H.coverage_matrix(d.coverage, d.meters, d.devices),
+    _base(RD, fx.METERS) + """SELECT r.source, r.endpoint_id, label, count(*)::BIGINT AS packets, max(ts) AS last_seen, (sum(count(*)) OVER (PARTITION BY r.source))::BIGINT AS source_total, TRUE AS present
+      FROM readings r LEFT JOIN meters m ON m.endpoint_id = r.endpoint_id GROUP BY 1, 2, 3""",
+)
+add(
+    "h2_source_timeline",
+    lambda d: H.source_timeline(d.readings, 60),
+    _base(RD) + "SELECT source, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*)::BIGINT AS packets FROM readings GROUP BY 1, 2",
+)
+add(
+    "h3_capture_health",
+    lambda d: H.capture_health(d.readings, _cap()).select("source", F.round("age_s", 3).alias("age_s"), "last_minute", "meters", "alive", "any_alive"),
+    _base(RD) + """SELECT source, round(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)), 3) AS age_s,
+        count(*) FILTER (WHERE epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(ts) < 60)::BIGINT AS last_minute,
+        count(DISTINCT endpoint_id)::BIGINT AS meters, epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60 AS alive,
+        bool_or(epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) <= 60) OVER () AS any_alive
+      FROM readings GROUP BY 1""",
+)
+add(
+    "h4_receiver_inventory",
+    lambda d: H.receiver_inventory(d.devices, d.coverage, d.readings, AS_OF()),
+    _base(RD, fx.DEVICES) + f"""SELECT serial, name, count(DISTINCT endpoint_id)::BIGINT AS meters, count(*)::BIGINT AS total, max(ts) AS last_ts,
+        count(*) FILTER (WHERE ts > {AS_OF_SQL} - INTERVAL '1 hour' AND ts <= {AS_OF_SQL}) / 60.0::DOUBLE AS ppm
+      FROM devices JOIN readings ON serial = source GROUP BY 1, 2""",
+    "ppm",
+)
+_DROP = """SELECT 'dropout' AS kind, m.endpoint_id::VARCHAR AS subject, last_seen AS since FROM meters m JOIN mi ON mi.endpoint_id = m.endpoint_id
+      WHERE (is_mine OR publish) AND epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(last_seen) > 900"""
 _STUCK = f"""SELECT 'stuck' AS kind, m.endpoint_id::VARCHAR AS subject, max(bucket) AS since FROM r1m JOIN meters m ON m.endpoint_id = r1m.endpoint_id
     WHERE (is_mine OR publish) AND bucket >= {AS_OF_SQL} - INTERVAL '25 hours' AND bucket <= {AS_OF_SQL} GROUP BY 1, 2
     HAVING COALESCE(max(max_c) FILTER (WHERE bucket >= {AS_OF_SQL} - INTERVAL '1 hour') - min(min_c) FILTER (WHERE bucket >= {AS_OF_SQL} - INTERVAL '1 hour'), 0) = 0
     AND max(max_c) FILTER (WHERE bucket < {AS_OF_SQL} - INTERVAL '1 hour') - min(min_c) FILTER (WHERE bucket < {AS_OF_SQL} - INTERVAL '1 hour') > 0"""
-_DOWN = "SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600"
+_DOWN = """SELECT 'source_down' AS kind, serial AS subject, max(ts) AS since FROM devices LEFT JOIN readings ON serial = source WHERE enabled GROUP BY 1, 2
+      HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 600"""
 add("h5_dropouts", lambda d: H.dropouts(d.index, d.meters, _cap()), _base(IX, fx.METERS) + _DROP)
 add("h6_stuck", lambda d: H.stuck(d.r1m, d.meters, AS_OF()), _base(IX, fx.METERS) + _STUCK)
 add("h7_sources_down", lambda d: H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap()), _base(RD, fx.DEVICES) + _DOWN)
@@ -618,7 +919,8 @@ add(
     "h8_anomalies",
     lambda d: H.anomalies(G.reference_health(d.samples, _cap()), H.dropouts(d.index, d.meters, _cap()), H.stuck(d.r1m, d.meters, AS_OF()), H.sources_down(R.source_heartbeat(d.readings), d.devices, _cap())),
     _base(IX, fx.METERS, fx.DEVICES, fx.SAMPLES)
-    + f"""SELECT 'reference_stale' AS kind, entity_id AS subject, max(ts) AS since, 0 AS place FROM samples GROUP BY 2 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800
+    + f"""SELECT 'reference_stale' AS kind, entity_id AS subject, max(ts) AS since, 0 AS place FROM samples GROUP BY 2
+      HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(max(ts)) > 1800
     UNION ALL SELECT *, 1 FROM ({_DROP}) UNION ALL SELECT *, 2 FROM ({_STUCK}) UNION ALL SELECT *, 3 FROM ({_DOWN})""",
 )
 
@@ -626,16 +928,26 @@ add(
 _watts = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", (C("value") * 30).alias("power_w"))
 #: The rule, walked a sample a step in all homes at once.
 _AUTO = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY ts, p) AS i FROM (SELECT 'home' || user_id % 50 AS home, ts, value * 30 AS p FROM events)),
-m AS (SELECT home, i, ts, p AS base, 0.0::DOUBLE AS dev, NULL::TIMESTAMP AS opened, NULL::DOUBLE AS load, NULL::TIMESTAMP AS closed, NULL::TIMESTAMP AS from_ts, NULL::DOUBLE AS given FROM e WHERE i = 1
+m AS (SELECT home, i, ts, p AS base, 0.0::DOUBLE AS dev, NULL::TIMESTAMP AS opened, NULL::DOUBLE AS load, NULL::TIMESTAMP AS closed, NULL::TIMESTAMP AS from_ts, NULL::DOUBLE AS given
+      FROM e WHERE i = 1
   UNION ALL SELECT home, i, ts, CASE WHEN opened IS NULL THEN nb ELSE base END, CASE WHEN opened IS NULL THEN nd ELSE dev END,
-    CASE WHEN opened IS NULL THEN CASE WHEN opens THEN ts END WHEN NOT ends THEN opened END, CASE WHEN opened IS NULL THEN CASE WHEN opens THEN floor(p - nb + 0.5::DOUBLE) END WHEN NOT ends THEN load END,
-    CASE WHEN opened IS NOT NULL AND ends THEN ts ELSE closed END, CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN opened END, CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN load END
-  FROM (SELECT *, (closed IS NULL OR epoch_us(ts) - epoch_us(closed) >= 300000000) AND p - nb >= greatest(400, 3 * nd) AS opens, p < base + greatest(200, 1.5::DOUBLE * dev) OR age >= 900000000 AS ends
-    FROM (SELECT e.home, e.i, e.ts, e.p, base, dev, opened, load, closed, dev + 0.05::DOUBLE * (abs(e.p - base) - dev) AS nd, base + 0.02::DOUBLE * (e.p - base) AS nb, epoch_us(e.ts) - epoch_us(opened) AS age FROM m JOIN e ON e.home = m.home AND e.i = m.i + 1)))
+    CASE WHEN opened IS NULL THEN CASE WHEN opens THEN ts END WHEN NOT ends THEN opened END,
+        CASE WHEN opened IS NULL THEN CASE WHEN opens THEN floor(p - nb + 0.5::DOUBLE) END WHEN NOT ends THEN load END,
+    CASE WHEN opened IS NOT NULL AND ends THEN ts ELSE closed END, CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN opened END,
+        CASE WHEN opened IS NOT NULL AND ends AND age >= 180000000 THEN load END
+ 
+      FROM (SELECT *, (closed IS NULL OR epoch_us(ts) - epoch_us(closed) >= 300000000) AND p - nb >= greatest(400, 3 * nd) AS opens,
+        p < base + greatest(200, 1.5::DOUBLE * dev) OR age >= 900000000 AS ends
+   
+      FROM (SELECT e.home, e.i, e.ts, e.p, base, dev, opened, load, closed, dev + 0.05::DOUBLE * (abs(e.p - base) - dev) AS nd,
+        base + 0.02::DOUBLE * (e.p - base) AS nb, epoch_us(e.ts) - epoch_us(opened) AS age
+      FROM m JOIN e ON e.home = m.home AND e.i = m.i + 1)))
 SELECT home, from_ts AS start_ts, ts AS end_ts, given AS known_load_w FROM m WHERE from_ts IS NOT NULL"""
 add("t4_auto_windows", lambda d: T.auto_windows(_watts(d.events)), _AUTO)
 add("t7_source_packets", lambda d: T.source_packets(d.readings, "60 minutes", "20 minutes"),
-    _base(RD) + """, s AS (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets FROM s GROUP BY 1, 2""")
+    _base(RD) + """, s AS (SELECT source, ts, unnest([0, 1, 2]) AS k
+      FROM readings) SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets
+      FROM s GROUP BY 1, 2""")
 
 
 # what remains of sources and ranking
@@ -648,7 +960,8 @@ def _append(d: Data) -> DataFrame:
 add("s3_append_readings", _append, _base(RD) + "SELECT ts::DATE AS dt, count(*)::BIGINT AS n, sum(consumption) AS c FROM readings GROUP BY 1", "c:2")
 _hback = lambda d: d.hvac.withColumn("src", F.when(F.minute("ts") < 30, "history_backfill").otherwise("live"))
 add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climate.t", _mid(), AS_OF(), d.hvac.where("action = 'idle'"), "history_backfill"),
-    _base(fx.SAMPLES) + f"""SELECT ts, entity_id, action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
+    _base(fx.SAMPLES) + f"""SELECT ts, entity_id, action, CASE WHEN minute(ts) < 30 THEN 'history_backfill' ELSE 'live' END AS src FROM hvac
+      WHERE NOT (minute(ts) < 30 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {AS_OF_SQL})
     UNION ALL SELECT ts, entity_id, action, 'history_backfill' FROM hvac WHERE action = 'idle'""")
 
 
@@ -659,17 +972,27 @@ def _ranked(d: Data) -> DataFrame:
 
 
 _CONF = _CAL + _RATIO + f""", wr AS (SELECT window_id, endpoint_id, d, wn, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs),
-cc AS (SELECT window_id, cs.endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets::DOUBLE AS n, {_R('(1 / (1000 * sl))', 8)} AS mult, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS fok, a, b, d, wn FROM cs JOIN wr ON wr.endpoint_id = cs.endpoint_id),
+cc AS (SELECT window_id, cs.endpoint_id, {_R('r', 3)} AS r, {_R('r2', 3)} AS r2, buckets::DOUBLE AS n, {_R('(1 / (1000 * sl))', 8)} AS mult, CASE WHEN sl IS NOT NULL THEN p10 / sl / 6 >= 400 END AS fok, a, b, d, wn
+      FROM cs JOIN wr ON wr.endpoint_id = cs.endpoint_id),
 ce AS (SELECT *, ({_R('(d * mult)', 3)}) / 500.0::DOUBLE AS q, least({I.snoop_threshold(24)!r}::DOUBLE / sqrt(n), 0.95::DOUBLE) AS c FROM cc),
 cf2 AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE * c))) AS t,
-  CASE WHEN mult IS NULL OR q <= 0 THEN 0.5::DOUBLE WHEN q < 0.5 THEN greatest(0, least(1, q / 0.5::DOUBLE * 0.4::DOUBLE)) WHEN q <= 1 THEN 0.7::DOUBLE + 0.3::DOUBLE * (q - 0.5::DOUBLE) / 0.5::DOUBLE WHEN q <= 20 THEN 1.0::DOUBLE WHEN q <= 100 THEN 1 - 0.5::DOUBLE * (q - 20) / 80 ELSE 0.3::DOUBLE END AS rec,
+  CASE WHEN mult IS NULL OR q <= 0 THEN 0.5::DOUBLE WHEN q < 0.5 THEN greatest(0, least(1,
+        q / 0.5::DOUBLE * 0.4::DOUBLE)) WHEN q <= 1 THEN 0.7::DOUBLE + 0.3::DOUBLE * (q - 0.5::DOUBLE) / 0.5::DOUBLE WHEN q <= 20 THEN 1.0::DOUBLE WHEN q <= 100 THEN 1 - 0.5::DOUBLE * (q - 20) / 80 ELSE 0.3::DOUBLE END AS rec,
   CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS chg FROM ce),
-cg AS (SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1, r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
-  + 0.10::DOUBLE * CASE WHEN wn > 0 THEN least(1, n / 30, wn / 60.0::DOUBLE) ELSE least(1, n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) * CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END)) END AS confidence FROM cf2)\n"""
+cg AS (SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1,
+        r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
+  + 0.10::DOUBLE * CASE WHEN wn > 0 THEN least(1, n / 30, wn / 60.0::DOUBLE) ELSE least(1,
+        n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) * CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END)) END AS confidence
+      FROM cf2)\n"""
 add("i10_add_confidence", lambda d: _ranked(d).select("window_id", "endpoint_id", "confidence"), _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT * FROM cg", "confidence")
 _verdicts = lambda d: d.index.select("endpoint_id", F.when(C("endpoint_id") % 3 == 0, True).when(C("endpoint_id") % 3 == 1, False).alias("pass"), F.lit(0.8).alias("screen_score"))
-add("i11_physics_fold", lambda d: I.physics_fold(_ranked(d).select("window_id", "endpoint_id", "confidence"), _verdicts(d)).select("window_id", "endpoint_id", "confidence"),
-    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT window_id, endpoint_id, CASE WHEN confidence IS NULL THEN CASE WHEN endpoint_id % 3 = 0 THEN 0.4::DOUBLE END WHEN endpoint_id % 3 = 0 THEN 0.5::DOUBLE * confidence + 0.4::DOUBLE WHEN endpoint_id % 3 = 1 THEN confidence * 0.2::DOUBLE ELSE confidence END AS confidence FROM cg", "confidence")
+add(
+    "i11_physics_fold",
+    lambda d: I.physics_fold(_ranked(d).select("window_id", "endpoint_id", "confidence"), _verdicts(d)).select("window_id", "endpoint_id", "confidence"),
+    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + """SELECT window_id, endpoint_id, CASE WHEN confidence IS NULL THEN CASE WHEN endpoint_id % 3 = 0 THEN 0.4::DOUBLE END WHEN endpoint_id % 3 = 0 THEN 0.5::DOUBLE * confidence + 0.4::DOUBLE WHEN endpoint_id % 3 = 1 THEN confidence * 0.2::DOUBLE ELSE confidence END AS confidence
+      FROM cg""",
+    "confidence",
+)
 #: Aggregates of meters over windows in all combinations of what may be missing.
 _across = lambda d: d.readings.groupBy("endpoint_id", F.hour("ts").alias("k")).agg(
     (F.count("*") % 10 / 10.0).alias("mean_conf"), (C("k") % 3 + 1).cast("long").alias("total"), (C("k") % 3 % 2 + 1).alias("present"), (C("endpoint_id") % 2).alias("wins"), (C("k") % 4).cast("long").alias("n_mult"),
@@ -680,9 +1003,12 @@ add(
     "i16_aggregate_confidence",
     lambda d: I.aggregate_confidence(_across(d)).select("endpoint_id", "k", "confidence"),
     _base(RD)
-    + f""", x AS (SELECT endpoint_id, hour(ts)::INT AS k, count(*) % 10 / 10.0::DOUBLE AS m, hour(ts) % 3 + 1 AS total, hour(ts) % 3 % 2 + 1 AS present, endpoint_id % 2 AS wins, hour(ts) % 4 AS nm, CASE WHEN hour(ts) % 5 > 0 THEN (endpoint_id % 3 + 1) / 100.0::DOUBLE END AS mu,
-      endpoint_id % 5 / 500.0::DOUBLE AS sd, CASE WHEN hour(ts) % 7 < 4 THEN 0.02::DOUBLE END AS an, CASE WHEN hour(ts) % 2 = 0 THEN hour(ts) % 3 * 0.01::DOUBLE END AS bi FROM readings GROUP BY endpoint_id, hour(ts)),
-    y AS (SELECT *, m * CASE WHEN total > 1 THEN 0.6::DOUBLE + 0.25::DOUBLE * present / total::DOUBLE + 0.15::DOUBLE * wins / total::DOUBLE ELSE 1 END * CASE WHEN nm >= 2 AND mu > 0 THEN greatest(0, least(1, 1.1::DOUBLE - sd / mu)) ELSE 1 END * {_FAR("an", "mu", "1.2")} * {_FAR("bi", "COALESCE(mu, an)", "1.15")} AS c FROM x)
+    + f""", x AS (SELECT endpoint_id, hour(ts)::INT AS k, count(*) % 10 / 10.0::DOUBLE AS m, hour(ts) % 3 + 1 AS total, hour(ts) % 3 % 2 + 1 AS present,
+        endpoint_id % 2 AS wins, hour(ts) % 4 AS nm, CASE WHEN hour(ts) % 5 > 0 THEN (endpoint_id % 3 + 1) / 100.0::DOUBLE END AS mu,
+      endpoint_id % 5 / 500.0::DOUBLE AS sd, CASE WHEN hour(ts) % 7 < 4 THEN 0.02::DOUBLE END AS an, CASE WHEN hour(ts) % 2 = 0 THEN hour(ts) % 3 * 0.01::DOUBLE END AS bi
+      FROM readings GROUP BY endpoint_id, hour(ts)),
+    y AS (SELECT *, m * CASE WHEN total > 1 THEN 0.6::DOUBLE + 0.25::DOUBLE * present / total::DOUBLE + 0.15::DOUBLE * wins / total::DOUBLE ELSE 1 END * CASE WHEN nm >= 2 AND mu > 0 THEN greatest(0, least(1, 1.1::DOUBLE - sd / mu)) ELSE 1 END * {_FAR("an", "mu", "1.2")} * {_FAR("bi", "COALESCE(mu, an)", "1.15")} AS c
+      FROM x)
     SELECT endpoint_id, k, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""",
     "confidence",
 )
@@ -727,11 +1053,20 @@ def _coverage_stream(d: Data) -> DataFrame:
     return R.merge_sources(d.spark.read.parquet(coverage).drop("batch"))
 
 
-add("t1_ingest_stream", _ingest_stream, _PLAIN + "SELECT endpoint_id, 'IDM' AS msg_type, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM pr WHERE consumption > 0 GROUP BY 1")
+add("t1_ingest_stream", _ingest_stream, _PLAIN + """SELECT endpoint_id, 'IDM' AS msg_type, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM pr
+      WHERE consumption > 0 GROUP BY 1""")
 add("t1_coverage_stream", _coverage_stream, _PLAIN + "SELECT endpoint_id, source, count(*)::BIGINT AS packets, max(ts) AS last_seen FROM pr GROUP BY 1, 2")
 add("t1_heartbeat_stream", lambda d: R.heartbeat_of_sources(_coverage_stream(d)), _PLAIN + "SELECT source, max(ts) AS last_ts, count(*)::BIGINT AS total_count FROM pr GROUP BY 1")
-add("t2_stream_rollup_1m", lambda d: _latest(T.drain(T.stream_rollup(_plain(_event_stream(d)), 1, "3 hours"), "update"), "endpoint_id", "bucket"), _PLAIN + "SELECT endpoint_id, date_trunc('minute', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM pr GROUP BY 1, 2")
-add("t2_stream_rollup", lambda d: _latest(T.drain(T.stream_rollup(_plain(_event_stream(d)), 60, "48 hours"), "update"), "endpoint_id", "bucket"), _PLAIN + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM pr GROUP BY 1, 2")
+add(
+    "t2_stream_rollup_1m",
+    lambda d: _latest(T.drain(T.stream_rollup(_plain(_event_stream(d)), 1, "3 hours"), "update"), "endpoint_id", "bucket"),
+    _PLAIN + "SELECT endpoint_id, date_trunc('minute', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM pr GROUP BY 1, 2",
+)
+add(
+    "t2_stream_rollup",
+    lambda d: _latest(T.drain(T.stream_rollup(_plain(_event_stream(d)), 60, "48 hours"), "update"), "endpoint_id", "bucket"),
+    _PLAIN + "SELECT endpoint_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, min(consumption) AS min_c, max(consumption) AS max_c, count(*)::BIGINT AS n FROM pr GROUP BY 1, 2",
+)
 _home = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", C("event_type").alias("entity_id"), C("value").alias("w"))
 _climate = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", F.lit("climate").alias("entity_id"), F.when(C("event_type") == "click", "heating").when(C("event_type") == "view", "cooling").otherwise("idle").alias("action"))
 add(
@@ -740,7 +1075,8 @@ add(
     """WITH h AS (SELECT 'home' || user_id % 50 AS home, ts, event_type AS e, value AS w FROM events UNION ALL
       SELECT 'home' || user_id % 50, ts, 'climate', (CASE event_type WHEN 'click' THEN 3000.0 WHEN 'view' THEN 2000.0 ELSE 0.0 END)::DOUBLE FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY ts, e) AS i FROM h), k AS (SELECT DISTINCT e FROM h),
-    g AS (SELECT r.home, r.i, r.ts, last_value(CASE WHEN r.e = k.e THEN w END IGNORE NULLS) OVER (PARTITION BY r.home, k.e ORDER BY r.i ROWS UNBOUNDED PRECEDING) AS v FROM r CROSS JOIN k)
+    g AS (SELECT r.home, r.i, r.ts, last_value(CASE WHEN r.e = k.e THEN w END IGNORE NULLS) OVER (PARTITION BY r.home, k.e
+      ORDER BY r.i ROWS UNBOUNDED PRECEDING) AS v FROM r CROSS JOIN k)
     SELECT home, count(DISTINCT i)::BIGINT AS n, sum(v) AS power_w, max(ts) AS last_ts FROM g GROUP BY 1""",
     "power_w:3",
 )
@@ -749,13 +1085,19 @@ add(
     "t5_publish_stream",
     lambda d: _latest(T.drain(T.publish(_plain(_event_stream(d)), d.meters), "update"), "endpoint_id"),
     _PLAIN
-    + """, m(endpoint_id, pub_name) AS (VALUES (1000, 'home'), (1001, 'neighbour')), o AS (SELECT pr.*, pub_name, row_number() OVER (PARTITION BY pr.endpoint_id ORDER BY ts DESC, consumption DESC) AS i, max(ts) OVER (PARTITION BY pr.endpoint_id) AS top FROM pr JOIN m ON m.endpoint_id = pr.endpoint_id)
+    + """, m(endpoint_id, pub_name) AS (VALUES (1000, 'home'), (1001, 'neighbour')), o AS (SELECT pr.*, pub_name, row_number() OVER (PARTITION BY pr.endpoint_id
+      ORDER BY ts DESC, consumption DESC) AS i, max(ts) OVER (PARTITION BY pr.endpoint_id) AS top FROM pr JOIN m ON m.endpoint_id = pr.endpoint_id)
     SELECT endpoint_id, pub_name, max(ts) AS ts, max(consumption) FILTER (WHERE i = 1) * 0.01::DOUBLE AS energy,
       (max(consumption) FILTER (WHERE i = 1) - max(consumption) FILTER (WHERE i = 2)) / ((epoch(max(ts)) - epoch(max(ts) FILTER (WHERE i = 2))) / 3600.0::DOUBLE) * 0.01::DOUBLE AS power, count(*) FILTER (WHERE ts > top - INTERVAL '1 hour')::BIGINT AS signal
     FROM o GROUP BY 1, 2""",
     "energy power",
 )
-add("t7_source_packets_stream", lambda d: _latest(T.drain(T.source_packets(_plain(_event_stream(d)), "60 minutes", "20 minutes"), "update"), "source", "until"), _base(RD) + "SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets FROM (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) GROUP BY 1, 2")
+add(
+    "t7_source_packets_stream",
+    lambda d: _latest(T.drain(T.source_packets(_plain(_event_stream(d)), "60 minutes", "20 minutes"), "update"), "source", "until"),
+    _base(RD) + """SELECT source, time_bucket(INTERVAL '20 minutes', ts) + INTERVAL '20 minutes' + k * INTERVAL '20 minutes' AS until, count(*)::BIGINT AS packets
+      FROM (SELECT source, ts, unnest([0, 1, 2]) AS k FROM readings) GROUP BY 1, 2""",
+)
 
 
 #: Queries that read rollups, registry, steps or the filled feed several times: those are stored first.
