@@ -249,6 +249,19 @@ def test_benchmark_counts_itself(spark):
     assert got[3] == (5, 30.0, 40.0) and got[6][0] == 5 and got[6][2] == 0.0
 
 
+def test_benchmark_equals_brute_force(spark):
+    moved = {i: float((i * i * 7) % 50) * (10 ** (i % 3)) for i in range(80)}  # ties, zeros, three magnitudes
+    kinds = {i: (4, 2, None, 11)[i % 4] for i in moved}
+    deltas = spark.createDataFrame([(i, at(0), 1, v) for i, v in moved.items()], "endpoint_id long, hb timestamp, n long, delta double")
+    index = spark.createDataFrame(list(kinds.items()), "endpoint_id long, endpoint_type int")
+    for r in U.benchmark(deltas, index).collect():
+        peers = sorted(v for i, v in moved.items() if v > 0 and kinds[i] == kinds[r["endpoint_id"]])
+        half = len(peers) // 2
+        median = peers[half] if len(peers) % 2 else (peers[half - 1] + peers[half]) / 2
+        below = sum(v < moved[r["endpoint_id"]] for v in peers)
+        assert r["peers"] == len(peers) and r["median"] == median and abs(r["pct_below"] - (100.0 * below / len(peers) if moved[r["endpoint_id"]] > 0 else 0.0)) < 1e-9
+
+
 def test_auto_windows_and_their_stream(spark, tmp_path):
     power = [500.0] * 20 + [2000.0] * 8 + [500.0] * 20 + [2000.0] * 2 + [500.0] * 10 + [2000.0] * 30
     rows = [("h", at(k), w) for k, w in enumerate(power)]
@@ -272,6 +285,23 @@ def test_stream_rollup_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, D.rollup(df, 60).collect()))
 
 
+def test_late_readings_count_for_three_hours(spark, tmp_path):
+    """One-minute rollups of three batches: two hours late still counts, six hours late does not any more."""
+    first = [(at(m), "IDM", 1, 4, 100.0 + m, "a") for m in range(601)]
+    second = [(at(605), "IDM", 1, 4, 705.0, "a")]
+    third = [(at(480), "IDM", 1, 4, 999.0, "a"), (at(200), "IDM", 1, 4, 888.0, "a")]
+    for part in (first, second, third):
+        spark.createDataFrame(part, READING).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.createDataFrame(first[:1], READING).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = T.drain(T.stream_rollup(stream, 1, "3 hours"), "update")
+    got = {}
+    for r in rows.orderBy("batch").collect():
+        got[r["bucket"]] = (r["min_c"], r["max_c"], r["n"])
+    counted = spark.createDataFrame(first + second + third[:1], READING)
+    assert got == {r["bucket"]: (r["min_c"], r["max_c"], r["n"]) for r in D.rollup(counted, 1).collect()} and got[at(480)] == (580.0, 999.0, 2)
+
+
 def test_live_power_sums_last_values(spark, tmp_path):
     df = spark.createDataFrame([("h", at(0), "a", 5.0), ("h", at(1), "b", 7.0), ("h", at(2), "a", 1.0)], "home string, ts timestamp, entity_id string, w double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
