@@ -754,6 +754,49 @@ def test_junk_goes_and_prose_stays(spark):
     assert all(got[i] for i in range(200)) and sum(not got[i] for i in range(200, 220)) >= 15
 
 
+def plain_posteriors(votes):
+    """Expectation-maximisation document by document: P(good) of each tuple of votes."""
+    rules, n = len(votes[0]), len(votes)
+    good = [(0.9 if sum(v) > 0 else 0.1) * (0.5 if -1 in v else 1.0) for v in votes]
+    for _ in range(200):
+        law = {}
+        for j in range(rules):
+            for side in (0, 1):
+                mass = {v: 0.1 for v in (-1, 0, 1)}
+                for doc, g in zip(votes, good, strict=True):
+                    mass[doc[j]] += g if side else 1 - g
+                total = sum(mass.values())
+                law[j, side] = {v: m / total for v, m in mass.items()}
+            for v, wrong in ((-1, law[j, 1][-1] > law[j, 0][-1]), (1, law[j, 1][1] < law[j, 0][1])):
+                if wrong:
+                    law[j, 0][v] = law[j, 1][v] = (law[j, 0][v] + law[j, 1][v]) / 2
+            for side in (0, 1):
+                total = sum(law[j, side].values())
+                floored = {v: max(m / total, quality.LEAST) for v, m in law[j, side].items()}
+                law[j, side] = {v: m / sum(floored.values()) for v, m in floored.items()}
+        share = min(0.95, max(0.05, sum(good) / n))
+        new = []
+        for doc in votes:
+            odds = math.log(share / (1 - share)) + sum(math.log(law[j, 1][v] / law[j, 0][v]) for j, v in enumerate(doc))
+            new.append(1 / (1 + math.exp(-odds)))
+        done = max(abs(a - b) for a, b in zip(new, good, strict=True)) < 1e-9
+        good = new
+        if done:
+            break
+    return good
+
+
+def test_posteriors_equal_plain_ones(spark):
+    texts = [prose(rng.randint(5, 200)) for _ in range(120)] + [" ".join(w + rng.choice(["###", "$", "!!"]) for w in prose(60).split()) for _ in range(25)]
+    texts += ["\n".join([prose(3)] * rng.randint(5, 30)) for _ in range(15)] + [prose(30).upper() for _ in range(12)] + [None, ""]
+    rows = quality.quality(frame(spark, texts), ["doc_id"])
+    rules = quality.rules()
+    got = rows.select("doc_id", "p_good", "kept", "base_failed", *[v.alias(k) for k, v in rules.items()]).orderBy("doc_id").collect()
+    want = plain_posteriors([tuple(r[k] for k in rules) for r in got])
+    assert all(abs(r["p_good"] - w) < 1e-6 for r, w in zip(got, want, strict=True)) and all(r["kept"] == (not r["base_failed"] and w >= 0.5) for r, w in zip(got, want, strict=True))
+    assert 10 < sum(not r["kept"] for r in got) < 120
+
+
 def test_quality_odd(spark, odd):
     out = quality.keep_good(clashing(odd))
     assert out.columns == clashing(odd).columns and sorted(r["doc_id"] for r in out.collect()) == [6, 6, 7]
