@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 _OWN_DIRS: dict[str, str] = {}
 
 #: Rows and bytes that a broadcast side may have at most.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20
 #: Rows of one key from which on a shuffled join deals them over several tasks.
 HOT_ROWS = 50_000
 

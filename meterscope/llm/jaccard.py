@@ -37,8 +37,10 @@ SMALL = 48
 BLOCK = 256
 SKETCH = 64
 DEPTH = 3
-#: Bytes of text whose sets a task holds at once, about.
+#: Bytes of text, or of sets, that a task holds at once, about.
 SLICE = 4 << 20
+#: Tokens of the sets of a block, about: sets of long texts are fewer to a block.
+BLOCK_TOKENS = 1 << 20
 #: A pair whose sketches agree in a lesser share of bins is not compared; of fewer than SKETCH_BINS filled
 #: bins no sketch is asked.
 SKETCH_LEAST = 0.4
@@ -258,12 +260,13 @@ def _compare_blocks(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(label), pa.array((linked * copies[None, :]).sum(1))], names=["uid", "label", "links"])
 
     for batch in batches:
-        for r in batch.to_pylist():
-            now = (r["cluster"], r["low"], r["high"])
-            if now != key:
-                yield from flush()
-                held, key = [], now
-            held.append((r["part"], r["uid"], r["copies"], r["tokens"]))
+        for piece in slices(pa.Table.from_batches([batch]), "tokens", SLICE):
+            for r in piece.to_pylist():
+                now = (r["cluster"], r["low"], r["high"])
+                if now != key:
+                    yield from flush()
+                    held, key = [], now
+                held.append((r["part"], r["uid"], r["copies"], r["tokens"]))
     yield from flush()
 
 
@@ -316,12 +319,13 @@ def row_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
 
 def _compared(light: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """(uid, label, links) of every block pair: the sets of a cluster are dealt to bands of size, a band being
-    1 / threshold wide, and bands to blocks of about BLOCK; only sets of the same or the next band can be
+    1 / threshold wide, and bands to blocks of about BLOCK sets and at most about BLOCK_TOKENS tokens; only sets of the same or the next band can be
     similar enough, so only their blocks meet. Tokens are taken anew from the representatives' texts."""
     in_cluster = clusters.join(reps.select(F.col("uid").alias("node"), "fp", "rep", "copies", "size"), "node")
     band = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
-    in_cluster = materialize(in_cluster.select("component", "node", "fp", F.col("rep.key").alias("key"), "copies", band.alias("band")), "in-cluster")
-    per = in_cluster.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    in_cluster = materialize(in_cluster.select("component", "node", "fp", F.col("rep.key").alias("key"), "copies", "size", band.alias("band")), "in-cluster")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_TOKENS)).cast("int")
+    per = in_cluster.groupBy("component", "band").agg(blocks.alias("blocks"))
     place = F.concat_ws(":", "component", "band")
     beside = per.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = per.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
