@@ -30,8 +30,8 @@ END = 0
 GROUP = 4096
 #: Tasks that the groups are dealt to at most.
 TASKS = 20_000
-#: Pieces whose ids a Python worker keeps at most (some 60 MB); then it starts anew.
-CACHE = 300_000
+#: Pieces whose ids a Python worker keeps at most (some 40 MB); then it starts anew.
+CACHE = 200_000
 #: Bytes of text that are tokenised together, about.
 SLICE = 2 << 20
 

@@ -7,6 +7,7 @@ separator), so that memory does not follow the length of a text but for 8 bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,3 +129,12 @@ def slices(rows: pa.Table, text: str, most: int = 4 << 20) -> Iterator[pa.Table]
         held += size
     if start < rows.num_rows:
         yield rows.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free again back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim is not None:
+        trim(0)
