@@ -6,9 +6,9 @@
    that centroid than the vector is (up to COPIES lists).
 3. A query walks a neighbour graph of the centroids, held in memory, best first; of the `ef` centroids it
    ends with, distance-ratio pruning keeps those at most `1 + prune` times as far as the nearest (and as
-   many as needed to hold enough vectors). Both are calibrated: on at most TUNE vectors of the sample,
-   the ratio that lets ASKED of them see RECALL of their true nearest, found by brute force. Where the
-   data have no clusters at all, that is most lists.
+   many as needed to hold enough vectors). Both are calibrated by that very walk: on at most TUNE vectors of
+   the sample, the ratio and `ef` that let ASKED of them see RECALL of their true nearest, found by brute
+   force. Where the data have no clusters at all, that is most lists.
 4. Queries meet lists in tasks of a few lists, about BUNDLE vectors (of a long list a block of about BLOCK)
    and QBLOCK queries a list, which give exact distances and the nearest there; the nearest of all are
    ranked at the end.
@@ -77,26 +77,55 @@ def centroids(points: np.ndarray, size: int) -> np.ndarray:
     return np.array(out)
 
 
-def graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Neighbours of each centroid: its `degree` nearest, and as many again spread over all for reach."""
+def graph(c: np.ndarray, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours of each centroid, entries). Of its nearest and of as many spread over all, a centroid is
+    linked with those that are nearer to it than to any it is linked with already, so links leave its cluster;
+    links hold both ways, of very many that lead to one the shortest. Entries are spread over the centroids, and reach all of them."""
     n = len(c)
-    near = np.zeros((n, min(degree, max(n - 1, 0))), int)
-    for at in range(0, n, 1024):
-        d = ((c[at : at + 1024, None] - c[None]) ** 2).sum(2) if n <= 512 else (c[at : at + 1024] ** 2).sum(1)[:, None] - 2 * c[at : at + 1024] @ c.T + (c * c).sum(1)
-        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        near[at : at + 1024] = np.argsort(d, axis=1, kind="stable")[:, : near.shape[1]]
-    far = np.random.default_rng(7).integers(0, n, (n, min(degree // 2, n)))
-    links = np.sort(np.concatenate([near, far], axis=1), axis=1)
-    again = np.c_[np.zeros((n, 1), bool), links[:, 1:] == links[:, :-1]]
-    return np.where(again, np.arange(n)[:, None], links)  # a neighbour twice: the centroid itself, which is known
-
-
-def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    near = min(4 * degree, n - 1)
+    ends: list[list[int]] = [[] for _ in range(n)]
+    back: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+    norms, draw = (c * c).sum(1), np.random.default_rng(7)
+    for at in range(0, n if near > 0 else 0, 256):
+        own = np.arange(at, min(at + 256, n))
+        d = (norms[own, None] - 2 * c[own] @ c.T + norms).clip(0)
+        d[np.arange(len(own)), own] = np.inf
+        some = np.argpartition(d, near - 1, axis=1)[:, :near]
+        far = draw.integers(0, n, (len(own), degree))
+        some = np.concatenate([some, np.where(far == own[:, None], some[:, :1], far)], axis=1)
+        some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+        to = np.take_along_axis(d, some, 1)
+        points = c[some]
+        apart = (norms[some][:, :, None] - 2 * points @ points.transpose(0, 2, 1) + norms[some][:, None]).clip(0)
+        taken = np.zeros(some.shape, bool)
+        for j in range(some.shape[1]):
+            taken[:, j] = (taken.sum(1) < degree) & (~taken | (apart[:, :, j] > to[:, j, None])).all(1)
+        taken[:, : degree // 2] = True  # and a few nearest, whatever their direction
+        for i, row, use, away in zip(own.tolist(), some, taken, to, strict=True):
+            for j, r in zip(row[use].tolist(), away[use].tolist(), strict=True):
+                ends[i].append(j)
+                back[j].append((r, i))
+    links = [sorted({*e, *(j for _, j in sorted(b)[: 2 * degree])} - {i}) for i, (e, b) in enumerate(zip(ends, back, strict=True))]
+    entries = set(np.linspace(0, n - 1, max(8, int(np.sqrt(n)))).astype(int).tolist())
+    seen, stack = set(entries), list(entries)
+    for start in range(n):  # what no entry reaches becomes one
+        if start not in seen and not stack:
+            entries.add(start)
+            seen.add(start)
+            stack.append(start)
+        while stack:
+            new = [j for j in links[stack.pop()] if j not in seen]
+            seen.update(new)
+            stack += new
+    width = max(1, max(map(len, links)))
+    return np.array([e + [i] * (width - len(e)) for i, e in enumerate(links)]), np.array(sorted(entries))
+
+
+def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, distances) of about the `ef` nearest to each row of q, nearest first, by best-first search
-    of all rows side by side: in a step every row that is not at its end opens its nearest centroid not opened
-    yet. Places that stay empty have an infinite distance."""
+    of all rows side by side, from the entries on: in a step every row that is not at its end opens its nearest
+    centroid not opened yet. Places that stay empty have an infinite distance."""
     n, ef = len(q), min(ef, len(c))
-    entry = np.unique(np.linspace(0, len(c) - 1, 8).astype(int))
     ids = np.repeat(entry[None], n, 0)
     dist = np.sqrt(((c[entry][None] - q[:, None]) ** 2).sum(2))
     opened, seen = np.zeros(ids.shape, bool), np.zeros((n, len(c)), bool)
@@ -107,13 +136,14 @@ def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, ef: int) -> tuple[np.n
         at = left.argmin(1)
         best = left[np.arange(len(rows)), at]
         full = np.isfinite(dist[rows]).sum(1) >= ef
-        going = np.isfinite(best) & ~(full & (best > np.sort(dist[rows], axis=1)[:, min(ef, dist.shape[1]) - 1]))
+        going = np.isfinite(best) & ~(full & (best > np.partition(dist[rows], min(ef, dist.shape[1]) - 1, axis=1)[:, min(ef, dist.shape[1]) - 1]))
         rows, at = rows[going], at[going]
         if not len(rows):
             break
         opened[rows, at] = True
         near = links[ids[rows, at]]
         known = np.take_along_axis(seen[rows], near, 1)
+        known[:, 1:] |= near[:, 1:] == near[:, :-1]  # a centroid stands behind its last neighbour, more than once
         seen[rows[:, None], near] = True
         far = np.where(known, np.inf, np.sqrt(((c[near] - q[rows, None]) ** 2).sum(2)))
         # the ef nearest of what was held and what is new
@@ -150,25 +180,45 @@ def lists_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row.astype(np.int64), order[row, at].astype(np.int32)
 
 
-def calibrate(x: np.ndarray, c: np.ndarray, k: int) -> tuple[float, int]:
-    """(prune, ef) with which RECALL of the k nearest among x of some rows of x lie in the lists kept."""
+def calibrate(x: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray, k: int, need: int) -> tuple[float, int]:
+    """(prune, ef) with which RECALL of the k nearest among x of some rows of x lie in the lists that probes_of,
+    the very search of the queries, gives. The ratio is first taken from the centroids' exact order; then ef,
+    and where ef is all centroids the ratio, goes up until the recall is measured to hold."""
     x = x[:TUNE]
     parts = [lists_of(x[a : a + 1024], c) for a in range(0, len(x), 1024)]
     row = np.concatenate([r + 1024 * i for i, (r, _) in enumerate(parts)])
     lists = np.concatenate([v for _, v in parts])
-    need, within = [], []
-    for i in np.unique(np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int)):
+    sizes = np.bincount(lists, minlength=len(c))
+    asked = np.unique(np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int))
+    if len(x) < 2:
+        return 0.0, len(c)
+    nears, wanted, within = [], [], []
+    for i in asked:
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         near = np.argpartition(d, min(k, len(d)) - 1)[:k]
+        nears.append(near[near != i])
         to = np.sqrt(((c - x[i]) ** 2).sum(1))
         ratio = to / max(to.min(), 1e-12) - 1
         best = np.full(len(x), np.inf)
         np.minimum.at(best, row, ratio[lists])
-        need.append(best[near[near != i]])
+        wanted.append(best[nears[-1]])
         within.append(ratio)
-    prune = float(np.quantile(np.concatenate(need), RECALL)) if len(x) > 1 else 0.0
-    return prune, int(np.quantile([(r <= prune).sum() for r in within], 0.95) * 1.1) + 8
+    prune = float(np.quantile(np.concatenate(wanted), RECALL))
+    ef = min(len(c), int(np.quantile([(r <= prune).sum() for r in within], 0.95) * 1.1) + 8)
+    order = np.argsort(row, kind="stable")
+    starts = np.searchsorted(row[order], np.arange(len(x) + 1))
+    while True:
+        who, which = probes_of(x[asked], c, links, entry, sizes, prune, ef, need)
+        probed = np.zeros((len(asked), len(c)), bool)
+        probed[who, which] = True
+        found = [probed[q, lists[order[starts[v] : starts[v + 1]]]].any() for q, near in enumerate(nears) for v in near]
+        if np.mean(found) >= RECALL or (ef == len(c) and prune > 1e6):
+            return prune, ef
+        if ef < len(c):
+            ef = min(2 * ef, len(c))
+        else:
+            prune = 1.25 * prune + 0.01
 
 
 def _assign(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -181,9 +231,9 @@ def _assign(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
 
 
-def probes_of(x: np.ndarray, c: np.ndarray, links: np.ndarray, sizes: np.ndarray, prune: float, ef: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def probes_of(x: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray, sizes: np.ndarray, prune: float, ef: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists that each row of x asks for."""
-    near, d = walk(x, c, links, ef)
+    near, d = walk(x, c, links, entry, ef)
     rows, lists = [], []
     held = np.cumsum(np.where(np.isfinite(d), sizes[near], 0), axis=1)
     enough = held[:, -1] >= need
@@ -202,11 +252,11 @@ def probes_of(x: np.ndarray, c: np.ndarray, links: np.ndarray, sizes: np.ndarray
 
 
 def _probe(shared, need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    c, links, sizes, prune, ef = shared.value
+    c, links, entry, sizes, prune, ef = shared.value
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = pa.Table.from_batches([batch.slice(at, 256)])
-            row, lists = probes_of(_numbers(part.column("embedding"), c.shape[1]), c, links, sizes, prune, ef, need)
+            row, lists = probes_of(_numbers(part.column("embedding"), c.shape[1]), c, links, entry, sizes, prune, ef, need)
             part = part.take(pa.array(row))
             yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
 
@@ -297,7 +347,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     for r in posted.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect():  # as many as centroids
         sizes[r["list"]] = r["n"]
     spread = asked.where(usual).repartition(max(1, spark.sparkContext.defaultParallelism), "vec_id")
-    probes = spread.mapInArrow(partial(_probe, context.broadcast((c, graph(c), sizes, *calibrate(points, c, k))), (k + 1) * COPIES), f"vec_id long, embedding {kind}, list int")
+    links, entry = graph(c)
+    tuned = calibrate(points, c, links, entry, k, (k + 1) * COPIES)
+    probes = spread.mapInArrow(partial(_probe, context.broadcast((c, links, entry, sizes, *tuned)), (k + 1) * COPIES), f"vec_id long, embedding {kind}, list int")
     probes = materialize(probes.select("vec_id", "list").unionByName(asked.where(~usual).select("vec_id", other)), "probes")
     best = materialize(_ask(posted, probes, asked, k), "nearest")
     short = asked.where(usual).join(best.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").where(F.coalesce("count", F.lit(0)) < k)

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -676,6 +677,26 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (10 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [300, 0])
+def test_recall_on_many_vectors(spark, clusters):
+    """Tight clusters, in which a walk may end at the wrong one, and no clusters at all."""
+    g = np.random.default_rng(17)
+    x = g.normal(size=(30_000, 32)) * (0.2 if clusters else 1.0)
+    if clusters:
+        x += g.normal(size=(clusters, 32))[g.integers(0, clusters, len(x))]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    got = defaultdict(set)
+    for r in vectors.neighbours(df, df.where("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits, x = 0, x.astype(np.float64)
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert hits / 3000 >= 0.9
+
+
 def test_vectors_assigned_as_by_a_plain_loop():
     g = np.random.default_rng(8)
     c, x = g.normal(size=(60, 8)), g.normal(size=(300, 8))
@@ -695,13 +716,13 @@ def test_walk_finds_the_nearest_centroids():
     g = np.random.default_rng(5)
     for n in (1, 3, 9, 400):
         c, q = g.normal(size=(n, 6)), g.normal(size=(70, 6))
-        ids, d = vectors.walk(q, c, vectors.graph(c), min(n, 40))
+        ids, d = vectors.walk(q, c, *vectors.graph(c), min(n, 40))
         true = np.sqrt(((c[None] - q[:, None]) ** 2).sum(2))
         best = np.argsort(true, axis=1)[:, :10]
         found = np.isfinite(d)
         assert all(len(set(i[f].tolist())) == f.sum() for i, f in zip(ids, found, strict=True)) and np.allclose(d[found], np.take_along_axis(true, ids, 1)[found])
         assert np.mean([len(set(b.tolist()) & set(i[f].tolist())) / len(b) for b, i, f in zip(best, ids, found, strict=True)]) >= 0.95
-        row, lists = vectors.probes_of(q, c, vectors.graph(c), np.full(n, 3), 0.1, 8, 20)
+        row, lists = vectors.probes_of(q, c, *vectors.graph(c), np.full(n, 3), 0.1, 8, 20)
         assert all((row == i).sum() * 3 >= min(20, 3 * n) for i in range(70))
 
 
