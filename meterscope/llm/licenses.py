@@ -117,10 +117,9 @@ def _licenses(docs: DataFrame, keep: tuple[str, ...], templates: tuple[tuple[str
     hits = F.filter(F.transform("__all", lambda w, i: F.struct(i.alias("at"), F.array_position("tokens", w).cast("int").alias("token"))), lambda x: x["token"] > 0)
     spots = rows.where(F.size("near") > 0).select("__uid", "__all", F.explode("near").alias("template")).join(fixed, "template")
     spots = spots.select("__uid", "template", "width", "need", F.size("tokens").alias("size"), hits.alias("hits"))
-    # the prefix filter: words far from every prefix token lie in no block that matches
-    anchors = F.transform(F.filter("hits", lambda x: x["token"] <= F.col("size") - F.col("need") + 1), lambda x: x["at"])
-    spots = spots.withColumn("anchors", anchors).where(F.size("anchors") > 0)
-    spots = spots.select("__uid", "template", "width", F.explode(F.filter("hits", lambda x: F.exists("anchors", lambda a: F.abs(a - x["at"]) < F.col("width")))).alias("spot"))
+    # the prefix filter on documents
+    anchored = F.exists("hits", lambda x: x["token"] <= F.col("size") - F.col("need") + 1)
+    spots = spots.where(anchored).select("__uid", "template", "width", F.explode("hits").alias("spot"))
     # hits are dealt to stretches of a block's length, each stretch with the next: a block lies in one such group
     own = F.floor(F.col("spot.at") / F.col("width"))
     spots = spots.withColumn("stretch", F.explode(F.array(own, own - 1))).where("stretch >= 0")
@@ -128,7 +127,7 @@ def _licenses(docs: DataFrame, keep: tuple[str, ...], templates: tuple[tuple[str
     held = F.array_distinct("spots.token")
     groups = groups.where(F.size(held) >= F.col("need"))  # the length filter on stretches
     prefix = F.filter(held, lambda t: t <= F.size("tokens") - F.col("need") + 1)
-    groups = groups.where(F.exists(prefix, lambda t: F.size(F.filter(held, lambda u: u >= t)) >= F.col("need")))  # the positional filter
+    groups = groups.where(F.exists(prefix, lambda t: F.size(F.filter(held, lambda u: u >= t)) >= F.col("need")))  # the prefix and the positional filter
     inside = lambda x: F.size(F.array_distinct(F.transform(F.filter("spots", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("width"))), lambda y: y["token"])))
     shared = groups.withColumn("shared", F.array_max(F.transform("spots", inside))).where("shared >= need")
     found = shared.groupBy("__uid").agg(F.array_sort(F.collect_set("label")).alias("template_labels"), F.max(F.col("shared") / F.size("tokens")).alias("template_score"))

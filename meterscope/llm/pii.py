@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,25 +256,39 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(i) for i in range(4)], F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
 
 
+def mask(text: str, starts: list[int], ends: list[int], kinds: list[int]) -> str:
+    """text with every span replaced by its kind; of overlapping spans, in order of their starts, by the first. The
+    text is cut once, so time follows its length."""
+    out, at = [], 0
+    for start, end, kind in zip(starts, ends, kinds, strict=True):
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind]}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _masked() -> Callable[..., Column]:
+    @F.pandas_udf("string")
+    def of(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
+        rows = zip(text, starts, ends, kinds, strict=True)
+        return pd.Series([None if k is None else mask(t, s.tolist(), e.tolist(), k.tolist()) for t, s, e, k in rows], dtype=object)
+
+    return of
+
+
 def _redact(docs: DataFrame) -> DataFrame:
     named = docs.columns
-    found = personal_data(docs, tuple(named))
-    pieces = F.array_sort("spans")
-    # running text: characters from the end of what is masked so far up to each span, then its name
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["at"],
-        F.struct(F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind_no"] + 1)).alias("out"), s["end"].alias("at")),
-    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-    masked = F.aggregate(pieces, start, step, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    found = personal_data(docs, tuple(named)).withColumn("spans", F.array_sort("spans"))
+    some = F.size("spans") > 0
+    own = [F.when(some, F.col("text")), *[F.when(some, F.col("spans")[c]) for c in ("start", "end", "kind_no")]]
+    out = found.withColumn("__masked", _masked()(*own)).withColumn("text", F.when(some, F.col("__masked")).otherwise(F.col("text")))
     if "n_chars" in named:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*named)
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in `text` replaced by its kind in angle brackets (overlapping spans by the
-    first), and n_chars, where there is such a column, counted anew. All rows and columns stay."""
+    first), and n_chars, where there is such a column, counted anew. Null and empty texts stay; long texts with many
+    spans are cut once; rows that repeat are masked alike; an empty table stays empty. All rows and columns stay."""
     return own_names(docs, ("doc_id", "text", "n_chars"), _redact)
