@@ -101,16 +101,20 @@ def update_annotations(meters: DataFrame, patch: DataFrame, key: str = "endpoint
     return meters.alias("m").join(patch.alias("p"), F.col(f"m.{key}") == F.col(f"p.{key}"), "full").select(F.coalesce(F.col(f"p.{key}"), F.col(f"m.{key}")).alias(key), *given)
 
 
-def stored_period(bills: DataFrame) -> DataFrame:
-    """The period of the newest row of each statistic."""
-    return bills.groupBy("statistic_id").agg(F.max(F.struct("ts", "period"))["period"].alias("period"))
+def stored_period(bills: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+    """The period of the newest row of each statistic; `month` where that names none, and for those of
+    statistics(statistic_id) that have no row."""
+    found = bills.groupBy("statistic_id").agg(F.max(F.struct("ts", "period"))["period"].alias("period"))
+    if statistics is not None:
+        found = statistics.select("statistic_id").distinct().join(found, "statistic_id", "full")
+    return found.withColumn("period", F.coalesce(F.nullif("period", F.lit("")), F.lit("month")))
 
 
 def table_stats(tables: dict[str, DataFrame], readings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of each table; rows, first and last time of each source, `(none)` for null)."""
+    """(rows of each table; rows, first and last time of each source, `(none)` for null, most rows first)."""
     counts = reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in sorted(tables.items())])
     per = readings.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(F.count("*").alias("rows"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
-    return counts, per
+    return counts, per.orderBy(F.desc("rows"), "source")
 
 
 def data_span(index: DataFrame) -> DataFrame:

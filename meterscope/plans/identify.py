@@ -157,9 +157,10 @@ def lag_penalty(lag: Column, params: Params = DEFAULTS) -> Column:
     return clamp01(1 - 0.5 * F.abs(lag) / params.max_lag)
 
 
-def add_confidence(ranking: DataFrame, k: int | Column, cv: Column, packets: Column, lag: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
+def add_confidence(ranking: DataFrame, k: int | Column, cv: Column, packets: Column, lag: Column | None = None, anchor: Column | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Weighted score `confidence` and its `parts` for rows with r, r2, multiplier, meter_kwh,
-    monitored_kwh, floor_ok, window_rate, baseline_rate, buckets; null without r."""
+    monitored_kwh, floor_ok, window_rate, baseline_rate, buckets; null without r. `anchor`, where a row has it, says
+    how well a known load agrees (0 to 1) and outweighs the rest."""
     parts = {
         "corr": clamp01(C("r")), "r2": clamp01(F.coalesce("r2", C("r") * C("r"))), "recon": F.when(C("multiplier").isNull(), 0.5).otherwise(recon_fit(C("meter_kwh"), C("monitored_kwh"))),
         "packets": F.least(F.lit(1.0), C("buckets") / 30.0, F.when(packets > 0, packets / 60.0)), "floor": F.when(C("floor_ok") == F.lit(False), 0.4).otherwise(1.0),
@@ -171,9 +172,14 @@ def add_confidence(ranking: DataFrame, k: int | Column, cv: Column, packets: Col
     for name, value in parts.items():
         rows = rows.withColumn(f"__{name}", value)
     base = sum((weights[p] * C(f"__{p}") for p in parts), F.lit(0.0))
+    agree = clamp01(anchor.cast("double")) if anchor is not None else F.lit(None).cast("double")
+    if anchor is not None:
+        base = F.when(anchor.isNotNull(), 0.45 * base + 0.55 * agree).otherwise(base)
     gate = lag_penalty(lag, params) if lag is not None else F.lit(1.0)
     rows = rows.withColumn("snoop", snoop_factor(C("r"), C("buckets").cast("double"), k))
     named = F.create_map(*[x for p in parts for x in (F.lit(p), C(f"__{p}").cast("double"))], F.lit("snoop"), C("snoop"))
+    if anchor is not None:
+        named = F.when(anchor.isNotNull(), F.map_concat(named, F.create_map(F.lit("anchor"), agree))).otherwise(named)
     return rows.withColumn("confidence", F.when(C("r").isNotNull(), clamp01(base * gate * C("snoop")))).withColumn("parts", named).drop(*[f"__{p}" for p in parts])
 
 
@@ -187,18 +193,37 @@ def _folded(conf: Column) -> Column:
     return F.when(conf.isNull(), F.when(C("pass"), clamp01(0.5 * C("screen_score")))).when(C("pass"), clamp01(0.5 * conf + 0.5 * C("screen_score"))).when(~C("pass"), conf * 0.2).otherwise(conf)
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation of two arrays, 0 where one side is constant or there are fewer than two pairs: means and central
+    moments are carried along the pairs, so a constant side has none exactly."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "ma", "mb", "aa", "bb", "ab")])
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        da, db = x["p"] - s["ma"], x["q"] - s["mb"]
+        ma, mb = s["ma"] + da / n, s["mb"] + db / n
+        new = {"n": n, "ma": ma, "mb": mb, "aa": s["aa"] + da * (x["p"] - ma), "bb": s["bb"] + db * (x["q"] - mb), "ab": s["ab"] + da * (x["q"] - mb)}
+        return F.struct(*[v.alias(k) for k, v in new.items()])
+
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.aggregate(pairs, zero, add, lambda s: F.coalesce(F.try_divide(s["ab"], F.nullif(F.sqrt(s["aa"] * s["bb"]), F.lit(0.0))), F.lit(0.0)))
+
+
 def cross_corr_lag(aligned: DataFrame, ids: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Lag in buckets of the highest correlation of each meter with the feed, in each window, the first of
-    equals; of series with lag_least points at all. One exploded self-join on (meter, place + lag); 11 rows a
-    row, whatever the length."""
+    equals; of series with lag_least points at all. A lag that leaves fewer than two pairs correlates by 0. A series
+    is one ordered array, made in one shuffle (a window has some bucket_target buckets), and every lag is a pair
+    of its slices."""
     keys = _keys(aligned)
     rows = aligned if ids is None else aligned.join(ids, keys, "left_semi")
-    rows = rows.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")), "__n": F.count("*").over(Window.partitionBy(*keys))}).where(C("__n") >= params.lag_least)
-    lags = F.explode(F.array(*[F.lit(k) for k in range(-params.max_lag, params.max_lag + 1)]))
-    left = rows.select(*keys, "y", C("i").alias("at"), lags.alias("lag")).withColumn("i", C("at") - C("lag"))
-    both = left.join(rows.select(*keys, "i", "x"), [*keys, "i"])
-    rs = both.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.coalesce(correlation(), F.lit(0.0)).alias("r"))
-    best = rs.groupBy(*keys).agg(F.max(F.struct(F.round("r", 12).alias("r"), (-C("lag")).alias("minus"), "n")).alias("b"))
+    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "y", "x"))).alias("s")).where(F.size("s") >= params.lag_least)
+    series = series.select(*keys, C("s.y").alias("y"), C("s.x").alias("x"))
+    found = []
+    for lag in range(-params.max_lag, params.max_lag + 1):
+        n = F.greatest(F.size("y") - abs(lag), F.lit(0))
+        r = _pearson(F.slice("y", max(lag, 0) + 1, n), F.slice("x", max(-lag, 0) + 1, n))
+        found.append(F.struct(F.round(r, 12).alias("r"), F.lit(-lag).alias("minus"), n.cast("long").alias("n")))
+    best = series.select(*keys, F.array_max(F.array(*found)).alias("b"))
     return best.select(*keys, (-C("b.minus")).alias("lag"), C("b.r").alias("lag_r"), C("b.n").alias("points"))
 
 
@@ -287,22 +312,25 @@ def utility_only_confidence(cov: Column, r: Column, buckets: Column) -> Column:
 
 def combined_ranking(per_window: DataFrame, bills: DataFrame | None = None) -> DataFrame:
     """Meters over all windows, from rows (window_id, endpoint_id, score, r, confidence, multiplier,
-    anchor) and bill evidence (endpoint_id, multiplier, cov, r, buckets) of electric meters."""
+    anchor) and bill evidence (endpoint_id, multiplier, cov, r, buckets) of electric meters. `total` is the number
+    of windows that were used; a meter that only bills know was in none of them, and won none: its scores and
+    counts are 0."""
     first = F.row_number().over(Window.partitionBy("window_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), C("score").desc(), "endpoint_id"))
-    total = F.broadcast(per_window.agg(F.countDistinct("window_id").alias("total")))
+    total = F.broadcast(per_window.agg(F.countDistinct("window_id").alias("total")))  # one row
     rows = per_window.withColumn("place", first).groupBy("endpoint_id").agg(
-        F.avg("score").alias("avg_score"), F.min("score").alias("min_score"), round_half_away(F.avg("r"), 3).alias("avg_r"), F.count(F.when(C("place") == 1, 1)).alias("wins"), F.countDistinct("window_id").alias("present"),
+        round_half_away(F.avg("score"), 3).alias("avg_score"), round_half_away(F.min("score"), 3).alias("min_score"), round_half_away(F.avg("r"), 3).alias("avg_r"), F.count(F.when(C("place") == 1, 1)).alias("wins"), F.countDistinct("window_id").alias("present"),
         F.avg("confidence").alias("mean_conf"), F.avg("multiplier").alias("multiplier"), F.stddev_samp("multiplier").alias("sd_mult"), F.count("multiplier").alias("n_mult"), F.avg("anchor").alias("anchor"),
-    ).join(total)
+    )
     if bills is not None:
         b = bills.select("endpoint_id", C("multiplier").alias("bill_multiplier"), C("cov").alias("bill_cov"), C("r").alias("bill_r"), C("buckets").alias("bill_buckets"))
         rows = rows.join(b, "endpoint_id", "full")
     else:
         rows = rows.withColumns({"bill_multiplier": F.lit(None).cast("double"), "bill_cov": F.lit(None).cast("double"), "bill_r": F.lit(None).cast("double"), "bill_buckets": F.lit(None).cast("long")})
+    rows = rows.na.fill(0, ["avg_score", "min_score", "wins", "present", "n_mult"]).join(total)
     rows = aggregate_confidence(rows)
     only = F.when(C("bill_multiplier") > 0, utility_only_confidence(C("bill_cov"), C("bill_r"), C("bill_buckets")))
     rows = rows.withColumn("confidence", F.when(C("mean_conf").isNotNull(), C("confidence")).otherwise(only))
-    return rows.orderBy(C("confidence").desc_nulls_last(), C("avg_r").desc_nulls_last(), C("wins").desc_nulls_last(), C("avg_score").desc_nulls_last(), "endpoint_id")
+    return rows.orderBy(C("confidence").desc_nulls_last(), C("avg_r").desc_nulls_last(), C("wins").desc(), C("avg_score").desc(), "endpoint_id")
 
 
 def freeze_snoop_k(windows: DataFrame, window_id: int, survivors: int) -> DataFrame:

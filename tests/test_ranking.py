@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -103,6 +105,35 @@ def test_short_series_have_lags_too(spark):
     assert got == {1: 2}
 
 
+def test_lags_equal_a_plain_scan(spark):
+    """Random, constant, falling and short series; a lag without two pairs correlates by 0 and may win."""
+    g = random.Random(4)
+    rows, want = [], {}
+
+    def plain(a, b):
+        if len(a) < 2:
+            return 0.0
+        ma, mb = sum(a) / len(a), sum(b) / len(b)
+        aa, bb = sum((v - ma) ** 2 for v in a), sum((v - mb) ** 2 for v in b)
+        return sum((p - ma) * (q - mb) for p, q in zip(a, b)) / math.sqrt(aa * bb) if aa * bb else 0.0
+
+    for m in range(40):
+        n = m % 9 + 2
+        x = [float(g.randint(0, 9)) for _ in range(n)]
+        y = [3.0] * n if m % 7 == 0 else [-v for v in x] if m % 5 == 0 else [float(g.randint(0, 9)) for _ in range(n)]
+        rows += [(m, at(k), y[k], x[k]) for k in range(n)]
+        if n >= 4:
+            scan = []
+            for lag in range(-5, 6):
+                k = max(n - abs(lag), 0)
+                scan.append((round(plain(y[max(lag, 0) :][:k], x[max(-lag, 0) :][:k]), 12), -lag))
+            want[m] = (-max(scan)[1], max(scan)[0])
+    df = spark.createDataFrame(rows, "endpoint_id long, bucket timestamp, y double, x double").repartition(3)
+    got = {r["endpoint_id"]: (r["lag"], r["lag_r"]) for r in I.cross_corr_lag(df).collect()}
+    assert {m: lag for m, (lag, _) in got.items()} == {m: lag for m, (lag, _) in want.items()}
+    assert all(abs(got[m][1] - want[m][1]) < 1e-9 for m in want)
+
+
 def test_constant_side_has_no_r(spark):
     df = spark.createDataFrame([(1, at(k), 1.0, float(k)) for k in range(9)], "endpoint_id long, bucket timestamp, y double, x double")
     assert I.regress_meters(df).first()["r"] is None
@@ -119,7 +150,30 @@ def test_combined_ranking_prefers_agreement(spark):
     bills = spark.createDataFrame([(1, 0.001, 0.02, None, 3), (4, 0.05, 0.0, None, 3)], "endpoint_id long, multiplier double, cov double, r double, buckets long")
     got = I.combined_ranking(df, bills).collect()
     assert got[0]["endpoint_id"] == 1 and got[0]["wins"] == 2 and got[0]["present"] == 2
-    assert {r["endpoint_id"]: r["confidence"] for r in got}[4] == 0.7
+    only = {r["endpoint_id"]: r for r in got}[4]  # bills alone know it
+    assert only["confidence"] == 0.7 and (only["total"], only["wins"], only["present"], only["avg_score"], only["min_score"]) == (2, 0, 0, 0.0, 0.0)
+    thirds = spark.createDataFrame([(w, 1, s, 0.5, 0.5, 0.1, None) for w, s in ((1, 1.0), (2, 1.0), (3, 2.0))], df.schema)
+    assert I.combined_ranking(thirds).first()["avg_score"] == 1.333
+
+
+def test_anchor_outweighs_the_rest(spark):
+    row = spark.createDataFrame([(1, 0.9, 0.8, 0.001, 5.0, 5.0, None, 2.0, 1.0, 40, a) for a in (None, 1.0, 0.0)], "endpoint_id long, r double, r2 double, multiplier double, meter_kwh double, monitored_kwh double, floor_ok boolean, window_rate double, baseline_rate double, buckets long, agree double")
+    plain = I.add_confidence(row, 1, F.lit(1.0), F.lit(90.0)).first()
+    none, full, against = I.add_confidence(row, 1, F.lit(1.0), F.lit(90.0), anchor=F.col("agree")).collect()
+    assert none["confidence"] == plain["confidence"] and "anchor" not in none["parts"]
+    assert abs(full["confidence"] - (0.45 * plain["confidence"] + 0.55)) < 1e-9 and full["parts"]["anchor"] == 1.0
+    assert abs(against["confidence"] - 0.45 * plain["confidence"]) < 1e-9
+
+
+def test_period_of_a_statistic_without_rows(spark):
+    bills = spark.createDataFrame([("a", "day", at(1)), ("a", "hour", at(2)), ("b", "", at(1))], "statistic_id string, period string, ts timestamp")
+    asked = spark.createDataFrame([("a",), ("c",), ("c",)], "statistic_id string")
+    assert {tuple(r) for r in R.stored_period(bills, asked).collect()} == {("a", "hour"), ("b", "month"), ("c", "month")}
+
+
+def test_sources_by_rows(spark):
+    rows = spark.createDataFrame([(at(k), s) for k, s in enumerate(["x", "y", "y", None, None, None, "w"])], "ts timestamp, source string")
+    assert [r["source"] for r in R.table_stats({"t": rows}, rows)[1].collect()] == ["(none)", "y", "w", "x"]
 
 
 def test_daily_screen(spark):
