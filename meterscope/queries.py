@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
@@ -115,8 +115,9 @@ add("r8_update_annotations", lambda d: R.update_annotations(d.meters, _patch(d))
       UNION ALL SELECT 1002::BIGINT, 'mine', NULL) p ON m.endpoint_id = p.endpoint_id""")
 add(
     "r9_stored_period",
-    lambda d: R.stored_period(d.bills.unionByName(d.monthly)),
-    _base(fx.BILLS) + "SELECT statistic_id, arg_max(period, ts) AS period FROM (SELECT * FROM bills UNION ALL SELECT * FROM mbills) GROUP BY 1",
+    lambda d: R.stored_period(d.bills.unionByName(d.monthly), d.devices.select(F.concat(F.lit("bill."), "serial").alias("statistic_id"))),
+    _base(fx.BILLS, fx.DEVICES) + """SELECT statistic_id, arg_max(period, ts) AS period FROM (SELECT * FROM bills UNION ALL SELECT * FROM mbills) GROUP BY 1
+      UNION ALL SELECT 'bill.' || serial, 'month' FROM devices""",
 )
 add("r10_rollup_1m", lambda d: d.r1m, _base(IX) + "SELECT * FROM r1m")
 add("r11_rollup_1h", lambda d: d.r1h, _base(IX) + "SELECT * FROM r1h")
@@ -746,14 +747,21 @@ add("i7_change_point", lambda d: I.rate_ratio(d.r1m, d.index, d.windows).select(
         0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS change
       FROM ch""", "change")
 add("i8_aligned_series", _aligned, _base(IX, FL, fx.SIX) + _ALN + "SELECT * FROM al", "x")
-add("i9_cross_corr_lag", lambda d: I.cross_corr_lag(_aligned(d)).withColumn("lag_r", F.round("lag_r", 6)),
-    _base(IX, FL, fx.SIX) + _ALN + """, pl AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY bucket) AS i FROM al), lg AS (SELECT unnest(range(-5, 6)) AS lag),
-    bo AS (SELECT a.endpoint_id, lag, a.y, b.x FROM pl a CROSS JOIN lg JOIN pl b ON b.endpoint_id = a.endpoint_id AND b.i = a.i - lag),
-    rl AS (SELECT endpoint_id, lag, count(*)::BIGINT AS n, round(COALESCE(CASE WHEN regr_sxx(y, x) * regr_syy(y, x) > 0 THEN regr_sxy(y,
-        x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) END, 0), 12) AS r
-      FROM bo GROUP BY 1, 2 HAVING count(*) >= 4),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY r DESC, lag) AS k
-      FROM rl) SELECT endpoint_id, lag::INT AS lag, round(r, 6) AS lag_r, n AS points FROM rk WHERE k = 1""")
+#: Every lag of a series of four points at least; one that leaves fewer than two pairs correlates by 0, as a constant side does.
+_LAGS = """pl AS (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY bucket) AS i, count(*) OVER (PARTITION BY endpoint_id) AS m FROM {rows}),
+lg AS (SELECT unnest(range(-5, 6)) AS lag),
+sl AS (SELECT endpoint_id, lag, any_value(m) AS m FROM pl CROSS JOIN lg WHERE m >= 4 GROUP BY 1, 2),
+bo AS (SELECT a.endpoint_id, lag, a.y, b.x FROM pl a CROSS JOIN lg JOIN pl b ON b.endpoint_id = a.endpoint_id AND b.i = a.i - lag),
+rl AS (SELECT endpoint_id, lag, round(CASE WHEN regr_sxx(y, x) * regr_syy(y, x) > 0 THEN regr_sxy(y, x) / sqrt(regr_sxx(y, x) * regr_syy(y, x)) END, 12) AS r
+      FROM bo GROUP BY 1, 2),
+rk AS (SELECT sl.endpoint_id, sl.lag, COALESCE(r, 0) AS r, greatest(m - abs(sl.lag), 0) AS n, row_number() OVER (PARTITION BY sl.endpoint_id ORDER BY COALESCE(r, 0) DESC, sl.lag) AS k
+      FROM sl LEFT JOIN rl ON rl.endpoint_id = sl.endpoint_id AND rl.lag = sl.lag)
+SELECT endpoint_id, lag::INT AS lag, round(r, 6) AS lag_r, n::BIGINT AS points FROM rk WHERE k = 1"""
+_lags = lambda rows: I.cross_corr_lag(rows).withColumn("lag_r", F.round("lag_r", 6))
+add("i9_cross_corr_lag", lambda d: _lags(_aligned(d)), _base(IX, FL, fx.SIX) + _ALN + "," + _LAGS.format(rows="al"))
+#: Five buckets a meter: most lags leave few pairs.
+_FIVE = "2024-01-06 06:00:00"
+add("i9_short_series", lambda d: _lags(_aligned(d).where(C("bucket") < F.lit(_FIVE).cast("timestamp"))), _base(IX, FL, fx.SIX) + _ALN + "," + _LAGS.format(rows=f"(SELECT * FROM al WHERE bucket < TIMESTAMP '{_FIVE}')"))
 
 
 def _identify(d: Data, source: str | None = None) -> DataFrame:
@@ -762,9 +770,9 @@ def _identify(d: Data, source: str | None = None) -> DataFrame:
     return I.identify_windows(d.r1m, d.r1h, d.index, closed, d.samples, d.hvac, heating_kw=3.0, cooling_kw=2.0, verdicts=verdicts, keep=d.keep)
 
 
-def _combined(d: Data, source: str | None = None) -> DataFrame:
+def _combined(d: Data, source: str | None = None, windows: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     bills = B.summarize_evidence(_evidence(d)).join(I.with_commodity(d.index, electric_only=True).select("endpoint_id"), "endpoint_id")
-    return I.combined_ranking(_identify(d, source), d.keep(bills, "bills"))
+    return I.combined_ranking(windows(_identify(d, source)), d.keep(bills, "bills"))
 
 
 _C01 = lambda e: f"greatest(0, least(1, {e}))"
@@ -821,11 +829,13 @@ wi AS (SELECT wfi.*, {folded("conf")} AS confidence, CASE WHEN COALESCE(known_lo
 
 _WI = lambda *more, source="source IS NOT NULL": _base(IX, FL, fx.BILLS, fx.METERS, fx.WINDOWS, _SCREEN, _RATIO.strip().lstrip(",").strip() + ",", _identify_sql(source), *more)
 #: I15 of `wi`, with bill evidence of electric meters.
-_COMBINED = f"""
+def _combined_sql(rows: str = "wi") -> str:
+    return f"""
 bl AS (SELECT sp.endpoint_id, CASE WHEN m > 0 THEN {_R("m", 8)} END AS bm, CASE WHEN m > 0 THEN {_R("(sd / m)", 3)} END AS bc, CASE WHEN buckets >= 24 THEN {_R("r", 3)} END AS br, buckets AS bn FROM sp JOIN com ON com.endpoint_id = sp.endpoint_id WHERE commodity = 'electric'),
-pl AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY COALESCE(confidence, 0) DESC, score DESC, endpoint_id) AS place FROM wi),
-ac AS (SELECT endpoint_id, avg(score) AS avg_score, min(score) AS min_score, {_R("avg(r)", 3)} AS avg_r, count(*) FILTER (WHERE place = 1)::BIGINT AS wins, count(DISTINCT window_id)::BIGINT AS present, avg(confidence) AS mean_conf, avg(multiplier) AS multiplier, stddev_samp(multiplier) AS sd_mult, count(multiplier)::BIGINT AS n_mult, avg(anchor) AS anchor FROM pl GROUP BY 1),
-fu AS (SELECT COALESCE(ac.endpoint_id, bl.endpoint_id) AS endpoint_id, ac.* EXCLUDE (endpoint_id), CASE WHEN ac.endpoint_id IS NOT NULL THEN (SELECT count(DISTINCT window_id) FROM wi) END AS total, bm, bc, br, bn, COALESCE(multiplier, anchor) AS sug FROM ac FULL JOIN bl ON bl.endpoint_id = ac.endpoint_id),
+pl AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY COALESCE(confidence, 0) DESC, score DESC, endpoint_id) AS place FROM {rows}),
+ac AS (SELECT endpoint_id, {_R("avg(score)", 3)} AS avg_score, {_R("min(score)", 3)} AS min_score, {_R("avg(r)", 3)} AS avg_r, count(*) FILTER (WHERE place = 1)::BIGINT AS wins, count(DISTINCT window_id)::BIGINT AS present, avg(confidence) AS mean_conf, avg(multiplier) AS multiplier, stddev_samp(multiplier) AS sd_mult, count(multiplier)::BIGINT AS n_mult, avg(anchor) AS anchor FROM pl GROUP BY 1),
+fu AS (SELECT COALESCE(ac.endpoint_id, bl.endpoint_id) AS endpoint_id, COALESCE(avg_score, 0) AS avg_score, COALESCE(min_score, 0) AS min_score, avg_r, COALESCE(wins, 0) AS wins, COALESCE(present, 0) AS present, mean_conf, multiplier, sd_mult, COALESCE(n_mult, 0) AS n_mult, anchor,
+  (SELECT count(DISTINCT window_id) FROM {rows}) AS total, bm, bc, br, bn, COALESCE(multiplier, anchor) AS sug FROM ac FULL JOIN bl ON bl.endpoint_id = ac.endpoint_id),
 co AS (SELECT *, CASE WHEN mean_conf IS NOT NULL THEN {_R(_C01("""mean_conf * CASE WHEN total > 1 THEN 0.6::DOUBLE + 0.25::DOUBLE * present / total + 0.15::DOUBLE * wins / total ELSE 1 END
     * CASE WHEN n_mult >= 2 AND multiplier > 0 THEN greatest(0, least(1, 1.1::DOUBLE - sd_mult / multiplier)) ELSE 1 END
     * CASE WHEN anchor > 0 AND multiplier > 0 THEN greatest(0, least(1, 1.2::DOUBLE - 0.3::DOUBLE * (greatest(anchor / multiplier, multiplier / anchor) - 1))) ELSE 1 END
@@ -867,7 +877,14 @@ add(
     lambda d: I.closed_windows(d.windows.join(F.broadcast(d.readings.agg(F.max("ts").alias("seen"))), C("end_ts") <= C("seen"))).select("id", "label", "start_ts"),
     _base(RD, fx.WINDOWS) + "SELECT id, label, start_ts FROM wins WHERE end_ts <= (SELECT max(ts) FROM readings)",
 )
-add("i15_combined_ranking", lambda d: _combined(d).select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED) + _COMBINED_SQL, _COMBINED_DOUBLES)
+add("i15_combined_ranking", lambda d: _combined(d).select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _combined_sql()) + _COMBINED_SQL, _COMBINED_DOUBLES)
+#: A third of the electric meters is in no window, only bills know it.
+add(
+    "i15_bills_only_meters",
+    lambda d: _combined(d, windows=lambda rows: rows.where("endpoint_id % 6 <> 2")).select(*_COMBINED_COLUMNS),
+    _WI(_EVIDENCE, _combined_sql("(SELECT * FROM wi WHERE endpoint_id % 6 <> 2)")) + _COMBINED_SQL,
+    _COMBINED_DOUBLES,
+)
 add("i17_utility_only_confidence", lambda d: B.summarize_evidence(_evidence(d)).select("endpoint_id", I.utility_only_confidence(C("cov"), C("r"), C("buckets")).alias("confidence")),
     _base(IX, fx.BILLS) + _BK + _SUM + f""", su AS (SELECT endpoint_id, floor(sd / m * 1000 + 0.5::DOUBLE) / 1000 AS cov, CASE WHEN buckets >= 24 THEN {_R('r', 3)} END AS r, buckets
       FROM sp), st AS (SELECT *, CASE WHEN cov IS NULL THEN 0.5::DOUBLE ELSE greatest(0, least(1, 1 - cov)) END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, buckets / 3.0::DOUBLE)) AS c
@@ -965,10 +982,10 @@ add("s15_replace_hvac_backfill", lambda d: S.replace_backfill(_hback(d), "climat
     UNION ALL SELECT ts, entity_id, action, 'history_backfill' FROM hvac WHERE action = 'idle'""")
 
 
-def _ranked(d: Data) -> DataFrame:
+def _ranked(d: Data, anchor: Column | None = None) -> DataFrame:
     rows = I.rate_ratio(d.r1m, d.index, d.windows).join(I.calibrate(I.regress_meters(_aligned(d)), 360, F.lit(500.0)), "endpoint_id")
     rows = rows.withColumns({"meter_kwh": round_half_away(C("window_delta") * C("multiplier"), 3), "monitored_kwh": F.lit(500.0)})
-    return I.add_confidence(rows, 24, F.lit(0.2), C("window_packets").cast("double"))
+    return I.add_confidence(rows, 24, F.lit(0.2), C("window_packets").cast("double"), anchor=anchor)
 
 
 _CONF = _CAL + _RATIO + f""", wr AS (SELECT window_id, endpoint_id, d, wn, floor(a * 10000 + 0.5::DOUBLE) / 10000 AS a, floor(b * 10000 + 0.5::DOUBLE) / 10000 AS b FROM rs),
@@ -979,12 +996,23 @@ cf2 AS (SELECT *, greatest(0, least(1, (abs(r) - 0.7::DOUBLE * c) / (0.6::DOUBLE
   CASE WHEN mult IS NULL OR q <= 0 THEN 0.5::DOUBLE WHEN q < 0.5 THEN greatest(0, least(1,
         q / 0.5::DOUBLE * 0.4::DOUBLE)) WHEN q <= 1 THEN 0.7::DOUBLE + 0.3::DOUBLE * (q - 0.5::DOUBLE) / 0.5::DOUBLE WHEN q <= 20 THEN 1.0::DOUBLE WHEN q <= 100 THEN 1 - 0.5::DOUBLE * (q - 20) / 80 ELSE 0.3::DOUBLE END AS rec,
   CASE WHEN a <= 0 THEN 0.0::DOUBLE WHEN b <= 0 THEN 1.0::DOUBLE ELSE greatest(0, least(1, 0.5::DOUBLE + 0.25::DOUBLE * (a / b - 1))) END AS chg FROM ce),
-cg AS (SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, (0.36::DOUBLE * greatest(0, least(1,
+cb AS (SELECT window_id, endpoint_id, r, (0.36::DOUBLE * greatest(0, least(1,
         r)) + 0.10::DOUBLE * greatest(0, least(1, COALESCE(r2, r * r))) + 0.24::DOUBLE * rec
   + 0.10::DOUBLE * CASE WHEN wn > 0 THEN least(1, n / 30, wn / 60.0::DOUBLE) ELSE least(1,
-        n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) * CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END)) END AS confidence
-      FROM cf2)\n"""
+        n / 30) END + 0.10::DOUBLE * CASE WHEN fok THEN 1.0::DOUBLE WHEN NOT fok THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END + 0.10::DOUBLE * chg) AS base, CASE WHEN n < 4 THEN 1 ELSE t * t * (3 - 2 * t) END AS gate
+      FROM cf2),
+cg AS (SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, base * gate)) END AS confidence FROM cb)\n"""
 add("i10_add_confidence", lambda d: _ranked(d).select("window_id", "endpoint_id", "confidence"), _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + "SELECT * FROM cg", "confidence")
+#: How well a known load agrees, for two meters of three.
+_agree = lambda: F.when(C("endpoint_id") % 3 > 0, C("endpoint_id") % 5 / 3.0)
+add(
+    "i10_anchor_agreement",
+    lambda d: _ranked(d, _agree()).select("window_id", "endpoint_id", "confidence", C("parts")["anchor"].alias("anchor")),
+    _base(IX, FL, fx.SIX, fx.WINDOWS) + _CONF + """, ca AS (SELECT *, CASE WHEN endpoint_id % 3 > 0 THEN least(1, endpoint_id % 5 / 3.0::DOUBLE) END AS anchor FROM cb)
+    SELECT window_id, endpoint_id, CASE WHEN r IS NOT NULL THEN greatest(0, least(1, CASE WHEN anchor IS NULL THEN base ELSE 0.45::DOUBLE * base + 0.55::DOUBLE * anchor END * gate)) END AS confidence, anchor
+      FROM ca""",
+    "confidence anchor",
+)
 _verdicts = lambda d: d.index.select("endpoint_id", F.when(C("endpoint_id") % 3 == 0, True).when(C("endpoint_id") % 3 == 1, False).alias("pass"), F.lit(0.8).alias("screen_score"))
 add(
     "i11_physics_fold",
@@ -1012,7 +1040,7 @@ add(
     SELECT endpoint_id, k, floor(greatest(0, least(1, c)) * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM y""",
     "confidence",
 )
-add("i18_identify_auto", lambda d: _combined(d, "auto").select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _COMBINED, source="source = 'auto'") + _COMBINED_SQL, _COMBINED_DOUBLES)
+add("i18_identify_auto", lambda d: _combined(d, "auto").select(*_COMBINED_COLUMNS), _WI(_EVIDENCE, _combined_sql(), source="source = 'auto'") + _COMBINED_SQL, _COMBINED_DOUBLES)
 
 
 def _frozen(d: Data) -> DataFrame:
