@@ -1,7 +1,7 @@
 """Source divergence audit: how far the sources of a language differ in their terms.
 
 Kept terms, those in at least SUPPORT documents of a language, are found by iceberg prefix refinement. Terms, closed by a
-byte 0, are cut to prefixes of 1, 2, 4, 8 ... bytes. A level counts the distinct documents of every prefix and
+byte 0, are cut to prefixes of FIRST, 2 FIRST, 4 FIRST ... bytes. A level counts the distinct documents of every prefix and
 discards those below SUPPORT; the next one extends what is left, until only whole terms are. As a term
 has no more documents than its prefixes, nothing is lost, and rare terms are never counted by themselves.
 
@@ -25,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fits, materialize, table
 from .textops import release, slices
 
 SUPPORT = 10
 TOP = 10
 #: Sources on either side of a tile, and terms of one, about.
 TILE, BUCKET = 32, 8192
+#: Bytes of the prefixes of the first level.
+FIRST = 4
 #: Terms that a task holds before it passes on what it has counted.
-HELD = 600_000
+HELD = 1_200_000
+#: Kept terms and their bytes up to which they are broadcast.
+KEPT_ROWS, KEPT_BYTES = 1_000_000, 48 << 20
 STRETCH = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term: letters, only A-Z lower-cased.
@@ -59,13 +63,13 @@ def levels(terms: list[bytes]) -> np.ndarray:
         return out
     head = np.array(terms, "S32").view(np.uint8).reshape(len(terms), 32)
     same = head[1:] == head[:-1]
-    for k in range(6):
-        out[1:] += same[:, : 1 << k].all(1)
-    for i in (np.flatnonzero(out == 6)).tolist():  # alike in 32 bytes and more
+    for k in range(4):
+        out[1:] += same[:, : FIRST << k].all(1)
+    for i in (np.flatnonzero(out == 4)).tolist():  # alike in 32 bytes and more
         a, b = terms[i - 1], terms[i]
         n = min(len(a), len(b))
         differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-        out[i] = (int(differ[0]) if len(differ) else n).bit_length()
+        out[i] = ((int(differ[0]) if len(differ) else n) // FIRST).bit_length()
     return out
 
 
@@ -122,16 +126,18 @@ def kept_terms(documents: DataFrame, support: int = SUPPORT) -> DataFrame:
     closed = documents.select("lang", "level", "n", F.concat("term", F.lit(b"\x00")).alias("closed"))
     kept, alive, k = None, closed, 0
     while True:
-        prefix = F.substring("closed", 1, 1 << k).alias("prefix")
+        size = FIRST << k
+        prefix = F.substring("closed", 1, size).alias("prefix")
         counts = alive.where(F.col("level") <= k).groupBy("lang", prefix).agg(F.sum("n").alias("docs")).where(F.col("docs") >= support)
-        counts = materialize(counts.withColumn("whole", F.substring("prefix", -1, 1) == F.lit(b"\x00")), f"prefixes-{1 << k}")
+        counts = materialize(counts.withColumn("whole", F.substring("prefix", -1, 1) == F.lit(b"\x00")), f"prefixes-{size}")
         own = counts.where("whole").select("lang", F.substring("prefix", 1, F.octet_length("prefix") - 1).alias("term"), "docs")
         kept = own if kept is None else kept.unionByName(own)
         left = counts.where("not whole").select("lang", "prefix")
         if left.isEmpty():
             return materialize(kept, "kept-terms")
         # a prefix of twice the length is only of those that are left now, so earlier levels need not be asked again
-        alive = closed.withColumn("prefix", prefix).join(left, ["lang", "prefix"], "left_semi").drop("prefix")
+        longer = closed.where(F.octet_length("closed") > size).withColumn("prefix", prefix)
+        alive = longer.join(F.broadcast(left) if fits(left, KEPT_ROWS, KEPT_BYTES) else left, ["lang", "prefix"], "left_semi").drop("prefix")
         k += 1
 
 
@@ -208,7 +214,11 @@ def divergence(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataF
     counted = materialize(rows.mapInArrow(partial(_counted, HELD), "lang string, source string, level int, terms array<binary>, counts array<long>"), "counted")
     flat = counted.select("lang", "source", "level", F.inline(F.arrays_zip("terms", "counts"))).toDF("lang", "source", "level", "term", "n")
     kept = kept_terms(flat.where("level is not null").select("lang", "level", "term", "n"), support)
-    cells = flat.where("level is null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"])
+    names, used = kept.select("lang", "term"), flat.where("level is null")
+    few = fits(names, KEPT_ROWS, KEPT_BYTES)  # then rare terms are not shuffled; else occurrences are added up first, so that no term is hot
+    used = used.join(F.broadcast(names), ["lang", "term"], "left_semi") if few else used
+    cells = used.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    cells = cells if few else cells.join(names, ["lang", "term"])
     cells = materialize(cells.select("lang", "source", "term", "n"), "cells")
     # sizes of groups and languages
     groups = counted.where("level is null").select("lang", "source").distinct().join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
