@@ -210,9 +210,9 @@ def named(rows):
     return sorted(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in rows)
 
 
-@pytest.mark.parametrize(("held", "tile", "bucket"), [(divergence.HELD, 32, 8192), (20, 2, 3)])
-def test_divergence_equals_a_plain_version(spark, monkeypatch, held, tile, bucket):
-    for name, value in (("HELD", held), ("TILE", tile), ("BUCKET", bucket)):
+@pytest.mark.parametrize(("held", "tile", "bucket", "most"), [(divergence.HELD, 32, 8192, divergence.KEPT_ROWS), (20, 2, 3, 0)])
+def test_divergence_equals_a_plain_version(spark, monkeypatch, held, tile, bucket, most):
+    for name, value in (("HELD", held), ("TILE", tile), ("BUCKET", bucket), ("KEPT_ROWS", most)):
         monkeypatch.setattr(divergence, name, value)
     rows = documents(150) + [(1, None, "en", "a"), (2, "", "xx", "a"), (3, "...", "yy", "a"), (3, "...", "yy", "b"), (4, "ab " * 40, "yy", "b")]
     df = spark.createDataFrame(rows, DOCS).repartition(5)
@@ -226,6 +226,6 @@ def test_divergence_of_no_documents(spark):
 def test_levels_count_each_document_once_a_prefix():
     terms = sorted({bytes(rng.choices(b"ab", k=rng.randint(1, 70))) for _ in range(400)} | {b"a" * n for n in range(1, 80)})
     level = divergence.levels(terms)
-    for k in range(7):
-        prefixes = {(t + b"\0")[: 1 << k] for t in terms}
+    for k in range(6):
+        prefixes = {(t + b"\0")[: divergence.FIRST << k] for t in terms}
         assert sum(level <= k) == len(prefixes)
