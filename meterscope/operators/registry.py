@@ -1,5 +1,5 @@
-"""Registries and table maintenance (R1-R9, R14, R15). All take and give DataFrames; a caller overwrites
-the partitions that changed."""
+"""Registries and table maintenance (R1-R9, R14, R15). All take and give DataFrames; maintenance.py changes stored
+tables by them, a partition at a time."""
 
 from __future__ import annotations
 
@@ -39,15 +39,18 @@ def rollup_of_parts(parts: DataFrame) -> DataFrame:
 
 def merge_parts(parts: DataFrame) -> DataFrame:
     """R1 of index_by_bucket."""
-    rows = parts.drop("bucket", "n")
-    return merge_index(rows, rows.limit(0))
+    return merge_indexes(parts.drop("bucket", "n"))
 
 
 def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two meter indexes as one; every field of R1 merges, so a stream adds batches up with this."""
-    both = old.unionByName(new)
+    """Two meter indexes as one."""
+    return merge_indexes(old.unionByName(new))
+
+
+def merge_indexes(parts: DataFrame) -> DataFrame:
+    """R1 of the rows of several indexes; every field merges, so a stream adds batches up with this."""
     latest = lambda c, t: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v"))))["v"].alias(c)
-    return both.groupBy("endpoint_id").agg(
+    return parts.groupBy("endpoint_id").agg(
         latest("msg_type", "last_seen"), latest("endpoint_type", "last_seen"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("packets").alias("packets"),
         F.min("min_consumption").alias("min_consumption"), F.max("max_consumption").alias("max_consumption"),
         latest("last_consumption", "last_consumption_ts"), F.max("last_consumption_ts").alias("last_consumption_ts"),

@@ -1057,6 +1057,8 @@ def _event_stream(d: Data) -> DataFrame:
     return d.spark.readStream.schema(schema).parquet(f"{d.dir}/events.parq*").withColumn("ts", C("ts").cast("timestamp"))
 
 
+#: The events file is one batch, at whose end the watermark is to pass its last row.
+_LATE = "0 seconds"
 _plain = lambda rows: rows.select("ts", F.lit("IDM").alias("msg_type"), (1000 + C("user_id") % 24).alias("endpoint_id"), F.lit(4).alias("endpoint_type"), C("event_id").cast("double").alias("consumption"), C("event_type").alias("source"))
 _PLAIN = "WITH pr AS (SELECT ts, 1000 + user_id % 24 AS endpoint_id, event_id::DOUBLE AS consumption, event_type AS source FROM events)\n"
 
@@ -1065,8 +1067,9 @@ def _ingest_stream(d: Data) -> DataFrame:
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("Time"), F.lit("IDM").alias("Type"), F.struct((1000 + C("user_id") % 24).alias("ERTSerialNumber"), C("event_id").alias("LastConsumptionCount")).alias("Message")))
     rows = S.ingest_packets(_event_stream(d).select(line.alias("value"), "event_type"), C("event_type"), F.lit(None).cast("timestamp"))
     readings, index = T.shared_folder(d.spark, "readings"), T.shared_folder(d.spark, "index")
-    T.drain(rows, sink=T.ingest_batch(readings, index))
-    return T.merge_batches(d.spark.read.parquet(index)).select("endpoint_id", "msg_type", "packets", "min_consumption", "max_consumption")
+    registry = T.index_table(index)
+    T.drain(rows, sink=T.ingest_batch(readings, registry))
+    return registry.read(d.spark, R.meter_index(d.readings).schema).select("endpoint_id", "msg_type", "packets", "min_consumption", "max_consumption")
 
 
 def _latest(rows: DataFrame, *keys: str) -> DataFrame:
@@ -1077,8 +1080,9 @@ def _latest(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _coverage_stream(d: Data) -> DataFrame:
     readings, index, coverage = (T.shared_folder(d.spark, n) for n in ("readings", "index", "coverage"))
-    T.drain(_plain(_event_stream(d)), sink=T.ingest_batch(readings, index, coverage))
-    return R.merge_sources(d.spark.read.parquet(coverage).drop("batch"))
+    sources = T.coverage_table(coverage)
+    T.drain(_plain(_event_stream(d)), sink=T.ingest_batch(readings, T.index_table(index), sources))
+    return sources.read(d.spark, R.meter_source(d.readings).schema)
 
 
 add("t1_ingest_stream", _ingest_stream, _PLAIN + """SELECT endpoint_id, 'IDM' AS msg_type, count(*)::BIGINT AS packets, min(consumption) AS min_consumption, max(consumption) AS max_consumption FROM pr
@@ -1099,7 +1103,7 @@ _home = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cas
 _climate = lambda rows: rows.select(F.concat(F.lit("home"), (C("user_id") % 50).cast("string")).alias("home"), "ts", F.lit("climate").alias("entity_id"), F.when(C("event_type") == "click", "heating").when(C("event_type") == "view", "cooling").otherwise("idle").alias("action"))
 add(
     "t3_live_power",
-    lambda d: T.drain(T.live_power(T.with_hvac(_home(_event_stream(d)), _climate(_event_stream(d)), 3.0, 2.0))).groupBy("home").agg(F.count("*").alias("n"), F.sum("power_w").alias("power_w"), F.max("ts").alias("last_ts")),
+    lambda d: T.drain(T.live_power(T.with_hvac(_home(_event_stream(d)), _climate(_event_stream(d)), 3.0, 2.0), _LATE)).groupBy("home").agg(F.count("*").alias("n"), F.sum("power_w").alias("power_w"), F.max("ts").alias("last_ts")),
     """WITH h AS (SELECT 'home' || user_id % 50 AS home, ts, event_type AS e, value AS w FROM events UNION ALL
       SELECT 'home' || user_id % 50, ts, 'climate', (CASE event_type WHEN 'click' THEN 3000.0 WHEN 'view' THEN 2000.0 ELSE 0.0 END)::DOUBLE FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY ts, e) AS i FROM h), k AS (SELECT DISTINCT e FROM h),
@@ -1108,7 +1112,7 @@ add(
     SELECT home, count(DISTINCT i)::BIGINT AS n, sum(v) AS power_w, max(ts) AS last_ts FROM g GROUP BY 1""",
     "power_w:3",
 )
-add("t4_stream_auto_windows", lambda d: T.drain(T.stream_auto_windows(_watts(_event_stream(d)))).drop("batch"), _AUTO)
+add("t4_stream_auto_windows", lambda d: T.drain(T.stream_auto_windows(_watts(_event_stream(d)), _LATE)).drop("batch"), _AUTO)
 add(
     "t5_publish_stream",
     lambda d: _latest(T.drain(T.publish(_plain(_event_stream(d)), d.meters), "update"), "endpoint_id"),

@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.joins import broadcast_checked
-from ..operators.registry import merge_index, meter_index, meter_source
+from ..operators.registry import merge_indexes, merge_sources, meter_index, meter_source
 from ..params import DEFAULTS, Params
 from ..sources.ingest import append_readings
+from ..sources.tables import MergedTable
 
 #: What transformWithState needs of the session.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -53,25 +54,33 @@ def drain(stream: DataFrame, mode: str = "append", sink: Callable[[DataFrame, in
     return None if sink else spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
 
 
-def ingest_batch(readings_path: str, index_path: str, coverage_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function of S1's stream: writes a batch's readings by day, its registry rows (R1) and
-    its coverage rows (R2), to folders of the batch; a batch that is run again replaces them. merge_batches and
-    merge_sources add them up; heartbeats (R3) follow from the coverage."""
+def index_table(path: str) -> MergedTable:
+    """R1 of a stream, kept by batches."""
+    return MergedTable(path, merge_indexes)
+
+
+def coverage_table(path: str) -> MergedTable:
+    """R2 of a stream; heartbeats (R3) follow from it."""
+    return MergedTable(path, merge_sources)
+
+
+def ingest_batch(readings_path: str, index: MergedTable, coverage: MergedTable | None = None, late: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function of S1's stream: writes a batch's readings by day and adds its registry rows
+    and coverage rows (R2) to tables that merge as they grow. A batch that is run again replaces its readings
+    and changes nothing else. The tables belong to one checkpoint, whose batch numbers they go by. late(batch, number)
+    may log which materialised buckets the batch reaches (maintenance.log_late)."""
 
     def run(batch: DataFrame, number: int) -> None:
         append_readings(batch, f"{readings_path}/batch={number}", "overwrite")
-        meter_index(batch).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
-        if coverage_path:
-            meter_source(batch).write.mode("overwrite").parquet(f"{coverage_path}/batch={number}")
+        index.add(meter_index(batch), number)
+        if coverage is not None:
+            coverage.add(meter_source(batch), number)
+        if late is not None:
+            late(batch, number)
 
     return run
 
 
-def merge_batches(parts: DataFrame) -> DataFrame:
-    """Registry of all batches."""
-    return merge_index(parts.drop("batch"), parts.drop("batch").limit(0))
-
-
 def stream_rollup(readings: DataFrame, minutes: int, late: str) -> DataFrame:
     """Rollups of a stream; readings up to `late` behind still count ('3 hours' for 1 min, '48 hours' for 1 h)."""
     rows = readings.where("endpoint_id is not null and consumption is not null").withWatermark("ts", late)
@@ -138,29 +147,89 @@ def with_hvac(power: DataFrame, hvac: DataFrame, heating_kw: float, cooling_kw:
     return power.select("home", "ts", "entity_id", "w").unionByName(hvac.select("home", "ts", "entity_id", w.alias("w")))
 
 
-class LivePower(StatefulProcessor):
-    """Keyed by home; the sum of the last value of each entity after every sample(home, ts, entity_id, w)."""
+class Ordered(StatefulProcessor):
+    """Rows of a key in order of event time, whatever order batches bring them in. Rows are held as list state
+    until the watermark has passed them; a timer of event time, set to the earliest row held, then hands all that
+    are due, sorted, to `ordered`. What is held is what came within the watermark's delay; a row that is later than
+    what its key has been given already is dropped, as the engine drops rows behind the watermark."""
+
+    held_columns: tuple[str, ...] = ()
+    held_schema = ""
+    order: tuple[str, ...] = ("ts",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "entity_id string", "w double")
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.done = handle.getValueState("done", "ms long")
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        """State of one's own."""
+
+    def ordered(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def _wake(self, at_ms: int) -> None:
+        """One timer a key, at the earliest row held."""
+        set_for = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        if set_for and min(set_for) <= at_ms:
+            return
+        for t in set_for:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        whole = _chunks(rows, ["ts", "entity_id"])
-        known = {k[0]: v[0] for k, v in self.last.iterator()}
-        # a sample changes the total by what it differs from the entity's last one
-        before = whole.groupby("entity_id")["w"].shift()
-        before = before.where(before.notna(), whole["entity_id"].map(known)).fillna(0.0)
-        total = sum(known.values()) + (whole["w"] - before).cumsum()
-        for entity, w in whole.groupby("entity_id")["w"].last().items():
-            self.last.updateValue((entity,), (float(w),))
-        yield pd.DataFrame({"home": key[0], "ts": whole["ts"].to_numpy(), "power_w": total.to_numpy(dtype="float64")})
+        done = self.done.get()[0] if self.done.exists() else None
+        for chunk in rows:
+            ms = chunk["ts"].astype("datetime64[us]").astype("int64") // 1000
+            if done is not None:
+                chunk, ms = chunk[ms > done], ms[ms > done]
+            if len(chunk):
+                self.held.appendList([tuple(r) for r in chunk[list(self.held_columns)].astype(object).itertuples(index=False)])
+                self._wake(int(ms.min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.held.get()), columns=list(self.held_columns))
+        ms = rows["ts"].astype("datetime64[us]").astype("int64") // 1000
+        due, rest = rows[ms <= upto], rows[ms > upto]
+        self.done.update((int(upto),))
+        if len(rest):
+            self.held.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+            self.handle.registerTimer(int(ms[ms > upto].min()))  # the one that has expired goes by itself
+        else:
+            self.held.clear()
+        if len(due):
+            yield self.ordered(key, due.sort_values(list(self.order), kind="stable"))
 
     def close(self) -> None:
         pass
 
 
-def live_power(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("home").transformWithStateInPandas(LivePower(), "home string, ts timestamp, power_w double", "Append", "None")
+class LivePower(Ordered):
+    """Keyed by home; the sum of the last value of each entity after every sample(home, ts, entity_id, w)."""
+
+    held_columns, held_schema, order = ("ts", "entity_id", "w"), "ts timestamp, entity_id string, w double", ("ts", "entity_id")
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "entity_id string", "w double")
+
+    def ordered(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        known = {k[0]: v[0] for k, v in self.last.iterator()}
+        # a sample changes the total by what it differs from the entity's last one
+        before = rows.groupby("entity_id")["w"].shift()
+        before = before.where(before.notna(), rows["entity_id"].map(known)).astype("float64").fillna(0.0)
+        total = sum(known.values()) + (rows["w"].astype("float64") - before).cumsum()
+        for entity, w in rows.groupby("entity_id")["w"].last().items():
+            self.last.updateValue((entity,), (float(w),))
+        return pd.DataFrame({"home": key[0], "ts": rows["ts"].astype("datetime64[us]").to_numpy(), "power_w": total.to_numpy(dtype="float64")})
+
+
+def live_power(samples: DataFrame, late: str = "1 minute") -> DataFrame:
+    """T3 of a stream: totals come once the watermark, `late` behind the newest sample, has passed them."""
+    rows = samples.withWatermark("ts", late).groupBy("home")
+    return rows.transformWithStateInPandas(LivePower(), "home string, ts timestamp, power_w double", "Append", "EventTime")
 
 
 class AutoWindow:
@@ -221,56 +290,96 @@ def auto_windows(totals: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return rows.repartition("home").sortWithinPartitions("home", "ts", "power_w").mapInPandas(run, _WINDOWS)
 
 
-class AutoWindows(StatefulProcessor):
-    """T4 on a stream; batches have to come in order of time, within a batch rows are sorted."""
+class AutoWindows(Ordered):
+    """T4 on a stream: the rule takes a home's totals in order of their time, the watermark behind the newest."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    held_columns, held_schema, order = ("ts", "power_w"), "ts timestamp, power_w double", ("ts", "power_w")
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         fields = [T.StructField(n, T.DoubleType()) for n in ("base", "dev", "opened", "load", "closed")]
         self.value = handle.getValueState("machine", T.StructType(fields))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def ordered(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         machine = AutoWindow(tuple(self.value.get()) if self.value.exists() else None)
-        out = _windows_of(_chunks(rows, ["ts", "power_w"]), machine, key[0])
+        out = _windows_of(rows, machine, key[0])
         self.value.update(tuple(None if x is None else float(x) for x in machine.state()))
-        yield out
+        return out
 
-    def close(self) -> None:
-        pass
 
-
-def stream_auto_windows(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("home").transformWithStateInPandas(AutoWindows(), _WINDOWS, "Append", "None")
+def stream_auto_windows(totals: DataFrame, late: str = "1 minute") -> DataFrame:
+    """T4 of a stream of totals(home, ts, power_w) that may come up to `late` out of order."""
+    return totals.withWatermark("ts", late).groupBy("home").transformWithStateInPandas(AutoWindows(), _WINDOWS, "Append", "EventTime")
 
 
 class KeepAlive(StatefulProcessor):
-    """Keyed by meter; passes readings(endpoint_id, ts, energy) on and, after `silence_s` without one,
-    gives the last value again each `silence_s`, by timers of processing time."""
+    """Keyed by home. Passes the feed's samples on, and while the feed is up gives every entity's last value again
+    that has been silent for `silence_s`, looking each `tick_s` by a timer of processing time; so a hole in the
+    feed means that the feed is dead. Rows are samples (`w` of a sensor or `action` of a thermostat) or signs of the
+    feed itself (`status`: up, beat or down). Once the feed is down, by its sign or as nothing has come of it for
+    `dead_s`, all values are forgotten and no timer runs until it is up again; only what comes after that is
+    repeated. An empty action ends the thermostat's repetition."""
 
-    silence_s = 300
+    def __init__(self, silence_s: float, tick_s: float, dead_s: float) -> None:
+        self.silence, self.tick, self.dead = (int(1000 * s) for s in (silence_s, tick_s, dead_s))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("last", "energy double")
+        self.last = handle.getMapState("last", "entity_id string", "ms long, w double, action string")
+        self.heard = handle.getValueState("heard", "ms long")
+
+    def _timers(self) -> list[int]:
+        return [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
 
-    def _again(self, timerValues) -> None:  # noqa: ANN001, N803
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.silence_s)
+    def _down(self) -> None:
+        self.last.clear()
+        self.heard.clear()
+        for t in self._timers():
+            self.handle.deleteTimer(t)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         whole = _chunks(rows, ["ts"])
-        self.value.update((float(whole["energy"].iloc[-1]),))
-        self._again(timerValues)
-        yield pd.DataFrame({"endpoint_id": key[0], "ts": whole["ts"], "energy": whole["energy"], "repeated": False})
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.heard.exists() and now - self.heard.get()[0] > self.dead:
+            self._down()  # it was down in between
+        down = whole["status"].eq("down").to_numpy()
+        after = whole
+        if down.any():
+            self._down()
+            after = whole.iloc[int(down.nonzero()[0].max()) + 1 :]
+        if len(after):
+            self.heard.update((now,))
+            if not self._timers():
+                self.handle.registerTimer(now + self.tick)
+        samples = after[after["entity_id"].notna()].groupby("entity_id").tail(1)
+        for ts, entity, w, action in samples[["ts", "entity_id", "w", "action"]].itertuples(index=False):
+            if pd.isna(w) and not (isinstance(action, str) and action):
+                if self.last.containsKey((entity,)):
+                    self.last.removeKey((entity,))
+            else:
+                self.last.updateValue((entity,), (pd.Timestamp(ts).value // 1_000_000, None if pd.isna(w) else float(w), action if isinstance(action, str) else None))
+        out = whole[whole["entity_id"].notna() & (whole["w"].notna() | whole["action"].fillna("").ne(""))]
+        yield out[["home", "ts", "entity_id", "w", "action"]].assign(repeated=False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(now + 1000 * self.silence_s)
-        yield pd.DataFrame({"endpoint_id": [key[0]], "ts": [pd.Timestamp(now, unit="ms")], "energy": [self.value.get()[0]], "repeated": [True]})
+        if not self.heard.exists() or now - self.heard.get()[0] > self.dead:
+            self._down()
+            return
+        self.handle.registerTimer(now + self.tick)
+        again = [(k[0], v[1], v[2]) for k, v in self.last.iterator() if now - v[0] >= self.silence]
+        for entity, w, action in again:
+            self.last.updateValue((entity,), (now, w, action))
+        if again:
+            rows = pd.DataFrame(again, columns=["entity_id", "w", "action"]).astype({"w": "float64"})
+            yield rows.assign(home=key[0], ts=pd.Timestamp(now, unit="ms"), repeated=True)[["home", "ts", "entity_id", "w", "action", "repeated"]]
 
     def close(self) -> None:
         pass
 
 
-def keep_alive(feed: DataFrame) -> DataFrame:
-    return feed.groupBy("endpoint_id").transformWithStateInPandas(KeepAlive(), "endpoint_id long, ts timestamp, energy double, repeated boolean", "Append", "ProcessingTime")
+def keep_alive(feed: DataFrame, silence_s: float = 300, tick_s: float = 300, dead_s: float = 600) -> DataFrame:
+    """T6 of feed(home, ts, entity_id, w, action, status): (home, ts, entity_id, w, action, repeated). It runs by
+    processing time, so with a trigger of some seconds; its batches go on while no rows come."""
+    rows = feed.select("home", "ts", "entity_id", "w", "action", "status").where("home is not null")
+    schema = "home string, ts timestamp, entity_id string, w double, action string, repeated boolean"
+    return rows.groupBy("home").transformWithStateInPandas(KeepAlive(silence_s, tick_s, dead_s), schema, "Append", "ProcessingTime")

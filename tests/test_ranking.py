@@ -325,7 +325,7 @@ def test_auto_windows_and_their_stream(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[k * 30 : (k + 1) * 30], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = T.stream_auto_windows(stream).writeStream.format("memory").queryName("auto").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = T.stream_auto_windows(stream, "0 seconds").writeStream.format("memory").queryName("auto").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["start_ts"], r["end_ts"], r["known_load_w"]) for r in spark.table("auto").collect()) == batch
 
@@ -360,7 +360,7 @@ def test_live_power_sums_last_values(spark, tmp_path):
     df = spark.createDataFrame([("h", at(0), "a", 5.0), ("h", at(1), "b", 7.0), ("h", at(2), "a", 1.0)], "home string, ts timestamp, entity_id string, w double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = T.live_power(stream).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = T.live_power(stream, "0 seconds").writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["power_w"] for r in spark.table("live").orderBy("ts").collect()] == [5.0, 12.0, 8.0]
 
@@ -371,7 +371,7 @@ def test_hvac_is_part_of_live_power(spark, tmp_path):
         df.where(f"minute(ts) {'<' if k == 0 else '>='} 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     both = T.with_hvac(stream.where("w is not null"), stream.where("action is not null"), 1.5, 2.5)
-    rows = T.drain(T.live_power(both)).orderBy("home", "ts").collect()
+    rows = T.drain(T.live_power(both, "0 seconds")).orderBy("home", "ts").collect()
     assert [r["power_w"] for r in rows] == [5.0, 1505.0, 1501.0, 1.0, 2500.0]
 
 
@@ -395,63 +395,3 @@ def test_sliding_packets_of_a_stream_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = T.drain(T.source_packets(stream), "update").drop("batch")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.source_packets(df).collect()))
-
-
-def test_ingest_batches_are_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([(at(m), "IDM", 1, 4, 100.0 + m, "a") for m in range(10)], READING)
-    run = T.ingest_batch(str(tmp_path / "readings"), str(tmp_path / "index"), str(tmp_path / "coverage"))
-    run(df, 0)
-    run(df, 0)
-    coverage = R.merge_sources(spark.read.parquet(str(tmp_path / "coverage")).drop("batch"))
-    assert coverage.first()["packets"] == 10 and R.heartbeat_of_sources(coverage).first()["total_count"] == 10
-    parts = spark.read.parquet(str(tmp_path / "index"))
-    assert T.merge_batches(parts).first()["packets"] == 10
-
-
-class Clock:
-    def __init__(self):
-        self.now = 0
-
-    def getCurrentProcessingTimeInMs(self):  # noqa: N802
-        return self.now
-
-
-class Handle:
-    """Stands for the state of one key: a value and timers."""
-
-    def __init__(self):
-        self.timers, self.value = [], None
-
-    def getValueState(self, name, schema):  # noqa: N802
-        handle = self
-
-        class State:
-            def update(self, v):
-                handle.value = v
-
-            def get(self):
-                return handle.value
-
-        return State()
-
-    def listTimers(self):  # noqa: N802
-        return iter(self.timers)
-
-    def deleteTimer(self, t):  # noqa: N802
-        self.timers.remove(t)
-
-    def registerTimer(self, t):  # noqa: N802
-        self.timers.append(t)
-
-
-def test_keep_alive_repeats_the_last_value():
-    handle, clock, job = Handle(), Clock(), T.KeepAlive()
-    job.init(handle)
-    rows = pd.DataFrame({"endpoint_id": [1, 1], "ts": [pd.Timestamp(at(1)), pd.Timestamp(at(0))], "energy": [5.0, 4.0]})
-    assert list(job.handleInputRows((1,), iter([rows]), clock))[0]["energy"].tolist() == [4.0, 5.0]
-    clock.now = 100_000
-    list(job.handleInputRows((1,), iter([rows.head(1)]), clock))
-    assert handle.timers == [400_000]  # a new reading moves the timer
-    clock.now = 400_000
-    again = list(job.handleExpiredTimer((1,), clock, None))[0]
-    assert again["energy"].tolist() == [5.0] and again["repeated"].tolist() == [True] and handle.timers[-1] == 700_000
