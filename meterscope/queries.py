@@ -13,6 +13,7 @@ from . import fixtures as fx
 from .functions.columns import round_half_away
 from .operators import deltas as D
 from .operators import health as H
+from .operators import maintenance as M
 from .operators import reference as G
 from .operators import registry as R
 from .operators import screen as P
@@ -1051,6 +1052,64 @@ def _frozen(d: Data) -> DataFrame:
 add("i20_freeze_snoop_k", _frozen, _base(IX, fx.WINDOWS) + "SELECT id, CASE WHEN id = 2 THEN (SELECT count(*) FROM mi WHERE endpoint_type IN (4, 7)) END::INT AS snoop_k FROM wins")
 
 
+# stored tables, changed a partition at a time; what is left is read back
+_PLAIN_READING = ("ts", "msg_type", "endpoint_id", "endpoint_type", "consumption", "source")
+
+
+def _stored(d: Data, change: Callable[[str], None], rows: DataFrame | None = None) -> DataFrame:
+    path = T.shared_folder(d.spark, "readings")
+    S.append_readings((d.readings if rows is None else rows).select(*_PLAIN_READING), path)
+    change(path)
+    return M.read(d.spark, path, M.READINGS).select(*_PLAIN_READING)
+
+
+_LEFT = "SELECT ts, msg_type, endpoint_id, endpoint_type, consumption, source FROM readings"
+add("r5_retention_in_place", lambda d: _stored(d, lambda path: M.retain_newer(d.spark, path, datetime(2024, 1, 30, 20), 10)), _base(RD) + f"{_LEFT} WHERE ts >= {AS_OF_SQL} - INTERVAL '10 days'")
+add("r6_drop_source_in_place", lambda d: _stored(d, lambda path: M.drop_source_in_place(d.spark, path, "click")), _base(RD) + f"{_LEFT} WHERE source <> 'click'")
+add("r7_purge_meters_in_place", lambda d: _stored(d, lambda path: M.purge_meters_in_place(d.spark, path, d.meters.where("ignored"))), _base(RD) + f"{_LEFT} WHERE endpoint_id <> 1005")
+
+
+def _late_buckets(d: Data) -> DataFrame:
+    """Every third reading comes after its bucket is rolled up; the log tells which buckets are made anew."""
+    path, table, log = (T.shared_folder(d.spark, n) for n in ("rollup", "table", "late"))
+    until, late = datetime(2024, 1, 25), C("event_id") % 3 == 0
+    first, rest = (d.readings.where(x).select(*_PLAIN_READING) for x in (~late, late))
+    S.append_readings(first, table)
+    M.materialise_rollup(first, 60, path, until)
+    S.append_readings(rest, table)
+    M.log_late(rest, 0, 60, log, until)
+    M.refresh_late(d.spark, 60, path, M.read(d.spark, table, M.READINGS), log)
+    return M.read(d.spark, path, M.ROLLUP).drop("dt")
+
+
+add("r12_late_buckets", _late_buckets, _base(IX) + "SELECT * FROM r1h WHERE bucket < TIMESTAMP '2024-01-25'")
+
+
+def _upsert_in_place(d: Data) -> DataFrame:
+    path = T.shared_folder(d.spark, "bills")
+    d.bills.unionByName(d.monthly).withColumn("ym", F.date_format("ts", "yyyy-MM")).hint("rebalance", "ym").write.partitionBy("ym").parquet(path)
+    M.upsert_utility_in_place(d.spark, path, d.bills.where(F.dayofmonth("ts") <= 10).withColumn("kwh", F.lit(1.5)))
+    return M.read(d.spark, path, M.BILLS).drop("ym")
+
+
+add("s12_upsert_in_place", _upsert_in_place, _QUERIES["s12_upsert_utility"][1] + " UNION ALL SELECT statistic_id, period, ts, kwh FROM mbills")
+
+
+def _samples_in_place(d: Data, rows: DataFrame, new: DataFrame, entity: str, kind: str, schema: object) -> DataFrame:
+    path = T.shared_folder(d.spark, "samples")
+    M.by_day(rows).hint("rebalance", "dt").write.partitionBy("dt").parquet(path)
+    M.replace_backfill_in_place(d.spark, path, entity, datetime(2024, 1, 15), datetime(2024, 1, 30, 20), new, kind, schema)
+    return M.read(d.spark, path, schema).drop("dt")
+
+
+add(
+    "s14_replace_backfill_in_place",
+    lambda d: _samples_in_place(d, _back(d), d.samples.where("entity_id = 'sensor.view'").withColumn("entity_id", F.lit("sensor.click")), "sensor.click", "lts_backfill", M.SAMPLES),
+    _QUERIES["s14_replace_backfill"][1],
+)
+add("s15_replace_hvac_backfill_in_place", lambda d: _samples_in_place(d, _hback(d), d.hvac.where("action = 'idle'"), "climate.t", "history_backfill", M.HVAC), _QUERIES["s15_replace_hvac_backfill"][1])
+
+
 # streams: the events file as a stream, run until its end
 def _event_stream(d: Data) -> DataFrame:
     schema = fx.table(d.spark, d.dir, "events").schema
