@@ -106,3 +106,23 @@ def test_range_join_both_ways(spark):
     spans = spark.createDataFrame([(k, BASE + timedelta(hours=7 * k), BASE + timedelta(hours=7 * k + 40)) for k in range(20)], "span int, start timestamp, end timestamp")
     few, many = (sorted(map(tuple, range_join(points, spans, "at", most=n).select("at", "span").collect())) for n in (100, 1))
     assert few == many and few
+
+
+def test_spans_of_all_lengths(spark):
+    """Seconds to decades, empty and inverted ones: a span is in two bins at most, and the join is that of brute force."""
+    import random
+
+    from meterscope.functions import joins
+
+    g = random.Random(6)
+    spans = []
+    for k in range(150):
+        start = BASE + timedelta(seconds=g.uniform(-4e7, 4e7))
+        spans.append((k, start, start + timedelta(seconds=g.choice([0, -5, 1, 59, 60, 61, 3600, 86_400, 3e6, 4e7, 9e8]) * g.choice([1, 1, 0.5]))))
+    points = [BASE + timedelta(seconds=g.uniform(-5e7, 5e7)) for _ in range(300)] + [s for _, s, _ in spans] + [e for _, _, e in spans]
+    df = spark.createDataFrame([(p,) for p in points], "at timestamp")
+    own = spark.createDataFrame(spans, "span int, start timestamp, end timestamp")
+    got = sorted(map(tuple, joins.range_join(df, own, "at", most=1).select("at", "span").collect()))
+    assert got == sorted((p, k) for p in points for k, s, e in spans if s <= p < e) and got
+    assert joins._binned(own, "start", "end").groupBy("span").count().agg({"count": "max"}).first()[0] <= 2
+    assert joins.range_join(df, own.where("span < 0"), "at", most=-1).count() == 0
