@@ -80,7 +80,7 @@ def _limit(p: float) -> np.uint64:
 def _children(tokens: np.ndarray, keys: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(parent's number, child key) for the tokens chosen below each path key."""
     parent, child = [], []
-    step = max(1, (1 << 21) // max(len(tokens), 1))
+    step = max(1, (1 << 18) // max(len(tokens), 1))  # a matrix of 2 MB, so that it stays in the processor's cache
     for at in range(0, len(keys), step):
         own = keys[at : at + step]
         h = mix(tokens[None, :] ^ own[:, None])
