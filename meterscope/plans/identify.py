@@ -27,14 +27,19 @@ def closed_windows(windows: DataFrame, source: str | None = None, params: Params
     return rows.orderBy(C("start_ts").desc(), C("id").desc()).limit(params.windows_most)
 
 
-def rate_ratio(rollup_1m: DataFrame, index: DataFrame, windows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def rate_ratio(rollup_1m: DataFrame, index: DataFrame, windows: DataFrame, params: Params = DEFAULTS, every_meter: bool = True) -> DataFrame:
     """Movement and rate of every meter in each window of windows(id, start_ts, end_ts) against its rate
-    outside of it. Every meter has a row for every window: that is the ranking."""
+    outside of it. Every meter has a row for every window: that is the ranking. Without every_meter only those
+    heard in a window are listed, so that the work follows the readings and not meters times windows; the row of any
+    other one would hold no more than its commodity, 0 and its usual rate."""
     w = windows.select(C("id").alias("window_id"), "start_ts", "end_ts")
     inside = in_windows(rollup_1m, w, "bucket").groupBy("window_id", "endpoint_id").agg((F.max("max_c") - F.min("min_c")).alias("wd"), F.sum("n").alias("wn"))
     span = F.broadcast(index.agg(((F.max("last_seen").cast("double") - F.min("first_seen").cast("double")) / 3600.0).alias("span_h")))
-    every = index.select("endpoint_id", "endpoint_type", (C("max_consumption") - C("min_consumption")).alias("total")).join(broadcast_checked(w)).join(span)
-    rows = every.join(inside, ["window_id", "endpoint_id"], "left")
+    meters = index.select("endpoint_id", "endpoint_type", (C("max_consumption") - C("min_consumption")).alias("total")).join(span)
+    if every_meter:
+        rows = meters.join(broadcast_checked(w)).join(inside, ["window_id", "endpoint_id"], "left")
+    else:
+        rows = inside.join(broadcast_checked(w), "window_id").join(meters, "endpoint_id")
     hours = (C("end_ts").cast("double") - C("start_ts").cast("double")) / 3600.0
     rows = rows.withColumn("wh", F.when(hours > 0, hours).otherwise(params.epsilon)).withColumn("oh", F.greatest(C("span_h") - C("wh"), F.lit(params.epsilon))).withColumn("d", F.coalesce("wd", F.lit(0.0)))
     outside = F.greatest(F.coalesce("total", F.lit(0.0)) - C("d"), F.lit(0.0))
@@ -244,11 +249,12 @@ def identify(rolled: DataFrame, index: DataFrame, windows: DataFrame, entities:
     return rows.withColumn("confidence", round_half_away(C("confidence"), 3)).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), C("score").desc(), "endpoint_id")
 
 
-def identify_windows(rollup_1m: DataFrame, rollup_1h: DataFrame, index: DataFrame, windows: DataFrame, samples: DataFrame, hvac: DataFrame | None = None, *, heating_kw: float = 0.0, cooling_kw: float = 0.0, electric_only: bool = True, verdicts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, params: Params = DEFAULTS) -> DataFrame:
+def identify_windows(rollup_1m: DataFrame, rollup_1h: DataFrame, index: DataFrame, windows: DataFrame, samples: DataFrame, hvac: DataFrame | None = None, *, heating_kw: float = 0.0, cooling_kw: float = 0.0, electric_only: bool = True, every_meter: bool = True, verdicts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, params: Params = DEFAULTS) -> DataFrame:
     """I12 of every window: (window_id, endpoint_id, r, multiplier, confidence, anchor, ...), each window on its
     own part of rollups and feed, with its own width of buckets and its own energy, variation and floor of the
     feed (G5, G7, G8). The screen's verdicts(endpoint_id, pass, screen_score) hold for all windows. The pool is
-    the window's snoop_k if frozen, else the screen's survivors, else the window's meters with r. keep(table, name) may store what is
+    the window's snoop_k if frozen, else the screen's survivors, else the window's meters with r. every_meter
+    lists meters that were not heard in a window too, as rate_ratio does. keep(table, name) may store what is
     read more than once."""
     spans = bucket_minutes(windows, params)
     feed = keep(window_feed(samples, hvac, spans, heating_kw, cooling_kw, params), "window-feed")
@@ -256,7 +262,7 @@ def identify_windows(rollup_1m: DataFrame, rollup_1h: DataFrame, index: DataFram
     scalars = windows.select(C("id").alias("window_id"), C("snoop_k").cast("long").alias("snoop_k")).join(spans.select("window_id", "minutes"), "window_id")
     for part in (monitored_energy(feed, "window_id").withColumnRenamed("kwh", "monitored_kwh"), monitored_cv(feed, "window_id"), monitored_floor(feed, "window_id")):
         scalars = scalars.join(part, "window_id", "left")  # a row a window
-    ranked = rate_ratio(rollup_1m, index, windows, params)
+    ranked = rate_ratio(rollup_1m, index, windows, params, every_meter)
     ranked = ranked.where(C("commodity") == "electric") if electric_only else ranked
     found = calibrate(regress_meters(aligned, params).join(scalars.select("window_id", "minutes", "floor_w"), "window_id"), C("minutes"), C("floor_w"))
     rows = ranked.join(scalars.drop("floor_w", "minutes"), "window_id").join(found, ["window_id", "endpoint_id"], "left").withColumn("meter_kwh", round_half_away(C("window_delta") * C("multiplier"), 3))

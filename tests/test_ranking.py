@@ -83,6 +83,20 @@ def test_every_window_has_its_own_regression(spark):
     assert best["endpoint_id"] == 1001 and best["avg_r"] > 0.95 and best["n_mult"] == 3 and best["sd_mult"] is not None
 
 
+def test_only_meters_that_were_heard(spark):
+    """The sparse ranking is the whole one without meters that have no packet in the window."""
+    _, samples, readings = plug_and_meters(spark)
+    quiet = spark.createDataFrame([(at(m), "IDM", 30 + m % 3, 4, 5.0 + m, "a") for m in range(12)], READING)  # not heard later
+    readings = readings.unionByName(quiet)
+    w = spark.createDataFrame([(1, at(20), at(60), None, None, None), (2, at(0), at(40), None, None, None)], "id long, start_ts timestamp, end_ts timestamp, known_load_w double, known_entity_id string, snoop_k int")
+    r1m, index = D.rollup(readings, 1), R.meter_index(readings)
+    full = sorted(map(tuple, I.rate_ratio(r1m, index, w).where("window_packets > 0").collect()))
+    assert sorted(map(tuple, I.rate_ratio(r1m, index, w, every_meter=False).collect())) == full and len(full) == 9
+    some, all_ = (I.identify_windows(r1m, D.rollup(readings, 60), index, w, samples, every_meter=e) for e in (False, True))
+    key = lambda df: sorted(map(str, df.select("window_id", "endpoint_id", "r", "score", "confidence").collect()))
+    assert key(some) == key(all_.where("window_packets > 0")) and all_.count() == 10
+
+
 @pytest.mark.parametrize(("minutes", "width"), [(60, 1), (449, 2), (2880, 30), (4320, 30), (7200, 60), (100_000, 240)])
 def test_width_of_buckets(spark, minutes, width):
     windows = spark.createDataFrame([(1, at(0), at(minutes))], "id long, start_ts timestamp, end_ts timestamp")
