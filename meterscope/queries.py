@@ -500,8 +500,8 @@ add(
 )
 
 # bills
-_BK = """, late AS (SELECT * FROM bills WHERE ts >= TIMESTAMP '2024-01-08'), bk AS (SELECT *
-      FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM late) WHERE bend IS NOT NULL),
+_BK = """, bk AS (SELECT *
+      FROM (SELECT statistic_id, ts AS bstart, lead(ts) OVER (PARTITION BY statistic_id ORDER BY ts) AS bend, kwh FROM bills) WHERE bend IS NOT NULL),
 cut1h AS (SELECT r.endpoint_id, r.bucket, max_c - lag(max_c) OVER (PARTITION BY r.endpoint_id
       ORDER BY r.bucket) AS raw, CASE WHEN msg_type = 'SCM' THEN 16777216.0::DOUBLE ELSE 4294967296.0::DOUBLE END AS modu
   FROM r1h r JOIN mi ON mi.endpoint_id = r.endpoint_id WHERE r.bucket >= (SELECT min(bstart) FROM bk) AND r.bucket < (SELECT max(bend) FROM bk)),
@@ -509,9 +509,7 @@ stepb AS (SELECT endpoint_id, bucket, CASE WHEN raw >= 0 THEN raw WHEN raw + mod
 ev2 AS (SELECT s.endpoint_id, b.statistic_id, b.bstart, b.bend, b.kwh, sum(delta) AS delta, count(*)::BIGINT AS covered_h, (epoch(b.bend) - epoch(b.bstart)) / 3600.0::DOUBLE AS bucket_h
       FROM stepb s JOIN bk b ON s.bucket >= b.bstart AND s.bucket < b.bend WHERE delta IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 evd AS (SELECT * FROM ev2 WHERE delta > 0)\n"""
-#: Bills that begin a week into the readings.
-_late = lambda d: d.bills.where(C("ts") >= F.lit("2024-01-08").cast("timestamp"))
-_buckets = lambda d: B.bill_buckets(_late(d))
+_buckets = lambda d: B.bill_buckets(d.bills)
 _evidence = lambda d: B.bill_evidence(d.r1h, d.index, _buckets(d))
 add(
     "b1_bill_buckets",
@@ -520,6 +518,13 @@ add(
     "kwh",
 )
 add("b2_bill_evidence", _evidence, _base(IX, fx.BILLS) + _BK + "SELECT * FROM evd", "kwh bucket_h")
+#: Bills that begin a week into the readings: movement counts from the first bill on.
+add(
+    "b2_late_bills",
+    lambda d: B.bill_evidence(d.r1h, d.index, B.bill_buckets(d.bills.where(C("ts") >= F.lit("2024-01-08").cast("timestamp")))),
+    _base(IX, fx.BILLS) + _BK.replace("FROM bills)", "FROM bills WHERE ts >= TIMESTAMP '2024-01-08')") + "SELECT * FROM evd",
+    "kwh bucket_h",
+)
 _SUM = """, sm AS (SELECT *, least(covered_h / bucket_h, 1) AS cov FROM evd), sn AS (SELECT *, kwh * cov / delta AS mult
       FROM sm), sp AS (SELECT endpoint_id, sum(mult * cov) / sum(cov) AS m, stddev_samp(mult) AS sd, count(*)::BIGINT AS buckets,
 CASE WHEN regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov) > 0 THEN regr_sxy(delta, kwh * cov) / sqrt(regr_sxx(delta, kwh * cov) * regr_syy(delta, kwh * cov)) END AS r
@@ -599,9 +604,9 @@ add(
 add("b10_monthly_kwh", lambda d: B.monthly_kwh(d.bills), _base(fx.BILLS) + "SELECT statistic_id, date_trunc('month', ts)::DATE AS month, sum(kwh) AS kwh FROM bills GROUP BY 1, 2", "kwh:9")
 add(
     "b11_bill_series",
-    lambda d: B.bill_series(_late(d), _rec(d), 0.2),
+    lambda d: B.bill_series(d.bills, _rec(d), 0.2),
     _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + """SELECT b.statistic_id, b.ts, b.kwh, floor(b.kwh * 0.2::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS cost, sum(b.kwh) OVER () AS total_kwh, count(*) OVER ()::BIGINT AS bills, metered_kwh, coverage
-      FROM late b LEFT JOIN rc ON rc.bstart = b.ts""",
+      FROM bills b LEFT JOIN rc ON rc.bstart = b.ts""",
     "kwh cost total_kwh metered_kwh coverage",
 )
 add(
@@ -612,8 +617,8 @@ add(
 )
 add(
     "b13_tracking_pct",
-    lambda d: B.tracking_pct(B.bill_series(_late(d), _rec(d))),
-    _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + """SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM late b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1""",
+    lambda d: B.tracking_pct(B.bill_series(d.bills, _rec(d))),
+    _base(IX, fx.BILLS, fx.METERS) + _BK + _REC + """SELECT b.statistic_id, arg_max(100.0::DOUBLE * metered_kwh / kwh, ts) AS pct FROM bills b JOIN rc ON rc.bstart = b.ts WHERE metered_kwh IS NOT NULL AND kwh > 0 GROUP BY 1""",
     "pct",
 )
 
