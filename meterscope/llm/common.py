@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +33,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+#: Rows and bytes of a batch that goes to a Python worker: a batch of long texts is held four times over, in the
+#: executor's buffers and the worker's.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """BATCHES as the session's setting for the jobs run within, then what was set before."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meterscope-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -91,7 +111,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
     if fits(small, limit):
         return big.join(F.broadcast(small), on, how)
     marks = materialize(big.groupBy(on).count().where((F.col("count") > hot) & F.col(on).isNotNull()).select(on, F.lit(True).alias("__hot")), "hot-keys")
-    marks = F.broadcast(marks)  # at most a row for `hot` rows of big
+    marks = F.broadcast(marks) if fits(marks) else marks  # at most a row for `hot` rows of big
     dealt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     left = big.join(marks, on, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(on).isNull(), dealt).otherwise(F.lit(0))).drop("__hot")
     all_ = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
