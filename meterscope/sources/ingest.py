@@ -10,18 +10,26 @@ from ..functions.joins import broadcast_checked
 from ..params import ENERGY_UNITS, SENSOR_UNITS
 
 
+#: What a packet's line holds; values stay text until they are cast.
+_MESSAGE = ("EndpointID", "ID", "ERTSerialNumber", "EndpointType", "Type", "Consumption", "LastConsumptionCount", "LastConsumption")
+_PACKET = f"Time string, Type string, Message struct<{', '.join(f'{n}: string' for n in _MESSAGE)}>"
+_JSON = {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false"}
+
+
 def _first(names: tuple[str, ...], type_: str) -> Column:
-    return F.coalesce(*[F.get_json_object("value", f"$.Message.{n}").try_cast(type_) for n in names])
+    return F.coalesce(*[F.col(f"Message.{n}").try_cast(type_) for n in names])
 
 
 def ingest_packets(lines: DataFrame, source: str | Column, ingest_time: Column) -> DataFrame:
     """Readings of JSON lines (column `value`), batch or stream. Lines that are no JSON, or have no
-    identifier or no value above 0, are dropped; an unreadable time becomes ingest_time."""
-    when = F.coalesce(F.try_to_timestamp(F.get_json_object("value", "$.Time")), ingest_time)
-    rows = lines.select(
-        when.alias("ts"), F.get_json_object("value", "$.Type").alias("msg_type"), _first(("EndpointID", "ID", "ERTSerialNumber"), "bigint").alias("endpoint_id"),
+    identifier or no value above 0, are dropped; an unreadable time becomes ingest_time. A line is parsed once:
+    as a generated row, so that no filter or second column has it parsed anew."""
+    given = lines.select("value", (source if isinstance(source, Column) else F.lit(source)).alias("source"), ingest_time.alias("ingest_time"))
+    packets = given.select("*", F.inline(F.array(F.from_json("value", _PACKET, _JSON))))
+    rows = packets.select(
+        F.coalesce(F.try_to_timestamp("Time"), "ingest_time").alias("ts"), F.col("Type").alias("msg_type"), _first(("EndpointID", "ID", "ERTSerialNumber"), "bigint").alias("endpoint_id"),
         _first(("EndpointType", "Type"), "int").alias("endpoint_type"), _first(("Consumption", "LastConsumptionCount", "LastConsumption"), "double").alias("consumption"),
-        F.col("value").alias("raw"), (source if isinstance(source, Column) else F.lit(source)).alias("source"),
+        F.col("value").alias("raw"), "source",
     )
     return rows.where("endpoint_id is not null and consumption > 0")
 

@@ -16,7 +16,7 @@ from ..functions.joins import broadcast_checked
 from ..operators.registry import merge_indexes, merge_sources, meter_index, meter_source
 from ..params import DEFAULTS, Params
 from ..sources.ingest import append_readings
-from ..sources.tables import MergedTable
+from ..sources.tables import Files, MergedTable
 
 #: What transformWithState needs of the session.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -68,9 +68,19 @@ def ingest_batch(readings_path: str, index: MergedTable, coverage: MergedTable |
     """foreachBatch function of S1's stream: writes a batch's readings by day and adds its registry rows
     and coverage rows (R2) to tables that merge as they grow. A batch that is run again replaces its readings
     and changes nothing else. The tables belong to one checkpoint, whose batch numbers they go by. late(batch, number)
-    may log which materialised buckets the batch reaches (maintenance.log_late)."""
+    may log which materialised buckets the batch reaches (maintenance.log_late). The batch is stored first, as its
+    rows are read several times and each would parse its lines anew."""
 
     def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path = shared_folder(spark, "batch")
+        try:
+            batch.write.parquet(path)
+            add(spark.read.schema(batch.schema).parquet(path), number)
+        finally:
+            Files(spark, path).remove(path.rsplit("/", 1)[0])
+
+    def add(batch: DataFrame, number: int) -> None:
         append_readings(batch, f"{readings_path}/batch={number}", "overwrite")
         index.add(meter_index(batch), number)
         if coverage is not None:

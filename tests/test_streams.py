@@ -6,8 +6,10 @@ import random
 import time
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import functions as F
 
 from meterscope.operators import registry as R
+from meterscope.sources import ingest as S
 from meterscope.streaming import jobs as T
 
 BASE = datetime(2026, 1, 5)
@@ -159,3 +161,30 @@ def test_a_batch_that_died_is_written_anew(spark, tmp_path):
     assert sum(r["packets"] for r in table.read(spark, parts[0].schema).collect()) == 18
     table.add(parts[3], 3)
     assert sum(r["packets"] for r in table.read(spark, parts[0].schema).collect()) == 24 and len(table.parts(spark)) == 1
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """However often a batch's rows are read, its lines are parsed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def line(k):
+        seen.add(1)
+        return '{"Type":"IDM","Message":{"ERTSerialNumber":%d,"LastConsumptionCount":7}}' % k
+
+    lines = spark.range(40).select(F.udf(line)("id").alias("value"))
+    index, coverage = T.index_table(str(tmp_path / "index")), T.coverage_table(str(tmp_path / "coverage"))
+    T.ingest_batch(str(tmp_path / "readings"), index, coverage)(S.ingest_packets(lines, "x", F.lit("2026-01-05").cast("timestamp")), 0)
+    assert seen.value == 40
+    assert index.read(spark, R.meter_index(next(batches(spark, 1))).schema).count() == 40
+
+
+def test_odd_lines(spark):
+    """Messages that are no object, numbers that JSON does not have, cut lines and empty fields."""
+    message = '{"Time":"2026-01-05T00:00:00Z","Type":"SCM","Message":%s}'
+    kept = ['{"ID":5,"Consumption":7,"Type":4}', '{"ID":"","ERTSerialNumber":5,"Consumption":null,"LastConsumption":"7"}', '{"EndpointID":{"a":1},"ID":5,"Consumption":7e0,"Tail":[1,{"b":2}]}']
+    dropped = ['"{\\"ID\\":5,\\"Consumption\\":7}"', '[{"ID":5,"Consumption":7}]', "null", '{"ID":5,"Consumption":NaN}', '{"ID":5,"Consumption":0}', '{"ID":5.5,"Consumption":true}']
+    lines = [message % m for m in kept + dropped] + [(message % kept[0])[:-1], "{bad", "", None]
+    got = S.ingest_packets(spark.createDataFrame([(x,) for x in lines], "value string"), F.lit("s"), F.lit(None).cast("timestamp")).collect()
+    assert sorted(r["raw"] for r in got) == sorted(lines[:3])
+    assert {(r["ts"], r["msg_type"], r["endpoint_id"], r["consumption"], r["source"]) for r in got} == {(BASE, "SCM", 5, 7.0, "s")}
+    assert sorted(r["endpoint_type"] for r in got if r["endpoint_type"]) == [4]
