@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,17 +160,17 @@ def with_hvac(power: DataFrame, hvac: DataFrame, heating_kw: float, cooling_kw:
 
 class Ordered(StatefulProcessor):
     """Rows of a key in order of event time, whatever order batches bring them in. Rows are held as list state
-    until the watermark has passed them; a timer of event time, set to the earliest row held, then hands all that
+    until the watermark has passed them, a block of columns (an Arrow record batch) for each chunk that came, so that
+    state is read and written by the block and not by the row; a timer of event time, set to the earliest row held, then hands all that
     are due, sorted, to `ordered`. What is held is what came within the watermark's delay; a row that is later than
     what its key has been given already is dropped, as the engine drops rows behind the watermark."""
 
-    held_columns: tuple[str, ...] = ()
-    held_schema = ""
+    held_schema = pa.schema([])
     order: tuple[str, ...] = ("ts",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
+        self.held = handle.getListState("held", "block binary")
         self.done = handle.getValueState("done", "ms long")
         self.begin(handle)
 
@@ -179,6 +180,14 @@ class Ordered(StatefulProcessor):
     def ordered(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
+    def _block(self, rows: pd.DataFrame) -> tuple[bytes]:
+        held = rows[self.held_schema.names].assign(ts=rows["ts"].astype("datetime64[us]"))
+        return (pa.RecordBatch.from_pandas(held, self.held_schema, preserve_index=False).serialize().to_pybytes(),)
+
+    def _rows(self) -> pd.DataFrame:
+        blocks = [pa.ipc.read_record_batch(pa.py_buffer(b), self.held_schema) for (b,) in self.held.get()]
+        return pa.Table.from_batches(blocks, self.held_schema).to_pandas()
+
     def _wake(self, at_ms: int) -> None:
         """One timer a key, at the earliest row held."""
         set_for = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
@@ -195,18 +204,18 @@ class Ordered(StatefulProcessor):
             if done is not None:
                 chunk, ms = chunk[ms > done], ms[ms > done]
             if len(chunk):
-                self.held.appendList([tuple(r) for r in chunk[list(self.held_columns)].astype(object).itertuples(index=False)])
+                self.held.appendValue(self._block(chunk))
                 self._wake(int(ms.min()))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.held.get()), columns=list(self.held_columns))
+        rows = self._rows()
         ms = rows["ts"].astype("datetime64[us]").astype("int64") // 1000
         due, rest = rows[ms <= upto], rows[ms > upto]
         self.done.update((int(upto),))
         if len(rest):
-            self.held.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+            self.held.put([self._block(rest)])
             self.handle.registerTimer(int(ms[ms > upto].min()))  # the one that has expired goes by itself
         else:
             self.held.clear()
@@ -220,7 +229,7 @@ class Ordered(StatefulProcessor):
 class LivePower(Ordered):
     """Keyed by home; the sum of the last value of each entity after every sample(home, ts, entity_id, w)."""
 
-    held_columns, held_schema, order = ("ts", "entity_id", "w"), "ts timestamp, entity_id string, w double", ("ts", "entity_id")
+    held_schema, order = pa.schema([("ts", pa.timestamp("us")), ("entity_id", pa.string()), ("w", pa.float64())]), ("ts", "entity_id")
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getMapState("last", "entity_id string", "w double")
@@ -303,7 +312,7 @@ def auto_windows(totals: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 class AutoWindows(Ordered):
     """T4 on a stream: the rule takes a home's totals in order of their time, the watermark behind the newest."""
 
-    held_columns, held_schema, order = ("ts", "power_w"), "ts timestamp, power_w double", ("ts", "power_w")
+    held_schema, order = pa.schema([("ts", pa.timestamp("us")), ("power_w", pa.float64())]), ("ts", "power_w")
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         fields = [T.StructField(n, T.DoubleType()) for n in ("base", "dev", "opened", "load", "closed")]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import time
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from meterscope.operators import registry as R
@@ -188,3 +190,30 @@ def test_odd_lines(spark):
     assert sorted(r["raw"] for r in got) == sorted(lines[:3])
     assert {(r["ts"], r["msg_type"], r["endpoint_id"], r["consumption"], r["source"]) for r in got} == {(BASE, "SCM", 5, 7.0, "s")}
     assert sorted(r["endpoint_type"] for r in got if r["endpoint_type"]) == [4]
+
+
+def test_rows_are_held_by_the_block():
+    """A chunk is one value of the state, not one a row, and comes out with its nulls, in order of time."""
+
+    class State(list):
+        appendValue, appendList, get, exists = list.append, list.extend, list.copy, lambda self: bool(self)  # noqa: N815
+
+        def put(self, values):
+            self[:] = values
+
+    held, last, done = State(), {}, State()
+    last_state = SimpleNamespace(iterator=lambda: iter(last.items()), updateValue=last.__setitem__)
+    done_state = SimpleNamespace(exists=lambda: bool(done), get=lambda: done[0], update=lambda v: done.put([v]))
+    timers = []
+    handle = SimpleNamespace(getListState=lambda *a: held, getValueState=lambda *a: done_state, getMapState=lambda *a: last_state, listTimers=lambda: iter(timers), registerTimer=timers.append, deleteTimer=timers.remove)
+    power = T.LivePower()
+    power.init(handle)
+    rows = pd.DataFrame({"home": "h", "ts": [at(k) for k in range(1000)], "entity_id": ["a", "b", None, "a"] * 250, "w": [1.0, 2.0, 4.0, None] * 250})
+    late = rows.iloc[::-1]
+    list(power.handleInputRows(("h",), iter([late.iloc[:600], late.iloc[600:]]), None))
+    assert len(held) == 2 and len(timers) == 1
+    ms = lambda t: int(pd.Timestamp(t).value // 1_000_000)
+    got = [x for upto in (499, 2000) for x in power.handleExpiredTimer(("h",), SimpleNamespace(getCurrentWatermarkInMs=lambda u=upto: ms(at(u))), None)]
+    assert [len(x) for x in got] == [500, 500] and not held
+    assert pd.concat(got)["ts"].tolist() == rows["ts"].tolist()
+    assert got[0]["power_w"].head(2).tolist() == [1.0, 3.0] and set(last) == {("a",), ("b",)}
