@@ -30,7 +30,7 @@ END = 0
 GROUP = 4096
 #: Tasks that the groups are dealt to at most.
 TASKS = 20_000
-#: Pieces whose ids a Python worker keeps at most (some 40 MB); then it starts anew.
+#: Pieces whose ids a Python worker keeps at most (some 40 MB); then those go that no later slice of texts has had.
 CACHE = 200_000
 #: Bytes of text that are tokenised together, about.
 SLICE = 2 << 20
@@ -53,6 +53,7 @@ class WordTokenizer:
         # strings of special and added tokens in a text are those tokens, as the tokenizer has it
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.met: set[str] = set()  # pieces found known since some last went
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,9 +62,12 @@ class WordTokenizer:
         """Ids of each text. Pieces that are not known yet are encoded together, whichever text they are of."""
         split = [None if _OTHER.search(t) or any(x in t for x in self.added) else _PIECES.findall(t.lower()) for t in texts]
         pieces = set().union(*(p for p in split if p is not None))
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
-        new = list(pieces.difference(self.known))
+        found = self.known.keys() & pieces
+        new = list(pieces - found)
+        self.met |= found
+        if len(self.known) + len(new) > CACHE:
+            keep = self.met if len(self.met) <= CACHE // 2 and len(self.met) + len(new) <= CACHE else found
+            self.known, self.met = {p: self.known[p] for p in keep}, found
         for at in range(0, len(new), 256):  # one call for many pieces, apart from each other by spaces
             some = new[at : at + 256]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)

@@ -11,6 +11,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -876,3 +877,20 @@ def test_checksums_are_of_the_base(spark, tmp_path):
     frame(spark, ["mail a@b.co now", None]).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r["doc_id"]: r for r in pii.op2_personal_data(spark, str(tmp_path)).collect()}
     assert rows[0]["base_sha256"] == hashlib.sha256(b"email:5:11").hexdigest() and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    """A full cache lets go of pieces that came once; those that every slice has are encoded once, with the same ids."""
+    monkeypatch.setattr(packing, "CACHE", 60)
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    real = own.tokenizer
+    own.tokenizer = SimpleNamespace(encode=lambda text, **k: asked.append(text) or real.encode(text, **k))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(12):
+        text = " ".join(["house", "garden", *[f"x{letters[k]}{letters[i]}" for i in range(20)]])
+        (ids,) = own.ids_of([text])
+        assert ids == np.array(real.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(own.known) <= 60
+    words = " ".join(asked).split()
+    assert words.count("house") == words.count("garden") == 1
