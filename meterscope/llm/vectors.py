@@ -8,10 +8,11 @@
    ends with, distance-ratio pruning keeps those at most `1 + prune` times as far as the nearest (and as
    many as needed to hold enough vectors). Both are calibrated by that very walk: on at most TUNE vectors of
    the sample, the ratio and `ef` that let ASKED of them see RECALL of their true nearest, found by brute
-   force. Where the data have no clusters at all, that is most lists.
-4. Queries meet lists in tasks of a few lists, about BUNDLE vectors (of a long list a block of about BLOCK)
-   and QBLOCK queries a list, which give exact distances and the nearest there; the nearest of all are
-   ranked at the end.
+   force. Where the data have no clusters at all, that is most lists: a walk that would measure as many
+   distances as there are centroids takes all of them in order instead.
+4. Queries meet lists in bundles of neighbouring lists, a 64th of the vectors about (of a long list a block of so many)
+   and QBLOCK queries a task. Matrix products leave out what is farther than the nearest found so far, with
+   a bound on their rounding; what is left gets exact distances. The nearest of all are ranked at the end.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ DEGREE = 16
 RECALL = 0.97
 TUNE = 16_384
 ASKED = 200
-BLOCK = 4096
-QBLOCK = 1024
-#: Vectors of the lists that a task works on together, about.
-BUNDLE = 8192
+#: Vectors of the lists that a task works on together, about: a 64th of all, at least and at most so many.
+BUNDLE, BUNDLE_MOST = 1024, 65_536
+#: Queries that a task works on.
+QBLOCK = 16_384
+#: Vectors, and distances, that a task works on at once.
+PIECE, AT_ONCE = 1024, 1 << 18
 
 
 def valid(v: str = "embedding") -> Column:
@@ -124,8 +127,15 @@ def graph(c: np.ndarray, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray]:
 def walk(q: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, distances) of about the `ef` nearest to each row of q, nearest first, by best-first search
     of all rows side by side, from the entries on: in a step every row that is not at its end opens its nearest
-    centroid not opened yet. Places that stay empty have an infinite distance."""
+    centroid not opened yet. Places that stay empty have an infinite distance. Where opening ef centroids would measure
+    as many distances as there are centroids, all are measured: the nearest ef then."""
     n, ef = len(q), min(ef, len(c))
+    if ef * DEGREE >= len(c):
+        every = np.empty((n, len(c)))
+        for i, one in enumerate(q):
+            every[i] = np.sqrt(((c - one) ** 2).sum(1))
+        by = np.argsort(every, axis=1, kind="stable")[:, :ef]
+        return by, np.take_along_axis(every, by, 1)
     ids = np.repeat(entry[None], n, 0)
     dist = np.sqrt(((c[entry][None] - q[:, None]) ** 2).sum(2))
     opened, seen = np.zeros(ids.shape, bool), np.zeros((n, len(c)), bool)
@@ -224,8 +234,8 @@ def calibrate(x: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray
 def _assign(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     c = shared.value[0]
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = pa.Table.from_batches([batch.slice(at, 1024)])
+        for at in range(0, batch.num_rows, 256):
+            part = pa.Table.from_batches([batch.slice(at, 256)])
             row, lists = lists_of(_numbers(part.column("embedding"), c.shape[1]), c)
             part = part.take(pa.array(row))
             yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
@@ -251,64 +261,116 @@ def probes_of(x: np.ndarray, c: np.ndarray, links: np.ndarray, entry: np.ndarray
     return np.concatenate(rows).astype(np.int64), np.concatenate(lists).astype(np.int32)
 
 
+def bundles_of(sizes: np.ndarray) -> np.ndarray:
+    """The bundle of each list: lists in order, which is that of the centroids' tree, up to a 64th of the vectors a bundle;
+    a longer list is one by itself."""
+    most = min(max(BUNDLE, int(sizes.sum()) // 64), BUNDLE_MOST)
+    out, bundle, held = np.zeros(len(sizes), np.int32), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            bundle, held = bundle + 1, 0
+        out[i] = bundle
+        held += n
+    return out
+
+
 def _probe(shared, need: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    c, links, entry, sizes, prune, ef = shared.value
+    """(vec_id, bundle, lists): the lists of each bundle that a query asks for."""
+    c, links, entry, sizes, bundles, prune, ef = shared.value
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = pa.Table.from_batches([batch.slice(at, 256)])
             row, lists = probes_of(_numbers(part.column("embedding"), c.shape[1]), c, links, entry, sizes, prune, ef, need)
-            part = part.take(pa.array(row))
-            yield from part.append_column("list", pa.array(lists)).combine_chunks().to_batches()
-
-
-def _nearest(k: int, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The k nearest of each query within the lists that it asks for, exact distances, ties to smaller ids."""
-    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(vectors) or not len(queries):
-        return none
-    ids, q_ids = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    asks = np.repeat(np.arange(len(queries)), [len(v) for v in queries["lists"]])
-    of = np.concatenate([np.asarray(v) for v in queries["lists"]])
-    order = np.argsort(of, kind="stable")
-    asks, of = asks[order], of[order]
-    found = [[], [], []]
-    for own, rows in vectors.groupby("list").indices.items():
-        who = asks[np.searchsorted(of, own) : np.searchsorted(of, own, side="right")]
-        if not len(who):
-            continue
-        x = np.stack(vectors["embedding"].to_numpy()[rows]).astype(np.float64)  # of one list: of one length
-        q = np.stack(queries["embedding"].to_numpy()[who]).astype(np.float64)
-        step = max(1, (1 << 21) // x.size)
-        for at in range(0, len(who), step):
-            d = np.sqrt(((x[None] - q[at : at + step, None]) ** 2).sum(2))
-            some = q_ids[who[at : at + step]]
-            d[ids[rows][None] == some[:, None]] = np.inf
-            least = np.partition(d, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(some), np.inf)
-            i, j = np.nonzero((d <= least[:, None]) & np.isfinite(d))
-            for held, value in zip(found, (some[i], ids[rows[j]], d[i, j]), strict=True):
-                held.append(value)
-    if not found[0]:
-        return none
-    out = pd.DataFrame({"query_id": np.concatenate(found[0]), "vec_id": np.concatenate(found[1]), "score": np.concatenate(found[2])})
-    out = out.sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
-    return out.groupby("query_id").head(k)
+            order = np.lexsort((lists, row))  # bundles are in the order of lists
+            row, lists = row[order], lists[order]
+            of = bundles[lists]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (of[1:] != of[:-1])][: len(row)])
+            grouped = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.array(lists))
+            cols = [part.column("vec_id").combine_chunks().take(pa.array(row[starts])), pa.array(of[starts]), grouped]
+            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "bundle", "lists"])
+
+
+def _nearest(k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+    """The k nearest of each query within the lists that it asks for, exact distances, ties to smaller ids; an id that
+    stands more than once counts once, at its nearest.
+
+    A query's bound is its k-th distance so far. Squares of distances come of matrix products; those that exceed the
+    bound's by more than the rounding of both cannot be among the k nearest, the others are measured exactly."""
+    who, ids, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if vectors.num_rows and queries.num_rows:
+        by = np.argsort(vectors.column("list").to_numpy(), kind="stable")
+        lists, v_ids, q_ids = vectors.column("list").to_numpy()[by], vectors.column("vec_id").to_numpy()[by], queries.column("vec_id").to_numpy()
+        dim = len(vectors.column("embedding").combine_chunks().flatten()) // vectors.num_rows  # of one length
+        x, q = _numbers(vectors.column("embedding"), dim)[by], _numbers(queries.column("embedding"), dim)
+        xx, qq = (x * x).sum(1), (q * q).sum(1)
+        slack = 4 * (dim + 8) * np.finfo(float).eps * (qq + xx.max())
+        asked = queries.column("lists").combine_chunks()
+        asks, of = np.repeat(np.arange(len(q)), pc.list_value_length(asked).to_numpy(zero_copy_only=False)), asked.flatten().to_numpy()
+        order = np.argsort(of, kind="stable")
+        asks, of = asks[order], of[order]
+        repeats = len(np.unique(v_ids)) < len(v_ids)
+        bound = np.full(len(q), np.inf)
+        new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal who, ids, far
+            who, ids, far = (np.concatenate(v) for v in zip((who, ids, far), *new, strict=True))
+            new.clear()
+            if repeats:
+                order = np.lexsort((far, ids, who))
+                who, ids, far = who[order], ids[order], far[order]
+                first = np.r_[True, (who[1:] != who[:-1]) | (ids[1:] != ids[:-1])][: len(who)]
+                who, ids, far = who[first], ids[first], far[first]
+            order = np.lexsort((ids, far, who))
+            who, ids, far = who[order], ids[order], far[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            bound[who[place == k - 1]] = far[place == k - 1]
+            who, ids, far = who[place < k], ids[place < k], far[place < k]
+
+        edges = np.r_[np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]), len(lists)].tolist()
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            own = asks[np.searchsorted(of, lists[start]) : np.searchsorted(of, lists[start], side="right")]
+            for lo in range(start, end if len(own) else start, PIECE):
+                some = slice(lo, min(lo + PIECE, end))
+                points, apart = x[some], len(np.unique(v_ids[some])) == some.stop - lo
+                step = max(1, AT_ONCE // len(points))
+                for at in range(0, len(own), step):
+                    rows = own[at : at + step]
+                    d = q[rows] @ points.T
+                    d *= -2
+                    d += xx[some]
+                    d += qq[rows, None]
+                    limit = bound[rows] ** 2
+                    open_ = np.flatnonzero(np.isinf(limit))
+                    if len(open_) and apart and len(points) > k:  # k others at least, whichever is the query itself
+                        limit[open_] = np.partition(d[open_], k, axis=1)[:, k]
+                    i, j = np.nonzero(~(d > (limit + 2 * slack[rows])[:, None]))
+                    for a in range(0, len(i), 1 << 15):
+                        r, p = rows[i[a : a + (1 << 15)]], j[a : a + (1 << 15)]
+                        exact = np.sqrt(((points[p] - q[r]) ** 2).sum(1))
+                        fine = np.isfinite(exact) & (v_ids[lo + p] != q_ids[r])
+                        new.append((r[fine], v_ids[lo + p[fine]], exact[fine]))
+                    if sum(len(v[0]) for v in new) > max(2 * k * len(q), 1 << 14):
+                        settle()
+        settle()
+        who = q_ids[who]
+    return pa.table({"query_id": pa.array(who, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(far, pa.float64())})
 
 
 def _ask(posted: DataFrame, probes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest in the lists that probes(vec_id, list) name."""
-    per = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    per = materialize(per.join(probes.groupBy("list").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("qblocks")), "list"), "blocks")
-    total = per.agg(F.sum("blocks")).first()[0] or 0
+    """(query_id, rank, vec_id, score): the k nearest in the lists that probes(vec_id, bundle, lists) name."""
+    per = posted.groupBy("bundle").agg(F.count("*").alias("vectors"))
+    per = per.join(probes.groupBy("bundle").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("qblocks")), "bundle")
+    most = F.greatest(F.lit(BUNDLE), F.least(F.sum("vectors").over(Window.partitionBy()) / 64, F.lit(BUNDLE_MOST)))  # as in bundles_of
+    per = materialize(per.select("bundle", F.ceil(F.col("vectors") / most).cast("int").alias("blocks"), "qblocks"), "blocks")
     per = F.broadcast(per)  # at most a row a centroid, and one a length of vectors
     each = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
-    bundles = max(1, -(-int(total) * LIST // BUNDLE))  # lists that one task works on
-    bundle = F.pmod(F.xxhash64("list"), F.lit(bundles)).cast("int").alias("bundle")
-    left = posted.join(per, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
-    right = probes.join(per, "list").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))
+    left = posted.join(per, "bundle").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
+    right = probes.join(per, "bundle").withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))
     keys = ["bundle", "block", "qblock"]
-    left = left.select(bundle, "block", "qblock", "list", "vec_id", "embedding")
-    right = right.select(bundle, "block", "qblock", "list", "vec_id").groupBy(*keys, "vec_id").agg(F.collect_list("list").alias("lists")).join(asked, "vec_id")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(partial(_nearest, k), "query_id long, vec_id long, score double")
+    left = left.select(*keys, "list", "vec_id", "embedding")
+    right = right.select(*keys, "vec_id", "lists").join(asked, "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(partial(_nearest, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -346,18 +408,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     sizes = np.zeros(len(c), np.int64)
     for r in posted.where("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect():  # as many as centroids
         sizes[r["list"]] = r["n"]
+    bundles = bundles_of(sizes)
+    named = spark.createDataFrame(pa.table({"list": pa.array(np.arange(len(c), dtype=np.int32)), "bundle": pa.array(bundles)}))
+    posted = posted.join(F.broadcast(named), "list", "left").withColumn("bundle", F.coalesce("bundle", "list"))  # another length: a bundle of its own
     spread = asked.where(usual).repartition(max(1, spark.sparkContext.defaultParallelism), "vec_id")
     links, entry = graph(c)
     tuned = calibrate(points, c, links, entry, k, (k + 1) * COPIES)
-    probes = spread.mapInArrow(partial(_probe, context.broadcast((c, links, entry, sizes, *tuned)), (k + 1) * COPIES), f"vec_id long, embedding {kind}, list int")
-    probes = materialize(probes.select("vec_id", "list").unionByName(asked.where(~usual).select("vec_id", other)), "probes")
+    probes = spread.mapInArrow(partial(_probe, context.broadcast((c, links, entry, sizes, bundles, *tuned)), (k + 1) * COPIES), "vec_id long, bundle int, lists array<int>")
+    probes = materialize(probes.unionByName(asked.where(~usual).select("vec_id", other.alias("bundle"), F.array(other).alias("lists"))), "probes")
     best = materialize(_ask(posted, probes, asked, k), "nearest")
     short = asked.where(usual).join(best.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").where(F.coalesce("count", F.lit(0)) < k)
     short = materialize(short.select("vec_id", "embedding"), "short")
     if short.isEmpty():
         return best
     # too few candidates, as where many rows repeat one vec_id: the lists that are not asked yet may hold more
-    every = short.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"))
+    every = short.select("vec_id").crossJoin(F.broadcast(named.groupBy("bundle").agg(F.collect_list("list").alias("lists"))))
     again = _ask(posted.where("list >= 0"), materialize(every, "all-lists"), short, k)
     rest = best.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
     return rest.select("query_id", "rank", "vec_id", "score").unionByName(again)

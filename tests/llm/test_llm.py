@@ -776,6 +776,53 @@ def test_repeated_ids_and_other_lengths(spark):
         assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [s for s, _ in want])
 
 
+def test_walk_to_all_centroids_costs_their_distances_once():
+    g = np.random.default_rng(6)
+    c, q = g.normal(size=(3000, 16)), g.normal(size=(200, 16))
+    c[7] = c[8] = q[0]
+    links, entry = vectors.graph(c)
+    begun = time.time()
+    ids, d = vectors.walk(q, c, links, entry, len(c))
+    assert time.time() - begun < 10
+    true = np.sqrt(((c[None] - q[:, None]) ** 2).sum(2))
+    assert (ids == np.argsort(true, axis=1, kind="stable")).all() and (d == np.sort(true, axis=1)).all()
+    ids, d = vectors.walk(q, c, links, entry, 100)  # by the graph: fewer are measured
+    assert np.mean([len({*i[:10]} & {*t[:10]}) for i, t in zip(ids, np.argsort(true, axis=1), strict=True)]) > 9.5
+
+
+def test_repeated_ids_do_not_hide_others_of_a_list(spark):
+    g = np.random.default_rng(10)
+    x = g.normal(size=(40, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] + 1e-3 * g.normal(size=4)).tolist()) for _ in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")  # few enough for one list
+    got = vectors.neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    near = {i: min(float(np.sqrt(((np.array(v) - x[0]) ** 2).sum())) for j, v in rows if j == i) for i in range(1, 40)}
+    want = sorted((s, i) for i, s in near.items())[:10]
+    assert [(r["score"], r["vec_id"]) for r in got] == want and [r["rank"] for r in got] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("far", [0.0, 1e7])
+def test_nearest_of_lists_against_brute_force(monkeypatch, far):
+    """Ties, copies in several lists, lists not asked for, and vectors far from the origin, in small pieces."""
+    monkeypatch.setattr(vectors, "PIECE", 16)
+    monkeypatch.setattr(vectors, "AT_ONCE", 64)
+    g = np.random.default_rng(11)
+    x = far + g.integers(0, 4, (300, 5)) / 64
+    lists = g.integers(0, 6, 300).astype(np.int32)
+    both = np.r_[np.arange(300), np.arange(0, 300, 5)]
+    of = np.r_[lists, (lists[::5] + 1) % 6].astype(np.int32)
+    kind = pa.list_(pa.float64())
+    held = pa.table({"list": pa.array(of), "vec_id": pa.array(both), "embedding": pa.array(x[both].tolist(), kind)})
+    asked = [sorted(g.choice(6, int(g.integers(1, 7)), replace=False).tolist()) for _ in range(30)]
+    got = vectors._nearest(10, held, pa.table({"vec_id": pa.array(np.arange(30)), "lists": pa.array(asked, pa.list_(pa.int32())), "embedding": pa.array(x[:30].tolist(), kind)}))
+    found = sorted(zip(got["query_id"].to_pylist(), got["score"].to_pylist(), got["vec_id"].to_pylist(), strict=True))
+    want = []
+    for i, some in enumerate(asked):
+        ids = {int(b) for b, v in zip(both, of, strict=True) if v in some} - {i}
+        want += [(i, *p) for p in sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), j) for j in ids)[:10]]
+    assert found == want
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [4.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 0.0), (0, 2, 3, 3.0)]
