@@ -74,9 +74,10 @@ def levels(terms: list[bytes]) -> np.ndarray:
 
 
 def _counted(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, level, terms, counts): occurrences of a source's terms (level null), and documents of a language's
-    terms by the level from which on they count (source null)."""
-    names = ["lang", "source", "level", "terms", "counts"]
+    """(lang, source, level, term, n): occurrences of a source's terms (level null; of a source without terms one row whose
+    term is null), and documents of a language's terms by the level from which on they count (source null). A row a
+    term: readers take rows by the thousand, and rows of long arrays would be held whole."""
+    names = ["lang", "source", "level", "term", "n"]
     used: dict[tuple[str, str], Counter] = {}
     new: dict[tuple[str, int], Counter] = {}
 
@@ -89,11 +90,11 @@ def _counted(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         new.clear()
 
     def cut(lang: str, source: str | None, level: int | None, own: Counter) -> Iterator[pa.RecordBatch]:
-        terms, counts = list(own), list(own.values())
-        for at in range(0, max(len(terms), 1), 16_384):
-            cols = [pa.array([lang], pa.string()), pa.array([source], pa.string()), pa.array([level], pa.int32())]
-            cols += [pa.array([terms[at : at + 16_384]], pa.list_(pa.binary())), pa.array([counts[at : at + 16_384]], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        terms, counts = list(own) or [None], list(own.values()) or [0]
+        for at in range(0, len(terms), 16_384):
+            some = pa.array(terms[at : at + 16_384], pa.binary())
+            same = [pa.array([v], kind).take(pa.array(np.zeros(len(some), np.int32))) for v, kind in ((lang, pa.string()), (source, pa.string()), (level, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, some, pa.array(counts[at : at + 16_384], pa.int64())], names=names)
 
     for batch in batches:
         for part in slices(pa.Table.from_batches([batch]), "text"):
@@ -211,8 +212,8 @@ def divergence(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataF
     empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counted = materialize(rows.mapInArrow(partial(_counted, HELD), "lang string, source string, level int, terms array<binary>, counts array<long>"), "counted")
-    flat = counted.select("lang", "source", "level", F.inline(F.arrays_zip("terms", "counts"))).toDF("lang", "source", "level", "term", "n")
+    counted = materialize(rows.mapInArrow(partial(_counted, HELD), "lang string, source string, level int, term binary, n long"), "counted")
+    flat = counted.where("term is not null")
     kept = kept_terms(flat.where("level is not null").select("lang", "level", "term", "n"), support)
     names, used = kept.select("lang", "term"), flat.where("level is null")
     few = fits(names, KEPT_ROWS, KEPT_BYTES)  # then rare terms are not shuffled; else occurrences are added up first, so that no term is hot

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,18 @@ def test_divergence_equals_a_plain_version(spark, monkeypatch, held, tile, bucke
     assert named(divergence.divergence(clashing(df), support=4).collect()) == plain_divergence(rows, 4)
 
 
+def test_divergence_passes_on_a_row_a_term():
+    """Rows of long arrays would be held by thousands in a reader's batch."""
+    texts = ["b a A", "a", "", "12"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["x", "x", "x", "y"], "source": ["s", "s", "t", "t"]})
+    got = [r for b in divergence._counted(divergence.HELD, iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["source"], r["term"], r["n"]) for r in got if r["level"] is None) == [("x", "s", b"a", 3), ("x", "s", b"b", 1), ("x", "t", None, 0), ("y", "t", None, 0)]
+    assert sorted((r["lang"], r["level"], r["term"], r["n"]) for r in got if r["level"] is not None) == [("x", 0, b"a", 2), ("x", 0, b"b", 1)]
+    assert all(r["source"] is None for r in got if r["level"] is not None)
+    many = pa.RecordBatch.from_pydict({"text": [" ".join("q" + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(17_000))], "lang": ["x"], "source": ["s"]})
+    assert [b.num_rows for b in divergence._counted(divergence.HELD, iter([many]))] == [16_384, 616, 16_384, 616]
+
+
 def test_divergence_of_no_documents(spark):
     assert divergence.divergence(spark.createDataFrame([], DOCS)).count() == 0
 
