@@ -217,7 +217,8 @@ def divergence(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataF
     kept = kept_terms(flat.where("level is not null").select("lang", "level", "term", "n"), support)
     names, used = kept.select("lang", "term"), flat.where("level is null")
     few = fits(names, KEPT_ROWS, KEPT_BYTES)  # then rare terms are not shuffled; else occurrences are added up first, so that no term is hot
-    used = used.join(F.broadcast(names), ["lang", "term"], "left_semi") if few else used
+    # a task has a term of a source once or twice, so sums before the shuffle would hold nearly all rows to spare few
+    used = used.join(F.broadcast(names), ["lang", "term"], "left_semi").repartition("lang", "source", "term") if few else used
     cells = used.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     cells = cells if few else cells.join(names, ["lang", "term"])
     cells = materialize(cells.select("lang", "source", "term", "n"), "cells")
